@@ -1,0 +1,22 @@
+"""Join helpers: size-checked broadcast and null-safe key joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables (stations, calendar, lines, bins) are broadcast only when
+# a bounded count proves them small; otherwise the planner (AQE, which uses
+# runtime sizes) chooses the strategy.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast after checking that ``df`` has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (``limit`` stops early),
+    so it stays cheap even when the table turns out to be large.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
