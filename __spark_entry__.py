@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import oracles as O
 from metrolens.plans import descriptive as Q
@@ -31,6 +32,12 @@ def od_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
                   stations=TD.stations_od(spark, sf_dir))
 
 
+def _round(df: DataFrame, places: int = 6) -> DataFrame:
+    """Round double columns so engines agree on the last bits of means."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c)
+                       for c, t in df.dtypes])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: per-station entries and exits over the whole event history."""
     return Q.all_stations_flow(ev_inputs(spark, FLAGSHIP_SF), O.EV_START, O.EV_END)
@@ -39,6 +46,17 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "stations_flow": lambda s, p: Q.all_stations_flow(ev_inputs(s, p), O.EV_START, O.EV_END),
+        "stations_flow_od": lambda s, p: Q.all_stations_flow(od_inputs(s, p), O.OD_START, O.OD_END),
+        "month_flow": lambda s, p: Q.single_month_flow(ev_inputs(s, p), O.EV_MONTH),
+        "day_type_flow": lambda s, p: _round(Q.day_type_flow(ev_inputs(s, p), O.EV_START, O.EV_END)),
+        "station_flow": lambda s, p: Q.single_station_flow(ev_inputs(s, p), O.EV_STATION,
+                                                           O.EV_START, O.EV_END),
+        "age_structure": lambda s, p: Q.age_structure(ev_inputs(s, p)),
+        "peak_flow": lambda s, p: Q.peak_flow(ev_inputs(s, p), O.EV_START, O.EV_END),
+        "line_flow": lambda s, p: Q.line_to_line_flow(od_inputs(s, p), O.OD_START, O.OD_END),
+        "od_flow": lambda s, p: Q.od_flow(ev_inputs(s, p), O.EV_START, O.EV_END),
+        "section_flow": lambda s, p: Q.section_flow(ev_inputs(s, p), O.EV_LINE, O.EV_START, O.EV_END),
+        "section_flow_daily": lambda s, p: Q.section_flow_daily(ev_inputs(s, p), O.EV_START, O.EV_END),
     }
 
 

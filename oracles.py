@@ -98,7 +98,137 @@ select i.station, i.flow_in, o.flow_out
 from i left join o on i.station is not distinct from o.station"""
 
 
+def dstr(expr: str) -> str:
+    return f"strftime(cast({expr} as date), '%Y-%m-%d')"
+
+
+def in_range(col: str, lo: str, hi: str) -> str:
+    return f"cast({col} as date) between {d(lo)} and {d(hi)}"
+
+
+def month_flow() -> str:
+    return with_(TRIPS_EV) + f"""
+select {dstr('time_in')} as time, count(*) as flow from trips_ev
+where {in_range('time_in', EV_MONTH + '-01', EV_MONTH + '-31')} group by 1"""
+
+
+def day_type_flow() -> str:
+    return with_(TRIPS_EV, WORKDAYS_V, f"""
+daily as (select cast(time_in as date) as time, count(*) as flow from trips_ev
+          where {in_range('time_in', EV_START, EV_END)} group by 1)""", """
+t as (select daily.flow, w.workday = 1 as is_workday from daily left join workdays_v w on daily.time = w.time)""") + """
+select round(coalesce(avg(case when is_workday then flow end), 0.0), 6) as workday,
+       round(coalesce(avg(case when not is_workday then flow end), 0.0), 6) as weekend
+from t"""
+
+
+def station_flow() -> str:
+    s = EV_STATION
+    return with_(TRIPS_EV) + f"""
+select '{s}' as station, 'in' as direction, {dstr('time_in')} as time, count(*) as flow
+from trips_ev where station_in = '{s}' and {in_range('time_in', EV_START, EV_END)} group by 3
+union all
+select '{s}' as station, 'out' as direction, {dstr('time_out')} as time, count(*) as flow
+from trips_ev where station_out = '{s}' and {in_range('time_out', EV_START, EV_END)} group by 3"""
+
+
+def age_structure() -> str:
+    return with_(USERS_V, """
+a as (select sex, 2021 - birth_year as age from users_v)""", """
+b as (select sex, cast(ceil(age / 10.0) as integer) as bin from a
+      where age > 0 and age <= 100 and sex in (0, 1))""", """
+n as (select sex, bin, count(*) as n from b group by sex, bin)""", """
+grid as (select s.sex, cast(g.bin as integer) as bin
+         from (values (0), (1)) s(sex), range(1, 11) g(bin))""") + """
+select case when grid.sex = 0 then 'male' else 'female' end as sex, grid.bin,
+       cast(coalesce(n.n, 0) as bigint) as n
+from grid left join n on grid.sex = n.sex and grid.bin = n.bin"""
+
+
+def peak_flow() -> str:
+    parts = [TRIPS_EV]
+    bands = {"morning": (7, 8), "evening": (16, 18)}
+    for p, (h0, h1) in bands.items():
+        parts.append(f"""
+{p}_i as (select station_in as station, count(*) as flow_in from trips_ev
+          where {in_range('time_in', EV_START, EV_END)} and hour(time_in) between {h0} and {h1} group by 1)""")
+        parts.append(f"""
+{p}_o as (select station_out as station, count(*) as flow_out from trips_ev
+          where {in_range('time_out', EV_START, EV_END)} and hour(time_out) between {h0} and {h1} group by 1)""")
+    sel = "\nunion all\n".join(f"""
+select '{p}' as period, i.station, i.flow_in, coalesce(o.flow_out, 0) as flow_out
+from {p}_i i left join {p}_o o on i.station is not distinct from o.station""" for p in bands)
+    return with_(*parts) + sel
+
+
+def line_flow() -> str:
+    return with_(TRIPS_OD) + f"""
+select line_in as source, line_out as target, count(*) as flow from trips_od
+where {in_range('time_in', OD_START, OD_END)} group by 1, 2"""
+
+
+def od_flow() -> str:
+    return with_(TRIPS_EV) + f"""
+select station_in, station_out, count(*) as flow from trips_ev
+where {in_range('time_in', EV_START, EV_END)} group by 1, 2"""
+
+
+# Sections listed the plain way: every OD pair of a line whose journey
+# passes a section, then looked up in the OD matrix (up) and reversed (down).
+BRIDGE_EV = """
+st as (select station_name as station, line_name as line,
+              dense_rank() over (partition by line_name order by sequence) as pos from stations_ev),
+sec as (select a.line, a.station as source, b.station as target, a.pos as b,
+               cast(row_number() over (partition by a.line order by a.pos, a.station, b.station) - 1
+                    as integer) as section_id
+        from st a join st b on a.line = b.line and b.pos = a.pos + 1),
+bridge as (select s.line, s.section_id, s.source, s.target, o.station as o_station, t.station as d_station
+           from sec s join st o on o.line = s.line and o.pos <= s.b
+                      join st t on t.line = s.line and t.pos > s.b)"""
+
+
+def section_flow() -> str:
+    od = f"""
+od as (select station_in, station_out, count(*) as flow from trips_ev
+       where {in_range('time_in', EV_START, EV_END)} group by 1, 2)"""
+    sel = []
+    for direction, o, t in (("up", "o_station", "d_station"), ("down", "d_station", "o_station")):
+        sel.append(f"""
+select '{direction}' as direction, section_id, source, target, cast(coalesce(sum(od.flow), 0) as bigint) as flow
+from bridge left join od on od.station_in = bridge.{o} and od.station_out = bridge.{t}
+where bridge.line = '{EV_LINE}' group by section_id, source, target""")
+    return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od) + "\nunion all\n".join(sel)
+
+
+def section_flow_daily() -> str:
+    od = f"""
+od as (select station_in, station_out, cast(time_in as date) as day, count(*) as flow from trips_ev
+       where {in_range('time_in', EV_START, EV_END)} group by 1, 2, 3)"""
+    days = f"""
+days as (select cast(g.d as date) as day from unnest(generate_series(
+           cast({d(EV_START)} as timestamp), cast({d(EV_END)} as timestamp), interval 1 day)) as g(d))"""
+    sel = []
+    for direction, o, t in (("up", "o_station", "d_station"), ("down", "d_station", "o_station")):
+        sel.append(f"""
+select br.line, br.section_id, br.source, br.target, '{direction}' as direction,
+       strftime(days.day, '%Y-%m-%d') as day, cast(coalesce(sum(od.flow), 0) as bigint) as flow
+from bridge br cross join days
+left join od on od.day = days.day and od.station_in = br.{o} and od.station_out = br.{t}
+group by br.line, br.section_id, br.source, br.target, days.day""")
+    return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od, days) + "\nunion all\n".join(sel)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "stations_flow": stations_flow("trips_ev", EV_START, EV_END),
+        "stations_flow_od": stations_flow("trips_od", OD_START, OD_END),
+        "month_flow": month_flow(),
+        "day_type_flow": day_type_flow(),
+        "station_flow": station_flow(),
+        "age_structure": age_structure(),
+        "peak_flow": peak_flow(),
+        "line_flow": line_flow(),
+        "od_flow": od_flow(),
+        "section_flow": section_flow(),
+        "section_flow_daily": section_flow_daily(),
     }
