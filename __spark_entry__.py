@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles as O
+from metrolens.operators import counts, lowrank, series
+from metrolens.functions.dates import date_str, trailing_window
 from metrolens.plans import descriptive as Q
+from metrolens.plans import forecast as FC
+from metrolens.session import reliable_checkpoint
 from metrolens.plans.inputs import Inputs
 from metrolens.sources import testdata as TD
 
@@ -38,6 +42,96 @@ def _round(df: DataFrame, places: int = 6) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+def _station_params(spark: SparkSession, inp: Inputs, models):
+    ents = FC.model_entities(inp.stations, "station_name", models)
+    return TD.fixture_basis(ents), TD.fixture_ar_coef(spark, list(models))
+
+
+def _section_params(spark: SparkSession, inp: Inputs):
+    ents = FC.model_entities(FC.section_list(inp), "entity", FC.SECTION_MODELS)
+    return TD.fixture_basis(ents), TD.fixture_ar_coef(spark, list(FC.SECTION_MODELS))
+
+
+def station_day_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    lo, hi = trailing_window(O.EV_FORECAST_START, O.WINDOW)
+    panel = counts.station_day_counts(inp.trips, lo, hi, FC.STATION_SERIES)
+    ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
+    dense = series.densify_range(panel, ents, ["model", "entity"], lo, hi)
+    return dense.select("model", "entity", date_str("day").alias("day"), F.col("flow").cast("long").alias("flow"))
+
+
+def station_day_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    lo, hi = trailing_window(O.EV_FORECAST_START, O.WINDOW)
+    panel = counts.station_day_counts(inp.trips, lo, hi, {"station_in": ("in", None)})
+    wide = series.pivot_days(panel.withColumnRenamed("entity", "station"), "station", lo, hi)
+    return wide.select("station", *[F.col(c).cast("long").alias(c) for c in wide.columns if c != "station"])
+
+
+def od_daily_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    od = counts.od_counts(inp.trips, O.EV_START, O.EV_END, by_day=True)
+    dense = series.densify_span(od, ["station_in", "station_out"])
+    return dense.select("station_in", "station_out", date_str("day").alias("day"), "flow")
+
+
+def lag_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = od_inputs(spark, sf_dir)
+    daily = counts.station_day_counts(inp.trips, O.OD_START, O.OD_END, {"station_in": ("in", None)})
+    dense = series.densify_span(daily.select(F.col("entity").alias("station"), "day", "flow"), ["station"])
+    feats = series.lag_features(dense, ["station"])
+    return feats.withColumn("day", date_str("day"))
+
+
+def forecast_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FC.predict_total_flow(ev_inputs(spark, sf_dir), O.EV_FORECAST_START, O.FORECAST_STEPS,
+                                 TD.FIXTURE_TOTAL)
+
+
+def forecast_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive linear forecast of every station's entries (E6 over a panel)."""
+    inp = ev_inputs(spark, sf_dir)
+    lo, hi = trailing_window(O.EV_FORECAST_START, series.TREND_LAG)
+    daily = counts.station_day_counts(inp.trips, lo, hi, {"station_in": ("in", None)}) \
+        .select(F.col("entity").alias("station"), "day", "flow")
+    fc = series.recursive_forecast(daily, inp.workdays, ["station"], TD.FIXTURE_TOTAL,
+                                   O.EV_FORECAST_START, O.FORECAST_STEPS)
+    return fc.select("station", date_str("day").alias("time"), "is_workday", "flow")
+
+
+def basis_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    basis, _ = _station_params(spark, inp, FC.STATION_SERIES)
+    q = lowrank.project(FC.station_panel(inp, O.EV_FORECAST_START), lowrank.projection_weights(basis))
+    return q.select("model", date_str("day").alias("day"), "factor", F.round("q", 6).alias("q"))
+
+
+def forecast_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    basis, coef = _station_params(spark, inp, FC.STATION_SERIES)
+    return FC.predict_stations_flow(inp, O.EV_FORECAST_START, basis, coef)
+
+
+def forecast_station_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    basis, coef = _station_params(spark, inp, FC.STATION_SERIES)
+    return FC.predict_single_station_flow(inp, O.EV_STATION, O.EV_FORECAST_START, basis, coef,
+                                          n=O.FORECAST_STEPS, checkpoint=reliable_checkpoint(spark))
+
+
+def forecast_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    basis, coef = _section_params(spark, inp)
+    return FC.predict_section_flow(inp, O.EV_LINE, O.EV_FORECAST_START, basis, coef)
+
+
+def forecast_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    basis, coef = _station_params(spark, inp, FC.PEAK_SERIES)
+    return FC.predict_peak_flow(inp, O.EV_FORECAST_START, basis, coef)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: per-station entries and exits over the whole event history."""
     return Q.all_stations_flow(ev_inputs(spark, FLAGSHIP_SF), O.EV_START, O.EV_END)
@@ -57,6 +151,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "od_flow": lambda s, p: Q.od_flow(ev_inputs(s, p), O.EV_START, O.EV_END),
         "section_flow": lambda s, p: Q.section_flow(ev_inputs(s, p), O.EV_LINE, O.EV_START, O.EV_END),
         "section_flow_daily": lambda s, p: Q.section_flow_daily(ev_inputs(s, p), O.EV_START, O.EV_END),
+        "station_day_matrix": station_day_matrix,
+        "station_day_pivot": station_day_pivot,
+        "od_daily_resample": od_daily_resample,
+        "lag_features": lag_feature_table,
+        "forecast_total": forecast_total,
+        "forecast_panel": forecast_panel,
+        "basis_project": basis_project,
+        "forecast_stations": forecast_stations,
+        "forecast_station_7d": forecast_station_7d,
+        "forecast_sections": forecast_sections,
+        "forecast_peak": forecast_peak,
     }
 
 

@@ -1 +1,136 @@
-"""Forecast queries Q9-Q13 (filled in below)."""
+"""Forecast queries Q9-Q13.
+
+The reference scored pre-trained artefacts (a scaler + regressor for the
+total series; a k=64 basis and a sequence network per entity panel). Here
+the same pipelines run on Spark with parameters passed as tables:
+
+* total flow (Q9): a linear one-step model on the reference's eight
+  features, folded recursively (``series.recursive_forecast``);
+* entity panels (Q10-Q13): basis projection, per-factor autoregression and
+  reconstruction (``lowrank.low_rank_forecast``), one job for all models.
+
+``metrolens.plans.fit`` learns those parameters from trips.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from metrolens.functions.dates import PEAK_BANDS, date_str, trailing_window
+from metrolens.operators import counts, lowrank, sections, series
+from metrolens.plans.inputs import Inputs
+
+# Model names of the entity panels (one basis + AR coefficients each).
+STATION_SERIES = {"station_in": ("in", None), "station_out": ("out", None)}
+PEAK_SERIES = {f"peak_{p}_{side}": (side, band) for p, band in PEAK_BANDS.items() for side in ("in", "out")}
+SECTION_MODELS = ("section_up", "section_down")
+
+
+def station_panel(inp: Inputs, start, series_spec: Mapping = STATION_SERIES,
+                  window: int = lowrank.WINDOW_DAYS) -> DataFrame:
+    """(model, entity, day, flow) station counts in ``[start - window, start - 1]``, sparse."""
+    lo, hi = trailing_window(start, window)
+    return (counts.station_day_counts(inp.trips, lo, hi, dict(series_spec))
+            .select("model", "entity", "day", F.col("flow").cast("double").alias("flow")))
+
+
+def section_list(inp: Inputs) -> DataFrame:
+    """(line, section_id, source, target, entity) of every section."""
+    if inp.section_bridge is not None:
+        secs = inp.section_bridge.select("line", "section_id", "source", "target").distinct()
+    else:
+        inp.require("stations")
+        secs = sections.sequence_sections(inp.stations).drop("b")
+    return secs.withColumn("entity", F.concat_ws("/", "line", F.col("section_id").cast("string")))
+
+
+def section_panel(inp: Inputs, start, window: int = lowrank.WINDOW_DAYS) -> DataFrame:
+    """(model, entity, day, flow) per section and direction (sparse; zero cells absent)."""
+    lo, hi = trailing_window(start, window)
+    od = counts.od_counts(inp.trips, lo, hi, by_day=True)
+    if inp.section_bridge is not None:
+        flows = sections.bridge_flows(od, inp.section_bridge, keys=["day"])
+    else:
+        inp.require("stations")
+        flows = sections.sequence_flows(od, inp.stations, day_range=(lo, hi))
+    return flows.where(F.col("flow") != 0).select(
+        F.concat(F.lit("section_"), "direction").alias("model"),
+        F.concat_ws("/", "line", F.col("section_id").cast("string")).alias("entity"),
+        "day", F.col("flow").cast("double").alias("flow"))
+
+
+def model_entities(entities: DataFrame, entity_col: str, models) -> DataFrame:
+    """(model, entity) for each model over one entity table - a generator, not a join."""
+    return entities.select(F.col(entity_col).alias("entity"),
+                           F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+
+
+def predict_total_flow(inp: Inputs, start, n: int, coef: Mapping[str, float]) -> DataFrame:
+    """Q9: n-day forecast of total entries -> (time, is_workday, flow)."""
+    lo, hi = trailing_window(start, series.TREND_LAG)
+    daily = counts.daily_counts(inp.trips, "time_in", lo, hi) \
+        .select(F.lit("total").alias("series"), F.col("time").alias("day"), "flow")
+    fc = series.recursive_forecast(daily, inp.workdays, ["series"], coef, start, n)
+    return fc.select(date_str("day").alias("time"), "is_workday", "flow").orderBy("time")
+
+
+def _by_station(fc: DataFrame, in_model: str, out_model: str) -> DataFrame:
+    return (fc.groupBy(F.col("entity").alias("station"))
+            .agg(F.max(F.when(F.col("model") == in_model, F.col("flow"))).alias("flow_in"),
+                 F.max(F.when(F.col("model") == out_model, F.col("flow"))).alias("flow_out")))
+
+
+def predict_stations_flow(inp: Inputs, start, basis: DataFrame, coef: DataFrame) -> DataFrame:
+    """Q10: next-day entries and exits of every station -> (station, flow_in, flow_out)."""
+    panel = station_panel(inp, start)
+    b = basis.where(F.col("model").isin(*STATION_SERIES))
+    fc = lowrank.low_rank_forecast(panel, b, coef, start, 1)
+    return _by_station(fc, "station_in", "station_out").orderBy("station")
+
+
+def predict_single_station_flow(inp: Inputs, station: str, start, basis: DataFrame, coef: DataFrame,
+                                n: int = 7, checkpoint=None) -> DataFrame:
+    """Q11: n-day entries and exits of one station -> (station, direction, time, flow).
+
+    The recursion couples all stations (each step re-projects the whole
+    forecast), so every station is forecast and one is reported.
+    """
+    panel = station_panel(inp, start)
+    b = basis.where(F.col("model").isin(*STATION_SERIES))
+    fc = lowrank.low_rank_forecast(panel, b, coef, start, n, checkpoint=checkpoint)
+    return (fc.where(F.col("entity") == station)
+            .select(F.col("entity").alias("station"),
+                    F.when(F.col("model") == "station_in", "in").otherwise("out").alias("direction"),
+                    date_str("day").alias("time"), "flow")
+            .orderBy("direction", "time"))
+
+
+def predict_section_flow(inp: Inputs, line: str, start, basis: DataFrame, coef: DataFrame) -> DataFrame:
+    """Q12: next-day up and down flow of every section of ``line``
+    -> (direction, section_id, source, target, flow)."""
+    panel = section_panel(inp, start)
+    b = basis.where(F.col("model").isin(*SECTION_MODELS))
+    fc = lowrank.low_rank_forecast(panel, b, coef, start, 1)
+    secs = section_list(inp).where(F.col("line") == line)
+    return (secs.join(fc, "entity")
+            .select(F.regexp_replace("model", "^section_", "").alias("direction"),
+                    "section_id", "source", "target", "flow")
+            .orderBy("direction", "section_id"))
+
+
+def predict_peak_flow(inp: Inputs, start, basis: DataFrame, coef: DataFrame) -> DataFrame:
+    """Q13: next-day peak entries and exits per station
+    -> (period, station, flow_in, flow_out) for the morning and evening peaks."""
+    panel = station_panel(inp, start, PEAK_SERIES)
+    b = basis.where(F.col("model").isin(*PEAK_SERIES))
+    fc = lowrank.low_rank_forecast(panel, b, coef, start, 1)
+    parts = F.split("model", "_")
+    return (fc.select(parts.getItem(1).alias("period"), parts.getItem(2).alias("side"),
+                      F.col("entity").alias("station"), "flow")
+            .groupBy("period", "station")
+            .agg(F.max(F.when(F.col("side") == "in", F.col("flow"))).alias("flow_in"),
+                 F.max(F.when(F.col("side") == "out", F.col("flow"))).alias("flow_out"))
+            .orderBy("period", "station"))

@@ -60,3 +60,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def reliable_checkpoint(spark: SparkSession):
+    """A lineage cut that survives executor loss: ``Dataset.checkpoint`` into
+    the shared checkpoint folder (never ``localCheckpoint``)."""
+    checkpoint_dir(spark)
+    return lambda df: df.checkpoint(eager=True)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from metrolens.sources.testdata import FIXTURE_AR, FIXTURE_RANK, FIXTURE_TOTAL
+
 # Query parameters shared with __spark_entry__ (fixed values of the checks).
 EV_START, EV_END = "2024-01-01", "2024-01-30"      # whole event history
 EV_MONTH = "2024-01"
@@ -218,6 +220,235 @@ group by br.line, br.section_id, br.source, br.target, days.day""")
     return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od, days) + "\nunion all\n".join(sel)
 
 
+def with_recursive(*ctes: str) -> str:
+    return "with recursive " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+def plus_days(start: str, n: int) -> str:
+    return (dt.date.fromisoformat(start) + dt.timedelta(days=n)).isoformat()
+
+
+def days_cte(name: str, lo: str, hi: str) -> str:
+    return f"""
+{name} as (select cast(g.d as date) as day from unnest(generate_series(
+    cast({d(lo)} as timestamp), cast({d(hi)} as timestamp), interval 1 day)) as g(d))"""
+
+
+def flit(x: float) -> str:
+    return f"cast({x!r} as double)"
+
+
+def station_counts_cte(lo: str, hi: str, series: dict) -> str:
+    """(model, entity, day, flow) like counts.station_day_counts."""
+    parts = []
+    for name, (side, band) in series.items():
+        ts, st = ("time_in", "station_in") if side == "in" else ("time_out", "station_out")
+        cond = in_range(ts, lo, hi) + f" and {st} is not null"
+        if band:
+            cond += f" and hour({ts}) between {band[0]} and {band[1]}"
+        parts.append(f"select '{name}' as model, {st} as entity, cast({ts} as date) as day, count(*) as flow "
+                     f"from trips_ev where {cond} group by 1, 2, 3")
+    return "\ncnt as (" + "\nunion all\n".join(parts) + ")"
+
+
+def station_day_matrix() -> str:
+    lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
+    series = {"station_in": ("in", None), "station_out": ("out", None)}
+    return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), days_cte("days", lo, hi), """
+grid as (select m.model, s.station_name as entity, days.day
+         from stations_ev s, (values ('station_in'), ('station_out')) m(model), days)""") + """
+select grid.model, grid.entity, strftime(grid.day, '%Y-%m-%d') as day, cast(coalesce(cnt.flow, 0) as bigint) as flow
+from grid left join cnt on grid.model = cnt.model and grid.entity = cnt.entity and grid.day = cnt.day"""
+
+
+def station_day_pivot() -> str:
+    lo = dt.date.fromisoformat(days_before(EV_FORECAST_START, WINDOW))
+    cols = []
+    for i in range(WINDOW):
+        day = (lo + dt.timedelta(days=i)).isoformat()
+        cols.append(f"cast(coalesce(sum(case when day = {d(day)} then flow end), 0) as bigint) as \"{day}\"")
+    series = {"station_in": ("in", None)}
+    return with_(TRIPS_EV, station_counts_cte(lo.isoformat(), days_before(EV_FORECAST_START, 1), series)) + \
+        "select entity as station, " + ", ".join(cols) + " from cnt group by entity"
+
+
+def od_daily_resample() -> str:
+    return with_(TRIPS_EV, f"""
+od as (select station_in, station_out, cast(time_in as date) as day, count(*) as flow from trips_ev
+       where {in_range('time_in', EV_START, EV_END)} group by 1, 2, 3)""", """
+span as (select station_in, station_out, min(day) as lo, max(day) as hi from od group by 1, 2)""", """
+grid as (select station_in, station_out, cast(g.d as date) as day
+         from span, unnest(generate_series(cast(lo as timestamp), cast(hi as timestamp), interval 1 day)) as g(d))""") + """
+select grid.station_in, grid.station_out, strftime(grid.day, '%Y-%m-%d') as day,
+       cast(coalesce(od.flow, 0) as bigint) as flow
+from grid left join od on grid.station_in = od.station_in and grid.station_out = od.station_out
+                      and grid.day = od.day"""
+
+
+def lag_features() -> str:
+    lags = (1, 4, 7, 14, 21, 28)
+    cols = ", ".join(f"lag(flow, {n}) over w as lag_{n}" for n in lags)
+    return with_(TRIPS_OD, f"""
+cnt as (select station_in as station, cast(time_in as date) as day, count(*) as flow from trips_od
+        where {in_range('time_in', OD_START, OD_END)} and station_in is not null group by 1, 2)""", """
+span as (select station, min(day) as lo, max(day) as hi from cnt group by 1)""", """
+grid as (select station, cast(g.d as date) as day
+         from span, unnest(generate_series(cast(lo as timestamp), cast(hi as timestamp), interval 1 day)) as g(d))""", """
+dense as (select grid.station, grid.day, cast(coalesce(cnt.flow, 0) as bigint) as flow
+          from grid left join cnt on grid.station = cnt.station and grid.day = cnt.day)""") + f"""
+select station, strftime(day, '%Y-%m-%d') as day, flow, {cols},
+       lag(flow, 1) over w - lag(flow, 29) over w as trend
+from dense window w as (partition by station order by day)"""
+
+
+def _total_step_expr() -> str:
+    w = {k: float(FIXTURE_TOTAL.get(k, 0.0)) for k in
+         ("intercept", "is_workday", "lag_1", "lag_4", "lag_7", "lag_14", "lag_21", "lag_28", "trend")}
+    e = f"{flit(w['intercept'])} + {flit(w['is_workday'])} * fl[i + 1]"
+    for m in (1, 4, 7, 14, 21, 28):
+        e += f" + {flit(w[f'lag_{m}'])} * h[-{m}]"
+    e += f" + {flit(w['trend'])} * (h[-1] - h[-29])"
+    return f"round_even({e}, 0)"
+
+
+def _recursive_total(keyed: bool) -> str:
+    n, start = FORECAST_STEPS, EV_FORECAST_START
+    lo, hi = days_before(start, 29), days_before(start, 1)
+    key = "station_in" if keyed else "'total'"
+    daily = f"""
+daily as (select {key} as series, cast(time_in as date) as day, count(*) as flow from trips_ev
+          where {in_range('time_in', lo, hi)} {'and station_in is not null' if keyed else ''} group by 1, 2)"""
+    init = """
+flags as (select fd.day, coalesce(w.wd, 0.0) as wd from fd left join
+          (select time, max(cast(workday = 1 as double)) as wd from workdays_v group by time) w on w.time = fd.day)""", """
+init as (select s.series,
+                list(cast(coalesce(daily.flow, 0) as double) order by hd.day) as h,
+                (select list(wd order by day) from flags) as fl
+         from (select distinct series from daily) s cross join hd
+         left join daily on daily.series = s.series and daily.day = hd.day
+         group by s.series)""", f"""
+steps(series, i, h, fl) as (
+  select series, 0, h, fl from init
+  union all
+  select series, i + 1, list_append(h, {_total_step_expr()}), fl from steps where i < {n})"""
+    sel = f"""
+select {'series as station, ' if keyed else ''}strftime({d(start)} + cast(j - 1 as integer), '%Y-%m-%d') as time,
+       cast(fl[j] as integer) as is_workday, cast(h[29 + j] as bigint) as flow
+from steps, range(1, {n + 1}) t(j) where i = {n}"""
+    return with_recursive(TRIPS_EV, WORKDAYS_V, daily, days_cte("hd", lo, hi),
+                          days_cte("fd", start, plus_days(start, n - 1)), *init) + sel
+
+
+def _ar_weight(day_col: str, target: str) -> str:
+    cases = " ".join(f"when {lag} then {flit(w)}" for lag, w in sorted(FIXTURE_AR.items()))
+    return f"case datediff('day', {day_col}, {d(target)}) {cases} else 0.0 end"
+
+
+def _lowrank_ctes(ents: str, steps: int) -> list[str]:
+    """Fixture basis (entity i of a model -> factor i % rank, weight 1, so
+    pinv is a per-factor mean), AR step and clip/round, unrolled ``steps`` times.
+    Needs ``ents(model, entity)`` and ``cnt(model, entity, day, flow)``."""
+    start = EV_FORECAST_START
+    ctes = [f"""
+b as (select model, entity,
+             cast((row_number() over (partition by model order by entity) - 1) % {FIXTURE_RANK} as integer)
+               as factor from ents)""", """
+nf as (select model, factor, count(*) as c from b group by 1, 2)""", f"""
+h0 as (select cnt.model, b.factor, cnt.day, sum(cnt.flow) / nf.c as q
+       from cnt join b on cnt.model = b.model and cnt.entity = b.entity
+       join nf on nf.model = b.model and nf.factor = b.factor
+       where cnt.day between {d(days_before(start, WINDOW))} and {d(days_before(start, 1))}
+       group by cnt.model, b.factor, cnt.day, nf.c)"""]
+    for i in range(steps):
+        t = plus_days(start, i)
+        ctes.append(f"""
+qn{i} as (select model, factor, sum(q * {_ar_weight('day', t)}) as q from h{i} group by 1, 2)""")
+        ctes.append(f"""
+a{i} as (select b.model, b.entity, {d(t)} as day,
+                round_even(greatest(coalesce(qn.q, 0.0), 0.0), 0) as flow
+         from b left join qn{i} qn on qn.model = b.model and qn.factor = b.factor)""")
+        if i < steps - 1:
+            ctes.append(f"""
+h{i + 1} as (select * from h{i}
+          union all
+          select a.model, b.factor, a.day, sum(a.flow) / nf.c as q
+          from a{i} a join b on a.model = b.model and a.entity = b.entity
+          join nf on nf.model = b.model and nf.factor = b.factor
+          group by a.model, b.factor, a.day, nf.c)""")
+    return ctes
+
+
+def _station_ents(models) -> str:
+    vals = ", ".join(f"('{m}')" for m in models)
+    return f"""
+ents as (select m.model, s.station_name as entity from stations_ev s, (values {vals}) m(model))"""
+
+
+def basis_project() -> str:
+    lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
+    series = {"station_in": ("in", None), "station_out": ("out", None)}
+    return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), _station_ents(series),
+                 *_lowrank_ctes("ents", 0)) + """
+select model, strftime(day, '%Y-%m-%d') as day, factor, round(q, 6) as q from h0"""
+
+
+def forecast_stations() -> str:
+    lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
+    series = {"station_in": ("in", None), "station_out": ("out", None)}
+    return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), _station_ents(series),
+                 *_lowrank_ctes("ents", 1)) + """
+select entity as station,
+       cast(max(case when model = 'station_in' then flow end) as bigint) as flow_in,
+       cast(max(case when model = 'station_out' then flow end) as bigint) as flow_out
+from a0 group by entity"""
+
+
+def forecast_station_7d() -> str:
+    lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
+    series = {"station_in": ("in", None), "station_out": ("out", None)}
+    n = FORECAST_STEPS
+    union = " union all ".join(f"select * from a{i}" for i in range(n))
+    return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), _station_ents(series),
+                 *_lowrank_ctes("ents", n)) + f"""
+select entity as station, case when model = 'station_in' then 'in' else 'out' end as direction,
+       strftime(day, '%Y-%m-%d') as time, cast(flow as bigint) as flow
+from ({union}) where entity = '{EV_STATION}'"""
+
+
+def forecast_peak() -> str:
+    lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
+    bands = {"morning": (7, 8), "evening": (16, 18)}
+    series = {f"peak_{p}_{s}": (s, b) for p, b in bands.items() for s in ("in", "out")}
+    return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), _station_ents(series),
+                 *_lowrank_ctes("ents", 1)) + """
+select split_part(model, '_', 2) as period, entity as station,
+       cast(max(case when split_part(model, '_', 3) = 'in' then flow end) as bigint) as flow_in,
+       cast(max(case when split_part(model, '_', 3) = 'out' then flow end) as bigint) as flow_out
+from a0 group by 1, 2"""
+
+
+def forecast_sections() -> str:
+    lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
+    od = f"""
+od as (select station_in, station_out, cast(time_in as date) as day, count(*) as flow from trips_ev
+       where {in_range('time_in', lo, hi)} group by 1, 2, 3)"""
+    parts = []
+    for direction, o, t in (("up", "o_station", "d_station"), ("down", "d_station", "o_station")):
+        parts.append(f"""
+select 'section_{direction}' as model, br.line || '/' || cast(br.section_id as varchar) as entity,
+       od.day, sum(od.flow) as flow
+from bridge br join od on od.station_in = br.{o} and od.station_out = br.{t} group by 1, 2, 3""")
+    cnt = "\ncnt as (" + "\nunion all\n".join(parts) + ")"
+    ents = """
+secs as (select distinct line, section_id, source, target, line || '/' || cast(section_id as varchar) as entity
+         from sec),
+ents as (select m.model, s.entity from secs s, (values ('section_up'), ('section_down')) m(model))"""
+    return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od, cnt, ents, *_lowrank_ctes("ents", 1)) + f"""
+select replace(a0.model, 'section_', '') as direction, secs.section_id, secs.source, secs.target,
+       cast(a0.flow as bigint) as flow
+from a0 join secs on secs.entity = a0.entity where secs.line = '{EV_LINE}'"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "stations_flow": stations_flow("trips_ev", EV_START, EV_END),
@@ -231,4 +462,15 @@ def oracle_sql() -> dict[str, str]:
         "od_flow": od_flow(),
         "section_flow": section_flow(),
         "section_flow_daily": section_flow_daily(),
+        "station_day_matrix": station_day_matrix(),
+        "station_day_pivot": station_day_pivot(),
+        "od_daily_resample": od_daily_resample(),
+        "lag_features": lag_features(),
+        "forecast_total": _recursive_total(keyed=False),
+        "forecast_panel": _recursive_total(keyed=True),
+        "basis_project": basis_project(),
+        "forecast_stations": forecast_stations(),
+        "forecast_station_7d": forecast_station_7d(),
+        "forecast_sections": forecast_sections(),
+        "forecast_peak": forecast_peak(),
     }
