@@ -9,6 +9,7 @@ answering the same question from the raw tables.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,10 @@ import oracles as O
 from metrolens.operators import counts, lowrank, series
 from metrolens.functions.dates import date_str, trailing_window
 from metrolens.plans import descriptive as Q
+from metrolens.plans import fit as FIT
 from metrolens.plans import forecast as FC
-from metrolens.session import reliable_checkpoint
+from metrolens.session import reliable_checkpoint, scratch_path
+from metrolens.streaming import rollup as R
 from metrolens.plans.inputs import Inputs
 from metrolens.sources import testdata as TD
 
@@ -132,6 +135,82 @@ def forecast_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FC.predict_peak_flow(inp, O.EV_FORECAST_START, basis, coef)
 
 
+OD_RANK = 4
+TRIP_COLUMNS = ["time_in", "time_out", "station_in", "station_out", "line_in", "line_out"]
+OD_FORECAST_START = "2001-08-02"          # day after the last order date
+
+
+def _od_panel(inp: Inputs) -> DataFrame:
+    history = (dt.date.fromisoformat(OD_FORECAST_START) - dt.date.fromisoformat(O.OD_START)).days
+    return FC.station_panel(inp, OD_FORECAST_START, window=history)
+
+
+def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = R.trip_rollup(ev_inputs(spark, sf_dir).trips)
+    return r.withColumn("day", date_str("day"))
+
+
+def _written_rollup(spark: SparkSession, trips: DataFrame) -> DataFrame:
+    """Build the rollup, write it to the shared checkpoint folder, read it back."""
+    path = scratch_path(spark, "rollup")
+    R.write_rollup(R.trip_rollup(trips), path)
+    return R.read_rollup(spark, path)
+
+
+def stations_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    return R.stations_flow_from_rollup(rollup, O.EV_START, O.EV_END)
+
+
+def peak_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    return R.peak_flow_from_rollup(rollup, O.EV_START, O.EV_END)
+
+
+def line_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = _written_rollup(spark, od_inputs(spark, sf_dir).trips)
+    return R.line_flow_from_rollup(rollup, O.OD_START, O.OD_END)
+
+
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trip files -> streaming hourly rollup (watermark 1 day) -> closed windows."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("trips-src", "rollup-sink", "rollup-ckpt"))
+    trips = ev_inputs(spark, sf_dir).trips.select(*TRIP_COLUMNS)
+    trips.repartition(4, F.to_date("time_in")).write.parquet(src)
+    R.stream_rollup(spark, src, sink, ckpt).awaitTermination()
+    out = spark.read.schema("side string, hour int, station string, line string, peer_station string, "
+                            "peer_line string, n long, day date").parquet(sink)
+    return out.withColumn("day", date_str("day"))
+
+
+def fit_total_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaler + regression on the whole order history; returns the raw weights."""
+    model = FIT.fit_total_model(od_inputs(spark, sf_dir), O.OD_START, O.OD_END)
+    return FIT.coefficient_table(spark, FIT.total_coefficients(model))
+
+
+def fit_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = od_inputs(spark, sf_dir)
+    ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
+    return FIT.fit_basis(_od_panel(inp), ents, OD_RANK)
+
+
+def fit_factor_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = od_inputs(spark, sf_dir)
+    ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
+    return FIT.fit_factor_ar(_od_panel(inp), TD.fixture_basis(ents))
+
+
+def forecast_stations_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn basis and AR weights from the order history, then forecast the next day."""
+    inp = od_inputs(spark, sf_dir)
+    ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
+    panel = _od_panel(inp)
+    basis = FIT.fit_basis(panel, ents, OD_RANK)
+    coef = FIT.fit_factor_ar(panel, basis)
+    return FC.predict_stations_flow(inp, OD_FORECAST_START, basis, coef)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: per-station entries and exits over the whole event history."""
     return Q.all_stations_flow(ev_inputs(spark, FLAGSHIP_SF), O.EV_START, O.EV_END)
@@ -162,6 +241,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_station_7d": forecast_station_7d,
         "forecast_sections": forecast_sections,
         "forecast_peak": forecast_peak,
+        "fit_total_forecast": fit_total_forecast,
+        "fit_basis": fit_basis,
+        "fit_factor_ar": fit_factor_ar,
+        "forecast_stations_fitted": forecast_stations_fitted,
+        "daily_rollup": daily_rollup,
+        "stations_flow_from_rollup": stations_flow_from_rollup,
+        "peak_flow_from_rollup": peak_flow_from_rollup,
+        "line_flow_from_rollup": line_flow_from_rollup,
+        "stream_rollup": stream_rollup,
     }
 
 

@@ -449,6 +449,30 @@ select replace(a0.model, 'section_', '') as direction, secs.section_id, secs.sou
 from a0 join secs on secs.entity = a0.entity where secs.line = '{EV_LINE}'"""
 
 
+SIDES_EV = """
+sides as (
+  select 'in' as side, time_in as ts, station_in as station, line_in as line,
+         station_out as peer_station, line_out as peer_line from trips_ev
+  union all
+  select 'out' as side, time_out as ts, station_out as station, line_out as line,
+         station_in as peer_station, line_in as peer_line from trips_ev)"""
+
+
+def daily_rollup(closed_only: bool = False) -> str:
+    where = ""
+    ctes = [TRIPS_EV, SIDES_EV]
+    if closed_only:
+        # windows the watermark (latest event time - 1 day, in ms) has closed
+        ctes.append("""
+wm as (select epoch_ms(max(ts)) - 86400000 as w from sides)""")
+        where = ", wm where epoch_ms(date_trunc('hour', ts)) + 3600000 <= wm.w"
+    return with_(*ctes) + f"""
+select side, strftime(cast(ts as date), '%Y-%m-%d') as day, cast(hour(ts) as integer) as hour,
+       station, line, peer_station, peer_line, count(*) as n
+from sides{where}
+group by side, cast(ts as date), hour(ts), station, line, peer_station, peer_line"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "stations_flow": stations_flow("trips_ev", EV_START, EV_END),
@@ -473,4 +497,9 @@ def oracle_sql() -> dict[str, str]:
         "forecast_station_7d": forecast_station_7d(),
         "forecast_sections": forecast_sections(),
         "forecast_peak": forecast_peak(),
+        "daily_rollup": daily_rollup(),
+        "stations_flow_from_rollup": stations_flow("trips_ev", EV_START, EV_END),
+        "peak_flow_from_rollup": peak_flow(),
+        "line_flow_from_rollup": line_flow(),
+        "stream_rollup": daily_rollup(closed_only=True),
     }
