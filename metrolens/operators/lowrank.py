@@ -97,23 +97,35 @@ def low_rank_forecast(panel: DataFrame, basis: DataFrame, coef: DataFrame, start
     start = as_date(start)
     lo = start - dt.timedelta(days=window)
     cut = checkpoint or (lambda df: df)
-    pw = cut(projection_weights(basis)) if n > 1 else projection_weights(basis)
+    if n > 1:
+        # Reused by every step: materialise the (parameter-sized) basis once.
+        basis = cut(basis)
+        pw = cut(projection_weights(basis))
+    else:
+        pw = projection_weights(basis)
     hist = project(panel.where(F.col("day").between(F.lit(lo), F.lit(start - dt.timedelta(days=1)))), pw)
-    outs = []
+
+    def step(hist: DataFrame, target: dt.date) -> DataFrame:
+        q = next_factors(hist, coef, target)
+        return (reconstruct(q, basis)
+                .select("model", "entity", F.lit(target).alias("day"),
+                        clip_round(F.col("value")).cast("long").alias("flow")))
+
+    if n == 1:
+        return step(hist, start)
+    # State = factor history rows (entity null) + forecasts so far (factor
+    # null); each step appends one day of both and is cut from its lineage,
+    # so the final answer is a filter of the last state - nothing recomputed.
+    state = hist.select("model", F.lit(None).cast("string").alias("entity"), "day", "factor", "q",
+                        F.lit(None).cast("long").alias("flow"))
     for i in range(n):
         target = start + dt.timedelta(days=i)
-        q = next_factors(hist, coef, target)
-        a = (reconstruct(q, basis)
-             .select("model", "entity", F.lit(target).alias("day"),
-                     clip_round(F.col("value")).cast("long").alias("flow")))
-        if n > 1:
-            a = cut(a)
-        outs.append(a)
-        if i < n - 1:
-            keep_from = target - dt.timedelta(days=window - 1)
-            hist = cut(hist.where(F.col("day") >= F.lit(keep_from))
-                       .unionByName(project(a, pw)))
-    out = outs[0]
-    for a in outs[1:]:
-        out = out.unionByName(a)
-    return out
+        h = state.where(F.col("entity").isNull() & (F.col("day") > F.lit(target - dt.timedelta(days=window + 1))))
+        a = step(h.select("model", "day", "factor", "q"), target)
+        new_q = project(a.select("model", "entity", "day", F.col("flow").cast("double").alias("flow")), pw)
+        state = cut(state
+                    .unionByName(a.select("model", "entity", "day", F.lit(None).cast("int").alias("factor"),
+                                          F.lit(None).cast("double").alias("q"), "flow"))
+                    .unionByName(new_q.select("model", F.lit(None).cast("string").alias("entity"), "day",
+                                              "factor", "q", F.lit(None).cast("long").alias("flow"))))
+    return state.where(F.col("entity").isNotNull()).select("model", "entity", "day", "flow")

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from metrolens import schemas
 from metrolens.functions.dates import as_date
-from metrolens.operators.joins import broadcast_if_small
 
 
 def read_section_bridge(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +99,9 @@ def sequence_flows(od: DataFrame, stations: DataFrame, day_range=None) -> DataFr
     Returns line, section_id, source, target, direction, flow (+ day).
     """
     keys = ["day"] if day_range else []
-    pos = broadcast_if_small(station_positions(stations))
+    # Station positions are dimension-sized; AQE broadcasts them from their
+    # runtime size once the (small) window stage has run.
+    pos = station_positions(stations)
     o = pos.select(F.col("station").alias("station_in"), F.col("line").alias("o_line"),
                    F.col("pos").alias("o_pos"))
     d = pos.select(F.col("station").alias("station_out"), F.col("line").alias("d_line"),

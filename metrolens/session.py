@@ -64,6 +64,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def reliable_checkpoint(spark: SparkSession):
     """A lineage cut that survives executor loss: ``Dataset.checkpoint`` into
-    the shared checkpoint folder (never ``localCheckpoint``)."""
+    the shared checkpoint folder (never ``localCheckpoint``). The checkpoint
+    keeps the frame's partitioning, so later joins on the same keys do not
+    shuffle it again."""
     checkpoint_dir(spark)
     return lambda df: df.checkpoint(eager=True)

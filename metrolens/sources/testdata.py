@@ -67,14 +67,16 @@ def next_event(ev: DataFrame, key: str, ts: str, tie: str, payload: list[str]) -
                    *[F.col(c).alias(c) for c in payload])
     ev = ev.withColumn("_day", F.to_date(ts)).withColumn("_cur", cur)
     in_day = Window.partitionBy(key, "_day").orderBy(ts, tie)
-    legs = ev.withColumn("_nxt", F.lead("_cur").over(in_day))
-    heads = (ev.groupBy(key, "_day").agg(F.min("_cur").alias("_head"))
+    legs = (ev.withColumn("_nxt", F.lead("_cur").over(in_day))
+            .withColumn("_first", F.row_number().over(in_day) == 1))
+    # The first row of each (key, day) - same shuffle and sort as the lead.
+    heads = (legs.where("_first").select(key, "_day", F.col("_cur").alias("_head"))
              .withColumn("_next_head",
                          F.lead("_head").over(Window.partitionBy(key).orderBy("_day")))
              .drop("_head"))
     return (legs.join(heads, [key, "_day"], "left")
             .withColumn("_nxt", F.coalesce("_nxt", "_next_head"))
-            .drop("_next_head", "_day", "_cur"))
+            .drop("_next_head", "_day", "_cur", "_first"))
 
 
 def trips_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
