@@ -189,6 +189,15 @@ def fit_total_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FIT.coefficient_table(spark, FIT.total_coefficients(model))
 
 
+def forecast_total_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient-boosted one-step model fitted on the order history, then a
+    7-day recursive forecast from the day after it."""
+    inp = od_inputs(spark, sf_dir)
+    model = FIT.fit_total_model(inp, O.OD_START, O.OD_END, regressor="gbt")
+    return FC.predict_total_flow_model(inp, OD_FORECAST_START, O.FORECAST_STEPS, model,
+                                       checkpoint=reliable_checkpoint(spark))
+
+
 def fit_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = od_inputs(spark, sf_dir)
     ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
@@ -242,6 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_sections": forecast_sections,
         "forecast_peak": forecast_peak,
         "fit_total_forecast": fit_total_forecast,
+        "forecast_total_gbt": forecast_total_gbt,
         "fit_basis": fit_basis,
         "fit_factor_ar": fit_factor_ar,
         "forecast_stations_fitted": forecast_stations_fitted,

@@ -119,3 +119,55 @@ def recursive_forecast(series: DataFrame, calendar: DataFrame | None, keys: Sequ
     return out.select(*keys, F.date_add(F.lit(start), F.col("i")).alias("day"),
                       F.element_at("wd", F.col("i") + 1).cast("int").alias("is_workday"),
                       F.col("flow").cast("long").alias("flow"))
+
+
+def step_features(history: DataFrame, calendar: DataFrame | None, keys: Sequence[str], target) -> DataFrame:
+    """One row per series with the reference's features for ``target``
+    (is_workday, lags 1..28, lag 1 - lag 29), read from a daily history."""
+    target = as_date(target)
+
+    def at(m: int) -> Column:
+        day = F.lit(target - dt.timedelta(days=m))
+        return F.coalesce(F.max(F.when(F.col("day") == day, F.col("flow").cast("double"))), F.lit(0.0))
+    lo = target - dt.timedelta(days=TREND_LAG)
+    feats = (history.where(F.col("day").between(F.lit(lo), F.lit(target - dt.timedelta(days=1))))
+             .groupBy(*keys).agg(*[at(m).alias(f"lag_{m}") for m in LAGS],
+                                 (at(1) - at(TREND_LAG)).alias("trend")))
+    wd = F.lit(0.0)
+    if calendar is not None:
+        # the target day's flag is one value: a scalar subquery, not a join
+        wd = F.coalesce(calendar.where(F.col("time") == F.lit(target))
+                        .agg(F.max((F.col("workday") == 1).cast("double"))).scalar(), F.lit(0.0))
+    return feats.withColumn("is_workday", wd)
+
+
+def recursive_forecast_model(series: DataFrame, calendar: DataFrame | None, keys: Sequence[str],
+                             model, start, n: int, checkpoint=None) -> DataFrame:
+    """n-step recursive forecast with any fitted Spark ML model (M3 for
+    non-linear regressors, e.g. gradient-boosted trees).
+
+    Each step builds the target day's features per series from the
+    history, scores them with ``model.transform`` (the model's pipeline
+    assembles ``FEATURES`` itself), rounds half to even and appends the
+    prediction; the history is cut from its lineage every step.
+    Returns (keys, day, is_workday, flow).
+    """
+    start = as_date(start)
+    cut = checkpoint or (lambda df: df)
+    lo = start - dt.timedelta(days=TREND_LAG)
+    ents = series.select(*keys).distinct()
+    hist = (ents.withColumn("day", days_column(lo, start - dt.timedelta(days=1)))
+            .join(series.where(F.col("day") >= F.lit(lo)), [*keys, "day"], "left")
+            .select(*keys, "day", F.coalesce(F.col("flow"), F.lit(0)).cast("double").alias("flow"),
+                    F.lit(None).cast("int").alias("is_workday")))
+    hist = cut(hist)
+    for i in range(n):
+        target = start + dt.timedelta(days=i)
+        feats = step_features(hist, calendar, keys, target)
+        pred = (model.transform(feats)
+                .select(*keys, F.lit(target).alias("day"),
+                        F.bround(F.col("prediction"), 0).alias("flow"),
+                        F.col("is_workday").cast("int").alias("is_workday")))
+        hist = cut(hist.unionByName(pred))
+    return (hist.where(F.col("day") >= F.lit(start))
+            .select(*keys, "day", "is_workday", F.col("flow").cast("long").alias("flow")))

@@ -24,7 +24,7 @@ import datetime as dt
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +52,25 @@ def total_training_rows(inp: Inputs, start, end) -> DataFrame:
             .where(F.col("trend").isNotNull()))
 
 
-def fit_total_model(inp: Inputs, start, end, reg_param: float = 0.0) -> PipelineModel:
-    """M1 + M2: scaler and linear regression on the reference's feature order."""
+def fit_total_model(inp: Inputs, start, end, regressor: str = "linear", reg_param: float = 0.0,
+                    seed: int = 42) -> PipelineModel:
+    """M1 + M2: scaler and a regressor on the reference's feature order.
+
+    ``regressor``: "linear" (weights usable by the recursive fold, see
+    ``total_coefficients``) or "gbt" (gradient-boosted trees, scored step by
+    step with ``series.recursive_forecast_model``).
+    """
     rows = total_training_rows(inp, start, end)
+    if regressor == "linear":
+        reg = LinearRegression(featuresCol="features", labelCol="label", regParam=reg_param)
+    elif regressor == "gbt":
+        reg = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=4, maxIter=40, seed=seed)
+    else:
+        raise ValueError(f"unknown regressor {regressor!r}")
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(series.FEATURES), outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True),
-        LinearRegression(featuresCol="features", labelCol="label", regParam=reg_param),
+        reg,
     ])
     return pipe.fit(rows)
 

@@ -77,6 +77,16 @@ def predict_total_flow(inp: Inputs, start, n: int, coef: Mapping[str, float]) ->
     return fc.select(date_str("day").alias("time"), "is_workday", "flow").orderBy("time")
 
 
+def predict_total_flow_model(inp: Inputs, start, n: int, model, checkpoint=None) -> DataFrame:
+    """Q9 with any fitted one-step Spark ML pipeline (e.g. scaler + GBT),
+    scored recursively -> (time, is_workday, flow)."""
+    lo, hi = trailing_window(start, series.TREND_LAG)
+    daily = counts.daily_counts(inp.trips, "time_in", lo, hi) \
+        .select(F.lit("total").alias("series"), F.col("time").alias("day"), "flow")
+    fc = series.recursive_forecast_model(daily, inp.workdays, ["series"], model, start, n, checkpoint)
+    return fc.select(date_str("day").alias("time"), "is_workday", "flow").orderBy("time")
+
+
 def _by_station(fc: DataFrame, in_model: str, out_model: str) -> DataFrame:
     return (fc.groupBy(F.col("entity").alias("station"))
             .agg(F.max(F.when(F.col("model") == in_model, F.col("flow"))).alias("flow_in"),

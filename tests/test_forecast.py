@@ -136,3 +136,35 @@ def test_forecast_queries_complete_entities(spark):
     out = {r["station"]: (r["flow_in"], r["flow_out"])
            for r in FC.predict_stations_flow(inp, "2024-01-21", basis, coef).collect()}
     assert out == {"A": (1, 1), "B": (1, 1), "C": (1, 1)}   # 3 trips / 3 stations on one factor
+
+
+def test_model_loop_matches_linear_fold(spark):
+    """Scoring a fitted linear pipeline step by step equals the fold with
+    its raw-feature weights (the two M3 paths agree)."""
+    from pyspark.sql import SparkSession  # noqa: F401
+
+    from metrolens.plans import fit as FIT
+    rng = np.random.default_rng(11)
+    d0 = dt.date(2024, 1, 1)
+    days = 120
+    flows = (50 + 10 * np.sin(np.arange(days) * 2 * np.pi / 7) + rng.normal(0, 2, days)).round().astype(int)
+    t = []
+    for i, f in enumerate(flows):
+        day = (d0 + dt.timedelta(days=i)).isoformat()
+        t += [(f"{day}T08:00:00", f"{day}T09:00:00", "A", "B", "L", "L")] * int(f)
+    trips = trips_df(spark, t)
+    cal = spark.createDataFrame([(d0 + dt.timedelta(days=i), int((d0 + dt.timedelta(days=i)).weekday() < 5))
+                                 for i in range(days + 10)], schemas.WORKDAYS)
+    inp = Inputs(trips, workdays=cal)
+    end = d0 + dt.timedelta(days=days - 1)
+    model = FIT.fit_total_model(inp, d0, end)
+    start = end + dt.timedelta(days=1)
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    loop = FC.predict_total_flow_model(inp, start, 5, model, checkpoint=lambda df: df.checkpoint(eager=True))
+    fold = FC.predict_total_flow(inp, start, 5, FIT.total_coefficients(model))
+    a, b = loop.collect(), fold.collect()
+    assert [r["time"] for r in a] == [r["time"] for r in b]
+    assert [r["is_workday"] for r in a] == [r["is_workday"] for r in b]
+    assert max(abs(x["flow"] - y["flow"]) for x, y in zip(a, b)) <= 1   # float ties only
+    gbt = FIT.fit_total_model(inp, d0, end, regressor="gbt")
+    assert FC.predict_total_flow_model(inp, start, 3, gbt).count() == 3
