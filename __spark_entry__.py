@@ -110,6 +110,15 @@ def basis_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("model", date_str("day").alias("day"), "factor", F.round("q", 6).alias("q"))
 
 
+def basis_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P pinv(P) A over the 28-day window: the low-rank image of the panel."""
+    inp = ev_inputs(spark, sf_dir)
+    basis, _ = _station_params(spark, inp, FC.STATION_SERIES)
+    q = lowrank.project(FC.station_panel(inp, O.EV_FORECAST_START), lowrank.projection_weights(basis))
+    rec = lowrank.reconstruct_panel(q, basis)
+    return rec.select("model", "entity", date_str("day").alias("day"), F.round("value", 6).alias("value"))
+
+
 def forecast_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = ev_inputs(spark, sf_dir)
     basis, coef = _station_params(spark, inp, FC.STATION_SERIES)
@@ -246,6 +255,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_total": forecast_total,
         "forecast_panel": forecast_panel,
         "basis_project": basis_project,
+        "basis_reconstruct": basis_reconstruct,
         "forecast_stations": forecast_stations,
         "forecast_station_7d": forecast_station_7d,
         "forecast_sections": forecast_sections,

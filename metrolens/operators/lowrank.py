@@ -73,6 +73,17 @@ def reconstruct(factors: DataFrame, basis: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("weight") * F.coalesce(F.col("q"), F.lit(0.0))).alias("value")))
 
 
+def reconstruct_panel(factors: DataFrame, basis: DataFrame) -> DataFrame:
+    """P Q for every day of a factor panel: (model, entity, day, value) (M7).
+
+    Only (entity, day) cells whose factors have a row are produced; the
+    projection of an all-zero day is zero and stays absent.
+    """
+    return (basis.join(factors, ["model", "factor"])
+            .groupBy("model", "entity", "day")
+            .agg(F.sum(F.col("weight") * F.col("q")).alias("value")))
+
+
 def next_factors(history: DataFrame, coef: DataFrame, target) -> DataFrame:
     """Per-factor AR step: q[target] = sum_lag w[lag] * Q[target - lag] (M6)."""
     t = F.lit(as_date(target))

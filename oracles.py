@@ -392,6 +392,15 @@ def basis_project() -> str:
 select model, strftime(day, '%Y-%m-%d') as day, factor, round(q, 6) as q from h0"""
 
 
+def basis_reconstruct() -> str:
+    lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
+    series = {"station_in": ("in", None), "station_out": ("out", None)}
+    return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), _station_ents(series),
+                 *_lowrank_ctes("ents", 0)) + """
+select b.model, b.entity, strftime(h0.day, '%Y-%m-%d') as day, round(h0.q, 6) as value
+from b join h0 on h0.model = b.model and h0.factor = b.factor"""
+
+
 def forecast_stations() -> str:
     lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
     series = {"station_in": ("in", None), "station_out": ("out", None)}
@@ -493,6 +502,7 @@ def oracle_sql() -> dict[str, str]:
         "forecast_total": _recursive_total(keyed=False),
         "forecast_panel": _recursive_total(keyed=True),
         "basis_project": basis_project(),
+        "basis_reconstruct": basis_reconstruct(),
         "forecast_stations": forecast_stations(),
         "forecast_station_7d": forecast_station_7d(),
         "forecast_sections": forecast_sections(),
