@@ -30,12 +30,12 @@ FLAGSHIP_SF = "/root/testdata/sf0.001"
 
 
 def ev_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    return Inputs(trips=TD.trips_ev(spark, sf_dir), users=TD.users_v(spark, sf_dir),
+    return Inputs(trips=TD.stored_trips(spark, sf_dir, "ev"), users=TD.users_v(spark, sf_dir),
                   workdays=TD.workdays_v(spark, sf_dir), stations=TD.stations_ev(spark, sf_dir))
 
 
 def od_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    return Inputs(trips=TD.trips_od(spark, sf_dir), users=TD.users_v(spark, sf_dir),
+    return Inputs(trips=TD.stored_trips(spark, sf_dir, "od"), users=TD.users_v(spark, sf_dir),
                   stations=TD.stations_od(spark, sf_dir))
 
 
@@ -159,10 +159,10 @@ def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("day", date_str("day"))
 
 
-def _written_rollup(spark: SparkSession, trips: DataFrame) -> DataFrame:
+def _written_rollup(spark: SparkSession, trips: DataFrame, grain: str = "day") -> DataFrame:
     """Build the rollup, write it to the shared checkpoint folder, read it back."""
     path = scratch_path(spark, "rollup")
-    R.write_rollup(R.trip_rollup(trips), path)
+    R.write_rollup(R.trip_rollup(trips), path, grain)
     return R.read_rollup(spark, path)
 
 
@@ -177,7 +177,7 @@ def peak_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = _written_rollup(spark, od_inputs(spark, sf_dir).trips)
+    rollup = _written_rollup(spark, od_inputs(spark, sf_dir).trips, grain="month")   # 7 years
     return R.line_flow_from_rollup(rollup, O.OD_START, O.OD_END)
 
 

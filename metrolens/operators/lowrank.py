@@ -129,6 +129,9 @@ def low_rank_forecast(panel: DataFrame, basis: DataFrame, coef: DataFrame, start
     # so the final answer is a filter of the last state - nothing recomputed.
     state = hist.select("model", F.lit(None).cast("string").alias("entity"), "day", "factor", "q",
                         F.lit(None).cast("long").alias("flow"))
+    # The state is parameter-sized (models x (k x window + entities x n));
+    # keep its partition count from growing with every union.
+    parts = max(1, panel.sparkSession.sparkContext.defaultParallelism)
     for i in range(n):
         target = start + dt.timedelta(days=i)
         h = state.where(F.col("entity").isNull() & (F.col("day") > F.lit(target - dt.timedelta(days=window + 1))))
@@ -138,5 +141,6 @@ def low_rank_forecast(panel: DataFrame, basis: DataFrame, coef: DataFrame, start
                     .unionByName(a.select("model", "entity", "day", F.lit(None).cast("int").alias("factor"),
                                           F.lit(None).cast("double").alias("q"), "flow"))
                     .unionByName(new_q.select("model", F.lit(None).cast("string").alias("entity"), "day",
-                                              "factor", "q", F.lit(None).cast("long").alias("flow"))))
+                                              "factor", "q", F.lit(None).cast("long").alias("flow")))
+                    .coalesce(parts))
     return state.where(F.col("entity").isNotNull()).select("model", "entity", "day", "flow")
