@@ -31,12 +31,13 @@ FLAGSHIP_SF = "/root/testdata/sf0.001"
 
 def ev_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(trips=TD.stored_trips(spark, sf_dir, "ev"), users=TD.users_v(spark, sf_dir),
-                  workdays=TD.workdays_v(spark, sf_dir), stations=TD.stations_ev(spark, sf_dir))
+                  workdays=TD.stored_view(spark, sf_dir, "workdays_v"),
+                  stations=TD.stored_view(spark, sf_dir, "stations_ev"))
 
 
 def od_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(trips=TD.stored_trips(spark, sf_dir, "od"), users=TD.users_v(spark, sf_dir),
-                  stations=TD.stations_od(spark, sf_dir))
+                  stations=TD.stored_view(spark, sf_dir, "stations_od"))
 
 
 def _round(df: DataFrame, places: int = 6) -> DataFrame:

@@ -94,25 +94,33 @@ def trips_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def stored_trips(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The ``trips_ev`` / ``trips_od`` view written once per session as a
-    parquet table in the shared checkpoint folder, then read like the
-    reference's stored trip table (filters and columns pushed to the scan).
+def stored_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived test view written once per session as a parquet table in
+    the shared checkpoint folder, then read like the stored tables of a
+    deployment (filters and columns pushed to the scan).
 
-    Rows are sorted by entry time within each file, so the parquet min/max
-    statistics let date-range filters skip row groups.
+    Trip views are sorted by entry time within each file, so the parquet
+    min/max statistics let date-range filters skip row groups.
     """
     from metrolens.session import scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _STORED:
-        derive = {"ev": trips_ev, "od": trips_od}[kind]
-        path = scratch_path(spark, f"trips-{kind}")
-        derive(spark, sf_dir).sortWithinPartitions("time_in").write.parquet(path)
+        derive = {"trips_ev": trips_ev, "trips_od": trips_od, "stations_ev": stations_ev,
+                  "stations_od": stations_od, "workdays_v": workdays_v}[name]
+        df = derive(spark, sf_dir)
+        if name.startswith("trips"):
+            df = df.sortWithinPartitions("time_in")
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
+def stored_trips(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return stored_view(spark, sf_dir, f"trips_{kind}")
+
+
 def _nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation")
     region = _table(spark, sf_dir, "region")
