@@ -96,8 +96,7 @@ def _day_vectors(panel: DataFrame, entities: DataFrame) -> DataFrame:
     expanded to the model's entity count inside the row, so no entity x day
     grid is ever joined.
     """
-    idx = entities.select("model", "entity", (F.row_number().over(
-        Window.partitionBy("model").orderBy("entity")) - 1).alias("i"))
+    idx = _entity_index(entities)
     size = entities.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     cells = panel.join(idx, ["model", "entity"]).select("model", "day", "i", F.col("flow").cast("double").alias("v"))
     per_day = cells.groupBy("model", "day").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
@@ -106,27 +105,30 @@ def _day_vectors(panel: DataFrame, entities: DataFrame) -> DataFrame:
     return per_day.join(size, "model").select("model", "day", array_to_vector(dense).alias("vec"))
 
 
+def _entity_index(entities: DataFrame) -> DataFrame:
+    """(model, entity, i): 0-based position of the entity in name order."""
+    return entities.select("model", "entity", (F.row_number().over(
+        Window.partitionBy("model").orderBy("entity")) - 1).alias("i"))
+
+
 def fit_basis(panel: DataFrame, entities: DataFrame, rank: int) -> DataFrame:
     """M4: PCA basis per model -> (model, entity, factor, weight).
 
     ``panel`` (model, entity, day, flow) supplies the training days,
-    ``entities`` (model, entity) the rows of P. One PCA fit per model.
+    ``entities`` (model, entity) the rows of P. One distributed PCA fit per
+    model; the fitted loadings (entities x rank numbers, the model itself)
+    are joined back to the entity names in Spark.
     """
     spark = panel.sparkSession
     vecs = _day_vectors(panel, entities)
     models = [r["model"] for r in entities.select("model").distinct().orderBy("model").collect()]
-    parts = []
+    rows = []
     for m in models:
-        pca = PCA(k=rank, inputCol="vec", outputCol="pc").fit(vecs.where(F.col("model") == m))
-        pc = pca.pc.toArray()                     # entities x rank, entity-name order
-        names = [r["entity"] for r in entities.where(F.col("model") == m)
-                 .select("entity").orderBy("entity").collect()]
-        rows = [(m, names[i], j, float(pc[i, j])) for i in range(pc.shape[0]) for j in range(pc.shape[1])]
-        parts.append(spark.createDataFrame(rows, schemas.BASIS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        pc = PCA(k=rank, inputCol="vec", outputCol="pc").fit(vecs.where(F.col("model") == m)).pc.toArray()
+        rows += [(m, i, j, float(pc[i, j])) for i in range(pc.shape[0]) for j in range(pc.shape[1])]
+    loadings = spark.createDataFrame(rows, "model string, i int, factor int, weight double")
+    return (_entity_index(entities).join(loadings, ["model", "i"])
+            .select("model", "entity", "factor", "weight"))
 
 
 def factor_training_rows(panel: DataFrame, basis: DataFrame, window: int) -> DataFrame:

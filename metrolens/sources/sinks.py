@@ -27,6 +27,11 @@ def to_json_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def from_json_records(df: DataFrame, schema, column: str = "json") -> DataFrame:
+    """Inverse of ``to_json_records``: parse one JSON text per row with a fixed schema."""
+    return df.select(F.from_json(column, schema).alias("r")).select("r.*")
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] | None = None,
                  mode: str = "overwrite") -> None:
     writer = df.write.mode(mode).format(fmt)

@@ -87,3 +87,9 @@ def test_stream_rollup_equals_batch_on_closed_windows(spark):
                          <= F.lit(wm))
     cols = R.ROLLUP_KEYS + ["n"]
     assert sorted(got.select(*cols).collect()) == sorted(closed.select(*cols).collect())
+
+
+def test_json_records_round_trip(spark):
+    df = spark.createDataFrame([("A", 1, None), ("B", 2, 3)], "station string, flow_in long, flow_out long")
+    back = sinks.from_json_records(sinks.to_json_records(df), df.schema)
+    assert sorted(back.collect()) == sorted(df.collect())
