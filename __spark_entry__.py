@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import oracles as O
 from metrolens.operators import counts, lowrank, series
+from metrolens.functions import dates as D
 from metrolens.functions.dates import date_str, trailing_window
 from metrolens.plans import descriptive as Q
 from metrolens.plans import fit as FIT
@@ -177,6 +178,12 @@ def peak_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.peak_flow_from_rollup(rollup, O.EV_START, O.EV_END)
 
 
+def month_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo, hi = D.month_bounds(O.EV_MONTH)
+    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    return R.month_flow_from_rollup(rollup, lo, hi)
+
+
 def line_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = _written_rollup(spark, od_inputs(spark, sf_dir).trips, grain="month")   # 7 years
     return R.line_flow_from_rollup(rollup, O.OD_START, O.OD_END)
@@ -269,6 +276,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_rollup": daily_rollup,
         "stations_flow_from_rollup": stations_flow_from_rollup,
         "peak_flow_from_rollup": peak_flow_from_rollup,
+        "month_flow_from_rollup": month_flow_from_rollup,
         "line_flow_from_rollup": line_flow_from_rollup,
         "stream_rollup": stream_rollup,
     }

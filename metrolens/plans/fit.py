@@ -19,8 +19,6 @@ to the driver, bounded by the model size and not by the data.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -29,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrolens import schemas
-from metrolens.functions.dates import as_date
 from metrolens.operators import counts, lowrank, series
 from metrolens.plans.inputs import Inputs
 
@@ -163,8 +160,3 @@ def fit_factor_ar(panel: DataFrame, basis: DataFrame, window: int = lowrank.WIND
         weights = lr.coefficients.toArray()
         rows_out += [(m, f, n + 1, float(wt)) for f in sorted(factors[m]) for n, wt in enumerate(weights)]
     return spark.createDataFrame(rows_out, schemas.AR_COEF)
-
-
-def history_window(start, days: int) -> tuple[dt.date, dt.date]:
-    start = as_date(start)
-    return start - dt.timedelta(days=days), start - dt.timedelta(days=1)

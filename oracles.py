@@ -510,6 +510,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_rollup": daily_rollup(),
         "stations_flow_from_rollup": stations_flow("trips_ev", EV_START, EV_END),
         "peak_flow_from_rollup": peak_flow(),
+        "month_flow_from_rollup": month_flow(),
         "line_flow_from_rollup": line_flow(),
         "stream_rollup": daily_rollup(closed_only=True),
     }

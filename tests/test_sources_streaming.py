@@ -93,3 +93,17 @@ def test_json_records_round_trip(spark):
     df = spark.createDataFrame([("A", 1, None), ("B", 2, 3)], "station string, flow_in long, flow_out long")
     back = sinks.from_json_records(sinks.to_json_records(df), df.schema)
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_read_trips_with_original_names(spark, tmp_path):
+    import datetime as dt2
+    df = spark.createDataFrame(
+        [(dt2.datetime(2024, 1, 1, 8), dt2.datetime(2024, 1, 1, 9), "A", "B", "L1", "L2")],
+        "t_in timestamp_ntz, t_out timestamp_ntz, s_in string, s_out string, l_in string, l_out string")
+    path = str(tmp_path / "trips")
+    df.write.parquet(path)
+    rename = {"time_in": "t_in", "time_out": "t_out", "station_in": "s_in", "station_out": "s_out",
+              "line_in": "l_in", "line_out": "l_out"}
+    t = tables.read_trips(spark, path, rename)
+    assert t.columns == ["time_in", "time_out", "station_in", "station_out", "line_in", "line_out"]
+    assert t.collect()[0]["station_out"] == "B"
