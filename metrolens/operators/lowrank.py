@@ -93,16 +93,18 @@ def next_factors(history: DataFrame, coef: DataFrame, target) -> DataFrame:
 
 
 def low_rank_forecast(panel: DataFrame, basis: DataFrame, coef: DataFrame, start, n: int = 1,
-                      window: int = WINDOW_DAYS, checkpoint=None) -> DataFrame:
+                      window: int = WINDOW_DAYS, checkpoint=None, cut_every: int = 2) -> DataFrame:
     """n-step forecast for every (model, entity) of the basis.
 
     ``panel``: (model, entity, day, flow) - only days in
     ``[start - window, start - 1]`` are used; missing cells are zeros.
     Each step's clipped, rounded forecast is projected back and appended
     to the factor history, as the reference re-projected its own
-    predictions. The factor history (models x k x window rows) is cut from
-    its lineage every step by ``checkpoint`` (a reliable checkpoint into
-    the shared checkpoint folder) so the plan does not grow with n.
+    predictions. The state (factor history, models x k x window rows, plus
+    the forecasts so far) is cut from its lineage every ``cut_every`` steps
+    by ``checkpoint`` (a reliable checkpoint into the shared checkpoint
+    folder), so the plan does not grow with n; between cuts Spark reuses
+    the identical exchanges of the repeated sub-plans.
     Returns (model, entity, day, flow) with flow a long.
     """
     start = as_date(start)
@@ -137,10 +139,12 @@ def low_rank_forecast(panel: DataFrame, basis: DataFrame, coef: DataFrame, start
         h = state.where(F.col("entity").isNull() & (F.col("day") > F.lit(target - dt.timedelta(days=window + 1))))
         a = step(h.select("model", "day", "factor", "q"), target)
         new_q = project(a.select("model", "entity", "day", F.col("flow").cast("double").alias("flow")), pw)
-        state = cut(state
-                    .unionByName(a.select("model", "entity", "day", F.lit(None).cast("int").alias("factor"),
-                                          F.lit(None).cast("double").alias("q"), "flow"))
-                    .unionByName(new_q.select("model", F.lit(None).cast("string").alias("entity"), "day",
-                                              "factor", "q", F.lit(None).cast("long").alias("flow")))
-                    .coalesce(parts))
+        state = (state
+                 .unionByName(a.select("model", "entity", "day", F.lit(None).cast("int").alias("factor"),
+                                       F.lit(None).cast("double").alias("q"), "flow"))
+                 .unionByName(new_q.select("model", F.lit(None).cast("string").alias("entity"), "day",
+                                           "factor", "q", F.lit(None).cast("long").alias("flow")))
+                 .coalesce(parts))
+        if (i + 1) % max(1, cut_every) == 0 or i == n - 1:
+            state = cut(state)
     return state.where(F.col("entity").isNotNull()).select("model", "entity", "day", "flow")
