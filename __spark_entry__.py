@@ -25,6 +25,7 @@ from metrolens.plans import forecast as FC
 from metrolens.session import reliable_checkpoint, scratch_path
 from metrolens.streaming import rollup as R
 from metrolens.plans.inputs import Inputs
+from metrolens.sources import tables
 from metrolens.sources import testdata as TD
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
@@ -237,6 +238,26 @@ def forecast_stations_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FC.predict_stations_flow(inp, OD_FORECAST_START, basis, coef)
 
 
+def _stations_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order-history station dimension written as ``station.csv``-style
+    CSV into the shared folder and read back with the CSV reader (A4)."""
+    path = scratch_path(spark, "station-csv")
+    dim = TD.stored_view(spark, sf_dir, "stations_od").select("id", "station_name", "line_name",
+                                                                "district", "sequence")
+    dim.coalesce(1).write.option("header", "true").csv(path)
+    return tables.read_stations(spark, path)
+
+
+def stations_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stations_from_csv(spark, sf_dir)
+
+
+def section_flow_od(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8 on the order history, sections from the CSV station dimension."""
+    inp = od_inputs(spark, sf_dir).with_(stations=_stations_from_csv(spark, sf_dir))
+    return Q.section_flow(inp, O.OD_LINE, O.OD_START, O.OD_END)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: per-station entries and exits over the whole event history."""
     return Q.all_stations_flow(ev_inputs(spark, FLAGSHIP_SF), O.EV_START, O.EV_END)
@@ -255,6 +276,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "line_flow": lambda s, p: Q.line_to_line_flow(od_inputs(s, p), O.OD_START, O.OD_END),
         "od_flow": lambda s, p: Q.od_flow(ev_inputs(s, p), O.EV_START, O.EV_END),
         "section_flow": lambda s, p: Q.section_flow(ev_inputs(s, p), O.EV_LINE, O.EV_START, O.EV_END),
+        "stations_csv": stations_csv,
+        "section_flow_od": section_flow_od,
         "section_flow_daily": lambda s, p: Q.section_flow_daily(ev_inputs(s, p), O.EV_START, O.EV_END),
         "station_day_matrix": station_day_matrix,
         "station_day_pivot": station_day_pivot,

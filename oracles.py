@@ -17,6 +17,7 @@ EV_START, EV_END = "2024-01-01", "2024-01-30"      # whole event history
 EV_MONTH = "2024-01"
 EV_STATION = "S42"
 EV_LINE = "L3"
+OD_LINE = "ASIA"
 EV_FORECAST_START = "2024-01-31"                   # day after the history
 OD_START, OD_END = "1990-01-01", "2000-12-31"      # wider than the order history
 FORECAST_STEPS = 7
@@ -202,6 +203,25 @@ where bridge.line = '{EV_LINE}' group by section_id, source, target""")
     return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od) + "\nunion all\n".join(sel)
 
 
+def stations_csv() -> str:
+    return with_(STATIONS_OD) + """
+select id, station_name, line_name, line_name as district, sequence from stations_od"""
+
+
+def section_flow_od() -> str:
+    bridge = BRIDGE_EV.replace("from stations_ev", "from stations_od")
+    od = f"""
+od as (select station_in, station_out, count(*) as flow from trips_od
+       where {in_range('time_in', OD_START, OD_END)} group by 1, 2)"""
+    sel = []
+    for direction, o, t in (("up", "o_station", "d_station"), ("down", "d_station", "o_station")):
+        sel.append(f"""
+select '{direction}' as direction, section_id, source, target, cast(coalesce(sum(od.flow), 0) as bigint) as flow
+from bridge left join od on od.station_in = bridge.{o} and od.station_out = bridge.{t}
+where bridge.line = '{OD_LINE}' group by section_id, source, target""")
+    return with_(TRIPS_OD, STATIONS_OD, bridge, od) + "\nunion all\n".join(sel)
+
+
 def section_flow_daily() -> str:
     od = f"""
 od as (select station_in, station_out, cast(time_in as date) as day, count(*) as flow from trips_ev
@@ -494,6 +514,8 @@ def oracle_sql() -> dict[str, str]:
         "line_flow": line_flow(),
         "od_flow": od_flow(),
         "section_flow": section_flow(),
+        "stations_csv": stations_csv(),
+        "section_flow_od": section_flow_od(),
         "section_flow_daily": section_flow_daily(),
         "station_day_matrix": station_day_matrix(),
         "station_day_pivot": station_day_pivot(),
