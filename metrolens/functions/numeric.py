@@ -12,8 +12,9 @@ AGE_BIN_COUNT = 10
 
 
 def age(birth_year: str | Column, base_year: int) -> Column:
-    return F.lit(int(base_year)) - F.col(birth_year) if isinstance(birth_year, str) \
-        else F.lit(int(base_year)) - birth_year
+    """Age in ``base_year`` (H6)."""
+    col = F.col(birth_year) if isinstance(birth_year, str) else birth_year
+    return F.lit(int(base_year)) - col
 
 
 def age_bin(age_col: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrolens.functions.dates import PEAK_BANDS, as_date, date_str, in_days, month_bounds
-from metrolens.functions.numeric import AGE_BIN_COUNT, age_bin
+from metrolens.functions.numeric import AGE_BIN_COUNT, age, age_bin
 from metrolens.operators import counts, sections
 from metrolens.plans.inputs import Inputs
 
@@ -67,7 +67,7 @@ def age_structure(inp: Inputs, base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
     directly, so the shuffle carries at most 20 partial counts per task.
     """
     inp.require("users")
-    binned = inp.users.select("sex", age_bin(F.lit(int(base_year)) - F.col("birth_year")).alias("bin"))
+    binned = inp.users.select("sex", age_bin(age("birth_year", base_year)).alias("bin"))
     n = (binned.where(F.col("sex").isin(0, 1) & F.col("bin").isNotNull())
          .groupBy("sex", "bin").agg(F.count(F.lit(1)).alias("n")))
     grid = (n.sparkSession.range(1)
