@@ -69,7 +69,13 @@ def fit_total_model(inp: Inputs, start, end, regressor: str = "linear", reg_para
         StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True),
         reg,
     ])
-    return pipe.fit(rows)
+    # The fit passes over the rows several times (scaler statistics, solver
+    # or boosting rounds): keep them instead of re-deriving them per pass.
+    rows = rows.persist()
+    try:
+        return pipe.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def total_coefficients(model: PipelineModel) -> dict[str, float]:
@@ -117,12 +123,15 @@ def fit_basis(panel: DataFrame, entities: DataFrame, rank: int) -> DataFrame:
     are joined back to the entity names in Spark.
     """
     spark = panel.sparkSession
-    vecs = _day_vectors(panel, entities)
+    vecs = _day_vectors(panel, entities).persist()      # read once per model fit
     models = [r["model"] for r in entities.select("model").distinct().orderBy("model").collect()]
     rows = []
-    for m in models:
-        pc = PCA(k=rank, inputCol="vec", outputCol="pc").fit(vecs.where(F.col("model") == m)).pc.toArray()
-        rows += [(m, i, j, float(pc[i, j])) for i in range(pc.shape[0]) for j in range(pc.shape[1])]
+    try:
+        for m in models:
+            pc = PCA(k=rank, inputCol="vec", outputCol="pc").fit(vecs.where(F.col("model") == m)).pc.toArray()
+            rows += [(m, i, j, float(pc[i, j])) for i in range(pc.shape[0]) for j in range(pc.shape[1])]
+    finally:
+        vecs.unpersist()
     loadings = spark.createDataFrame(rows, "model string, i int, factor int, weight double")
     return (_entity_index(entities).join(loadings, ["model", "i"])
             .select("model", "entity", "factor", "weight"))
@@ -149,14 +158,18 @@ def fit_factor_ar(panel: DataFrame, basis: DataFrame, window: int = lowrank.WIND
     spark = panel.sparkSession
     rows = factor_training_rows(panel, basis, window)
     lag_cols = [f"lag_{n}" for n in range(1, window + 1)]
-    assembled = VectorAssembler(inputCols=lag_cols, outputCol="features").transform(rows)
+    assembled = (VectorAssembler(inputCols=lag_cols, outputCol="features").transform(rows)
+                 .select("model", "features", "label").persist())   # several passes per fit
     factors: dict[str, list[int]] = {}
     for r in basis.select("model", "factor").distinct().collect():     # k per model
         factors.setdefault(r["model"], []).append(r["factor"])
     rows_out = []
-    for m in sorted(factors):
-        lr = LinearRegression(featuresCol="features", labelCol="label", fitIntercept=False,
-                              regParam=reg_param).fit(assembled.where(F.col("model") == m))
-        weights = lr.coefficients.toArray()
-        rows_out += [(m, f, n + 1, float(wt)) for f in sorted(factors[m]) for n, wt in enumerate(weights)]
+    try:
+        for m in sorted(factors):
+            lr = LinearRegression(featuresCol="features", labelCol="label", fitIntercept=False,
+                                  regParam=reg_param).fit(assembled.where(F.col("model") == m))
+            weights = lr.coefficients.toArray()
+            rows_out += [(m, f, n + 1, float(wt)) for f in sorted(factors[m]) for n, wt in enumerate(weights)]
+    finally:
+        assembled.unpersist()
     return spark.createDataFrame(rows_out, schemas.AR_COEF)
