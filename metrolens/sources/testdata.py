@@ -55,28 +55,31 @@ def _line(k: F.Column) -> F.Column:
 
 
 def next_event(ev: DataFrame, key: str, ts: str, tie: str, payload: list[str]) -> DataFrame:
-    """Attach each row's successor (by ``ts, tie``) within ``key``.
+    """Attach each row's successor (by ``ts, tie``) within ``key`` as ``_nxt``.
 
     A plain ``lead`` over ``partitionBy(key)`` would put a hot key (one user
     with a third of all rows) in one task. Instead the lead runs inside
-    (key, day) buckets, and the last row of a bucket takes the first row of
-    the key's next non-empty day. The per-(key, day) heads table has at most
-    one row per active day per key, so its window is small for every key.
+    (key, hour) buckets, and the last row of a bucket takes the first row
+    of the key's next non-empty bucket. A key has at most 24 heads per day,
+    so the heads window is small for every key, hot or not; the heads are a
+    per-bucket top-1 that Spark limits map-side before its shuffle. The
+    rows are already partitioned (and sorted) by (key, bucket) from the
+    lead, so the join with the heads shuffles only the heads.
     """
     cur = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"),
                    *[F.col(c).alias(c) for c in payload])
-    ev = ev.withColumn("_day", F.to_date(ts)).withColumn("_cur", cur)
-    in_day = Window.partitionBy(key, "_day").orderBy(ts, tie)
-    legs = (ev.withColumn("_nxt", F.lead("_cur").over(in_day))
-            .withColumn("_first", F.row_number().over(in_day) == 1))
-    # The first row of each (key, day) - same shuffle and sort as the lead.
-    heads = (legs.where("_first").select(key, "_day", F.col("_cur").alias("_head"))
+    ev = ev.withColumn("_bucket", F.date_trunc("hour", ts)).withColumn("_cur", cur)
+    in_bucket = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
+    legs = (ev.withColumn("_nxt", F.lead("_cur").over(in_bucket))
+            .withColumn("_first", F.row_number().over(in_bucket) == 1))
+    # First row of each (key, bucket) - same shuffle and sort as the lead.
+    heads = (legs.where("_first").select(key, "_bucket", F.col("_cur").alias("_head"))
              .withColumn("_next_head",
-                         F.lead("_head").over(Window.partitionBy(key).orderBy("_day")))
+                         F.lead("_head").over(Window.partitionBy(key).orderBy("_bucket")))
              .drop("_head"))
-    return (legs.join(heads, [key, "_day"], "left")
+    return (legs.join(heads, [key, "_bucket"], "left")
             .withColumn("_nxt", F.coalesce("_nxt", "_next_head"))
-            .drop("_next_head", "_day", "_cur", "_first"))
+            .drop("_next_head", "_bucket", "_cur", "_first"))
 
 
 def trips_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
