@@ -17,6 +17,8 @@ Two ways to turn an OD matrix into section flows:
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +67,21 @@ def bridge_flows(od: DataFrame, bridge: DataFrame, keys: list[str] | None = None
             .groupBy(*sec_keys, *keys).agg(F.sum("flow").cast("long").alias("flow")))
 
 
+# Derived per stations table once and shared: the same lazy sub-plan is
+# reused by every query that needs it (no repeated analysis, and Spark reuses
+# the identical exchanges when the plans meet).
+_POSITIONS: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
+_SECTIONS: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
+
+
 def station_positions(stations: DataFrame) -> DataFrame:
     """(line, station, pos): 1-based dense rank of ``sequence`` within the line."""
+    if stations not in _POSITIONS:
+        _POSITIONS[stations] = _station_positions(stations)
+    return _POSITIONS[stations]
+
+
+def _station_positions(stations: DataFrame) -> DataFrame:
     st = stations.select(F.col("line_name").alias("line"), F.col("station_name").alias("station"),
                          "sequence").where(F.col("station").isNotNull() & F.col("sequence").isNotNull())
     pos = F.dense_rank().over(Window.partitionBy("line").orderBy("sequence"))
@@ -80,6 +95,12 @@ def sequence_sections(stations: DataFrame) -> DataFrame:
     (position of ``source``). Two stations sharing a position give parallel
     sections that carry the same flow.
     """
+    if stations not in _SECTIONS:
+        _SECTIONS[stations] = _sequence_sections(stations)
+    return _SECTIONS[stations]
+
+
+def _sequence_sections(stations: DataFrame) -> DataFrame:
     pos = station_positions(stations)
     a, b = pos.alias("a"), pos.alias("b")
     pairs = a.join(b, (F.col("a.line") == F.col("b.line")) & (F.col("b.pos") == F.col("a.pos") + 1))

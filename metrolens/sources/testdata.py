@@ -94,7 +94,7 @@ def trips_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple, str] = {}
+_STORED: dict[tuple, tuple] = {}
 
 
 def stored_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,8 +116,9 @@ def stored_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             df = df.sortWithinPartitions("time_in")
         path = scratch_path(spark, name)
         df.write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)      # known schema: no footer inference
 
 
 def stored_trips(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
