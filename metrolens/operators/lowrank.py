@@ -50,7 +50,9 @@ def projection_weights(basis: DataFrame) -> DataFrame:
     gram = (a.join(b, ["model", "entity"]).groupBy("model", "f1", "f2")
             .agg(F.sum(F.col("w1") * F.col("w2")).alias("g")))
     ginv = gram.groupBy("model").applyInPandas(_pinv_gram, _GRAM_SCHEMA)
-    return (a.join(ginv.where(F.col("g") != 0), ["model", "f1"])
+    # ginv has at most models x k^2 rows (k = basis rank): a bounded broadcast,
+    # and the join key (model, factor) has too few values to shuffle on.
+    return (a.join(F.broadcast(ginv.where(F.col("g") != 0)), ["model", "f1"])
             .groupBy("model", "entity", F.col("f2").alias("factor"))
             .agg(F.sum(F.col("w1") * F.col("g")).alias("pw"))
             .where(F.col("pw") != 0))
@@ -68,7 +70,8 @@ def reconstruct(factors: DataFrame, basis: DataFrame) -> DataFrame:
 
     Every entity of the basis gets a value; factors without a row count 0.
     """
-    return (basis.join(factors, ["model", "factor"], "left")
+    # factors: one row per (model, factor) - bounded by models x k, broadcast.
+    return (basis.join(F.broadcast(factors), ["model", "factor"], "left")
             .groupBy("model", "entity")
             .agg(F.sum(F.col("weight") * F.coalesce(F.col("q"), F.lit(0.0))).alias("value")))
 
@@ -79,7 +82,8 @@ def reconstruct_panel(factors: DataFrame, basis: DataFrame) -> DataFrame:
     Only (entity, day) cells whose factors have a row are produced; the
     projection of an all-zero day is zero and stays absent.
     """
-    return (basis.join(factors, ["model", "factor"])
+    # factors: models x k x days rows (days = the window) - bounded, broadcast.
+    return (basis.join(F.broadcast(factors), ["model", "factor"])
             .groupBy("model", "entity", "day")
             .agg(F.sum(F.col("weight") * F.col("q")).alias("value")))
 
@@ -88,7 +92,8 @@ def next_factors(history: DataFrame, coef: DataFrame, target) -> DataFrame:
     """Per-factor AR step: q[target] = sum_lag w[lag] * Q[target - lag] (M6)."""
     t = F.lit(as_date(target))
     lagged = history.withColumn("lag", F.datediff(t, F.col("day")).cast("int"))
-    return (lagged.join(coef, ["model", "factor", "lag"])
+    # coef: models x k x lags rows - a bounded parameter table, broadcast.
+    return (lagged.join(F.broadcast(coef), ["model", "factor", "lag"])
             .groupBy("model", "factor").agg(F.sum(F.col("q") * F.col("weight")).alias("q")))
 
 

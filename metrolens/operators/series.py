@@ -95,7 +95,10 @@ def recursive_forecast(series: DataFrame, calendar: DataFrame | None, keys: Sequ
                  .agg(F.max((F.col("workday") == 1).cast("double")).alias("is_workday")))
     rows = grid.join(series.where(F.col("day").between(F.lit(hist_lo), F.lit(start - dt.timedelta(days=1)))),
                      [*keys, "day"], "left")
-    rows = rows.join(flags, "day", "left") if flags is not None else rows.withColumn("is_workday", F.lit(None))
+    # flags: one row per forecast day (n rows) - a bounded broadcast; joining
+    # on a key with n values must not shuffle the whole panel onto n tasks.
+    rows = rows.join(F.broadcast(flags), "day", "left") if flags is not None \
+        else rows.withColumn("is_workday", F.lit(None))
     packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(
         F.struct("day", F.col("flow").cast("double").alias("flow"),
                  F.col("is_workday").cast("double").alias("wd")))).alias("r"))
