@@ -168,3 +168,62 @@ def test_model_loop_matches_linear_fold(spark):
     assert max(abs(x["flow"] - y["flow"]) for x, y in zip(a, b)) <= 1   # float ties only
     gbt = FIT.fit_total_model(inp, d0, end, regressor="gbt")
     assert FC.predict_total_flow_model(inp, start, 3, gbt).count() == 3
+
+
+def test_n_step_equals_chained_one_steps(spark):
+    """Step 2 of a 2-step forecast = a 1-step forecast from the history with
+    step 1's (clipped, rounded) forecast appended."""
+    rng = np.random.default_rng(5)
+    a, p, ents, panel, basis, d0 = _panel_and_basis(spark, rng, n_ent=8, k=2)
+    coef = spark.createDataFrame([("m", f, lag, w) for f in range(2) for lag, w in {1: 0.7, 7: 0.3}.items()],
+                                 schemas.AR_COEF)
+    start = d0 + dt.timedelta(days=28)
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    two = lowrank.low_rank_forecast(panel, basis, coef, start, n=2,
+                                    checkpoint=lambda df: df.checkpoint(eager=True)).collect()
+    one = lowrank.low_rank_forecast(panel, basis, coef, start, n=1)
+    step1 = one.select("model", "entity", "day", F.col("flow").cast("double").alias("flow"))
+    again = lowrank.low_rank_forecast(panel.unionByName(step1), basis, coef,
+                                      start + dt.timedelta(days=1), n=1).collect()
+    by_day = {(r["entity"], r["day"]): r["flow"] for r in two}
+    assert {(r["entity"], r["day"]): r["flow"] for r in one.collect()} == \
+        {k: v for k, v in by_day.items() if k[1] == start}
+    assert {(r["entity"], r["day"]): r["flow"] for r in again} == \
+        {k: v for k, v in by_day.items() if k[1] == start + dt.timedelta(days=1)}
+
+
+def test_fits_beat_mean_and_are_stable(spark):
+    from metrolens.plans import fit as FIT
+    d0 = dt.date(2024, 1, 1)
+    days = 112
+    weekly = [40, 42, 41, 43, 45, 20, 15]
+    rows = []
+    for i in range(days):
+        day = (d0 + dt.timedelta(days=i)).isoformat()
+        for s, base in (("A", 1.0), ("B", 0.5), ("C", 2.0)):
+            n = int(round(base * weekly[i % 7]))
+            rows += [(f"{day}T08:00:00", f"{day}T09:00:00", s, "A", "L", "L")] * n
+    trips = trips_df(spark, rows)
+    cal = spark.createDataFrame([(d0 + dt.timedelta(days=i), int(i % 7 < 5)) for i in range(days + 7)],
+                                schemas.WORKDAYS)
+    inp = Inputs(trips, workdays=cal)
+    end = d0 + dt.timedelta(days=days - 1)
+    coef = FIT.total_coefficients(FIT.fit_total_model(inp, d0, end))
+    train = FIT.total_training_rows(inp, d0, end).collect()
+    pred = [coef["intercept"] + sum(coef[f] * r[f] for f in series.FEATURES) for r in train]
+    labels = [r["label"] for r in train]
+    mean = sum(labels) / len(labels)
+    mse = sum((p_ - y) ** 2 for p_, y in zip(pred, labels)) / len(labels)
+    mse_mean = sum((mean - y) ** 2 for y in labels) / len(labels)
+    assert mse < 0.1 * mse_mean
+    # PCA basis and factor AR: shapes, and the same numbers when refitted
+    st = spark.createDataFrame([(1, "A", "L", None, 1), (2, "B", "L", None, 2), (3, "C", "L", None, 3)],
+                               schemas.STATIONS)
+    panel = FC.station_panel(Inputs(trips, stations=st), end + dt.timedelta(days=1), window=days)
+    ents = FC.model_entities(st, "station_name", {"station_in": None})
+    b1 = FIT.fit_basis(panel.where(F.col("model") == "station_in"), ents, 2)
+    b2 = FIT.fit_basis(panel.where(F.col("model") == "station_in"), ents, 2)
+    assert b1.count() == 3 * 2
+    assert sorted(b1.collect()) == sorted(b2.collect())
+    ar = FIT.fit_factor_ar(panel.where(F.col("model") == "station_in"), b1, window=14)
+    assert ar.count() == 2 * 14 and ar.select("lag").distinct().count() == 14
