@@ -192,6 +192,17 @@ def month_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.month_flow_from_rollup(rollup, lo, hi)
 
 
+def station_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    return R.station_flow_from_rollup(rollup, O.EV_STATION, O.EV_START, O.EV_END)
+
+
+def section_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    od = R.od_flow_from_rollup(_written_rollup(spark, inp.trips), O.EV_START, O.EV_END)
+    return Q.section_flow(inp, O.EV_LINE, O.EV_START, O.EV_END, od=od)
+
+
 def line_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = _written_rollup(spark, od_inputs(spark, sf_dir).trips, grain="month")   # 7 years
     return R.line_flow_from_rollup(rollup, O.OD_START, O.OD_END)
@@ -307,6 +318,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stations_flow_from_rollup": stations_flow_from_rollup,
         "peak_flow_from_rollup": peak_flow_from_rollup,
         "month_flow_from_rollup": month_flow_from_rollup,
+        "station_flow_from_rollup": station_flow_from_rollup,
+        "section_flow_from_rollup": section_flow_from_rollup,
         "line_flow_from_rollup": line_flow_from_rollup,
         "stream_rollup": stream_rollup,
     }

@@ -109,14 +109,17 @@ def od_flow(inp: Inputs, start, end) -> DataFrame:
     return counts.od_counts(inp.trips, start, end)
 
 
-def section_flow(inp: Inputs, line: str, start, end) -> DataFrame:
+def section_flow(inp: Inputs, line: str, start, end, od: DataFrame | None = None) -> DataFrame:
     """Q8: up and down flow of every section of ``line``
     -> (direction, section_id, source, target, flow), zero-flow sections kept.
 
     With a bridge table the listed OD pairs are summed; without one the
     sections and their pairs follow from the station order of the line.
+    ``od`` (station_in, station_out, flow) may be given, e.g. read from the
+    rollup; by default it is counted from the trips.
     """
-    od = counts.od_counts(inp.trips, start, end)
+    if od is None:
+        od = counts.od_counts(inp.trips, start, end)
     if inp.section_bridge is not None:
         flows = sections.bridge_flows(od, inp.section_bridge.where(F.col("line") == line))
     else:

@@ -104,6 +104,21 @@ def line_flow_from_rollup(rollup: DataFrame, start, end) -> DataFrame:
             .agg(F.sum("n").cast("long").alias("flow")))
 
 
+def od_flow_from_rollup(rollup: DataFrame, start, end) -> DataFrame:
+    """OD matrix (D5) from the rollup: entry side, entry day -> (station_in, station_out, flow)."""
+    return (rollup.where((F.col("side") == "in") & _days(start, end))
+            .groupBy(F.col("station").alias("station_in"), F.col("peer_station").alias("station_out"))
+            .agg(F.sum("n").cast("long").alias("flow")))
+
+
+def station_flow_from_rollup(rollup: DataFrame, station: str, start, end) -> DataFrame:
+    """Q3 from the rollup: daily entries and exits of one station."""
+    return (rollup.where((F.col("station") == station) & _days(start, end))
+            .groupBy(F.when(F.col("side") == "in", "in").otherwise("out").alias("direction"), "day")
+            .agg(F.sum("n").cast("long").alias("flow"))
+            .select(F.lit(station).alias("station"), "direction", date_str("day").alias("time"), "flow"))
+
+
 def month_flow_from_rollup(rollup: DataFrame, lo, hi) -> DataFrame:
     """Q1-style daily entries from the rollup."""
     return (rollup.where((F.col("side") == "in") & _days(lo, hi))

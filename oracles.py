@@ -533,6 +533,8 @@ def oracle_sql() -> dict[str, str]:
         "stations_flow_from_rollup": stations_flow("trips_ev", EV_START, EV_END),
         "peak_flow_from_rollup": peak_flow(),
         "month_flow_from_rollup": month_flow(),
+        "station_flow_from_rollup": station_flow(),
+        "section_flow_from_rollup": section_flow(),
         "line_flow_from_rollup": line_flow(),
         "stream_rollup": daily_rollup(closed_only=True),
     }
