@@ -117,3 +117,25 @@ def test_single_station_and_month(spark):
     assert rows(Q.single_month_flow(inp, "2024-02")) == [("2024-02-01", 1)]
     st = rows(Q.single_station_flow(inp, "A", "2024-01-31", "2024-02-01"))
     assert st == [("A", "in", "2024-01-31", 1), ("A", "out", "2024-02-01", 1)]
+
+
+def test_reference_record_shapes(spark):
+    from metrolens.plans import records
+    trips = trips_df(spark, [
+        ("2024-01-02T07:30:00", "2024-01-02T08:10:00", "A", "B", "L", "L"),
+        ("2024-01-02T17:30:00", "2024-01-02T17:50:00", "B", "A", "L", "L"),
+        ("2024-01-03T07:30:00", "2024-01-03T08:10:00", "A", "B", "L", "L"),
+    ])
+    inp = Inputs(trips)
+    peak = records.peak_lists(Q.peak_flow(inp, "2024-01-01", "2024-01-31")).collect()[0]
+    # anchored on entries: B's morning exits and A's evening exits are dropped
+    assert [tuple(x) for x in peak["morning"]] == [("A", 2, 0)]
+    assert [tuple(x) for x in peak["evening"]] == [("B", 1, 0)]
+    st = records.station_series(Q.single_station_flow(inp, "A", "2024-01-01", "2024-01-31")).collect()[0]
+    assert st["station"] == "A"
+    assert [tuple(x) for x in st["flow_in"]] == [("2024-01-02", 1), ("2024-01-03", 1)]
+    assert [tuple(x) for x in st["flow_out"]] == [("2024-01-02", 1)]
+    users = spark.createDataFrame([(0, 1990), (1, 1985), (1, 1950)], schemas.USERS)
+    ages = records.age_lists(Q.age_structure(Inputs(trips=None, users=users))).collect()[0]
+    assert ages["male"] == [0, 0, 0, 1, 0, 0, 0, 0, 0, 0]
+    assert ages["female"] == [0, 0, 0, 1, 0, 0, 0, 1, 0, 0]
