@@ -82,26 +82,27 @@ def age_structure(inp: Inputs, base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
 
 def peak_flow(inp: Inputs, start, end, fill: int | None = 0) -> DataFrame:
     """Q5: entries and exits per station in the morning and evening peaks
-    -> (period, station, flow_in, flow_out); a missing exit count is ``fill``."""
-    return counts.station_in_out(inp.trips, start, end, bands=PEAK_BANDS, fill=fill) \
-        .orderBy("period", "station")
+    -> (period, station, flow_in, flow_out); a missing exit count is ``fill``.
+    Row order is unspecified, as in the reference."""
+    return counts.station_in_out(inp.trips, start, end, bands=PEAK_BANDS, fill=fill)
 
 
 def all_stations_flow(inp: Inputs, start, end, fill: int | None = None) -> DataFrame:
     """Q6: entries and exits per station -> (station, flow_in, flow_out).
 
     Stations with exits only are left out; a missing exit count stays
-    null unless ``fill`` is given.
+    null unless ``fill`` is given. Row order is unspecified, as in the
+    reference.
     """
-    return counts.station_in_out(inp.trips, start, end, fill=fill).drop("period").orderBy("station")
+    return counts.station_in_out(inp.trips, start, end, fill=fill).drop("period")
 
 
 def line_to_line_flow(inp: Inputs, start, end) -> DataFrame:
-    """Q7: trips per (entry line, exit line), same-line pairs included."""
+    """Q7: trips per (entry line, exit line), same-line pairs included
+    (row order unspecified, as in the reference)."""
     return (inp.trips.where(in_days("time_in", start, end))
             .groupBy(F.col("line_in").alias("source"), F.col("line_out").alias("target"))
-            .agg(F.count(F.lit(1)).alias("flow"))
-            .orderBy("source", "target"))
+            .agg(F.count(F.lit(1)).alias("flow")))
 
 
 def od_flow(inp: Inputs, start, end) -> DataFrame:
