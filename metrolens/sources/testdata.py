@@ -82,10 +82,40 @@ def next_event(ev: DataFrame, key: str, ts: str, tie: str, payload: list[str]) -
             .drop("_next_head", "_bucket", "_cur", "_first"))
 
 
+def next_event_ranged(ev: DataFrame, key: str, ts: str, tie: str, payload: list[str],
+                      partitions: int | None = None) -> DataFrame:
+    """Exact successor per ``key`` that no key can concentrate in one task.
+
+    ``repartitionByRange(key, ts, tie)`` samples the data and cuts it into
+    contiguous ranges of about equal size, so a key holding a third of all
+    rows spans many partitions. ``lead`` runs inside each range (accepted
+    only when it has the same key); the last row of a range takes the first
+    row of the next non-empty range, found through a table with one row per
+    range (bounded by the partition count). Two shuffles of the rows, no
+    hot task.
+    """
+    spark = ev.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cur = F.struct(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tie).alias("tie"),
+                   *[F.col(c).alias(c) for c in payload])
+    ranged = (ev.repartitionByRange(n, key, ts, tie)
+              .withColumn("_range", F.spark_partition_id()).withColumn("_cur", cur))
+    legs = ranged.withColumn("_nxt", F.lead("_cur").over(
+        Window.partitionBy("_range").orderBy(key, ts, tie)))
+    # one row per non-empty range: its first row, and the next range's first row
+    heads = (legs.groupBy("_range").agg(F.min("_cur").alias("_head"))
+             .withColumn("_next_head", F.lead("_head").over(Window.orderBy("_range")))
+             .select("_range", "_next_head"))
+    cand = F.coalesce("_nxt", "_next_head")
+    return (legs.join(F.broadcast(heads), "_range", "left")
+            .withColumn("_nxt", F.when(cand["key"] == F.col(key), cand))
+            .drop("_next_head", "_range", "_cur"))
+
+
 def trips_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys from consecutive events of a user (30 days, real hours)."""
     ev = events_k(spark, sf_dir)
-    legs = next_event(ev, "user_id", "ts", "event_id", ["k"]).where(F.col("_nxt").isNotNull())
+    legs = next_event_ranged(ev, "user_id", "ts", "event_id", ["k"]).where(F.col("_nxt").isNotNull())
     return legs.select(
         F.col("event_id").alias("trip_id"), "user_id",
         F.col("ts").alias("time_in"), F.col("_nxt.ts").alias("time_out"),

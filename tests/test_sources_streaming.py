@@ -30,9 +30,28 @@ def test_trips_ev_equals_plain_lead(spark):
     ours = testdata.next_event(ev, "user_id", "ts", "event_id", ["k"]) \
         .where(F.col("_nxt").isNotNull()).select("event_id", F.col("_nxt.tie").alias("nxt"))
     assert plain.exceptAll(ours).count() == 0 and ours.exceptAll(plain).count() == 0
+    ranged = testdata.next_event_ranged(ev, "user_id", "ts", "event_id", ["k"], partitions=7) \
+        .where(F.col("_nxt").isNotNull()).select("event_id", F.col("_nxt.tie").alias("nxt"))
+    assert plain.exceptAll(ranged).count() == 0 and ranged.exceptAll(plain).count() == 0
     assert testdata.trips_ev(spark, SF).count() == plain.count()
 
 
+def test_next_event_ranged_splits_a_hot_key(spark):
+    """One user with most rows: still exact, and spread over many ranges."""
+    import datetime as dt3
+    t0 = dt3.datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 10 else 2 + i % 3, t0 + dt3.timedelta(seconds=i // 2), i % 5) for i in range(3000)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, k int")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    plain = ev.select("event_id", F.lead("event_id").over(w).alias("nxt")).where(F.col("nxt").isNotNull())
+    ranged = testdata.next_event_ranged(ev, "user_id", "ts", "event_id", ["k"], partitions=8) \
+        .where(F.col("_nxt").isNotNull()).select("event_id", F.col("_nxt.tie").alias("nxt"))
+    assert plain.exceptAll(ranged).count() == 0 and ranged.exceptAll(plain).count() == 0
+    spread = ev.repartitionByRange(8, "user_id", "ts", "event_id") \
+        .where(F.col("user_id") == 1).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread >= 6                       # the hot user is cut across ranges
+
+
 def test_calendar_view(spark):
     cal = {r["time"]: r["workday"] for r in testdata.workdays_v(spark, SF).collect()}
     assert dt.date(2024, 1, 15) not in cal
