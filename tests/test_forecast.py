@@ -141,8 +141,6 @@ def test_forecast_queries_complete_entities(spark):
 def test_model_loop_matches_linear_fold(spark):
     """Scoring a fitted linear pipeline step by step equals the fold with
     its raw-feature weights (the two M3 paths agree)."""
-    from pyspark.sql import SparkSession  # noqa: F401
-
     from metrolens.plans import fit as FIT
     rng = np.random.default_rng(11)
     d0 = dt.date(2024, 1, 1)
