@@ -225,6 +225,14 @@ def fit_total_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FIT.coefficient_table(spark, FIT.total_coefficients(model))
 
 
+def forecast_total_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear one-step model fitted on the order history, turned into raw
+    weights and folded 7 days ahead (M1-M3 end to end)."""
+    inp = od_inputs(spark, sf_dir)
+    coef = FIT.total_coefficients(FIT.fit_total_model(inp, O.OD_START, O.OD_END))
+    return FC.predict_total_flow(inp, OD_FORECAST_START, O.FORECAST_STEPS, coef)
+
+
 def forecast_total_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted one-step model fitted on the order history, then a
     7-day recursive forecast from the day after it."""
@@ -310,6 +318,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_sections": forecast_sections,
         "forecast_peak": forecast_peak,
         "fit_total_forecast": fit_total_forecast,
+        "forecast_total_fitted": forecast_total_fitted,
         "forecast_total_gbt": forecast_total_gbt,
         "fit_basis": fit_basis,
         "fit_factor_ar": fit_factor_ar,
