@@ -117,3 +117,34 @@ def test_bridge_and_sequence_paths_agree_per_day(spark, tmp_path):
     a = sorted(tuple(r) for r in via_bridge.select(*key).collect())
     b = sorted(tuple(r) for r in via_seq.select(*key).collect())
     assert len(a) == 3 * 2 * 4 and a == b
+
+
+def test_section_forecast_same_via_bridge_or_sequence(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from metrolens.plans import forecast as FC
+    names = ["A", "B", "C"]
+    st = _stations(spark, [(n, "L1", i + 1) for i, n in enumerate(names)])
+    secs = [{"source": "A", "target": "B", "related_OD": [{"source": "A", "target": "B"},
+                                                         {"source": "A", "target": "C"}]},
+            {"source": "B", "target": "C", "related_OD": [{"source": "A", "target": "C"},
+                                                         {"source": "B", "target": "C"}]}]
+    (tmp_path / "s.json").write_text(json.dumps({"L1": secs}))
+    bridge = sections.read_section_bridge(spark, str(tmp_path / "s.json"))
+    d0 = dt.date(2024, 1, 1)
+    rows = []
+    for i in range(28):
+        day = (d0 + dt.timedelta(days=i)).isoformat()
+        rows += [(f"{day}T08:00:00", f"{day}T08:30:00", o, d, "L1", "L1")
+                 for o, d in [("A", "C"), ("C", "B"), ("B", "C")][: 1 + i % 3]]
+    trips = trips_df(spark, rows)
+    start = d0 + dt.timedelta(days=28)
+    outs = []
+    for inp in (Inputs(trips, section_bridge=bridge), Inputs(trips, stations=st)):
+        ents = FC.model_entities(FC.section_list(inp), "entity", FC.SECTION_MODELS)
+        basis = ents.select("model", "entity", F.lit(0).alias("factor"), F.lit(1.0).alias("weight"))
+        coef = spark.createDataFrame([(m, 0, 1, 1.0) for m in FC.SECTION_MODELS], schemas.AR_COEF)
+        outs.append(sorted(tuple(r) for r in FC.predict_section_flow(inp, "L1", start, basis, coef).collect()))
+    assert outs[0] == outs[1] and len(outs[0]) == 4
