@@ -35,6 +35,17 @@ from metrolens.plans.inputs import Inputs
 from metrolens.sources import tables
 from metrolens.sources import testdata as TD
 
+# The training-data operators are an optional part: without their folder the
+# other queries still work. An import error inside them is not hidden.
+try:
+    import corpus_pipeline
+    from metrolens.llm import queries as LLM
+    from metrolens.llm import sql as LLM_SQL
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "metrolens.llm"):
+        raise
+    LLM = None
+
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 
 
@@ -290,6 +301,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return transit_queries() | (LLM.queries() | {"pipeline": corpus_pipeline.run} if LLM else {})
+
+
+def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "stations_flow": lambda s, p: Q.all_stations_flow(ev_inputs(s, p), O.EV_START, O.EV_END),
         "stations_flow_od": lambda s, p: Q.all_stations_flow(od_inputs(s, p), O.OD_START, O.OD_END),
@@ -335,4 +350,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return O.oracle_sql()
+    more = LLM_SQL.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) \
+        if LLM else {}
+    return O.oracle_sql() | more
