@@ -32,8 +32,8 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 # is added to the fence so that groups without any spread keep ordinary texts.
 METRICS = (
     ("symbol", "n_symbols", "n_words", 100),
-    ("dup_line", "n_dup_lines", "n_lines", 300),
-    ("repeat", "n_repeat_words", "n_words", 200),
+    ("dup_line", "n_dup_lines", "n_lines", 500),
+    ("repeat", "n_repeat_words", "n_words", 300),
     ("word_len", "word_chars", "n_words", 2000),
 )
 SPREADS = 4
