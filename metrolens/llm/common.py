@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,6 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(name: str = "text") -> Column:
-    """The UTF-8 bytes of a text column (null: empty)."""
-    return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
-
-
 def id_bucket(col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n`` (null ids: null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -53,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
-              keep: tuple[str, ...] = ()) -> DataFrame:
+              keep: tuple[str, ...] = (), sliced_by: str = "text") -> DataFrame:
     """``mapInArrow`` over slices: ``fn`` turns a slice into a dict of columns
     (arrays or lists); the columns named in ``keep`` are passed through."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,7 +61,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     arrow = to_arrow_schema(parsed)
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, sliced_by):
             made = fn(part)
             arrays = [part.column(k) for k in part.schema.names if k in keep]
             names = [k for k in part.schema.names if k in keep]

@@ -3,9 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metrolens.llm import rules
-from metrolens.llm.common import table
+from metrolens.llm import bpe, langid, minhash, quality, rules, token_counts
+from metrolens.llm.common import id_bucket, table
+
+
+def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False))
+    return langid.language_id(spark, table(spark, sf_dir, "documents"), held_out)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(spark, table(spark, sf_dir, "documents"),
+                             outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(spark, table(spark, sf_dir, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +39,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_superminhash_dedup": op2_superminhash_dedup,
+        "op3_language_id": op3_language_id,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op7_bpe_encode_decode": op7_bpe_encode_decode,
+        "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metrolens.llm.common import map_arrow, stored, text_bytes
+from metrolens.llm.common import map_arrow, stored
 from metrolens.llm.text import Words, mix64, span_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -57,7 +57,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         return {"n_words": w.counts, "word_chars": chars, "n_symbols": per_text(None, symbol),
                 "n_lines": n_lines, "n_dup_lines": n_dup, "n_repeat_words": repeated_words(w)}
 
-    rows = docs.select("doc_id", "lang", "source", text_bytes())
+    rows = docs.select("doc_id", "lang", "source", "text")
     return map_arrow(rows, measure, "n_words long, word_chars long, n_symbols long, n_lines long, "
                      "n_dup_lines long, n_repeat_words long", keep=("doc_id", "lang", "source"))
 

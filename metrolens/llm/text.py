@@ -23,9 +23,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column, each text followed by a newline,
-    so that neither a word nor a line crosses from one text into the next."""
-    texts = column.to_pylist()
+    """(bytes, offsets) of a text or binary column (null: empty), each text
+    followed by a newline, so that neither a word nor a line crosses from one
+    text into the next."""
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
