@@ -27,6 +27,21 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrowed(df: DataFrame, wanted: DataFrame, column: str, most: int = 4096) -> DataFrame:
+    """``df`` without most of the rows whose ``column`` is not in ``wanted`` (a
+    written table of one column, same name): a bit per hashed value, at most
+    ``most`` bitmaps of 4 KB, is broadcast. Rows that pass are a superset, so an
+    exact join follows; it then shuffles only these instead of the whole table."""
+    count = wanted.count()
+    bits = 32768 * max(1, min(most, count * 16 // 32768))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    maps = wanted.select((place / 32768).cast("int").alias("_map"), (place % 32768).alias("_bit")) \
+        .groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    placed = df.withColumn("_map", (place / 32768).cast("int")).withColumn("_bit", (place % 32768).cast("int"))
+    hit = F.expr("(cast(conv(hex(substring(_bits, _bit div 8 + 1, 1)), 16, 10) as int) >> (_bit % 8)) & 1 = 1")
+    return placed.join(F.broadcast(maps), "_map").where(hit).select(*df.columns)
+
+
 def id_bucket(col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n`` (null ids: null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -51,7 +66,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
               keep: tuple[str, ...] = (), sliced_by: str = "text") -> DataFrame:
     """``mapInArrow`` over slices: ``fn`` turns a slice into a dict of columns
-    (arrays or lists); the columns named in ``keep`` are passed through."""
+    (arrays or lists); the columns named in ``keep`` are passed through. When
+    output rows are not the slice's rows one by one, ``fn`` adds ``take``: the
+    row of the slice that each output row belongs to."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -63,8 +80,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     def run(batches):
         for part in slices(batches, sliced_by):
             made = fn(part)
-            arrays = [part.column(k) for k in part.schema.names if k in keep]
             names = [k for k in part.schema.names if k in keep]
+            arrays = [part.column(k) for k in names]
+            if "take" in made:
+                at = pa.array(made["take"], pa.int64())
+                arrays = [a.take(at) for a in arrays]
             for name in types:
                 value = made[name]
                 if not isinstance(value, pa.Array):

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolens.llm import bpe, langid, minhash, quality, rules, token_counts
+from metrolens.llm import bpe, decontam, langid, licenses, minhash, paragraphs, quality, rules, token_counts, warc
 from metrolens.llm.common import id_bucket, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -22,11 +26,30 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(spark, table(spark, sf_dir, "pages"), payload=False)
+    number = lambda name: F.col("metadata.fields")[name].cast("long")
+    return captures.select(
+        number("page-id").alias("page_id"),
+        F.coalesce("response.payload_length", number("payload-length")).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"),
+        number("refers-to-page").alias("refers_to"))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(spark, table(spark, sf_dir, "documents"),
                              outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(spark, table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_doc_id", "kind", "start", "end", "n_words")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(spark, table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -39,10 +62,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_superminhash_dedup": op2_superminhash_dedup,
         "op3_language_id": op3_language_id,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_warc_transactions": op6_warc_transactions,
         "op7_bpe_encode_decode": op7_bpe_encode_decode,
+        "op8_paragraph_dedup": op8_paragraph_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }

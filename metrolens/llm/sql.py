@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from metrolens.llm import rules
+from metrolens.llm import licenses, rules, warc
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -54,5 +54,58 @@ def quality_rules() -> str:
            NOT base_failed AND coalesce(inside, false) AS kept FROM o"""
 
 
+def near_duplicates(n: int = 3, percent: int = 85) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH RECURSIVE
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'),
+                                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS sh
+          FROM d),
+    u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id
+          GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+    SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+    FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id"""
+
+
+def license_scan() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def canonical(text: str) -> str:
+        t = f"translate({text}, '{licenses.UPPER}', '{licenses.LOWER}')"
+        t = f"regexp_replace({t}, {quoted(licenses.COPYRIGHT_LINE)}, chr(10), 'g')"
+        t = f"' ' || regexp_replace({t}, '{licenses.NOT_WORD}', ' ', 'g') || ' '"
+        for a, b in licenses.SPELLINGS:
+            t = f"replace({t}, ' {a}', ' {b}')"
+        return f"md5(trim({t}))"
+
+    values = lambda known: "VALUES " + ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in known)
+    return f"""WITH
+    w AS (SELECT {canonical('t')} AS k, min(i) AS license_id FROM ({values(licenses.known_texts())}) v(i, t) GROUP BY 1),
+    s AS (SELECT {canonical('t')} AS k, min(i) AS notice_id FROM ({values(licenses.known_notices())}) v(i, t) GROUP BY 1),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+    f AS (SELECT rid, string_agg(DISTINCT notice_id, ',' ORDER BY notice_id) AS notice_ids, count(*) AS n_notices
+          FROM l JOIN s ON {canonical('line')} = s.k GROUP BY rid)
+    SELECT doc_id, {canonical('t')} AS text_digest, license_id, coalesce(notice_ids, '') AS notice_ids,
+           coalesce(n_notices, 0) AS n_notices
+    FROM d LEFT JOIN w ON {canonical('t')} = w.k LEFT JOIN f USING (rid)"""
+
+
+def warc_transactions() -> str:
+    digits = " || ".join(f"substr('{warc.BASE32}', ((('0x' || substr(h, {g * 5 + 1}, 5))::INT >> {s}) & 31) + 1, 1)"
+                         for g in range(8) for s in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id, url) AS n,
+                 first(page_id) OVER (PARTITION BY h ORDER BY page_id, url) AS first_page FROM p)
+    SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {digits} AS payload_digest,
+           CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN n > 1 THEN first_page END AS refers_to FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules()}
+    return {"op1_license_scan": license_scan(), "op6_warc_transactions": warc_transactions(),
+            "op2_superminhash_dedup": near_duplicates(),
+            "op10_quality_rules": quality_rules()}

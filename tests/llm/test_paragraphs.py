@@ -1,0 +1,106 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from metrolens.llm import paragraphs
+from metrolens.llm.text import Words
+from tests.llm.helpers import docs_df, lower, prose, words
+
+
+def runs_left(texts, n):
+    """Runs of ``n`` words that two documents still share."""
+    seen, shared = {}, 0
+    for i, t in texts.items():
+        w = words(lower(t))
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k:k + n])
+            shared += seen.setdefault(key, i) != i
+    return shared
+
+
+def cleaned(spark, rows):
+    df = docs_df(spark, rows)
+    return paragraphs.without(df, paragraphs.repeated_paragraphs(spark, df))
+
+
+def test_anchors_of_equal_runs_meet():
+    rng = random.Random(1)
+    for trial in range(60):
+        shared = prose(rng, 50, 30 if trial % 3 == 0 else 4000)
+        texts = [f"{prose(rng, rng.randrange(90))} {shared} {prose(rng, rng.randrange(90))}" for _ in range(2)]
+        keys = []
+        for t in texts:
+            w = Words(pa.array([t]), lower=True)
+            keys.append(set(paragraphs._rolled(w.hashes, paragraphs.anchors(w), paragraphs.RUN).tolist()))
+        assert keys[0] & keys[1]
+
+
+def test_periodic_text_has_few_anchors():
+    for period in (1, 2, 7):
+        w = Words(pa.array([" ".join(f"w{i % period}" for i in range(5000))]), lower=True)
+        assert len(paragraphs.anchors(w)) < 5000 / 10
+
+
+def test_embedded_passages_are_removed_whole(spark):
+    rng = random.Random(2)
+    passages = [prose(rng, n) for n in (51, 60, 120, 400)]
+    rows = []
+    for i in range(24):
+        body = prose(rng, 150).split()
+        at = rng.randrange(len(body))
+        rows.append((i, " ".join(body[:at] + [passages[i % 4].upper() if i % 5 == 0 else passages[i % 4]] + body[at:])))
+    rows += [(100 + i, prose(rng, 200)) for i in range(10)] + [(200, None), (201, ""), (None, rows[0][1]), (202, rows[1][1][:80])]
+    out = cleaned(spark, rows).collect()
+    assert len(out) == len(rows)
+    got = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
+    before = dict(rows)
+    texts = {i: r["text"] for i, r in got.items()}
+    assert runs_left(texts, 30) == 0
+    for i in range(4):
+        assert texts[i] == before[i]                                  # the first of each stays
+    for i in range(4, 24):
+        assert abs(len(words(texts[i])) - 150) <= 2                   # the passage goes, the rest stays
+    for i in (*range(100, 110), 200, 201, 202):
+        assert texts[i] == before[i]
+    assert all(r["n_chars"] == len(r["text"]) for r in out if r["text"] is not None)
+
+
+def test_near_lines_by_components(spark):
+    rng = random.Random(3)
+    line = prose(rng, 120).split()
+    variants = []
+    for i in range(8):
+        w = list(line)
+        w[10 * i + 5] = "changed"
+        variants.append(" ".join(w))
+    rows = [(i, f"{prose(rng, 20)}\n{v}\n{prose(rng, 20)}") for i, v in enumerate(variants)] + [(50, prose(rng, 20) + "\n" + variants[0])]
+    spans = paragraphs.repeated_lines(spark, docs_df(spark, rows)).collect()
+    assert {r["doc_id"] for r in spans} == {1, 2, 3, 4, 5, 6, 7, 50} and {r["keep_doc_id"] for r in spans} == {0}
+    raw = dict(rows)
+    for r in spans:
+        assert raw[r["doc_id"]].encode()[r["start"]:r["end"]].decode() in {*variants}
+
+
+def test_short_repeats_and_own_repeats_stay(spark):
+    rng = random.Random(4)
+    short, own = prose(rng, 40), prose(rng, 60)
+    rows = [(1, f"{prose(rng, 60)} {short}\n{short}"), (2, f"{short} {prose(rng, 60)}"), (3, f"{own}\n{own}")]
+    assert paragraphs.repeated_paragraphs(spark, docs_df(spark, rows)).count() == 0
+
+
+def test_versions_of_a_doc_id(spark):
+    rng = random.Random(5)
+    p, q = prose(rng, 80), prose(rng, 80)
+    rows = [(1, f"{p} a"), (5, f"b {p} c"), (5, f"{q} x"), (5, f"b {p} c"), (7, f"z é {q} ü")]
+    out = sorted((r["doc_id"], r["text"]) for r in cleaned(spark, rows).collect())
+    assert out == sorted([(1, f"{p} a"), (5, "b  c"), (5, "b  c"), (5, f"{q} x"), (7, "z é  ü")])
+
+
+def test_empty_and_limits(spark):
+    assert cleaned(spark, [(1, "a")]).limit(0).count() == 0
+    assert paragraphs.repeated_paragraphs(spark, docs_df(spark, [(1, "a")]).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        paragraphs.repeated_paragraphs(spark, docs_df(spark, [(1, "a")]), min_words=20)
+    assert np.array_equal(paragraphs._slide(np.array([3, 1, 2, 5]), 3, np.minimum), [1, 1])
