@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles as O
-from metrolens.operators import counts, lowrank, series
+from metrolens.operators import counts, lowrank, sections, series
 from metrolens.functions import dates as D
 from metrolens.functions.dates import date_str, trailing_window
 from metrolens.plans import descriptive as Q
 from metrolens.plans import fit as FIT
 from metrolens.plans import forecast as FC
-from metrolens.session import reliable_checkpoint, scratch_path
+from metrolens.session import scratch_path
 from metrolens.streaming import rollup as R
 from metrolens.plans.inputs import Inputs
 from metrolens.sources import tables
@@ -57,6 +57,7 @@ def ev_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
 def od_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(trips=TD.stored_trips(spark, sf_dir, "od"), users=TD.users_v(spark, sf_dir),
+                  workdays=TD.stored_view(spark, sf_dir, "workdays_od"),
                   stations=TD.stored_view(spark, sf_dir, "stations_od"))
 
 
@@ -119,8 +120,9 @@ def forecast_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = trailing_window(O.EV_FORECAST_START, series.TREND_LAG)
     daily = counts.station_day_counts(inp.trips, lo, hi, {"station_in": ("in", None)}) \
         .select(F.col("entity").alias("station"), "day", "flow")
+    stations = inp.stations.select(F.col("station_name").alias("station"))
     fc = series.recursive_forecast(daily, inp.workdays, ["station"], TD.FIXTURE_TOTAL,
-                                   O.EV_FORECAST_START, O.FORECAST_STEPS)
+                                   O.EV_FORECAST_START, O.FORECAST_STEPS, entities=stations)
     return fc.select("station", date_str("day").alias("time"), "is_workday", "flow")
 
 
@@ -128,7 +130,7 @@ def basis_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = ev_inputs(spark, sf_dir)
     basis, _ = _station_params(spark, inp, FC.STATION_SERIES)
     q = lowrank.project(FC.station_panel(inp, O.EV_FORECAST_START), lowrank.projection_weights(basis))
-    return q.select("model", date_str("day").alias("day"), "factor", F.round("q", 6).alias("q"))
+    return q.select("model", date_str("day").alias("day"), "factor", (F.round("q", 6) + 0.0).alias("q"))
 
 
 def basis_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +139,7 @@ def basis_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis, _ = _station_params(spark, inp, FC.STATION_SERIES)
     q = lowrank.project(FC.station_panel(inp, O.EV_FORECAST_START), lowrank.projection_weights(basis))
     rec = lowrank.reconstruct_panel(q, basis)
-    return rec.select("model", "entity", date_str("day").alias("day"), F.round("value", 6).alias("value"))
+    return rec.select("model", "entity", date_str("day").alias("day"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 def forecast_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +152,7 @@ def forecast_station_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = ev_inputs(spark, sf_dir)
     basis, coef = _station_params(spark, inp, FC.STATION_SERIES)
     return FC.predict_single_station_flow(inp, O.EV_STATION, O.EV_FORECAST_START, basis, coef,
-                                          n=O.FORECAST_STEPS, checkpoint=reliable_checkpoint(spark))
+                                          n=O.FORECAST_STEPS)
 
 
 def forecast_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +161,17 @@ def forecast_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FC.predict_section_flow(inp, O.EV_LINE, O.EV_FORECAST_START, basis, coef)
 
 
+def bridge_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Event inputs with the section bridge read from its JSON file (A5)."""
+    return ev_inputs(spark, sf_dir).with_(section_bridge=sections.read_section_bridge(spark, TD.section_json(spark)))
+
+
+def forecast_sections_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = bridge_inputs(spark, sf_dir)
+    basis, coef = _section_params(spark, inp)
+    return FC.predict_section_flow(inp, O.EV_LINE, O.EV_FORECAST_START, basis, coef)
+
+
 def forecast_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = ev_inputs(spark, sf_dir)
     basis, coef = _station_params(spark, inp, FC.PEAK_SERIES)
@@ -166,6 +179,8 @@ def forecast_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OD_RANK = 4
+REFRESH_DAY = "2024-01-10"
+STREAM_FILES = 4                          # micro-batches of the streaming check
 TRIP_COLUMNS = ["time_in", "time_out", "station_in", "station_out", "line_in", "line_out"]
 OD_FORECAST_START = "2001-08-02"          # day after the last order date
 
@@ -180,59 +195,104 @@ def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("day", date_str("day"))
 
 
-def _written_rollup(spark: SparkSession, trips: DataFrame, grain: str = "day") -> DataFrame:
-    """Build the rollup, write it to the shared checkpoint folder, read it back."""
-    path = scratch_path(spark, "rollup")
-    R.write_rollup(R.trip_rollup(trips), path, grain)
-    return R.read_rollup(spark, path)
+_ROLLUPS: dict[tuple, str] = {}
+
+
+def _rollup(spark: SparkSession, sf_dir: str, kind: str = "ev", grain: str = "day") -> DataFrame:
+    """The stored rollup of a trip view, built once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind, grain)
+    if key not in _ROLLUPS:
+        path = scratch_path(spark, f"rollup-{kind}")
+        R.write_rollup(R.trip_rollup(TD.stored_trips(spark, sf_dir, kind)), path, grain)
+        _ROLLUPS[key] = path
+    return R.read_rollup(spark, _ROLLUPS[key])
+
+
+def day_type_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workdays = ev_inputs(spark, sf_dir).workdays
+    return _round(R.day_type_flow_from_rollup(_rollup(spark, sf_dir), workdays, O.EV_START, O.EV_END))
+
+
+def forecast_total_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = R.daily_from_rollup(_rollup(spark, sf_dir), *trailing_window(O.EV_FORECAST_START, series.TREND_LAG))
+    return FC.predict_total_flow(ev_inputs(spark, sf_dir), O.EV_FORECAST_START, O.FORECAST_STEPS,
+                                 TD.FIXTURE_TOTAL, daily=daily)
+
+
+def _panel_from_rollup(spark: SparkSession, sf_dir: str, spec: dict) -> DataFrame:
+    return R.station_days_from_rollup(_rollup(spark, sf_dir), *trailing_window(O.EV_FORECAST_START, O.WINDOW), spec)
+
+
+def forecast_stations_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    basis, coef = _station_params(spark, inp, FC.STATION_SERIES)
+    return FC.predict_stations_flow(inp, O.EV_FORECAST_START, basis, coef,
+                                    panel=_panel_from_rollup(spark, sf_dir, FC.STATION_SERIES))
+
+
+def forecast_peak_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = ev_inputs(spark, sf_dir)
+    basis, coef = _station_params(spark, inp, FC.PEAK_SERIES)
+    return FC.predict_peak_flow(inp, O.EV_FORECAST_START, basis, coef,
+                                panel=_panel_from_rollup(spark, sf_dir, FC.PEAK_SERIES))
+
+
+def rollup_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollup written before one day's trips had arrived, then refreshed on
+    the days these trips count on: equal to the rollup of all trips."""
+    trips = ev_inputs(spark, sf_dir).trips
+    late = F.to_date("time_in") == F.lit(D.as_date(REFRESH_DAY))
+    path = scratch_path(spark, "rollup-refresh")
+    R.write_rollup(R.trip_rollup(trips.where(~late)), path)
+    R.refresh_rollup(trips, path, R.event_days(trips.where(late)))
+    return R.read_rollup(spark, path).drop("month").withColumn("day", date_str("day"))
 
 
 def stations_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    rollup = _rollup(spark, sf_dir)
     return R.stations_flow_from_rollup(rollup, O.EV_START, O.EV_END)
 
 
 def peak_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    rollup = _rollup(spark, sf_dir)
     return R.peak_flow_from_rollup(rollup, O.EV_START, O.EV_END)
 
 
 def month_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = D.month_bounds(O.EV_MONTH)
-    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    rollup = _rollup(spark, sf_dir)
     return R.month_flow_from_rollup(rollup, lo, hi)
 
 
 def station_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = _written_rollup(spark, ev_inputs(spark, sf_dir).trips)
+    rollup = _rollup(spark, sf_dir)
     return R.station_flow_from_rollup(rollup, O.EV_STATION, O.EV_START, O.EV_END)
 
 
 def section_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = ev_inputs(spark, sf_dir)
-    od = R.od_flow_from_rollup(_written_rollup(spark, inp.trips), O.EV_START, O.EV_END)
+    od = R.od_flow_from_rollup(_rollup(spark, sf_dir), O.EV_START, O.EV_END)
     return Q.section_flow(inp, O.EV_LINE, O.EV_START, O.EV_END, od=od)
 
 
 def line_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = _written_rollup(spark, od_inputs(spark, sf_dir).trips, grain="month")   # 7 years
+    rollup = _rollup(spark, sf_dir, "od", grain="month")   # 10 years
     return R.line_flow_from_rollup(rollup, O.OD_START, O.OD_END)
 
 
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trip files -> streaming hourly rollup (watermark 1 day) -> closed windows."""
+    """Trip files -> one micro-batch per file, in the order of a hash and not
+    of time -> summed partial counts."""
     src, sink, ckpt = (scratch_path(spark, n) for n in ("trips-src", "rollup-sink", "rollup-ckpt"))
     trips = ev_inputs(spark, sf_dir).trips.select(*TRIP_COLUMNS)
-    trips.repartition(4, F.to_date("time_in")).write.parquet(src)
-    R.stream_rollup(spark, src, sink, ckpt).awaitTermination()
-    out = spark.read.schema("side string, hour int, station string, line string, peer_station string, "
-                            "peer_line string, n long, day date").parquet(sink)
-    return out.withColumn("day", date_str("day"))
+    trips.repartition(STREAM_FILES, F.xxhash64(*TRIP_COLUMNS)).write.parquet(src)
+    R.stream_rollup(spark, src, sink, ckpt, max_files_per_trigger=1).awaitTermination()
+    return R.read_stream_rollup(spark, sink).drop("month").withColumn("day", date_str("day"))
 
 
 def fit_total_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaler + regression on the whole order history; returns the raw weights."""
-    model = FIT.fit_total_model(od_inputs(spark, sf_dir), O.OD_START, O.OD_END)
+    model = FIT.fit_total_model(od_inputs(spark, sf_dir), O.OD_START, O.OD_TRAIN_END)
     return FIT.coefficient_table(spark, FIT.total_coefficients(model))
 
 
@@ -240,7 +300,7 @@ def forecast_total_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear one-step model fitted on the order history, turned into raw
     weights and folded 7 days ahead (M1-M3 end to end)."""
     inp = od_inputs(spark, sf_dir)
-    coef = FIT.total_coefficients(FIT.fit_total_model(inp, O.OD_START, O.OD_END))
+    coef = FIT.total_coefficients(FIT.fit_total_model(inp, O.OD_START, O.OD_TRAIN_END))
     return FC.predict_total_flow(inp, OD_FORECAST_START, O.FORECAST_STEPS, coef)
 
 
@@ -248,9 +308,8 @@ def forecast_total_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted one-step model fitted on the order history, then a
     7-day recursive forecast from the day after it."""
     inp = od_inputs(spark, sf_dir)
-    model = FIT.fit_total_model(inp, O.OD_START, O.OD_END, regressor="gbt")
-    return FC.predict_total_flow_model(inp, OD_FORECAST_START, O.FORECAST_STEPS, model,
-                                       checkpoint=reliable_checkpoint(spark))
+    model = FIT.fit_total_model(inp, O.OD_START, O.OD_TRAIN_END, regressor="gbt")
+    return FC.predict_total_flow_model(inp, OD_FORECAST_START, O.FORECAST_STEPS, model)
 
 
 def fit_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,6 +404,15 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "station_flow_from_rollup": station_flow_from_rollup,
         "section_flow_from_rollup": section_flow_from_rollup,
         "line_flow_from_rollup": line_flow_from_rollup,
+        "section_bridge": lambda s, p: bridge_inputs(s, p).section_bridge,
+        "section_flow_bridge": lambda s, p: Q.section_flow(bridge_inputs(s, p), O.EV_LINE, O.EV_START, O.EV_END),
+        "section_flow_bridge_daily": lambda s, p: Q.section_flow_daily(bridge_inputs(s, p), O.EV_START, O.EV_END),
+        "forecast_sections_bridge": forecast_sections_bridge,
+        "day_type_flow_from_rollup": day_type_flow_from_rollup,
+        "forecast_total_from_rollup": forecast_total_from_rollup,
+        "forecast_stations_from_rollup": forecast_stations_from_rollup,
+        "forecast_peak_from_rollup": forecast_peak_from_rollup,
+        "rollup_refresh": rollup_refresh,
         "stream_rollup": stream_rollup,
     }
 

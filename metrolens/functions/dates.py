@@ -33,21 +33,11 @@ def month_bounds(time_ym: str) -> tuple[dt.date, dt.date]:
     return dt.date(year, month, 1), dt.date(year, month, calendar.monthrange(year, month)[1])
 
 
-def day_of(ts_col: str | Column) -> Column:
-    return F.to_date(ts_col)
-
-
 def in_days(ts_col: str | Column, lo, hi) -> Column:
     """Inclusive calendar-day range on a timestamp column."""
     return F.to_date(ts_col).between(F.lit(as_date(lo)), F.lit(as_date(hi)))
 
 
-def in_month(ts_col: str | Column, time_ym: str) -> Column:
-    """Year-month filter (B3), written as a range so it is pushed down."""
-    lo, hi = month_bounds(time_ym)
-    return in_days(ts_col, lo, hi)
-
-
 def in_hour_band(ts_col: str | Column, band: tuple[int, int]) -> Column:
     """Inclusive hour band."""
     return F.hour(ts_col).between(band[0], band[1])

@@ -32,8 +32,3 @@ def clip_round(x: Column) -> Column:
 def round_even(x: Column) -> Column:
     """Total forecast: round half to even, no clip."""
     return F.bround(x, 0)
-
-
-def as_count(x: Column) -> Column:
-    """Flows are integers in the reference's records."""
-    return x.cast("long")

@@ -6,11 +6,13 @@ Q = pinv(P) A, one k-vector per day. A per-factor autoregression over the
 last ``window`` days gives the next day's factor vector q, and the
 forecast is ``round_half_even(max(P q, 0))`` for every entity of P.
 
-pinv(P) = pinv(P^T P) P^T holds for any P. The Gram P^T P is k x k per
-model (k = basis rank), so its pseudo-inverse is computed per model in an
-``applyInPandas`` group whose size is bounded by k^2, never by the data.
-Everything else is joins on (model, entity) or (model, factor) followed
-by sums - the panel itself is never gathered.
+The inverse comes from the singular values of P itself: every task reduces
+its rows of P to a triangle by QR, the triangles of a model (k x k each) are
+stacked, and their SVD gives V and S with pinv(P) = V S^-2 V^T P^T, small
+singular values cut where numpy's ``pinv`` cuts them. The rank k of a basis
+is bounded by ``MAX_RANK``, so whatever is held per model - the triangle, a
+factor vector, the factor history - is bounded by parameters and never by
+the data. The panel itself is never gathered.
 """
 
 from __future__ import annotations
@@ -18,44 +20,83 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrolens.functions.dates import as_date
 from metrolens.functions.numeric import clip_round
+from metrolens.session import scratch_path
 
 WINDOW_DAYS = 28
-_GRAM_SCHEMA = "model string, f1 int, f2 int, g double"
-
-
-def _pinv_gram(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pseudo-inverse of one model's k x k Gram matrix (k^2 rows in, k^2 out)."""
-    factors = np.sort(pd.unique(pd.concat([pdf["f1"], pdf["f2"]])))
-    idx = {f: i for i, f in enumerate(factors)}
-    g = np.zeros((len(factors), len(factors)))
-    g[pdf["f1"].map(idx).to_numpy(), pdf["f2"].map(idx).to_numpy()] = pdf["g"].to_numpy()
-    inv = np.linalg.pinv(g, hermitian=True)
-    # Round-off noise is not structure: keep a sparse basis sparse.
-    inv[np.abs(inv) <= 1e-12 * max(np.abs(inv).max(), 1e-300)] = 0.0
-    f1, f2 = np.meshgrid(factors, factors, indexing="ij")
-    return pd.DataFrame({"model": pdf["model"].iloc[0], "f1": f1.ravel().astype("int32"),
-                         "f2": f2.ravel().astype("int32"), "g": inv.ravel()})
+MAX_RANK = 256
+_RCOND = 1e-15            # numpy.linalg.pinv's default
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def packed_basis(basis: DataFrame) -> DataFrame:
+    """(model, entity, factors, w): one row per entity with its dense weights
+    in the order of the model's factor numbers. All-zero rows are kept."""
+    factors = basis.groupBy("model").agg(F.sort_array(F.collect_set("factor")).alias("factors"))
+    checked = factors.select("model", F.when(
+        F.size("factors") > MAX_RANK, F.raise_error(F.lit(f"a basis has more than {MAX_RANK} factors")).cast("array<int>"))
+        .otherwise(F.col("factors")).alias("factors"))
+    rows = basis.groupBy("model", "entity").agg(
+        F.map_from_entries(F.collect_list(F.struct("factor", "weight"))).alias("m"))
+    # one row of at most MAX_RANK numbers per model: a bounded broadcast
+    return rows.join(F.broadcast(checked), "model").select(
+        "model", "entity", "factors",
+        F.transform("factors", lambda f: F.coalesce(F.element_at("m", f), F.lit(0.0))).alias("w"))
+
+
+def _triangles(batches):
+    """mapInArrow step: the triangle R of each model's rows in a task."""
+    import pyarrow as pa
+
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        models = np.array(batch.column("model").to_pylist(), dtype=object)
+        rows = batch.column("w").to_pylist()
+        for m in dict.fromkeys(models.tolist()):
+            own = np.array([rows[i] for i in np.flatnonzero(models == m)], float)
+            stacked = np.vstack([held[m], own]) if m in held else own
+            held[m] = np.linalg.qr(stacked, mode="r")
+    yield pa.RecordBatch.from_pydict(
+        {"model": pa.array(list(held), pa.string()),
+         "r": pa.array([t.ravel().tolist() for t in held.values()], pa.list_(pa.float64())),
+         "k": pa.array([t.shape[1] for t in held.values()], pa.int32())})
+
+
+def _inverse_gram(table):
+    """applyInArrow step: a model's stacked triangles -> V S^-2 V^T, row by row."""
+    import pyarrow as pa
+
+    k = table.column("k")[0].as_py()
+    stacked = np.vstack([np.array(r).reshape(-1, k) for r in table.column("r").to_pylist()])
+    _, s, vt = np.linalg.svd(stacked, full_matrices=False)
+    keep = s > _RCOND * s.max(initial=0.0)
+    inv = (vt[keep].T / s[keep] ** 2) @ vt[keep]
+    return pa.table({"model": table.column("model").slice(0, 1), "inv": pa.array([inv.ravel().tolist()], pa.list_(pa.float64()))})
+
+
+def packed_weights(basis: DataFrame) -> DataFrame:
+    """(model, entity, factors, w, pw) with pw the entity's column of pinv(P)."""
+    packed = packed_basis(basis)
+    triangles = packed.select("model", "w").mapInArrow(_triangles, "model string, r array<double>, k int")
+    inverse = triangles.groupBy("model").applyInArrow(_inverse_gram, "model string, inv array<double>")
+    k = F.size("factors")
+    column = F.transform(F.sequence(F.lit(0), k - 1), lambda j: _dot(F.col("w"), F.slice("inv", j * k + 1, k)))
+    # k^2 numbers per model: a bounded broadcast
+    return packed.join(F.broadcast(inverse), "model").select("model", "entity", "factors", "w", column.alias("pw"))
 
 
 def projection_weights(basis: DataFrame) -> DataFrame:
     """(model, entity, factor, pw) with pw = pinv(P)^T, so Q = sum_e pw * A."""
-    a = basis.select("model", "entity", F.col("factor").alias("f1"), F.col("weight").alias("w1"))
-    b = basis.select("model", "entity", F.col("factor").alias("f2"), F.col("weight").alias("w2"))
-    gram = (a.join(b, ["model", "entity"]).groupBy("model", "f1", "f2")
-            .agg(F.sum(F.col("w1") * F.col("w2")).alias("g")))
-    ginv = gram.groupBy("model").applyInPandas(_pinv_gram, _GRAM_SCHEMA)
-    # ginv has at most models x k^2 rows (k = basis rank): a bounded broadcast,
-    # and the join key (model, factor) has too few values to shuffle on.
-    return (a.join(F.broadcast(ginv.where(F.col("g") != 0)), ["model", "f1"])
-            .groupBy("model", "entity", F.col("f2").alias("factor"))
-            .agg(F.sum(F.col("w1") * F.col("g")).alias("pw"))
-            .where(F.col("pw") != 0))
+    zipped = F.explode(F.arrays_zip("factors", "pw"))
+    return (packed_weights(basis).select("model", "entity", zipped.alias("z"))
+            .select("model", "entity", F.col("z.factors").alias("factor"), F.col("z.pw").alias("pw")))
 
 
 def project(panel: DataFrame, pw: DataFrame) -> DataFrame:
@@ -98,58 +139,60 @@ def next_factors(history: DataFrame, coef: DataFrame, target) -> DataFrame:
 
 
 def low_rank_forecast(panel: DataFrame, basis: DataFrame, coef: DataFrame, start, n: int = 1,
-                      window: int = WINDOW_DAYS, checkpoint=None, cut_every: int = 2) -> DataFrame:
+                      window: int = WINDOW_DAYS) -> DataFrame:
     """n-step forecast for every (model, entity) of the basis.
 
     ``panel``: (model, entity, day, flow) - only days in
     ``[start - window, start - 1]`` are used; missing cells are zeros.
     Each step's clipped, rounded forecast is projected back and appended
     to the factor history, as the reference re-projected its own
-    predictions. The state (factor history, models x k x window rows, plus
-    the forecasts so far) is cut from its lineage every ``cut_every`` steps
-    by ``checkpoint`` (a reliable checkpoint into the shared checkpoint
-    folder), so the plan does not grow with n; between cuts Spark reuses
-    the identical exchanges of the repeated sub-plans.
+    predictions. For n > 1 the packed basis is written once; a step is one
+    pass over it that returns the next factor vector of each model, and the
+    history of these vectors (models x k x window numbers) is the only state.
     Returns (model, entity, day, flow) with flow a long.
     """
     start = as_date(start)
-    lo = start - dt.timedelta(days=window)
-    cut = checkpoint or (lambda df: df)
-    if n > 1:
-        # Reused by every step: materialise the (parameter-sized) basis once.
-        basis = cut(basis)
-        pw = cut(projection_weights(basis))
-    else:
-        pw = projection_weights(basis)
-    hist = project(panel.where(F.col("day").between(F.lit(lo), F.lit(start - dt.timedelta(days=1)))), pw)
-
-    def step(hist: DataFrame, target: dt.date) -> DataFrame:
-        q = next_factors(hist, coef, target)
+    known = panel.where(F.col("day").between(F.lit(start - dt.timedelta(days=window)),
+                                             F.lit(start - dt.timedelta(days=1))))
+    if n == 1:
+        q = next_factors(project(known, projection_weights(basis)), coef, start)
         return (reconstruct(q, basis)
-                .select("model", "entity", F.lit(target).alias("day"),
+                .select("model", "entity", F.lit(start).alias("day"),
                         clip_round(F.col("value")).cast("long").alias("flow")))
 
-    if n == 1:
-        return step(hist, start)
-    # State = factor history rows (entity null) + forecasts so far (factor
-    # null); each step appends one day of both and is cut from its lineage,
-    # so the final answer is a filter of the last state - nothing recomputed.
-    state = hist.select("model", F.lit(None).cast("string").alias("entity"), "day", "factor", "q",
-                        F.lit(None).cast("long").alias("flow"))
-    # The state is parameter-sized (models x (k x window + entities x n));
-    # keep its partition count from growing with every union.
-    parts = max(1, panel.sparkSession.sparkContext.defaultParallelism)
+    spark = panel.sparkSession
+    path = scratch_path(spark, "packed-basis")
+    weights = packed_weights(basis)
+    weights.write.parquet(path)
+    packed = spark.read.schema(weights.schema).parquet(path)
+    order = {r["model"]: r["factors"] for r in packed.groupBy("model").agg(F.first("factors").alias("factors")).collect()}
+    lags: dict[tuple, float] = {(r["model"], r["factor"], r["lag"]): r["weight"] for r in coef.collect() if r["model"] in order}
+    history: dict[tuple, float] = {}
+
+    def remember(rows) -> None:
+        for r in rows.collect():                         # models x k numbers per day
+            history[r["model"], r["factor"], r["day"]] = r["q"]
+
+    def vectors(target: dt.date) -> DataFrame:
+        rows = [(m, target, [float(sum(w * history.get((m, f, target - dt.timedelta(days=lag)), 0.0)
+                                       for (mm, ff, lag), w in lags.items() if mm == m and ff == f))
+                             for f in fs]) for m, fs in order.items()]
+        return spark.createDataFrame(rows, "model string, day date, q array<double>")
+
+    def forecast(q: DataFrame) -> DataFrame:
+        flow = clip_round(_dot(F.col("w"), F.col("q"))).cast("long")
+        return packed.join(F.broadcast(q), "model").select("model", "entity", "day", flow.alias("flow"), "factors", "pw")
+
+    remember(project(known, projection_weights(basis)))
+    steps = []
     for i in range(n):
-        target = start + dt.timedelta(days=i)
-        h = state.where(F.col("entity").isNull() & (F.col("day") > F.lit(target - dt.timedelta(days=window + 1))))
-        a = step(h.select("model", "day", "factor", "q"), target)
-        new_q = project(a.select("model", "entity", "day", F.col("flow").cast("double").alias("flow")), pw)
-        state = (state
-                 .unionByName(a.select("model", "entity", "day", F.lit(None).cast("int").alias("factor"),
-                                       F.lit(None).cast("double").alias("q"), "flow"))
-                 .unionByName(new_q.select("model", F.lit(None).cast("string").alias("entity"), "day",
-                                           "factor", "q", F.lit(None).cast("long").alias("flow")))
-                 .coalesce(parts))
-        if (i + 1) % max(1, cut_every) == 0 or i == n - 1:
-            state = cut(state)
-    return state.where(F.col("entity").isNotNull()).select("model", "entity", "day", "flow")
+        q = vectors(start + dt.timedelta(days=i))
+        steps.append(q)
+        if i < n - 1:
+            cells = forecast(q).select("model", "day", "flow", F.explode(F.arrays_zip("factors", "pw")).alias("z"))
+            remember(cells.groupBy("model", "day", F.col("z.factors").alias("factor"))
+                     .agg(F.sum(F.col("flow") * F.col("z.pw")).alias("q")))
+    every = steps[0]
+    for q in steps[1:]:
+        every = every.union(q)
+    return forecast(every).select("model", "entity", "day", "flow")

@@ -32,10 +32,14 @@ def read_section_bridge(spark: SparkSession, path: str) -> DataFrame:
     Sections keep their position in the line's list (``section_id``, from
     0); a section without related pairs is kept with null OD columns.
     Duplicate related pairs are kept (each counts once more, as in the
-    reference).
+    reference). Malformed JSON, and JSON that is not one such object, is an
+    error. The file is a parameter of the size of the track network.
     """
     raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.from_json("value", schemas.SECTION_OD_JSON).alias("m"))
+    parsed = raw.select(F.from_json("value", schemas.SECTION_OD_JSON, {"mode": "FAILFAST"}).alias("m"))
+    bad = F.raise_error(F.lit("the section file holds no object of lines"))
+    parsed = parsed.select(F.when(F.col("m").isNull() | (F.size("m") == 0), bad.cast(schemas.SECTION_OD_JSON))
+                           .otherwise(F.col("m")).alias("m"))
     lines = parsed.select(F.explode("m").alias("line", "sections"))
     secs = lines.select("line", F.posexplode("sections").alias("section_id", "s"))
     return (secs.select("line", F.col("section_id").cast("int"),

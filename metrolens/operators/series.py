@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrolens.functions.dates import as_date, date_str
+from metrolens.session import reliable_checkpoint
 
 # The reference's one-step regression features, in its order:
 # is_workday, lags of 1, 4, 7, 14, 21, 28 days, and lag 1 minus lag 29.
@@ -72,9 +73,12 @@ def lag_features(series: DataFrame, keys: Sequence[str], value: str = "flow") ->
 
 
 def recursive_forecast(series: DataFrame, calendar: DataFrame | None, keys: Sequence[str],
-                       coef: Mapping[str, float], start, n: int) -> DataFrame:
+                       coef: Mapping[str, float], start, n: int, entities: DataFrame | None = None) -> DataFrame:
     """n-step recursive forecast of a linear one-step model.
 
+    Every row of ``entities`` (keys) gets a forecast, also a series without
+    any flow; without ``entities`` the series of ``series`` do.
+
     ``series`` has (keys, day, flow) with flows for the 29 days before
     ``start`` (missing days count 0); ``calendar`` has (time, workday).
     ``coef`` maps FEATURES and "intercept" to weights on the raw features.
@@ -86,7 +90,7 @@ def recursive_forecast(series: DataFrame, calendar: DataFrame | None, keys: Sequ
     start = as_date(start)
     hist_lo = start - dt.timedelta(days=TREND_LAG)
     hi = start + dt.timedelta(days=n - 1)
-    ents = series.select(*keys).distinct()
+    ents = (series if entities is None else entities).select(*keys).distinct()
     grid = ents.withColumn("day", days_column(hist_lo, hi))
     flags = None
     if calendar is not None:
@@ -145,20 +149,21 @@ def step_features(history: DataFrame, calendar: DataFrame | None, keys: Sequence
 
 
 def recursive_forecast_model(series: DataFrame, calendar: DataFrame | None, keys: Sequence[str],
-                             model, start, n: int, checkpoint=None) -> DataFrame:
+                             model, start, n: int, entities: DataFrame | None = None) -> DataFrame:
     """n-step recursive forecast with any fitted Spark ML model (M3 for
     non-linear regressors, e.g. gradient-boosted trees).
 
     Each step builds the target day's features per series from the
     history, scores them with ``model.transform`` (the model's pipeline
     assembles ``FEATURES`` itself), rounds half to even and appends the
-    prediction; the history is cut from its lineage every step.
+    prediction; the history is cut from its lineage every step by a reliable
+    checkpoint in the shared folder. ``entities`` as in ``recursive_forecast``.
     Returns (keys, day, is_workday, flow).
     """
     start = as_date(start)
-    cut = checkpoint or (lambda df: df)
+    cut = reliable_checkpoint(series.sparkSession)
     lo = start - dt.timedelta(days=TREND_LAG)
-    ents = series.select(*keys).distinct()
+    ents = (series if entities is None else entities).select(*keys).distinct()
     hist = (ents.withColumn("day", days_column(lo, start - dt.timedelta(days=1)))
             .join(series.where(F.col("day") >= F.lit(lo)), [*keys, "day"], "left")
             .select(*keys, "day", F.coalesce(F.col("flow"), F.lit(0)).cast("double").alias("flow"),

@@ -34,8 +34,12 @@ def day_type_flow(inp: Inputs, start, end) -> DataFrame:
     and an empty group is 0.
     """
     inp.require("workdays")
-    daily = counts.daily_counts(inp.trips, "time_in", start, end)
-    cal = inp.workdays.select("time", (F.col("workday") == 1).alias("is_workday"))
+    return day_type_means(counts.daily_counts(inp.trips, "time_in", start, end), inp.workdays)
+
+
+def day_type_means(daily: DataFrame, workdays: DataFrame) -> DataFrame:
+    """(workday, weekend) means of daily flows (time, flow)."""
+    cal = workdays.select("time", (F.col("workday") == 1).alias("is_workday"))
     # The calendar has one row per day; AQE broadcasts it from its runtime size.
     tagged = daily.join(cal, "time", "left")
     return tagged.agg(

@@ -14,12 +14,13 @@ the same pipelines run on Spark with parameters passed as tables:
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrolens.functions.dates import PEAK_BANDS, date_str, trailing_window
+from metrolens.functions.dates import PEAK_BANDS, date_str, forward_window, trailing_window
 from metrolens.operators import counts, lowrank, sections, series
 from metrolens.plans.inputs import Inputs
 
@@ -68,54 +69,81 @@ def model_entities(entities: DataFrame, entity_col: str, models) -> DataFrame:
                            F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
 
 
-def predict_total_flow(inp: Inputs, start, n: int, coef: Mapping[str, float]) -> DataFrame:
-    """Q9: n-day forecast of total entries -> (time, is_workday, flow)."""
-    lo, hi = trailing_window(start, series.TREND_LAG)
-    daily = counts.daily_counts(inp.trips, "time_in", lo, hi) \
-        .select(F.lit("total").alias("series"), F.col("time").alias("day"), "flow")
-    fc = series.recursive_forecast(daily, inp.workdays, ["series"], coef, start, n)
+def _total_daily(inp: Inputs, start, daily: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The one total series, and its entity table: it is forecast even when
+    the window has no trip at all."""
+    if daily is None:
+        lo, hi = trailing_window(start, series.TREND_LAG)
+        daily = counts.daily_counts(inp.trips, "time_in", lo, hi)
+    total = daily.select(F.lit("total").alias("series"), F.col("time").alias("day"), "flow")
+    return total, daily.sparkSession.range(1).select(F.lit("total").alias("series"))
+
+
+def predict_total_flow(inp: Inputs, start, n: int, coef: Mapping[str, float],
+                       daily: DataFrame | None = None) -> DataFrame:
+    """Q9: n-day forecast of total entries -> (time, is_workday, flow).
+    ``daily`` (time, flow) may be given, e.g. read from the rollup."""
+    total, one = _total_daily(inp, start, daily)
+    fc = series.recursive_forecast(total, inp.workdays, ["series"], coef, start, n, entities=one)
     return fc.select(date_str("day").alias("time"), "is_workday", "flow").orderBy("time")
 
 
-def predict_total_flow_model(inp: Inputs, start, n: int, model, checkpoint=None) -> DataFrame:
+def predict_total_flow_model(inp: Inputs, start, n: int, model) -> DataFrame:
     """Q9 with any fitted one-step Spark ML pipeline (e.g. scaler + GBT),
     scored recursively -> (time, is_workday, flow)."""
-    lo, hi = trailing_window(start, series.TREND_LAG)
-    daily = counts.daily_counts(inp.trips, "time_in", lo, hi) \
-        .select(F.lit("total").alias("series"), F.col("time").alias("day"), "flow")
-    fc = series.recursive_forecast_model(daily, inp.workdays, ["series"], model, start, n, checkpoint)
+    total, one = _total_daily(inp, start, None)
+    fc = series.recursive_forecast_model(total, inp.workdays, ["series"], model, start, n, entities=one)
     return fc.select(date_str("day").alias("time"), "is_workday", "flow").orderBy("time")
 
 
+def _complete(inp: Inputs, fc: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``fc`` (station, ..., flows) with a row for every station of the
+    dimension; a station without basis row gets 0. ``keys`` adds further key
+    columns to each station."""
+    if inp.stations is None:
+        return fc
+    names = inp.stations.select(F.col("station_name").alias("station")).where("station IS NOT NULL").distinct()
+    if keys is not None:
+        names = names.withColumn("_k", F.explode(keys)).select("station", "_k.*")
+    flows = [c for c in fc.columns if c.startswith("flow")]
+    return names.join(fc, names.columns, "left").select(*[c for c in fc.columns if c not in flows],
+                                                        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in flows])
+
+
 def _by_station(fc: DataFrame, in_model: str, out_model: str) -> DataFrame:
     return (fc.groupBy(F.col("entity").alias("station"))
             .agg(F.max(F.when(F.col("model") == in_model, F.col("flow"))).alias("flow_in"),
                  F.max(F.when(F.col("model") == out_model, F.col("flow"))).alias("flow_out")))
 
 
-def predict_stations_flow(inp: Inputs, start, basis: DataFrame, coef: DataFrame) -> DataFrame:
-    """Q10: next-day entries and exits of every station -> (station, flow_in, flow_out)."""
-    panel = station_panel(inp, start)
+def predict_stations_flow(inp: Inputs, start, basis: DataFrame, coef: DataFrame,
+                          panel: DataFrame | None = None) -> DataFrame:
+    """Q10: next-day entries and exits of every station -> (station, flow_in, flow_out).
+    ``panel`` may be given, e.g. read from the rollup."""
+    panel = station_panel(inp, start) if panel is None else panel
     b = basis.where(F.col("model").isin(*STATION_SERIES))
     fc = lowrank.low_rank_forecast(panel, b, coef, start, 1)
-    return _by_station(fc, "station_in", "station_out").orderBy("station")
+    return _complete(inp, _by_station(fc, "station_in", "station_out")).orderBy("station")
 
 
 def predict_single_station_flow(inp: Inputs, station: str, start, basis: DataFrame, coef: DataFrame,
-                                n: int = 7, checkpoint=None) -> DataFrame:
+                                n: int = 7, panel: DataFrame | None = None) -> DataFrame:
     """Q11: n-day entries and exits of one station -> (station, direction, time, flow).
 
     The recursion couples all stations (each step re-projects the whole
     forecast), so every station is forecast and one is reported.
     """
-    panel = station_panel(inp, start)
+    panel = station_panel(inp, start) if panel is None else panel
     b = basis.where(F.col("model").isin(*STATION_SERIES))
-    fc = lowrank.low_rank_forecast(panel, b, coef, start, n, checkpoint=checkpoint)
-    return (fc.where(F.col("entity") == station)
-            .select(F.col("entity").alias("station"),
-                    F.when(F.col("model") == "station_in", "in").otherwise("out").alias("direction"),
-                    date_str("day").alias("time"), "flow")
-            .orderBy("direction", "time"))
+    fc = (lowrank.low_rank_forecast(panel, b, coef, start, n).where(F.col("entity") == station)
+          .select(F.col("entity").alias("station"),
+                  F.when(F.col("model") == "station_in", "in").otherwise("out").alias("direction"),
+                  date_str("day").alias("time"), "flow"))
+    only = inp.with_(stations=None if inp.stations is None else inp.stations.where(F.col("station_name") == station))
+    lo, hi = forward_window(start, n)
+    days = [(lo + dt.timedelta(days=i)).isoformat() for i in range((hi - lo).days + 1)]
+    grid = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(t).alias("time")) for d in ("in", "out") for t in days])
+    return _complete(only, fc, grid).orderBy("direction", "time")
 
 
 def predict_section_flow(inp: Inputs, line: str, start, basis: DataFrame, coef: DataFrame) -> DataFrame:
@@ -131,16 +159,18 @@ def predict_section_flow(inp: Inputs, line: str, start, basis: DataFrame, coef:
             .orderBy("direction", "section_id"))
 
 
-def predict_peak_flow(inp: Inputs, start, basis: DataFrame, coef: DataFrame) -> DataFrame:
+def predict_peak_flow(inp: Inputs, start, basis: DataFrame, coef: DataFrame,
+                      panel: DataFrame | None = None) -> DataFrame:
     """Q13: next-day peak entries and exits per station
     -> (period, station, flow_in, flow_out) for the morning and evening peaks."""
-    panel = station_panel(inp, start, PEAK_SERIES)
+    panel = station_panel(inp, start, PEAK_SERIES) if panel is None else panel
     b = basis.where(F.col("model").isin(*PEAK_SERIES))
     fc = lowrank.low_rank_forecast(panel, b, coef, start, 1)
     parts = F.split("model", "_")
-    return (fc.select(parts.getItem(1).alias("period"), parts.getItem(2).alias("side"),
+    by_period = (fc.select(parts.getItem(1).alias("period"), parts.getItem(2).alias("side"),
                       F.col("entity").alias("station"), "flow")
             .groupBy("period", "station")
             .agg(F.max(F.when(F.col("side") == "in", F.col("flow"))).alias("flow_in"),
-                 F.max(F.when(F.col("side") == "out", F.col("flow"))).alias("flow_out"))
-            .orderBy("period", "station"))
+                 F.max(F.when(F.col("side") == "out", F.col("flow"))).alias("flow_out")))
+    periods = F.array(*[F.struct(F.lit(p).alias("period")) for p in PEAK_BANDS])
+    return _complete(inp, by_period, periods).orderBy("period", "station")

@@ -48,13 +48,16 @@ def load_model(path: str) -> PipelineModel:
 
 def basis_from_npy(spark: SparkSession, npy_path: str, model: str, entities: Sequence[str]) -> DataFrame:
     """Import an entities x k basis saved with numpy; row i belongs to the
-    i-th name of ``sorted(entities)``. Only non-zero loadings are kept."""
+    i-th name of ``sorted(entities)``. Zero loadings are kept, so that every
+    entity stays in the basis. The matrix goes to Spark as Arrow columns."""
     import numpy as np
+    import pyarrow as pa
 
     p = np.load(npy_path)
     names = sorted(entities)
     if p.ndim != 2 or p.shape[0] != len(names):
         raise ValueError(f"basis has shape {p.shape}, expected ({len(names)}, k)")
-    rows = [(model, names[i], int(j), float(p[i, j]))
-            for i in range(p.shape[0]) for j in range(p.shape[1]) if p[i, j] != 0.0]
-    return spark.createDataFrame(rows, schemas.BASIS)
+    n, k = p.shape
+    table = pa.table({"model": pa.array([model] * (n * k), pa.string()), "entity": np.repeat(np.array(names, object), k),
+                      "factor": np.tile(np.arange(k, dtype=np.int32), n), "weight": p.astype(float).ravel()})
+    return spark.createDataFrame(table, schemas.BASIS)

@@ -19,9 +19,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metrolens import schemas
-from metrolens.operators.joins import broadcast_if_small
 
 # Fixed values of the test views (FIXTURES.md section 2).
 EV_LINES = 10                                 # line = k % 10, sequence = k div 10
@@ -30,7 +30,23 @@ CALENDAR_GAPS = [dt.date(2024, 1, 15)]        # left out of the calendar
 CALENDAR_HORIZON_DAYS = 31                    # calendar runs past the last trip day
 USER_SEX_MOD = 2                              # sex = c_custkey % 2
 USER_BIRTH_BASE, USER_BIRTH_MOD = 1915, 110   # birth_year = 1915 + c_custkey % 110
-FIXTURE_RANK = 4                              # basis: entity i -> factor i % 4, weight 1
+FIXTURE_MOD = 3                               # basis of entity i: weights 1 and i % 3 on factors 0 and 1
+FIXTURE_RANK = 2
+QUIET_STATION = (1000, "S_new", "L0", 100)    # a station of stations_ev without any trip: id, name, line, sequence
+# Section bridge written as JSON: line -> sections with their related OD pairs,
+# with cross-line pairs, a repeated pair and a section without pairs.
+FIXTURE_BRIDGE = {
+    "L3": [
+        {"source": "S03", "target": "S13", "related_OD": [("S03", "S13"), ("S03", "S23"), ("S03", "S55"), ("S03", "S55")]},
+        {"source": "S13", "target": "S23", "related_OD": [("S03", "S23"), ("S13", "S23"), ("S42", "S93"), ("S13", "S07")]},
+        {"source": "S23", "target": "S33", "related_OD": []},
+        {"source": "S33", "target": "S43", "related_OD": [("S33", "S43"), ("S33", "S93"), ("S91", "S43"), ("S00", "S99")]},
+    ],
+    "L7": [
+        {"source": "S07", "target": "S17", "related_OD": [("S07", "S17"), ("S07", "S97"), ("S13", "S07"), ("S10", "S20")]},
+        {"source": "S17", "target": "S27", "related_OD": [("S17", "S27"), ("S17", "S33"), ("S55", "S56"), ("S60", "S70")]},
+    ],
+}
 FIXTURE_AR = {1: 0.6, 7: 0.4}                 # factor AR weights by lag, 0 otherwise
 FIXTURE_TOTAL = {"is_workday": 3.0, "lag_1": 1 / 3, "lag_7": 1 / 3, "lag_14": 1 / 3}
 WINDOW_DAYS = 28
@@ -54,62 +70,66 @@ def _line(k: F.Column) -> F.Column:
     return F.concat(F.lit("L"), (k % EV_LINES).cast("string"))
 
 
-def next_event(ev: DataFrame, key: str, ts: str, tie: str, payload: list[str]) -> DataFrame:
-    """Attach each row's successor (by ``ts, tie``) within ``key`` as ``_nxt``.
-
-    A plain ``lead`` over ``partitionBy(key)`` would put a hot key (one user
-    with a third of all rows) in one task. Instead the lead runs inside
-    (key, hour) buckets, and the last row of a bucket takes the first row
-    of the key's next non-empty bucket. A key has at most 24 heads per day,
-    so the heads window is small for every key, hot or not; the heads are a
-    per-bucket top-1 that Spark limits map-side before its shuffle. The
-    rows are already partitioned (and sorted) by (key, bucket) from the
-    lead, so the join with the heads shuffles only the heads.
-    """
-    cur = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"),
-                   *[F.col(c).alias(c) for c in payload])
-    ev = ev.withColumn("_bucket", F.date_trunc("hour", ts)).withColumn("_cur", cur)
-    in_bucket = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
-    legs = (ev.withColumn("_nxt", F.lead("_cur").over(in_bucket))
-            .withColumn("_first", F.row_number().over(in_bucket) == 1))
-    # First row of each (key, bucket) - same shuffle and sort as the lead.
-    heads = (legs.where("_first").select(key, "_bucket", F.col("_cur").alias("_head"))
-             .withColumn("_next_head",
-                         F.lead("_head").over(Window.partitionBy(key).orderBy("_bucket")))
-             .drop("_head"))
-    return (legs.join(heads, [key, "_bucket"], "left")
-            .withColumn("_nxt", F.coalesce("_nxt", "_next_head"))
-            .drop("_next_head", "_bucket", "_cur", "_first"))
-
-
 def next_event_ranged(ev: DataFrame, key: str, ts: str, tie: str, payload: list[str],
                       partitions: int | None = None) -> DataFrame:
     """Exact successor per ``key`` that no key can concentrate in one task.
 
     ``repartitionByRange(key, ts, tie)`` samples the data and cuts it into
     contiguous ranges of about equal size, so a key holding a third of all
-    rows spans many partitions. ``lead`` runs inside each range (accepted
-    only when it has the same key); the last row of a range takes the first
-    row of the next non-empty range, found through a table with one row per
-    range (bounded by the partition count). Two shuffles of the rows, no
-    hot task.
+    rows spans many partitions. One pass over each sorted range attaches the
+    following row and the range number; its result is written once, so both
+    uses below see the same ranges whatever the planner reuses. The last row
+    of a range takes the first row of the next non-empty range, found through
+    a table with one row per range (bounded by the partition count). One
+    shuffle of the rows, no hot task.
     """
+    from metrolens.session import scratch_path
+
     spark = ev.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cur = F.struct(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tie).alias("tie"),
                    *[F.col(c).alias(c) for c in payload])
-    ranged = (ev.repartitionByRange(n, key, ts, tie)
+    ranged = (ev.repartitionByRange(n, key, ts, tie).sortWithinPartitions(key, ts, tie)
               .withColumn("_range", F.spark_partition_id()).withColumn("_cur", cur))
-    legs = ranged.withColumn("_nxt", F.lead("_cur").over(
-        Window.partitionBy("_range").orderBy(key, ts, tie)))
-    # one row per non-empty range: its first row, and the next range's first row
-    heads = (legs.groupBy("_range").agg(F.min("_cur").alias("_head"))
+    paired = ranged.withColumn("_nxt", F.col("_cur")).withColumn("_first", F.lit(False))
+    path = scratch_path(spark, "next-event")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in paired.schema])      # the last row has no next
+    paired.mapInArrow(_attach_next, schema).write.parquet(path)
+    legs = spark.read.schema(schema).parquet(path)
+    heads = (legs.where("_first").select("_range", F.col("_cur").alias("_head"))
              .withColumn("_next_head", F.lead("_head").over(Window.orderBy("_range")))
              .select("_range", "_next_head"))
     cand = F.coalesce("_nxt", "_next_head")
     return (legs.join(F.broadcast(heads), "_range", "left")
             .withColumn("_nxt", F.when(cand["key"] == F.col(key), cand))
-            .drop("_next_head", "_range", "_cur"))
+            .drop("_next_head", "_range", "_cur", "_first"))
+
+
+def _attach_next(batches):
+    """mapInArrow step over a sorted partition: ``_nxt`` becomes the next
+    row's ``_cur`` (null in the last row), ``_first`` marks the first row."""
+    import pyarrow as pa
+
+    held, first = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        out, nxt = rows.slice(0, rows.num_rows - 1), rows.slice(1)
+        held = rows.slice(rows.num_rows - 1)
+        if out.num_rows:
+            yield _paired(out, nxt.column("_cur"), first)
+            first = False
+    if held is not None:
+        yield _paired(held, pa.nulls(1, held.schema.field("_cur").type), first)
+
+
+def _paired(rows, nxt, first: bool):
+    import pyarrow as pa
+
+    marks = pa.array([first] + [False] * (rows.num_rows - 1), pa.bool_())
+    return (rows.set_column(rows.schema.get_field_index("_nxt"), "_nxt", nxt)
+            .set_column(rows.schema.get_field_index("_first"), "_first", marks))
 
 
 def trips_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +160,7 @@ def stored_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _STORED:
         derive = {"trips_ev": trips_ev, "trips_od": trips_od, "stations_ev": stations_ev,
-                  "stations_od": stations_od, "workdays_v": workdays_v}[name]
+                  "stations_od": stations_od, "workdays_v": workdays_v, "workdays_od": workdays_od}[name]
         df = derive(spark, sf_dir)
         if name.startswith("trips"):
             df = df.sortWithinPartitions("time_in")
@@ -158,13 +178,13 @@ def stored_trips(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def _nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _table(spark, sf_dir, "nation")
     region = _table(spark, sf_dir, "region")
-    return nation.join(broadcast_if_small(region), nation.n_regionkey == region.r_regionkey) \
+    return nation.join(region, nation.n_regionkey == region.r_regionkey) \
                  .select("n_nationkey", "n_name", "r_name")
 
 
 def trips_od(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys from order lines: customer nation -> supplier nation."""
-    nr = broadcast_if_small(_nation_region(spark, sf_dir))
+    nr = _nation_region(spark, sf_dir)
     li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = (_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -182,11 +202,14 @@ def trips_od(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stations_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station dimension of ``trips_ev``: every station number seen in events."""
+    """Station dimension of ``trips_ev``: every station number seen in
+    events, and one station without any trip."""
     ks = events_k(spark, sf_dir).select("k").where(F.col("k").isNotNull()).distinct()
-    return ks.select(F.col("k").alias("id"), _station(F.col("k")).alias("station_name"),
+    seen = ks.select(F.col("k").alias("id"), _station(F.col("k")).alias("station_name"),
                      _line(F.col("k")).alias("line_name"), F.lit(None).cast("string").alias("district"),
                      (F.col("k") / EV_LINES).cast("int").alias("sequence"))
+    quiet = [F.lit(v).alias(c) for v, c in zip(QUIET_STATION, ("id", "station_name", "line_name", "sequence"))]
+    return seen.unionByName(spark.range(1).select(*quiet, F.lit(None).cast("string").alias("district")))
 
 
 def stations_od(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,8 +234,16 @@ def workdays_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     Saturday/Sunday and the holidays are 0, other days 1; the gap days are
     left out so that a day missing from the calendar is exercised.
     """
-    ev = events_k(spark, sf_dir)
-    bounds = ev.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi"))
+    return _calendar(events_k(spark, sf_dir), "ts")
+
+
+def workdays_od(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same calendar over the order history."""
+    return _calendar(_table(spark, sf_dir, "orders"), "o_orderdate")
+
+
+def _calendar(rows: DataFrame, ts: str) -> DataFrame:
+    bounds = rows.agg(F.min(F.to_date(ts)).alias("lo"), F.max(F.to_date(ts)).alias("hi"))
     days = bounds.select(F.explode(F.sequence(
         "lo", F.date_add("hi", CALENDAR_HORIZON_DAYS))).alias("time"))
     holiday = F.col("time").isin([F.lit(d) for d in HOLIDAYS])
@@ -221,12 +252,27 @@ def workdays_v(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("time", F.when(holiday | weekend, 0).otherwise(1).cast("int").alias("workday")))
 
 
-def fixture_basis(entities: DataFrame, rank: int = FIXTURE_RANK) -> DataFrame:
-    """Basis with orthogonal columns: entity i (by name within its model)
-    loads only on factor ``i % rank`` with weight 1."""
+def fixture_basis(entities: DataFrame) -> DataFrame:
+    """Basis with two columns that are not orthogonal: entity i (by name
+    within its model) has weight 1 on factor 0 and i % 3 on factor 1."""
     i = F.row_number().over(Window.partitionBy("model").orderBy("entity")) - 1
-    return entities.select("model", "entity", (i % rank).cast("int").alias("factor"),
-                           F.lit(1.0).alias("weight"))
+    weights = F.array(F.lit(1.0), (i % FIXTURE_MOD).cast("double"))
+    return (entities.select("model", "entity", weights.alias("w"))
+            .select("model", "entity", F.posexplode("w").alias("factor", "weight")))
+
+
+def section_json(spark: SparkSession) -> str:
+    """The fixture bridge written as a JSON file; its folder."""
+    import json
+
+    from metrolens.session import scratch_path
+
+    pair = lambda od: {"source": od[0], "target": od[1]}
+    lines = {line: [s | {"related_OD": [pair(od) for od in s["related_OD"]]} for s in secs]
+             for line, secs in FIXTURE_BRIDGE.items()}
+    path = scratch_path(spark, "section-json")
+    spark.createDataFrame([(json.dumps(lines),)], "value string").coalesce(1).write.text(path)
+    return path
 
 
 def fixture_ar_coef(spark: SparkSession, models: list[str], rank: int = FIXTURE_RANK,
@@ -240,7 +286,3 @@ def fixture_ar_coef(spark: SparkSession, models: list[str], rank: int = FIXTURE_
             .select("model", "factor", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("lag"))
             .select("model", F.col("factor").cast("int"), F.col("lag").cast("int"),
                     weight.cast("double").alias("weight")))
-
-
-def fixture_total_coef(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(FIXTURE_TOTAL.items()), schemas.TOTAL_COEF)

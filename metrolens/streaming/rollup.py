@@ -7,18 +7,23 @@ row per (side, day, hour, station, line, peer station, peer line) with the
 trip count, where side 'in' is keyed by the entry time and side 'out' by
 the exit time. It is written partitioned by ``day`` (or ``month`` for long
 histories), so a date-range query reads only its partitions (partition
-pruning) and a refresh rewrites only the partitions it touches (dynamic
-partition overwrite).
+pruning) and a refresh rewrites only the days it names (dynamic partition
+overwrite). The stream appends partial counts per arriving file, which the
+reader sums: nothing waits for a watermark, so nothing is late.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from metrolens import schemas
 from metrolens.functions.dates import PEAK_BANDS, as_date, date_str
+from metrolens.plans.descriptive import day_type_means
 
 ROLLUP_KEYS = ["side", "day", "hour", "station", "line", "peer_station", "peer_line"]
 
@@ -44,18 +49,37 @@ def trip_rollup(trips: DataFrame) -> DataFrame:
 
 
 def write_rollup(rollup: DataFrame, path: str, grain: str = "day") -> None:
-    """Write (or refresh) the rollup partitioned by ``grain`` ("day", or
-    "month" for long histories of small days); only the partitions present
-    in ``rollup`` are replaced. A day's rollup is bounded by
-    2 x 24 x stations^2 rows whatever the trip volume, so one task per
-    partition value stays small."""
+    """Write a whole rollup partitioned by ``grain`` ("day", or "month" for
+    long histories of small days). Partitions that ``rollup`` does not hold
+    stay as they are; to renew some days use :func:`refresh_rollup`. Rows
+    are rebalanced by partition value, so a large day is split over tasks."""
     if grain not in ("day", "month"):
         raise ValueError("grain must be 'day' or 'month'")
     out = rollup.withColumn("month", F.trunc("day", "month"))
-    (out.repartition(grain).write.mode("overwrite")
+    (out.hint("rebalance", grain).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(grain).parquet(path))
 
 
+def refresh_rollup(trips: DataFrame, path: str, days: Sequence) -> None:
+    """Renew the given event days of a day-partitioned rollup from ``trips``.
+
+    A trip counts on its entry day and on its exit day, so a day's rollup
+    needs every trip that enters *or* leaves on it: ``trips`` must hold all
+    of these, and only the named days are written. Other days, also those
+    that the same trips touch, keep their counts.
+    """
+    days = sorted({as_date(d) for d in days})
+    if not days:
+        return
+    touched = F.to_date("time_in").isin(days) | F.to_date("time_out").isin(days)
+    write_rollup(trip_rollup(trips.where(touched)).where(F.col("day").isin(days)), path)
+
+
+def event_days(trips: DataFrame) -> list[dt.date]:
+    """The days that trips count on (one row per day reaches the driver)."""
+    return sorted(r["day"] for r in _sides(trips).select(F.to_date("ts").alias("day")).distinct().collect())
+
+
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -126,34 +150,91 @@ def month_flow_from_rollup(rollup: DataFrame, lo, hi) -> DataFrame:
             .select(date_str("day").alias("time"), "flow"))
 
 
-# --- streaming refresh (T1) -------------------------------------------------
+def day_type_flow_from_rollup(rollup: DataFrame, workdays: DataFrame, lo, hi) -> DataFrame:
+    """Q2 from the rollup: mean daily entries on workdays and on other days."""
+    return day_type_means(daily_from_rollup(rollup, lo, hi), workdays)
+
+
+def daily_from_rollup(rollup: DataFrame, lo, hi) -> DataFrame:
+    """(time, flow): entries per day."""
+    return (rollup.where((F.col("side") == "in") & _days(lo, hi))
+            .groupBy(F.col("day").alias("time")).agg(F.sum("n").cast("long").alias("flow")))
+
+
+def station_days_from_rollup(rollup: DataFrame, lo, hi, series: dict) -> DataFrame:
+    """(model, entity, day, flow) like :func:`counts.station_day_counts`:
+    ``series`` maps a name to ("in" | "out", hour band or None)."""
+    tags = []
+    for name, (side, band) in series.items():
+        cond = F.col("side") == side
+        if band is not None:
+            cond = cond & F.col("hour").between(band[0], band[1])
+        tags.append(F.when(cond, F.lit(name)))
+    return (rollup.where(_days(lo, hi) & F.col("station").isNotNull())
+            .select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("model"),
+                    F.col("station").alias("entity"), "day", "n")
+            .groupBy("model", "entity", "day").agg(F.sum("n").cast("double").alias("flow")))
+
+
+# --- streaming refresh
+
+STREAM_SCHEMA = ("side string, hour int, station string, line string, peer_station string, peer_line string, "
+                 "n long, day date")
+_FLUSH_GROUPS = 200_000
+
+
+def _partial_counts(batches):
+    """mapInArrow step: count equal rows of a task, without a shuffle."""
+    import pyarrow as pa
+
+    schema, parts, rows = None, [], 0
+
+    def summed():
+        keys = [n for n in schema.names if n != "n"]
+        table = pa.Table.from_batches(parts).group_by(keys).aggregate([("n", "sum")])
+        return table.rename_columns([*keys, "n"]).select(schema.names).cast(schema).combine_chunks().to_batches()
+
+    for batch in batches:
+        schema = batch.schema
+        parts.append(batch)
+        rows += batch.num_rows
+        if rows > _FLUSH_GROUPS:
+            parts = summed()
+            rows = sum(p.num_rows for p in parts)
+            if rows > _FLUSH_GROUPS // 2:            # mostly different rows: pass them on
+                yield from parts
+                parts, rows = [], 0
+    if parts:
+        yield from summed()
+
 
 def stream_rollup(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str,
-                  watermark: str = "1 day", max_files_per_trigger: int | None = None,
-                  available_now: bool = True) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Maintain the rollup from trip files as they arrive.
 
     Trip files (TRIPS schema) under ``source_path`` are read as a stream;
-    every trip is split into its entry and exit events, grouped into
-    1-hour event-time windows with a watermark, and appended to a parquet
-    sink partitioned by day once a window can no longer change. The
-    checkpoint (in the shared checkpoint folder) makes the query restart
-    where it stopped after a failure.
+    every trip is split into its entry and exit events, each task counts
+    what it has read and appends these partial counts to a parquet sink
+    partitioned by day. The file sink commits each batch exactly once and
+    the checkpoint (in the shared checkpoint folder) makes the query restart
+    where it stopped. There is no state and no watermark: events may arrive
+    in any order and any number of days late, and the current hour is
+    visible at once. ``read_stream_rollup`` sums the partial counts.
     """
     src = spark.readStream.schema(schemas.TRIPS)
     if max_files_per_trigger:
         src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    trips = src.parquet(source_path)
-    ev = _sides(trips).withColumn("event_time", F.col("ts").cast("timestamp"))
-    agg = (ev.withWatermark("event_time", watermark)
-           .groupBy(F.window("event_time", "1 hour").alias("w"), "side", "station", "line",
-                    "peer_station", "peer_line")
-           .agg(F.count(F.lit(1)).alias("n")))
-    day = F.to_date("w.start")
-    out = agg.select("side", day.alias("day"), F.hour("w.start").alias("hour"),
-                     "station", "line", "peer_station", "peer_line", "n",
-                     F.trunc(day, "month").alias("month"))
-    writer = (out.writeStream.format("parquet").outputMode("append")
+    events = _sides(src.parquet(source_path)).select(
+        "side", F.hour("ts").alias("hour"), "station", "line", "peer_station", "peer_line",
+        F.lit(1).cast("long").alias("n"), F.to_date("ts").alias("day"))
+    writer = (events.mapInArrow(_partial_counts, STREAM_SCHEMA).writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint_path).partitionBy("day"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(sink_path)
+
+
+def read_stream_rollup(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The rollup as of the last committed batch; a filter on ``day`` prunes
+    partitions. ``write_rollup`` of it compacts a long-running sink."""
+    parts = spark.read.schema(STREAM_SCHEMA).parquet(sink_path)
+    return parts.groupBy(*ROLLUP_KEYS).agg(F.sum("n").alias("n")).withColumn("month", F.trunc("day", "month"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from metrolens.sources.testdata import FIXTURE_AR, FIXTURE_RANK, FIXTURE_TOTAL
+from metrolens.sources.testdata import FIXTURE_AR, FIXTURE_BRIDGE, FIXTURE_MOD, FIXTURE_TOTAL, QUIET_STATION
 
 # Query parameters shared with __spark_entry__ (fixed values of the checks).
 EV_START, EV_END = "2024-01-01", "2024-01-30"      # whole event history
@@ -19,7 +19,8 @@ EV_STATION = "S42"
 EV_LINE = "L3"
 OD_LINE = "ASIA"
 EV_FORECAST_START = "2024-01-31"                   # day after the history
-OD_START, OD_END = "1990-01-01", "2000-12-31"      # wider than the order history
+OD_START, OD_END = "1900-01-01", "2099-12-31"      # any date: the whole order history
+OD_TRAIN_END = "2001-08-01"                        # last order date
 FORECAST_STEPS = 7
 WINDOW = 28
 
@@ -56,7 +57,8 @@ STATIONS_EV = """
 stations_ev as (
   select distinct k as id, 'S' || lpad(cast(k as varchar), 2, '0') as station_name,
          'L' || cast(k % 10 as varchar) as line_name, cast(k // 10 as integer) as sequence
-  from ev where k is not null)"""
+  from ev where k is not null
+  union all select {}, '{}', '{}', {})""".format(*QUIET_STATION)
 
 STATIONS_OD = """
 stations_od as (
@@ -190,7 +192,7 @@ bridge as (select s.line, s.section_id, s.source, s.target, o.station as o_stati
                       join st t on t.line = s.line and t.pos > s.b)"""
 
 
-def section_flow() -> str:
+def section_flow(bridge: str = BRIDGE_EV) -> str:
     od = f"""
 od as (select station_in, station_out, count(*) as flow from trips_ev
        where {in_range('time_in', EV_START, EV_END)} group by 1, 2)"""
@@ -200,7 +202,35 @@ od as (select station_in, station_out, count(*) as flow from trips_ev
 select '{direction}' as direction, section_id, source, target, cast(coalesce(sum(od.flow), 0) as bigint) as flow
 from bridge left join od on od.station_in = bridge.{o} and od.station_out = bridge.{t}
 where bridge.line = '{EV_LINE}' group by section_id, source, target""")
-    return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od) + "\nunion all\n".join(sel)
+    return with_(TRIPS_EV, STATIONS_EV, bridge, od) + "\nunion all\n".join(sel)
+
+
+def _bridge_json() -> str:
+    """The fixture's list of related pairs, a section without pairs once with nulls."""
+    rows = [(line, i, sec["source"], sec["target"], *od) for line, secs in FIXTURE_BRIDGE.items()
+            for i, sec in enumerate(secs) for od in (sec["related_OD"] or [(None, None)])]
+    lit = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    values = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+    return f"""
+bridge as (select line, cast(section_id as integer) as section_id, source, target, o_station, d_station
+           from (values {values}) v(line, section_id, source, target, o_station, d_station)),
+sec as (select distinct line, section_id, source, target from bridge)"""
+
+
+def section_bridge() -> str:
+    return with_(_bridge_json()) + "select * from bridge"
+
+
+def section_flow_bridge() -> str:
+    return section_flow(_bridge_json())
+
+
+def section_flow_bridge_daily() -> str:
+    return section_flow_daily(_bridge_json())
+
+
+def forecast_sections_bridge() -> str:
+    return forecast_sections(_bridge_json())
 
 
 def stations_csv() -> str:
@@ -222,7 +252,7 @@ where bridge.line = '{OD_LINE}' group by section_id, source, target""")
     return with_(TRIPS_OD, STATIONS_OD, bridge, od) + "\nunion all\n".join(sel)
 
 
-def section_flow_daily() -> str:
+def section_flow_daily(bridge: str = BRIDGE_EV) -> str:
     od = f"""
 od as (select station_in, station_out, cast(time_in as date) as day, count(*) as flow from trips_ev
        where {in_range('time_in', EV_START, EV_END)} group by 1, 2, 3)"""
@@ -237,7 +267,7 @@ select br.line, br.section_id, br.source, br.target, '{direction}' as direction,
 from bridge br cross join days
 left join od on od.day = days.day and od.station_in = br.{o} and od.station_out = br.{t}
 group by br.line, br.section_id, br.source, br.target, days.day""")
-    return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od, days) + "\nunion all\n".join(sel)
+    return with_(TRIPS_EV, STATIONS_EV, bridge, od, days) + "\nunion all\n".join(sel)
 
 
 def with_recursive(*ctes: str) -> str:
@@ -338,13 +368,14 @@ def _recursive_total(keyed: bool) -> str:
     daily = f"""
 daily as (select {key} as series, cast(time_in as date) as day, count(*) as flow from trips_ev
           where {in_range('time_in', lo, hi)} {'and station_in is not null' if keyed else ''} group by 1, 2)"""
+    ents = "select station_name as series from stations_ev" if keyed else "select 'total' as series"
     init = """
 flags as (select fd.day, coalesce(w.wd, 0.0) as wd from fd left join
-          (select time, max(cast(workday = 1 as double)) as wd from workdays_v group by time) w on w.time = fd.day)""", """
+          (select time, max(cast(workday = 1 as double)) as wd from workdays_v group by time) w on w.time = fd.day)""", f"""
 init as (select s.series,
                 list(cast(coalesce(daily.flow, 0) as double) order by hd.day) as h,
                 (select list(wd order by day) from flags) as fl
-         from (select distinct series from daily) s cross join hd
+         from ({ents}) s cross join hd
          left join daily on daily.series = s.series and daily.day = hd.day
          group by s.series)""", f"""
 steps(series, i, h, fl) as (
@@ -355,7 +386,7 @@ steps(series, i, h, fl) as (
 select {'series as station, ' if keyed else ''}strftime({d(start)} + cast(j - 1 as integer), '%Y-%m-%d') as time,
        cast(fl[j] as integer) as is_workday, cast(h[29 + j] as bigint) as flow
 from steps, range(1, {n + 1}) t(j) where i = {n}"""
-    return with_recursive(TRIPS_EV, WORKDAYS_V, daily, days_cte("hd", lo, hi),
+    return with_recursive(TRIPS_EV, STATIONS_EV, WORKDAYS_V, daily, days_cte("hd", lo, hi),
                           days_cte("fd", start, plus_days(start, n - 1)), *init) + sel
 
 
@@ -365,36 +396,37 @@ def _ar_weight(day_col: str, target: str) -> str:
 
 
 def _lowrank_ctes(ents: str, steps: int) -> list[str]:
-    """Fixture basis (entity i of a model -> factor i % rank, weight 1, so
-    pinv is a per-factor mean), AR step and clip/round, unrolled ``steps`` times.
+    """Fixture basis (entity i of a model: weights 1 and i % 3), whose
+    pseudo-inverse is the plain 2 x 2 inverse of its normal equations; AR step
+    and clip/round, unrolled ``steps`` times.
     Needs ``ents(model, entity)`` and ``cnt(model, entity, day, flow)``."""
     start = EV_FORECAST_START
     ctes = [f"""
-b as (select model, entity,
-             cast((row_number() over (partition by model order by entity) - 1) % {FIXTURE_RANK} as integer)
-               as factor from ents)""", """
-nf as (select model, factor, count(*) as c from b group by 1, 2)""", f"""
-h0 as (select cnt.model, b.factor, cnt.day, sum(cnt.flow) / nf.c as q
+c as (select model, entity, cast((row_number() over (partition by model order by entity) - 1) % {FIXTURE_MOD} as double)
+             as c from ents)""", """
+g as (select model, count(*) as n, sum(c) as s, sum(c * c) as ss from c group by 1)""", """
+b as (select model, entity, 0 as factor, 1.0::double as w, (ss - s * c) / (n * ss - s * s) as pw from c join g using (model)
+      union all
+      select model, entity, 1, c, (n * c - s) / (n * ss - s * s) from c join g using (model))""", f"""
+h0 as (select cnt.model, b.factor, cnt.day, sum(cnt.flow * b.pw) as q
        from cnt join b on cnt.model = b.model and cnt.entity = b.entity
-       join nf on nf.model = b.model and nf.factor = b.factor
        where cnt.day between {d(days_before(start, WINDOW))} and {d(days_before(start, 1))}
-       group by cnt.model, b.factor, cnt.day, nf.c)"""]
+       group by cnt.model, b.factor, cnt.day)"""]
     for i in range(steps):
         t = plus_days(start, i)
         ctes.append(f"""
 qn{i} as (select model, factor, sum(q * {_ar_weight('day', t)}) as q from h{i} group by 1, 2)""")
         ctes.append(f"""
 a{i} as (select b.model, b.entity, {d(t)} as day,
-                round_even(greatest(coalesce(qn.q, 0.0), 0.0), 0) as flow
-         from b left join qn{i} qn on qn.model = b.model and qn.factor = b.factor)""")
+                round_even(greatest(sum(b.w * coalesce(qn.q, 0.0)), 0.0), 0) as flow
+         from b left join qn{i} qn on qn.model = b.model and qn.factor = b.factor group by b.model, b.entity)""")
         if i < steps - 1:
             ctes.append(f"""
 h{i + 1} as (select * from h{i}
           union all
-          select a.model, b.factor, a.day, sum(a.flow) / nf.c as q
+          select a.model, b.factor, a.day, sum(a.flow * b.pw) as q
           from a{i} a join b on a.model = b.model and a.entity = b.entity
-          join nf on nf.model = b.model and nf.factor = b.factor
-          group by a.model, b.factor, a.day, nf.c)""")
+          group by a.model, b.factor, a.day)""")
     return ctes
 
 
@@ -409,7 +441,7 @@ def basis_project() -> str:
     series = {"station_in": ("in", None), "station_out": ("out", None)}
     return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), _station_ents(series),
                  *_lowrank_ctes("ents", 0)) + """
-select model, strftime(day, '%Y-%m-%d') as day, factor, round(q, 6) as q from h0"""
+select model, strftime(day, '%Y-%m-%d') as day, factor, round(q, 6) + 0.0 as q from h0"""
 
 
 def basis_reconstruct() -> str:
@@ -417,8 +449,8 @@ def basis_reconstruct() -> str:
     series = {"station_in": ("in", None), "station_out": ("out", None)}
     return with_(TRIPS_EV, STATIONS_EV, station_counts_cte(lo, hi, series), _station_ents(series),
                  *_lowrank_ctes("ents", 0)) + """
-select b.model, b.entity, strftime(h0.day, '%Y-%m-%d') as day, round(h0.q, 6) as value
-from b join h0 on h0.model = b.model and h0.factor = b.factor"""
+select b.model, b.entity, strftime(h0.day, '%Y-%m-%d') as day, round(sum(b.w * h0.q), 6) + 0.0 as value
+from b join h0 on h0.model = b.model and h0.factor = b.factor group by b.model, b.entity, h0.day"""
 
 
 def forecast_stations() -> str:
@@ -456,7 +488,7 @@ select split_part(model, '_', 2) as period, entity as station,
 from a0 group by 1, 2"""
 
 
-def forecast_sections() -> str:
+def forecast_sections(bridge: str = BRIDGE_EV) -> str:
     lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
     od = f"""
 od as (select station_in, station_out, cast(time_in as date) as day, count(*) as flow from trips_ev
@@ -472,7 +504,7 @@ from bridge br join od on od.station_in = br.{o} and od.station_out = br.{t} gro
 secs as (select distinct line, section_id, source, target, line || '/' || cast(section_id as varchar) as entity
          from sec),
 ents as (select m.model, s.entity from secs s, (values ('section_up'), ('section_down')) m(model))"""
-    return with_(TRIPS_EV, STATIONS_EV, BRIDGE_EV, od, cnt, ents, *_lowrank_ctes("ents", 1)) + f"""
+    return with_(TRIPS_EV, STATIONS_EV, bridge, od, cnt, ents, *_lowrank_ctes("ents", 1)) + f"""
 select replace(a0.model, 'section_', '') as direction, secs.section_id, secs.source, secs.target,
        cast(a0.flow as bigint) as flow
 from a0 join secs on secs.entity = a0.entity where secs.line = '{EV_LINE}'"""
@@ -487,18 +519,11 @@ sides as (
          station_in as peer_station, line_in as peer_line from trips_ev)"""
 
 
-def daily_rollup(closed_only: bool = False) -> str:
-    where = ""
-    ctes = [TRIPS_EV, SIDES_EV]
-    if closed_only:
-        # windows the watermark (latest event time - 1 day, in ms) has closed
-        ctes.append("""
-wm as (select epoch_ms(max(ts)) - 86400000 as w from sides)""")
-        where = ", wm where epoch_ms(date_trunc('hour', ts)) + 3600000 <= wm.w"
-    return with_(*ctes) + f"""
+def daily_rollup() -> str:
+    return with_(TRIPS_EV, SIDES_EV) + """
 select side, strftime(cast(ts as date), '%Y-%m-%d') as day, cast(hour(ts) as integer) as hour,
        station, line, peer_station, peer_line, count(*) as n
-from sides{where}
+from sides
 group by side, cast(ts as date), hour(ts), station, line, peer_station, peer_line"""
 
 
@@ -536,5 +561,14 @@ def oracle_sql() -> dict[str, str]:
         "station_flow_from_rollup": station_flow(),
         "section_flow_from_rollup": section_flow(),
         "line_flow_from_rollup": line_flow(),
-        "stream_rollup": daily_rollup(closed_only=True),
+        "section_bridge": section_bridge(),
+        "section_flow_bridge": section_flow_bridge(),
+        "section_flow_bridge_daily": section_flow_bridge_daily(),
+        "forecast_sections_bridge": forecast_sections_bridge(),
+        "day_type_flow_from_rollup": day_type_flow(),
+        "forecast_total_from_rollup": _recursive_total(keyed=False),
+        "forecast_stations_from_rollup": forecast_stations(),
+        "forecast_peak_from_rollup": forecast_peak(),
+        "rollup_refresh": daily_rollup(),
+        "stream_rollup": daily_rollup(),
     }

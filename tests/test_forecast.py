@@ -1,8 +1,10 @@
 """Series operators, rounding, low-rank algebra and recursive forecasts."""
 
 import datetime as dt
+import os
 
 import numpy as np
+import pytest
 from conftest import trips_df
 from pyspark.sql import functions as F
 
@@ -84,6 +86,76 @@ def test_projection_matches_numpy_pinv(spark):
     assert np.allclose(got, expect, atol=1e-9)
 
 
+def _projected(spark, p, a):
+    """pinv(P) A and P pinv(P) A of one model and one day."""
+    day = dt.date(2024, 1, 1)
+    ents = [f"e{i}" for i in range(len(p))]
+    basis = spark.createDataFrame([("m", e, f, float(w)) for e, row in zip(ents, p) for f, w in enumerate(row)], schemas.BASIS)
+    panel = spark.createDataFrame([("m", e, day, float(v)) for e, v in zip(ents, a)], schemas.MATRIX)
+    q = lowrank.project(panel, lowrank.projection_weights(basis))
+    rec = {r["entity"]: r["value"] for r in lowrank.reconstruct(q.drop("day"), basis).collect()}
+    return {r["factor"]: r["q"] for r in q.collect()}, [rec[e] for e in ents]
+
+
+@pytest.mark.parametrize("p", [
+    [[1e7, 0], [1e7, 0], [0, 1], [0, 1]],              # scales 1 : 10^7
+    [[1.0], [0.0]],                                    # an all-zero row
+    [[1, 1], [1, 1], [2, 2]],                          # rank 1
+    [[0.0, 0.0], [0.0, 0.0]],
+])
+def test_projection_of_odd_bases_matches_numpy(spark, p):
+    p, a = np.array(p, float), np.full(len(p), 10.0)
+    q, rec = _projected(spark, p, a)
+    expect = np.linalg.pinv(p) @ a
+    assert np.allclose([q.get(f, 0.0) for f in range(p.shape[1])], expect, atol=1e-9)
+    assert np.allclose(rec, p @ expect, atol=1e-6)
+
+
+def test_rank_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lowrank, "MAX_RANK", 2)
+    basis = spark.createDataFrame([("m", "e", f, 1.0) for f in range(3)], schemas.BASIS)
+    with pytest.raises(Exception, match="more than 2 factors"):
+        lowrank.projection_weights(basis).collect()
+
+
+def test_python_steps_travel_to_the_workers(tmp_path):
+    """A low-rank query started from another folder, without PYTHONPATH."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            f"spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+            f".config('spark.sql.shuffle.partitions', '2').config('spark.checkpoint.dir', {str(tmp_path)!r}).getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "print('ROWS', E.queries()['basis_project'](spark, '/root/testdata/sf0.001').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_stations_without_basis_row_or_trips_get_zero(spark):
+    t = "2024-01-20T08:00:00"
+    trips = trips_df(spark, [(t, t, "A", "B", "L", "L")] * 4)
+    st = spark.createDataFrame([(1, "A", "L", None, 1), (2, "B", "L", None, 2), (3, "Z", "L", None, 3)], schemas.STATIONS)
+    inp = Inputs(trips, stations=st)
+    known = st.where("station_name <> 'Z'")
+    coef = spark.createDataFrame([(m, 0, 1, 1.0) for m in (*FC.STATION_SERIES, *FC.PEAK_SERIES)], schemas.AR_COEF)
+    basis = lambda series: FC.model_entities(known, "station_name", series).select(
+        "model", "entity", F.lit(0).alias("factor"), F.lit(1.0).alias("weight"))
+    out = {r["station"]: (r["flow_in"], r["flow_out"]) for r in
+           FC.predict_stations_flow(inp, "2024-01-21", basis(FC.STATION_SERIES), coef).collect()}
+    assert out == {"A": (2, 2), "B": (2, 2), "Z": (0, 0)}
+    rows = FC.predict_single_station_flow(inp, "Z", "2024-01-21", basis(FC.STATION_SERIES), coef, n=3).collect()
+    assert [(r["direction"], r["time"], r["flow"]) for r in rows] == [
+        (d, f"2024-01-2{i}", 0) for d in ("in", "out") for i in (1, 2, 3)]
+    peak = FC.predict_peak_flow(inp, "2024-01-21", basis(FC.PEAK_SERIES), coef).collect()
+    assert {(r["period"], r["station"]): (r["flow_in"], r["flow_out"]) for r in peak}[("evening", "Z")] == (0, 0)
+    assert len(peak) == 6
+    empty = FC.predict_total_flow(inp.with_(trips=trips.limit(0)), "2024-01-21", 3, {"lag_1": 1.0}).collect()
+    assert [r["flow"] for r in empty] == [0, 0, 0]
+
+
 def test_full_rank_basis_reconstructs_identity(spark):
     rng = np.random.default_rng(2)
     a, p, ents, panel, basis, d0 = _panel_and_basis(spark, rng, n_ent=5, k=5)
@@ -114,9 +186,7 @@ def test_multi_step_low_rank_matches_numpy(spark):
     coef = spark.createDataFrame([("m", f, lag, w) for f in range(p.shape[1]) for lag, w in ar.items()],
                                  schemas.AR_COEF)
     start = d0 + dt.timedelta(days=28)
-    cut = lambda df: df.checkpoint(eager=True)
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    fc = lowrank.low_rank_forecast(panel, basis, coef, start, n=4, checkpoint=cut).collect()
+    fc = lowrank.low_rank_forecast(panel, basis, coef, start, n=4).collect()
     got = np.zeros((4, len(ents)))
     for r in fc:
         got[(r["day"] - start).days, ents.index(r["entity"])] = r["flow"]
@@ -157,8 +227,7 @@ def test_model_loop_matches_linear_fold(spark):
     end = d0 + dt.timedelta(days=days - 1)
     model = FIT.fit_total_model(inp, d0, end)
     start = end + dt.timedelta(days=1)
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    loop = FC.predict_total_flow_model(inp, start, 5, model, checkpoint=lambda df: df.checkpoint(eager=True))
+    loop = FC.predict_total_flow_model(inp, start, 5, model)
     fold = FC.predict_total_flow(inp, start, 5, FIT.total_coefficients(model))
     a, b = loop.collect(), fold.collect()
     assert [r["time"] for r in a] == [r["time"] for r in b]
@@ -176,9 +245,7 @@ def test_n_step_equals_chained_one_steps(spark):
     coef = spark.createDataFrame([("m", f, lag, w) for f in range(2) for lag, w in {1: 0.7, 7: 0.3}.items()],
                                  schemas.AR_COEF)
     start = d0 + dt.timedelta(days=28)
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    two = lowrank.low_rank_forecast(panel, basis, coef, start, n=2,
-                                    checkpoint=lambda df: df.checkpoint(eager=True)).collect()
+    two = lowrank.low_rank_forecast(panel, basis, coef, start, n=2).collect()
     one = lowrank.low_rank_forecast(panel, basis, coef, start, n=1)
     step1 = one.select("model", "entity", "day", F.col("flow").cast("double").alias("flow"))
     again = lowrank.low_rank_forecast(panel.unionByName(step1), basis, coef,

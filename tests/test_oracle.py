@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+import oracles
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = E.transit_queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,12 @@ def test_every_query_has_an_oracle_or_is_a_fit():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_order_history_is_read_whole(spark):
+    trips = E.od_inputs(spark, SF).trips.count()
+    flow = lambda name, col: QUERIES[name](spark, SF).groupBy().sum(col).first()[0]
+    assert flow("line_flow", "flow") == flow("stations_flow_od", "flow_in") == flow("line_flow_from_rollup", "flow") == trips
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["station", "flow_in", "flow_out"]

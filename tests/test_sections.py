@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from conftest import trips_df
 
 from metrolens import schemas
@@ -148,3 +149,16 @@ def test_section_forecast_same_via_bridge_or_sequence(spark, tmp_path):
         coef = spark.createDataFrame([(m, 0, 1, 1.0) for m in FC.SECTION_MODELS], schemas.AR_COEF)
         outs.append(sorted(tuple(r) for r in FC.predict_section_flow(inp, "L1", start, basis, coef).collect()))
     assert outs[0] == outs[1] and len(outs[0]) == 4
+
+
+def test_malformed_section_json_is_an_error(spark, tmp_path):
+    good = '{"L": [{"source": "A", "target": "B", "related_OD": [{"source": "A", "target": "B"}]}]}'
+    for i, (text, ok) in enumerate([(good, True), (good[:-1], False), ("[]", False), ("{}", False)]):
+        path = tmp_path / f"{i}.json"
+        path.write_text(text)
+        rows = sections.read_section_bridge(spark, str(path))
+        if ok:
+            assert rows.count() == 1
+        else:
+            with pytest.raises(Exception):
+                rows.collect()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from conftest import trips_df
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -27,17 +28,24 @@ def test_trips_ev_equals_plain_lead(spark):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     plain = (ev.select("event_id", F.lead("event_id").over(w).alias("nxt"))
              .where(F.col("nxt").isNotNull()))
-    ours = testdata.next_event(ev, "user_id", "ts", "event_id", ["k"]) \
-        .where(F.col("_nxt").isNotNull()).select("event_id", F.col("_nxt.tie").alias("nxt"))
-    assert plain.exceptAll(ours).count() == 0 and ours.exceptAll(plain).count() == 0
     ranged = testdata.next_event_ranged(ev, "user_id", "ts", "event_id", ["k"], partitions=7) \
         .where(F.col("_nxt").isNotNull()).select("event_id", F.col("_nxt.tie").alias("nxt"))
     assert plain.exceptAll(ranged).count() == 0 and ranged.exceptAll(plain).count() == 0
     assert testdata.trips_ev(spark, SF).count() == plain.count()
 
 
-def test_next_event_ranged_splits_a_hot_key(spark):
-    """One user with most rows: still exact, and spread over many ranges."""
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_next_event_ranged_splits_a_hot_key(spark, reuse):
+    """One user with most rows: still exact, and spread over many ranges,
+    whether or not the planner reuses exchanges."""
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        _check_hot_key(spark)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def _check_hot_key(spark):
     import datetime as dt3
     t0 = dt3.datetime(2024, 1, 1)
     rows = [(i, 1 if i % 10 else 2 + i % 3, t0 + dt3.timedelta(seconds=i // 2), i % 5) for i in range(3000)]
@@ -92,20 +100,49 @@ def test_rollup_answers_match_trips(spark):
     assert a == b
 
 
-def test_stream_rollup_equals_batch_on_closed_windows(spark):
-    trips = _trips(spark)
+def _overnight(spark):
+    """Trips that end on a later day than they begin, and a null exit."""
+    rows = [(f"2024-01-0{d}T23:{m:02d}:00", f"2024-01-0{d + 1}T00:{m:02d}:00", "A" if m % 2 else "B", "C", "L1", "L2")
+            for d in range(1, 6) for m in range(0, 50, 5)]
+    return trips_df(spark, rows + [("2024-01-03T08:00:00", None, "A", None, "L1", None)])
+
+
+def _rows(df):
+    return sorted(map(str, df.select(*R.ROLLUP_KEYS, "n").collect()))
+
+
+def test_refresh_of_a_day_keeps_the_other_days(spark):
+    trips = _overnight(spark)
+    path = scratch_path(spark, "test-refresh")
+    R.write_rollup(R.trip_rollup(trips), path)
+    R.refresh_rollup(trips, path, ["2024-01-03"])
+    assert _rows(R.read_rollup(spark, path)) == _rows(R.trip_rollup(trips))
+    # trips that arrive late change every day they count on, and no other
+    late = F.to_date("time_in") == F.lit(dt.date(2024, 1, 2))
+    path = scratch_path(spark, "test-refresh-late")
+    R.write_rollup(R.trip_rollup(trips.where(~late)), path)
+    days = R.event_days(trips.where(late))
+    assert days == [dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
+    R.refresh_rollup(trips, path, days)
+    assert _rows(R.read_rollup(spark, path)) == _rows(R.trip_rollup(trips))
+
+
+def test_stream_rollup_equals_batch_in_any_order(spark):
+    trips = _overnight(spark)
     src, sink, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "ckpt"))
-    # files arrive day by day (in time order): one micro-batch per file
-    for d in range(1, 6):
+    for d in (4, 1, 5, 2, 3):                       # one micro-batch per file, days out of order
         trips.where(F.dayofmonth("time_in") == d).coalesce(1).write.mode("append").parquet(src)
-    R.stream_rollup(spark, src, sink, ckpt, watermark="1 hour", max_files_per_trigger=1).awaitTermination()
-    got = spark.read.parquet(sink)
-    batch = R.trip_rollup(trips)
-    wm = dt.datetime(2024, 1, 5, 22, 45) - dt.timedelta(hours=1)
-    closed = batch.where((F.col("day").cast("timestamp") + F.make_interval(hours=F.col("hour") + 1))
-                         <= F.lit(wm))
-    cols = R.ROLLUP_KEYS + ["n"]
-    assert sorted(got.select(*cols).collect()) == sorted(closed.select(*cols).collect())
+    R.stream_rollup(spark, src, sink, ckpt, max_files_per_trigger=1).awaitTermination()
+    assert _rows(R.read_stream_rollup(spark, sink)) == _rows(R.trip_rollup(trips))
+
+
+def test_partial_counts_flush(spark, monkeypatch):
+    monkeypatch.setattr(R, "_FLUSH_GROUPS", 8)
+    trips = _overnight(spark)
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("src3", "sink3", "ckpt3"))
+    trips.union(trips).write.parquet(src)
+    R.stream_rollup(spark, src, sink, ckpt).awaitTermination()
+    assert _rows(R.read_stream_rollup(spark, sink)) == _rows(R.trip_rollup(trips.union(trips)))
 
 
 def test_json_records_round_trip(spark):
@@ -130,23 +167,17 @@ def test_read_trips_with_original_names(spark, tmp_path):
 
 def test_stream_rollup_restarts_from_checkpoint(spark):
     """Stop after the first files, add more, restart on the same checkpoint:
-    no window is lost or counted twice."""
-    trips = _trips(spark)
+    nothing is lost or counted twice."""
+    trips = _overnight(spark)
     src, sink, ckpt = (scratch_path(spark, n) for n in ("src2", "sink2", "ckpt2"))
     for d in (1, 2):
         trips.where(F.dayofmonth("time_in") == d).coalesce(1).write.mode("append").parquet(src)
-    R.stream_rollup(spark, src, sink, ckpt, watermark="1 hour").awaitTermination()
-    first = spark.read.parquet(sink).count()
+    R.stream_rollup(spark, src, sink, ckpt).awaitTermination()
+    assert _rows(R.read_stream_rollup(spark, sink)) == _rows(R.trip_rollup(trips.where(F.dayofmonth("time_in") < 3)))
     for d in (3, 4, 5):
         trips.where(F.dayofmonth("time_in") == d).coalesce(1).write.mode("append").parquet(src)
-    R.stream_rollup(spark, src, sink, ckpt, watermark="1 hour").awaitTermination()
-    got = spark.read.parquet(sink)
-    wm = dt.datetime(2024, 1, 5, 22, 45) - dt.timedelta(hours=1)
-    closed = R.trip_rollup(trips).where(
-        (F.col("day").cast("timestamp") + F.make_interval(hours=F.col("hour") + 1)) <= F.lit(wm))
-    cols = R.ROLLUP_KEYS + ["n"]
-    assert 0 < first < got.count()
-    assert sorted(got.select(*cols).collect()) == sorted(closed.select(*cols).collect())
+    R.stream_rollup(spark, src, sink, ckpt).awaitTermination()
+    assert _rows(R.read_stream_rollup(spark, sink)) == _rows(R.trip_rollup(trips))
 
 
 def test_parameter_tables_round_trip(spark, tmp_path):
