@@ -11,7 +11,6 @@ both sides of each join are plain tables.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,27 +18,40 @@ from pyspark.sql import functions as F
 from metrolens.llm.common import stored
 
 
-def local_stars(batches):
-    """mapInArrow step: links (a, b) of a task -> (node, smallest node of its
-    component among the task's links)."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Union-find over the nodes of one task."""
 
-    def find(x):
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
         root = x
-        while parent.get(root, root) != root:
-            root = parent[root]
-        while parent.get(x, x) != root:
-            parent[x], x = root, parent[x]
+        while (up := self.parent.get(root, root)) != root:
+            root = up
+        while x != root:
+            up = self.parent.get(x, root)
+            self.parent[x] = root
+            x = up
         return root
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def local_stars(batches):
+    """mapInArrow step: links (a, b) of a task -> (node, smallest node of its
+    component among the task's links)."""
+    forest = Forest()
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = np.fromiter(parent.keys(), np.int64, len(parent))
-    roots = np.fromiter((find(x) for x in list(parent)), np.int64, len(parent))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
+            forest.join(a, b)
+    nodes = list(forest.parent)
+    roots = [forest.find(x) for x in nodes]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
 
 
 def _state(links: DataFrame) -> tuple:

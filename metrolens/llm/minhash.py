@@ -12,10 +12,11 @@
    the exact Jaccard similarity of the full sets.
 4. Verified links are grouped by union-find (:mod:`components`).
 5. Buckets that still hold several groups are completed: members of different
-   groups are compared by signature, in blocks, and those whose estimate is
-   not far below the threshold are verified exactly. After that every pair
-   that shares a bucket is known to be linked, in one group already, or
-   different.
+   groups are compared by signature, in blocks; those whose estimate is not
+   far below the threshold form neighbourhoods, within which such pairs are
+   verified on their full sets, again in blocks. Tasks give spanning forests,
+   never all pairs. After that every pair that shares a bucket is known to be
+   linked, in one group already, or different.
 
 ``band_plan`` picks the bands so that a pair at the threshold misses every
 bucket with a probability below 1e-5.
@@ -33,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolens.llm.common import map_arrow, stored
-from metrolens.llm.components import components
+from metrolens.llm.common import map_arrow, narrowed, stored
+from metrolens.llm.components import Forest, components
 from metrolens.llm.text import Words, mix64, shingles
 
 PLACES = 100           # signature length
 ESTIMATE_SLACK = 0.2   # over 5 standard deviations of an estimate from 100 places
-BLOCK = 1000           # members of one side of a block comparison
+BLOCK = 1000           # signatures of one side of a block comparison
+SET_BLOCK = 256        # sets of one side of an exact block comparison
 _CHUNK = 200_000       # shingles whose permutations are held at once
 _UNSET = np.uint64(2**64 - 1)
 
@@ -152,10 +154,12 @@ def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: in
             .where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
-def near_groups(spark: SparkSession, nodes: DataFrame, fetch, percent: int) -> DataFrame:
+def near_groups(spark: SparkSession, nodes: DataFrame, fetch, percent: int,
+                slack: float = ESTIMATE_SLACK) -> DataFrame:
     """Groups among ``nodes`` (node, signature, bands; one row per set):
     (node, component) as :func:`components`. ``fetch(wanted)`` gives
-    (node, shingles) for a table of wanted nodes."""
+    (node, shingles) for a table of wanted nodes; ``slack`` is how far below
+    the threshold a signature's estimate may lie."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")) \
         .where("head <> last").select("key", "head")
@@ -163,21 +167,26 @@ def near_groups(spark: SparkSession, nodes: DataFrame, fetch, percent: int) -> D
     pairs = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     pairs = stored(spark, pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(spark, wanted, "wanted")
     sets = stored(spark, fetch(wanted), "sets")
     first = components(spark, verified(spark, pairs, sets, percent))
-
-    rest = stored(spark, across_groups(members, nodes, first, percent), "pairs-across")
-    if rest.isEmpty():
+    close = components(spark, across_groups(members, nodes, first, percent / 100 - slack))
+    if close.isEmpty():
         return first
-    links = stored(spark, verified(spark, rest, sets, percent), "links-across")
+    close = close.union(close.select("component", "component").distinct())
+    need = stored(spark, close.select("node").distinct(), "wanted-across")
+    more = stored(spark, fetch(need.join(sets.select("node"), "node", "left_anti")), "sets-across")
+    links = exact_links(close, first, nodes, sets.union(more), percent, percent / 100 - slack)
     return components(spark, links.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def across_groups(members: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but different groups whose signatures allow
-    the threshold. A bucket's largest group needs no comparison within itself:
-    it forms the right side only, the others both sides. Sides are cut in
-    blocks of about ``BLOCK`` members, one task row group per pair of blocks."""
+def across_groups(members: DataFrame, nodes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that connect all members of a bucket which are in different
+    groups and whose signatures agree in ``least`` of their places. A bucket's
+    largest group needs no comparison within itself: it forms the right side
+    only, the others both sides. Sides are cut in blocks of about ``BLOCK``
+    members, a task compares one pair of blocks and gives a spanning forest of
+    what it finds, so the output never has all pairs."""
     named = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
     sizes = named.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"))
     mixed = (sizes.groupBy("key").agg(F.max(F.struct("n", "g")).alias("top"), F.sum("n").alias("total"),
@@ -196,23 +205,78 @@ def across_groups(members: DataFrame, nodes: DataFrame, groups: DataFrame, perce
         "key", F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("i"),
         F.when(F.col("is_main"), F.col("own")).otherwise(F.col("nm") + F.col("own")).alias("j"),
         F.lit(False).alias("is_left"), "node", "g", "signature")
-    least = percent / 100 - ESTIMATE_SLACK
 
     def compare(table: pa.Table) -> pa.Table:
         is_left = table.column("is_left").to_numpy(zero_copy_only=False)
         node, g = table.column("node").to_numpy(), table.column("g").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-        at = np.flatnonzero(~is_left)
-        a, b = [], []
+        sig = _signatures(table)
+        at, found = np.flatnonzero(~is_left), []
+        forest = Forest()
         for x in np.flatnonzero(is_left):
             close = at[(sig[at] == sig[x]).mean(axis=1) >= least]
-            close = close[g[close] != g[x]]
-            a.append(np.maximum(node[close], node[x]))
-            b.append(np.minimum(node[close], node[x]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64),
-                         "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    return left.union(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            for y in close[g[close] != g[x]].tolist():
+                if forest.join(int(node[x]), int(node[y])):
+                    found.append((node[x], node[y]))
+        return _pairs(found)
+
+    return left.union(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def exact_links(close: DataFrame, groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
+                least: float) -> DataFrame:
+    """Links (a, b) that connect what the threshold connects among the members
+    of each neighbourhood ``close`` (node, component): pairs of different
+    groups whose signatures allow it are verified on their full sets. Large
+    neighbourhoods are cut in blocks; a task holds two blocks and gives a
+    spanning forest."""
+    size = close.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).cast("int").alias("blocks"))
+    rows = (close.join(size, "component").join(groups.withColumnRenamed("component", "g"), "node", "left")
+            .join(nodes.select("node", "signature"), "node").join(sets, "node")
+            .select("component", "node", F.coalesce("g", "node").alias("g"), "signature", "shingles",
+                    F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"),
+                    F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                       (F.col("own") <= F.col("other")).alias("is_left"), "node", "g", "signature", "shingles")
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, g, sig = table.column("node").to_numpy(), table.column("g").to_numpy(), _signatures(table)
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        size = np.diff(lists.offsets.to_numpy())
+        start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        _, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(len(ids) + 1, bool)
+        is_left = table.column("is_left").to_numpy(zero_copy_only=False)
+        left = np.flatnonzero(is_left)
+        right = np.flatnonzero(~is_left) if not is_left.all() else np.arange(len(node))
+        forest, found = Forest(), []
+        for x in range(len(node)):
+            forest.join(int(g[x]), int(node[x]))
+        for x in left:
+            close = right[(sig[right] == sig[x]).mean(axis=1) >= least]
+            own = forest.find(int(node[x]))
+            close = np.array([y for y in close.tolist() if forest.find(int(node[y])) != own], np.int64)
+            if not len(close):
+                continue
+            mark[ids[start[x]:start[x + 1]]] = True
+            common = np.array([mark[ids[start[y]:start[y + 1]]].sum() for y in close])
+            mark[ids[start[x]:start[x + 1]]] = False
+            linked = 100 * common >= percent * (size[x] + size[close] - common)
+            for y in close[linked].tolist():
+                if forest.join(int(node[x]), int(node[y])):
+                    found.append((node[x], node[y]))
+        return _pairs(found)
+
+    return rows.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def _pairs(found: list) -> pa.Table:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -226,8 +290,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
         F.col("c.bands").alias("bands")), "classes")
 
     def fetch(wanted):
-        ids = wanted.withColumnRenamed("node", "doc_id")
-        return shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), n)
+        ids = stored(spark, wanted.withColumnRenamed("node", "doc_id"), "wanted-ids")
+        return shingle_sets(narrowed(docs.select("doc_id", "text"), ids, "doc_id").join(ids, "doc_id", "left_semi"), n)
 
     groups = near_groups(spark, classes.select("node", "signature", "bands"), fetch, percent)
     member = rows_.drop("signature", "bands").join(classes.select("digest", "node"), "digest", "left")
@@ -242,3 +306,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with all
+    its columns; of rows that share this doc_id one stays. Rows without doc_id
+    stay."""
+    kept = near_duplicates(spark, docs, n, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.where("doc_id IS NULL").unionByName(named.select(*docs.columns))
