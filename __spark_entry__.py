@@ -178,7 +178,6 @@ def forecast_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FC.predict_peak_flow(inp, O.EV_FORECAST_START, basis, coef)
 
 
-OD_RANK = 4
 REFRESH_DAY = "2024-01-10"
 STREAM_FILES = 4                          # micro-batches of the streaming check
 TRIP_COLUMNS = ["time_in", "time_out", "station_in", "station_out", "line_in", "line_out"]
@@ -315,7 +314,7 @@ def forecast_total_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = od_inputs(spark, sf_dir)
     ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
-    return FIT.fit_basis(_od_panel(inp), ents, OD_RANK)
+    return FIT.fit_basis(_od_panel(inp), ents, O.OD_RANK)
 
 
 def fit_factor_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,12 +323,28 @@ def fit_factor_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FIT.fit_factor_ar(_od_panel(inp), TD.fixture_basis(ents))
 
 
+def fit_ar_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-lag autoregression of each factor of the fixture basis."""
+    inp = od_inputs(spark, sf_dir)
+    ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
+    return _round(FIT.fit_factor_ar(_od_panel(inp), TD.fixture_basis(ents), window=1))
+
+
+def fit_basis_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the fitted basis columns: the identity."""
+    basis = fit_basis(spark, sf_dir)
+    a = basis.select("model", "entity", F.col("factor").alias("f1"), F.col("weight").alias("w1"))
+    b = basis.select("model", "entity", F.col("factor").alias("f2"), F.col("weight").alias("w2"))
+    dots = a.join(b, ["model", "entity"]).groupBy("model", "f1", "f2").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
+    return dots.select("model", F.col("f1").cast("int"), F.col("f2").cast("int"), (F.round("dot", 6) + 0.0).alias("dot"))
+
+
 def forecast_stations_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn basis and AR weights from the order history, then forecast the next day."""
     inp = od_inputs(spark, sf_dir)
     ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
     panel = _od_panel(inp)
-    basis = FIT.fit_basis(panel, ents, OD_RANK)
+    basis = FIT.fit_basis(panel, ents, O.OD_RANK)
     coef = FIT.fit_factor_ar(panel, basis)
     return FC.predict_stations_flow(inp, OD_FORECAST_START, basis, coef)
 
@@ -396,6 +411,8 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_total_gbt": forecast_total_gbt,
         "fit_basis": fit_basis,
         "fit_factor_ar": fit_factor_ar,
+        "fit_ar_one_lag": fit_ar_one_lag,
+        "fit_basis_products": fit_basis_products,
         "forecast_stations_fitted": forecast_stations_fitted,
         "daily_rollup": daily_rollup,
         "stations_flow_from_rollup": stations_flow_from_rollup,

@@ -8,9 +8,9 @@ fits produce the parameter tables the forecast queries take:
   fitted pipeline into raw-feature weights for ``recursive_forecast``.
 * ``fit_basis``        - PCA of each model's day vectors (entities as
   dimensions): the principal axes are the basis P (entity, factor, weight).
-* ``fit_factor_ar``    - per-model autoregression of the factor series on
-  their last ``window`` values, pooled over factors: the (factor, lag,
-  weight) table used by ``low_rank_forecast``.
+* ``fit_factor_ar``    - an autoregression of each factor series on its last
+  ``window`` values: the (factor, lag, weight) table used by
+  ``low_rank_forecast``.
 
 Training rows are built with DataFrame operations; the fitted parameters
 (a few weights, or entities x k basis loadings) are what Spark ML returns
@@ -153,23 +153,21 @@ def factor_training_rows(panel: DataFrame, basis: DataFrame, window: int) -> Dat
 
 def fit_factor_ar(panel: DataFrame, basis: DataFrame, window: int = lowrank.WINDOW_DAYS,
                   reg_param: float = 0.0) -> DataFrame:
-    """M6: per-model AR weights on the last ``window`` factor values, pooled
-    over factors -> (model, factor, lag, weight)."""
+    """M6: AR weights of each factor on its last ``window`` values, without
+    intercept -> (model, factor, lag, weight). One small regression per
+    (model, factor): as many as the basis has columns."""
     spark = panel.sparkSession
     rows = factor_training_rows(panel, basis, window)
     lag_cols = [f"lag_{n}" for n in range(1, window + 1)]
     assembled = (VectorAssembler(inputCols=lag_cols, outputCol="features").transform(rows)
-                 .select("model", "features", "label").persist())   # several passes per fit
-    factors: dict[str, list[int]] = {}
-    for r in basis.select("model", "factor").distinct().collect():     # k per model
-        factors.setdefault(r["model"], []).append(r["factor"])
+                 .select("model", "factor", "features", "label").persist())   # several passes per fit
     rows_out = []
     try:
-        for m in sorted(factors):
+        for r in basis.select("model", "factor").distinct().orderBy("model", "factor").collect():     # k per model
+            own = assembled.where((F.col("model") == r["model"]) & (F.col("factor") == r["factor"]))
             lr = LinearRegression(featuresCol="features", labelCol="label", fitIntercept=False,
-                                  regParam=reg_param).fit(assembled.where(F.col("model") == m))
-            weights = lr.coefficients.toArray()
-            rows_out += [(m, f, n + 1, float(wt)) for f in sorted(factors[m]) for n, wt in enumerate(weights)]
+                                  standardization=False, regParam=reg_param).fit(own)
+            rows_out += [(r["model"], r["factor"], n + 1, float(w)) for n, w in enumerate(lr.coefficients.toArray())]
     finally:
         assembled.unpersist()
     return spark.createDataFrame(rows_out, schemas.AR_COEF)

@@ -21,6 +21,7 @@ OD_LINE = "ASIA"
 EV_FORECAST_START = "2024-01-31"                   # day after the history
 OD_START, OD_END = "1900-01-01", "2099-12-31"      # any date: the whole order history
 OD_TRAIN_END = "2001-08-01"                        # last order date
+OD_RANK = 4                                        # columns of the fitted basis
 FORECAST_STEPS = 7
 WINDOW = 28
 
@@ -288,7 +289,7 @@ def flit(x: float) -> str:
     return f"cast({x!r} as double)"
 
 
-def station_counts_cte(lo: str, hi: str, series: dict) -> str:
+def station_counts_cte(lo: str, hi: str, series: dict, trips: str = "trips_ev") -> str:
     """(model, entity, day, flow) like counts.station_day_counts."""
     parts = []
     for name, (side, band) in series.items():
@@ -297,7 +298,7 @@ def station_counts_cte(lo: str, hi: str, series: dict) -> str:
         if band:
             cond += f" and hour({ts}) between {band[0]} and {band[1]}"
         parts.append(f"select '{name}' as model, {st} as entity, cast({ts} as date) as day, count(*) as flow "
-                     f"from trips_ev where {cond} group by 1, 2, 3")
+                     f"from {trips} where {cond} group by 1, 2, 3")
     return "\ncnt as (" + "\nunion all\n".join(parts) + ")"
 
 
@@ -430,10 +431,36 @@ h{i + 1} as (select * from h{i}
     return ctes
 
 
-def _station_ents(models) -> str:
+def _station_ents(models, stations: str = "stations_ev") -> str:
     vals = ", ".join(f"('{m}')" for m in models)
     return f"""
-ents as (select m.model, s.station_name as entity from stations_ev s, (values {vals}) m(model))"""
+ents as (select m.model, s.station_name as entity from {stations} s, (values {vals}) m(model))"""
+
+
+def fit_ar_one_lag() -> str:
+    """One lag without intercept, per factor: sum(x y) / sum(x x) over the
+    dense factor series of the whole order history."""
+    series = {"station_in": ("in", None), "station_out": ("out", None)}
+    lowrank = _lowrank_ctes("ents", 0)
+    h0 = lowrank[-1].replace(f"where cnt.day between {d(days_before(EV_FORECAST_START, WINDOW))} "
+                             f"and {d(days_before(EV_FORECAST_START, 1))}", "")
+    return with_(TRIPS_OD, STATIONS_OD, station_counts_cte(OD_START, OD_TRAIN_END, series, "trips_od"),
+                 _station_ents(series, "stations_od"), *lowrank[:-1], h0, """
+span as (select model, min(day) as lo, max(day) as hi from h0 group by 1)""", """
+days as (select model, cast(g.d as date) as day from span,
+         unnest(generate_series(cast(lo as timestamp), cast(hi as timestamp), interval 1 day)) as g(d))""", """
+dense as (select days.model, f.factor, days.day, coalesce(h0.q, 0.0) as y
+          from days join (select distinct model, factor from b) f on f.model = days.model
+          left join h0 on h0.model = days.model and h0.factor = f.factor and h0.day = days.day)""", """
+lagged as (select *, lag(y) over (partition by model, factor order by day) as x from dense)""") + """
+select model, factor, cast(1 as integer) as lag, round(sum(x * y) / sum(x * x), 6) as weight
+from lagged where x is not null group by model, factor"""
+
+
+def fit_basis_products() -> str:
+    return f"""
+select m.model, cast(i.f as integer) as f1, cast(j.f as integer) as f2, cast(i.f = j.f as double) as dot
+from (values ('station_in'), ('station_out')) m(model), range({OD_RANK}) i(f), range({OD_RANK}) j(f)"""
 
 
 def basis_project() -> str:
@@ -561,6 +588,8 @@ def oracle_sql() -> dict[str, str]:
         "station_flow_from_rollup": station_flow(),
         "section_flow_from_rollup": section_flow(),
         "line_flow_from_rollup": line_flow(),
+        "fit_ar_one_lag": fit_ar_one_lag(),
+        "fit_basis_products": fit_basis_products(),
         "section_bridge": section_bridge(),
         "section_flow_bridge": section_flow_bridge(),
         "section_flow_bridge_daily": section_flow_bridge_daily(),

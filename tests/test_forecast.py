@@ -289,6 +289,7 @@ def test_fits_beat_mean_and_are_stable(spark):
     b1 = FIT.fit_basis(panel.where(F.col("model") == "station_in"), ents, 2)
     b2 = FIT.fit_basis(panel.where(F.col("model") == "station_in"), ents, 2)
     assert b1.count() == 3 * 2
-    assert sorted(b1.collect()) == sorted(b2.collect())
+    # sums of doubles depend on the order in which tasks end
+    assert [r["weight"] for r in sorted(b1.collect())] == pytest.approx([r["weight"] for r in sorted(b2.collect())], abs=1e-9)
     ar = FIT.fit_factor_ar(panel.where(F.col("model") == "station_in"), b1, window=14)
     assert ar.count() == 2 * 14 and ar.select("lag").distinct().count() == 14
