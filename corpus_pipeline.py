@@ -1,7 +1,7 @@
 """The training-data pipeline: documents -> accepted, distinct, encoded texts.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with the
-columns of documents; the last one returns the encoded corpus. SQL can't
+columns of documents (other columns are dropped); the last one returns the encoded corpus. SQL can't
 express the classifier or the tokenizer, so there is no oracle for the whole;
 the tests hold every stage against a brute-force version.
 """
@@ -13,31 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from metrolens.llm import bpe, decontam, minhash, paragraphs, quality
 from metrolens.llm.common import stored, table
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier accepts."""
-    scored = quality.quality_scores(spark, docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.quality_scores(spark, docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at Jaccard 0.8 or more on five-word shingles."""
-    return minhash.distinct_documents(spark, docs, n=5, percent=80)
+    return minhash.distinct_documents(spark, docs.select(*COLUMNS), n=5, percent=80)
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the paragraphs that an earlier document keeps."""
-    return paragraphs.without(docs, paragraphs.repeated_paragraphs(spark, docs))
+    return paragraphs.without(docs.select(*COLUMNS), paragraphs.repeated_paragraphs(spark, docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontam.clean(spark, docs, table(spark, sf_dir, "benchmark"))
+    return decontam.clean(spark, docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text and the text they decode to."""
-    return bpe.encode_decode(spark, docs, outputs=("n_tokens", "ids", "decoded"), keep=tuple(docs.columns))
+    return bpe.encode_decode(spark, docs, outputs=("n_tokens", "ids", "decoded"), keep=COLUMNS)
 
 
 STAGES = [

@@ -68,12 +68,14 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     """``mapInArrow`` over slices: ``fn`` turns a slice into a dict of columns
     (arrays or lists); the columns named in ``keep`` are passed through. When
     output rows are not the slice's rows one by one, ``fn`` adds ``take``: the
-    row of the slice that each output row belongs to."""
+    row of the slice that each output row belongs to. A column made by ``fn``
+    replaces a kept one of the same name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     parsed = StructType.fromDDL(schema)
     types = {f.name: f.dataType for f in parsed.fields}
+    keep = tuple(k for k in keep if k not in types)
     out = StructType([f for f in df.schema.fields if f.name in keep] + parsed.fields)
     arrow = to_arrow_schema(parsed)
 
