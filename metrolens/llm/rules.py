@@ -33,7 +33,7 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 METRICS = (
     ("symbol", "n_symbols", "n_words", 100),
     ("dup_line", "n_dup_lines", "n_lines", 500),
-    ("repeat", "n_repeat_words", "n_words", 300),
+    ("repeat", "n_repeat_words", "n_words", 450),
     ("word_len", "word_chars", "n_words", 2000),
 )
 SPREADS = 4
