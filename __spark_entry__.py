@@ -29,10 +29,11 @@ from metrolens.functions.dates import date_str, trailing_window
 from metrolens.plans import descriptive as Q
 from metrolens.plans import fit as FIT
 from metrolens.plans import forecast as FC
+from metrolens.plans import records
 from metrolens.session import scratch_path
 from metrolens.streaming import rollup as R
 from metrolens.plans.inputs import Inputs
-from metrolens.sources import tables
+from metrolens.sources import models, sinks, tables
 from metrolens.sources import testdata as TD
 
 # The training-data operators are an optional part: without their folder the
@@ -369,6 +370,59 @@ def section_flow_od(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.section_flow(inp, O.OD_LINE, O.OD_START, O.OD_END)
 
 
+def _trips_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event trips written under other column names, partitioned by entry
+    day, and read back with the reader's rename map (A1)."""
+    path = scratch_path(spark, "trips-by-day")
+    trips = ev_inputs(spark, sf_dir).trips.select(*TRIP_COLUMNS)
+    tables.write_trips(trips.withColumnsRenamed({"station_in": "from_station", "line_in": "from_line"}), path)
+    return tables.read_trips(spark, path, {"station_in": "from_station", "line_in": "from_line"}, by_day=True)
+
+
+def month_flow_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.single_month_flow(Inputs(_trips_by_day(spark, sf_dir)), O.EV_MONTH)
+
+
+def dimensions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2 and Q4 on calendar and users written and read by their readers
+    (A2, A3), as JSON records and back (A10): one row per figure."""
+    inp = ev_inputs(spark, sf_dir)
+    users, cal = scratch_path(spark, "users"), scratch_path(spark, "workdays")
+    inp.users.write.parquet(users)
+    inp.workdays.write.parquet(cal)
+    inp = inp.with_(users=tables.read_users(spark, users), workdays=tables.read_workdays(spark, cal))
+    ages = Q.age_structure(inp).select("sex", "bin", F.col("n").cast("double").alias("value"))
+    means = _round(Q.day_type_flow(inp, O.EV_START, O.EV_END)).select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("sex"), F.lit(0).alias("bin"), F.col(c).alias("value"))
+                            for c in ("workday", "weekend")])).alias("r")).select("r.*")
+    rows = ages.union(means)
+    return sinks.from_json_records(sinks.to_json_records(rows), rows.schema)
+
+
+def peak_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 in the nested record shape (A8), listed again one row per item."""
+    nested = records.peak_lists(Q.peak_flow(ev_inputs(spark, sf_dir), O.EV_START, O.EV_END))
+    return nested.select(F.explode(F.array(*[
+        F.struct(F.lit(p).alias("period"), F.col(p).alias("items")) for p in ("morning", "evening")])).alias("r")) \
+        .select("r.period", F.explode("r.items").alias("i")).select("period", "i.*")
+
+
+def basis_from_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture basis saved as an entities x k numpy matrix, imported, and
+    round-tripped through the parameter tables (A6, A7)."""
+    import io
+    import numpy as np
+    basis, _ = _station_params(spark, ev_inputs(spark, sf_dir), {"station_in": None})
+    rows = basis.orderBy("entity", "factor").collect()                  # entities x k numbers
+    names = sorted({r["entity"] for r in rows})
+    buffer = io.BytesIO()
+    np.save(buffer, np.array([r["weight"] for r in rows]).reshape(len(names), -1))
+    buffer.seek(0)
+    path = scratch_path(spark, "basis")
+    models.write_params(models.basis_from_npy(spark, buffer, "station_in", names), path)
+    return models.read_basis(spark, path)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: per-station entries and exits over the whole event history."""
     return Q.all_stations_flow(ev_inputs(spark, FLAGSHIP_SF), O.EV_START, O.EV_END)
@@ -421,6 +475,10 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "station_flow_from_rollup": station_flow_from_rollup,
         "section_flow_from_rollup": section_flow_from_rollup,
         "line_flow_from_rollup": line_flow_from_rollup,
+        "month_flow_by_day": month_flow_by_day,
+        "dimensions_round_trip": dimensions_round_trip,
+        "peak_records": peak_records,
+        "basis_from_numpy": basis_from_numpy,
         "section_bridge": lambda s, p: bridge_inputs(s, p).section_bridge,
         "section_flow_bridge": lambda s, p: Q.section_flow(bridge_inputs(s, p), O.EV_LINE, O.EV_START, O.EV_END),
         "section_flow_bridge_daily": lambda s, p: Q.section_flow_daily(bridge_inputs(s, p), O.EV_START, O.EV_END),

@@ -38,6 +38,16 @@ def in_days(ts_col: str | Column, lo, hi) -> Column:
     return F.to_date(ts_col).between(F.lit(as_date(lo)), F.lit(as_date(hi)))
 
 
+def entered(trips, lo, hi) -> Column:
+    """Entry-day range over a trip table (B1). A table partitioned by
+    ``entry_day`` is also filtered on that column, so only its partitions of
+    the range are listed and opened."""
+    cond = in_days("time_in", lo, hi)
+    if "entry_day" in trips.columns:
+        cond = cond & F.col("entry_day").between(F.lit(as_date(lo)), F.lit(as_date(hi)))
+    return cond
+
+
 def in_hour_band(ts_col: str | Column, band: tuple[int, int]) -> Column:
     """Inclusive hour band."""
     return F.hour(ts_col).between(band[0], band[1])

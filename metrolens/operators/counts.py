@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrolens.functions.dates import in_days, in_hour_band
+from metrolens.functions.dates import entered, in_days, in_hour_band
 
 
 def _nonnull(arr: Column) -> Column:
@@ -19,7 +19,7 @@ def _nonnull(arr: Column) -> Column:
 
 def daily_counts(trips: DataFrame, ts_col: str, lo, hi, where: Column | None = None) -> DataFrame:
     """Count of trips per calendar day of ``ts_col`` in ``[lo, hi]`` -> (time, flow)."""
-    cond = in_days(ts_col, lo, hi)
+    cond = entered(trips, lo, hi) if ts_col == "time_in" else in_days(ts_col, lo, hi)
     if where is not None:
         cond = cond & where
     return (trips.where(cond).groupBy(F.to_date(ts_col).alias("time"))
@@ -90,5 +90,5 @@ def od_counts(trips: DataFrame, lo, hi, by_day: bool = False) -> DataFrame:
     keys = [F.col("station_in"), F.col("station_out")]
     if by_day:
         keys.append(F.to_date("time_in").alias("day"))
-    return (trips.where(in_days("time_in", lo, hi)).groupBy(*keys)
+    return (trips.where(entered(trips, lo, hi)).groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("flow")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrolens.functions.dates import PEAK_BANDS, as_date, date_str, in_days, month_bounds
+from metrolens.functions.dates import PEAK_BANDS, as_date, date_str, entered, in_days, month_bounds
 from metrolens.functions.numeric import AGE_BIN_COUNT, age, age_bin
 from metrolens.operators import counts, sections
 from metrolens.plans.inputs import Inputs
@@ -104,7 +104,7 @@ def all_stations_flow(inp: Inputs, start, end, fill: int | None = None) -> DataF
 def line_to_line_flow(inp: Inputs, start, end) -> DataFrame:
     """Q7: trips per (entry line, exit line), same-line pairs included
     (row order unspecified, as in the reference)."""
-    return (inp.trips.where(in_days("time_in", start, end))
+    return (inp.trips.where(entered(inp.trips, start, end))
             .groupBy(F.col("line_in").alias("source"), F.col("line_out").alias("target"))
             .agg(F.count(F.lit(1)).alias("flow")))
 

@@ -46,8 +46,8 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def basis_from_npy(spark: SparkSession, npy_path: str, model: str, entities: Sequence[str]) -> DataFrame:
-    """Import an entities x k basis saved with numpy; row i belongs to the
+def basis_from_npy(spark: SparkSession, npy_path, model: str, entities: Sequence[str]) -> DataFrame:
+    """Import an entities x k basis saved with numpy (a path or an open file); row i belongs to the
     i-th name of ``sorted(entities)``. Zero loadings are kept, so that every
     entity stays in the basis. The matrix goes to Spark as Arrow columns."""
     import numpy as np

@@ -20,11 +20,25 @@ def _conform(df: DataFrame, schema: T.StructType, rename: dict[str, str] | None)
                        for f in schema.fields])
 
 
-def read_trips(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:
-    """Trip fact table (A1): one row per journey."""
+ENTRY_DAY = T.StructField("entry_day", T.DateType())
+
+
+def read_trips(spark: SparkSession, path: str, rename: dict[str, str] | None = None,
+               by_day: bool = False) -> DataFrame:
+    """Trip fact table (A1): one row per journey. ``by_day``: the table was
+    written by :func:`write_trips`; queries by entry day then read only the
+    partitions of their range."""
+    schema = T.StructType([*schemas.TRIPS.fields, ENTRY_DAY]) if by_day else schemas.TRIPS
     if rename:
-        return _conform(spark.read.parquet(path), schemas.TRIPS, rename)
-    return spark.read.schema(schemas.TRIPS).parquet(path)
+        return _conform(spark.read.parquet(path), schema, rename)
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_trips(trips: DataFrame, path: str) -> None:
+    """Trips partitioned by entry day. Rows are rebalanced by day, so a large
+    day is split over several tasks and files, small days share a task."""
+    (trips.withColumn("entry_day", F.to_date("time_in")).hint("rebalance", "entry_day")
+     .write.partitionBy("entry_day").parquet(path))
 
 
 def read_users(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:

@@ -206,6 +206,18 @@ where bridge.line = '{EV_LINE}' group by section_id, source, target""")
     return with_(TRIPS_EV, STATIONS_EV, bridge, od) + "\nunion all\n".join(sel)
 
 
+def dimensions_round_trip() -> str:
+    return f"""
+select sex, bin, cast(n as double) as value from ({age_structure()})
+union all select 'workday', 0, workday from ({day_type_flow()})
+union all select 'weekend', 0, weekend from ({day_type_flow()})"""
+
+
+def basis_from_numpy() -> str:
+    return with_(TRIPS_EV, STATIONS_EV, _station_ents({"station_in": None}), *_lowrank_ctes("ents", 0)[:3]) + """
+select model, entity, cast(factor as integer) as factor, w as weight from b"""
+
+
 def _bridge_json() -> str:
     """The fixture's list of related pairs, a section without pairs once with nulls."""
     rows = [(line, i, sec["source"], sec["target"], *od) for line, secs in FIXTURE_BRIDGE.items()
@@ -590,6 +602,10 @@ def oracle_sql() -> dict[str, str]:
         "line_flow_from_rollup": line_flow(),
         "fit_ar_one_lag": fit_ar_one_lag(),
         "fit_basis_products": fit_basis_products(),
+        "month_flow_by_day": month_flow(),
+        "dimensions_round_trip": dimensions_round_trip(),
+        "peak_records": peak_flow(),
+        "basis_from_numpy": basis_from_numpy(),
         "section_bridge": section_bridge(),
         "section_flow_bridge": section_flow_bridge(),
         "section_flow_bridge_daily": section_flow_bridge_daily(),

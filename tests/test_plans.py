@@ -46,3 +46,16 @@ def test_in_out_counts_single_aggregation(spark):
     # one partial + one final aggregation around a single shuffle, no sort
     assert plan.count("HashAggregate") == 2
     assert plan.count("Exchange") == 1
+
+
+def test_entry_day_partitions_are_pruned(spark):
+    from metrolens.session import scratch_path
+    from metrolens.sources import tables
+    path = scratch_path(spark, "pruned")
+    tables.write_trips(TD.stored_trips(spark, SF, "ev").select(*E.TRIP_COLUMNS), path)
+    trips = tables.read_trips(spark, path, by_day=True)
+    for query in (Q.line_to_line_flow(Inputs(trips), "2024-01-05", "2024-01-06"),
+                  Q.od_flow(Inputs(trips), "2024-01-05", "2024-01-06")):
+        scan = next(line for line in _plan(query).splitlines() if "FileScan parquet" in line)
+        filters = scan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+        assert "entry_day" in filters and "2024-01-05" in filters
