@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,55 @@ def narrowed(df: DataFrame, wanted: DataFrame, column: str, most: int = 4096) ->
     return placed.join(F.broadcast(maps), "_map").where(hit).select(*df.columns)
 
 
+def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+    """``fn(batch, bounds)`` over the groups of ``keys``: rows are brought
+    together by key and sorted, and ``fn`` gets many whole groups at a time
+    (group i is rows bounds[i] to bounds[i + 1]), so that small groups cost
+    little. It returns a record batch. A group's rows must fit a task."""
+
+    def run(batches):
+        held = None
+
+        def whole(table, last):
+            batch = table.combine_chunks().to_batches()[0]
+            changed = np.zeros(batch.num_rows - 1, bool)
+            for k in keys:
+                column = batch.column(k).to_numpy(zero_copy_only=False)
+                changed |= column[1:] != column[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(changed) + 1, [batch.num_rows]])
+            return batch, cuts if last else cuts[:-1]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            rows, bounds = whole(table, last=False)
+            if len(bounds) > 1:
+                yield fn(rows.slice(0, int(bounds[-1])), bounds)
+            held = pa.Table.from_batches([rows.slice(int(bounds[-1]))])
+        if held is not None:
+            yield fn(*whole(held, last=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def binary_rows(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """(rows, width) bytes of a binary column whose values are equally long."""
+    if not len(column):
+        return np.zeros((0, width or 1), np.uint8)
+    start, stop = column.offset, column.offset + len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[start:stop + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(len(column), -1)
+
+
+def binary_column(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a contiguous array."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.dtype.itemsize * rows.shape[1]
+    offsets = (np.arange(len(rows) + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
 def id_bucket(col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n`` (null ids: null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

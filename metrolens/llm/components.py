@@ -54,8 +54,12 @@ def local_stars(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _is_done(links: DataFrame) -> bool:
+    """Whether every node has one link only, to a node without a smaller one."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select("b", F.lit(0), F.lit(1)))
+    open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return open_.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -64,13 +68,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     are left out. Repeated links and loops are allowed."""
     plain = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     links = stored(spark, plain.mapInArrow(local_stars, "a long, b long").distinct(), "links")
-    state = _state(links)
-    while True:
-        links = stored(spark, _small_star(spark, stored(spark, _large_star(spark, links), "large-star")), "small-star")
-        now = _state(links)
-        if now == state:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = now
+    while not _is_done(links):
+        links = stored(spark, _large_star(spark, links), "large-star")
+        links = stored(spark, _small_star(spark, links), "small-star")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def _large_star(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def _large_star(spark: SparkSession, links: DataFrame) -> DataFrame:
     Links are kept as (larger a, smaller b)."""
     least = stored(spark, links.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = links.join(least.withColumnRenamed("a", "centre"), F.col("b") == F.col("centre"), "left")
-    return moved.select("a", F.coalesce("least", "b").alias("b")).distinct()
+    return moved.select("a", F.coalesce("least", "b").alias("b"))
 
 
 def _small_star(spark: SparkSession, links: DataFrame) -> DataFrame:

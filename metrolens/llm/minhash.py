@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolens.llm.common import map_arrow, narrowed, stored
+from metrolens.llm.common import binary_rows, map_arrow, map_sorted_groups, narrowed, stored
 from metrolens.llm.components import Forest, components
 from metrolens.llm.text import Words, mix64, shingles
 
@@ -206,20 +206,22 @@ def across_groups(members: DataFrame, nodes: DataFrame, groups: DataFrame, least
         F.when(F.col("is_main"), F.col("own")).otherwise(F.col("nm") + F.col("own")).alias("j"),
         F.lit(False).alias("is_left"), "node", "g", "signature")
 
-    def compare(table: pa.Table) -> pa.Table:
-        is_left = table.column("is_left").to_numpy(zero_copy_only=False)
-        node, g = table.column("node").to_numpy(), table.column("g").to_numpy()
-        sig = _signatures(table)
-        at, found = np.flatnonzero(~is_left), []
-        forest = Forest()
-        for x in np.flatnonzero(is_left):
-            close = at[(sig[at] == sig[x]).mean(axis=1) >= least]
-            for y in close[g[close] != g[x]].tolist():
-                if forest.join(int(node[x]), int(node[y])):
-                    found.append((node[x], node[y]))
+    def compare(batch, bounds):
+        is_left = batch.column("is_left").to_numpy(zero_copy_only=False)
+        node, g = batch.column("node").to_numpy(), batch.column("g").to_numpy()
+        sig, found = binary_rows(batch.column("signature")), []
+        enough = least * sig.shape[1]
+        for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            at = start + np.flatnonzero(~is_left[start:stop])
+            forest, right, own = Forest(), sig[at], g[at]
+            for x in (start + np.flatnonzero(is_left[start:stop])).tolist():
+                close = at[((right == sig[x]).sum(axis=1) >= enough) & (own != g[x])]
+                for y in close.tolist():
+                    if forest.join(int(node[x]), int(node[y])):
+                        found.append((node[x], node[y]))
         return _pairs(found)
 
-    return left.union(right).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return map_sorted_groups(left.union(right), ["key", "i", "j"], compare, "a long, b long")
 
 
 def exact_links(close: DataFrame, groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
@@ -238,45 +240,43 @@ def exact_links(close: DataFrame, groups: DataFrame, nodes: DataFrame, sets: Dat
     rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                        (F.col("own") <= F.col("other")).alias("is_left"), "node", "g", "signature", "shingles")
 
-    def verify(table: pa.Table) -> pa.Table:
-        node, g, sig = table.column("node").to_numpy(), table.column("g").to_numpy(), _signatures(table)
-        lists = table.column("shingles").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        size = np.diff(lists.offsets.to_numpy())
-        start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        _, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        mark = np.zeros(len(ids) + 1, bool)
-        is_left = table.column("is_left").to_numpy(zero_copy_only=False)
-        left = np.flatnonzero(is_left)
-        right = np.flatnonzero(~is_left) if not is_left.all() else np.arange(len(node))
-        forest, found = Forest(), []
-        for x in range(len(node)):
-            forest.join(int(g[x]), int(node[x]))
-        for x in left:
-            close = right[(sig[right] == sig[x]).mean(axis=1) >= least]
-            own = forest.find(int(node[x]))
-            close = np.array([y for y in close.tolist() if forest.find(int(node[y])) != own], np.int64)
-            if not len(close):
-                continue
-            mark[ids[start[x]:start[x + 1]]] = True
-            common = np.array([mark[ids[start[y]:start[y + 1]]].sum() for y in close])
-            mark[ids[start[x]:start[x + 1]]] = False
-            linked = 100 * common >= percent * (size[x] + size[close] - common)
-            for y in close[linked].tolist():
-                if forest.join(int(node[x]), int(node[y])):
-                    found.append((node[x], node[y]))
+    def verify(batch, bounds):
+        node, g, sig = batch.column("node").to_numpy(), batch.column("g").to_numpy(), binary_rows(batch.column("signature"))
+        lists = batch.column("shingles")
+        edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten().to_numpy()
+        is_left = batch.column("is_left").to_numpy(zero_copy_only=False)
+        enough, found = least * sig.shape[1], []
+        for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            _, ids = np.unique(flat[edge[start]:edge[stop]], return_inverse=True)
+            ids_of = lambda x: ids[edge[x] - edge[start]:edge[x + 1] - edge[start]]  # noqa: E731, B023
+            mark = np.zeros(len(ids) + 1, bool)
+            left = start + np.flatnonzero(is_left[start:stop])
+            right = start + np.flatnonzero(~is_left[start:stop])
+            right = right if len(right) else left
+            forest, near = Forest(), sig[right]
+            for x in range(start, stop):
+                forest.join(int(g[x]), int(node[x]))
+            for x in left.tolist():
+                own = forest.find(int(node[x]))
+                close = [y for y in right[(near == sig[x]).sum(axis=1) >= enough].tolist() if forest.find(int(node[y])) != own]
+                if not close:
+                    continue
+                mark[ids_of(x)] = True
+                for y in close:
+                    common = int(mark[ids_of(y)].sum())
+                    union = edge[x + 1] - edge[x] + edge[y + 1] - edge[y] - common
+                    if 100 * common >= percent * union and forest.join(int(node[x]), int(node[y])):
+                        found.append((node[x], node[y]))
+                mark[ids_of(x)] = False
         return _pairs(found)
 
-    return rows.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
+    return map_sorted_groups(rows, ["component", "i", "j"], verify, "a long, b long")
 
 
-def _signatures(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-
-
-def _pairs(found: list) -> pa.Table:
+def _pairs(found: list) -> pa.RecordBatch:
     pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
+    return pa.RecordBatch.from_pydict({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

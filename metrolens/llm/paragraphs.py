@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metrolens.llm.common import map_arrow, narrowed, stored
+from metrolens.llm.common import binary_column, binary_rows, map_arrow, narrowed, stored
 from metrolens.llm.minhash import _list_array, near_groups, set_digest, superminhash
 from metrolens.llm.text import Words, mix64, shingles
 
@@ -173,17 +173,27 @@ def anchored_runs(docs: DataFrame) -> DataFrame:
     return map_arrow(_named(docs), run, "key long, at int", keep=("doc_id",))
 
 
-def _context(h: np.ndarray, first: int, stop: int, a: int, b: int) -> tuple[bytes, bytes]:
-    """Folded hashes of up to RUN words before ``a``, nearest first, and after ``b``."""
-    fold = lambda x: (x >> np.uint64(32)).astype("<u4").tobytes()
-    return fold(h[max(first, a - RUN):a][::-1]), fold(h[b:min(stop, b + RUN)])
+def _beside(w: Words, a: np.ndarray, b: np.ndarray, text: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the runs from word ``a`` to before ``b``: folded hashes of RUN words
+    before (nearest first) and after, how many of them there are, and the byte
+    places where the run starts or ends when 0 to RUN of them are taken in."""
+    k = np.arange(RUN)
+    first, end = w.first[text], w.first[text + 1]
+    last = max(len(w.hashes) - 1, 0)
+    fold = (w.hashes >> np.uint64(32)).astype("<u4")
+    at_before, at_after = a[:, None] - 1 - k, b[:, None] + k
+    wide = np.arange(RUN + 1)
+    starts = w.starts[np.maximum(a[:, None] - wide, 0)] - w.offsets[text][:, None]
+    ends = w.ends[np.minimum(b[:, None] - 1 + wide, last)] - w.offsets[text][:, None]
+    return {"before": fold[np.maximum(at_before, 0)], "after": fold[np.minimum(at_after, last)],
+            "n_before": np.minimum(a - first, RUN), "n_after": np.minimum(end - b, RUN),
+            "starts": starts.astype("<i4"), "ends": ends.astype("<i4")}
 
 
-def _common(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    n = min(len(x), len(y))
-    other = np.flatnonzero(x[:n] != y[:n])
-    return int(other[0]) if len(other) else n
+def _common(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Length of the common beginning of each two rows, ``n`` at most."""
+    same = np.column_stack([x == y, np.zeros(len(x), bool)])
+    return np.minimum(same.argmin(axis=1), n)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -213,44 +223,38 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
 
     def show(part):
         w = Words(part.column("text"), lower=True)
-        made = {k: [] for k in ("take", "id", "own", "before", "after", "at", "stop", "words")}
-        for i, listed in enumerate(part.column("places").to_pylist()):
-            first, end = int(w.first[i]), int(w.first[i + 1])
-            bounds = np.column_stack([w.starts[first:end], w.ends[first:end]]) - w.offsets[i]
-            for p in listed:
-                a, b = first + p["at"], first + p["stop"]
-                if b > end or _rolled(w.hashes, np.array([a]), RUN).view(np.int64)[0] != p["key"]:
-                    continue                     # another text of the same doc_id
-                before, after = _context(w.hashes, first, end, a, b)
-                lo, hi = p["at"] - len(before) // 4, p["stop"] + len(after) // 4
-                for k, v in (("take", i), ("id", p["id"]), ("own", p["own"]), ("before", before), ("after", after),
-                             ("at", p["at"]), ("stop", p["stop"]),
-                             ("words", bounds[lo:hi].astype("<i4").tobytes() if p["own"] else b"")):
-                    made[k].append(v)
-        return made
+        places = part.column("places")
+        text = np.repeat(np.arange(w.texts), np.diff(places.offsets.to_numpy()))
+        p = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(places.type.value_type, places.flatten().flatten())}
+        fits = p["stop"] <= w.counts[text]
+        a = w.first[text] + p["at"]
+        fits[fits] = _rolled(w.hashes, a[fits], RUN).view(np.int64) == p["key"][fits]     # else another text of the doc_id
+        text, a = text[fits], a[fits]
+        p = {k: v[fits] for k, v in p.items()}
+        made = _beside(w, a, a + p["stop"] - p["at"], text)
+        wide = {k: binary_column(made.pop(k)) for k in ("before", "after", "starts", "ends")}
+        return wide | made | {"take": text, "id": p["id"], "own": p["own"], "length": p["stop"] - p["at"]}
 
     holders = narrowed(docs, sides.select("doc_id"), "doc_id")
-    shown = map_arrow(_named(holders).join(places, "doc_id"), show, "id long, own boolean, before binary, after binary, "
-                      "at int, stop int, words binary", keep=("doc_id", "version"))
+    shown = map_arrow(_named(holders).join(places, "doc_id"), show,
+                      "id long, own boolean, length int, before binary, after binary, n_before int, n_after int, "
+                      "starts binary, ends binary", keep=("doc_id", "version"))
     shown = stored(spark, shown, "chain-sides")
     own = shown.where("own").drop("own")
-    other = shown.where("NOT own").select("id", F.col("doc_id").alias("keep_doc_id"), F.col("before").alias("kept_before"),
-                                          F.col("after").alias("kept_after"))
+    other = shown.where("NOT own").select("id", F.col("doc_id").alias("keep_doc_id"), *[
+        F.col(c).alias(f"kept_{c}") for c in ("before", "after", "n_before", "n_after")])
 
     def extend(part):
-        made = {k: [] for k in ("start", "end", "n_words")}
-        columns = (part.column(c).to_pylist() for c in ("before", "after", "kept_before", "kept_after", "at", "stop", "words"))
-        for before, after, kept_before, kept_after, at, stop, words in zip(*columns):
-            bounds = np.frombuffer(words, "<i4").reshape(-1, 2)
-            a = len(before) // 4 - _common(before, kept_before)
-            b = len(before) // 4 + stop - at + _common(after, kept_after)
-            made["start"].append(int(bounds[a, 0]))
-            made["end"].append(int(bounds[b - 1, 1]))
-            made["n_words"].append(b - a)
-        return made
+        ints = lambda name, kind: binary_rows(part.column(name), 4).copy().view(kind)
+        number = lambda name: part.column(name).to_numpy()
+        grown = [_common(ints(side, "<u4"), ints(f"kept_{side}", "<u4"), np.minimum(number(f"n_{side}"), number(f"kept_n_{side}")))
+                 for side in ("before", "after")]
+        row = np.arange(part.num_rows)
+        return {"start": ints("starts", "<i4")[row, grown[0]], "end": ints("ends", "<i4")[row, grown[1]],
+                "n_words": number("length") + grown[0] + grown[1]}
 
     spans = map_arrow(own.join(other, "id"), extend, "start int, end int, n_words int",
-                      keep=("doc_id", "version", "keep_doc_id"), sliced_by="words")
+                      keep=("doc_id", "version", "keep_doc_id"), sliced_by="starts")
     return spans.where(F.col("n_words") >= min_words).select(
         "doc_id", "version", "start", "end", "n_words", "keep_doc_id", F.lit("passage").alias("kind"))
 
