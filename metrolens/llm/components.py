@@ -1,7 +1,7 @@
 """Connected components of a link table (union-find, then star contraction).
 
-Each task first contracts the links it holds with a union-find, so what is
-shuffled afterwards is one star link per node and task. Rounds of large-star
+Tasks of at most ``LINKS_PER_TASK`` links first contract these with a
+union-find, so what is shuffled afterwards is one star link per node and task. Rounds of large-star
 and small-star steps then join the tasks' views: every node is linked to the
 smallest node among its neighbours until nothing changes, which takes a number
 of rounds logarithmic in the size of a component. Links are never collected;
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from metrolens.llm.common import stored
 
+LINKS_PER_TASK = 250_000     # links that one task contracts by union-find
+
 
 class Forest:
     """Union-find over the nodes of one task."""
@@ -67,8 +69,11 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     node reachable; nodes that are the smallest themselves, or without links,
     are left out. Repeated links and loops are allowed."""
     plain = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    links = stored(spark, plain.mapInArrow(local_stars, "a long, b long").distinct(), "links")
-    while not _is_done(links):
+    links = stored(spark, plain, "links")
+    tasks = -(-links.count() // LINKS_PER_TASK)
+    stars = links.coalesce(max(1, tasks)).mapInArrow(local_stars, "a long, b long")
+    links = stored(spark, stars.distinct() if tasks > 1 else stars, "stars")
+    while tasks > 1 and not _is_done(links):       # a single task's stars are the components
         links = stored(spark, _large_star(spark, links), "large-star")
         links = stored(spark, _small_star(spark, links), "small-star")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -81,7 +81,7 @@ def _fill(out: np.ndarray, h: np.ndarray, owner: np.ndarray, places: int) -> Non
     for j in range(places):
         if not len(h):
             return
-        draw = mix64(h + np.uint64(0x632BE59BD9B4E019) * np.uint64(j + 1))
+        draw = mix64(h + np.uint64(0x632BE59BD9B4E019 * (j + 1) % 2**64))
         k = j + ((draw >> np.uint64(32)) * np.uint64(places - j) >> np.uint64(32)).astype(np.int64)
         rows = np.arange(len(h))
         place = order[rows, k]

@@ -17,7 +17,7 @@ def sequential(hashes, places):
     for h in hashes:
         order = list(range(places))
         for j in range(places):
-            draw = int(mix64(np.array([h], np.uint64) + np.uint64(0x632BE59BD9B4E019) * np.uint64(j + 1))[0])
+            draw = int(mix64(np.array([h], np.uint64) + np.uint64(0x632BE59BD9B4E019 * (j + 1) % 2**64))[0])
             k = j + ((draw >> 32) * (places - j) >> 32)
             order[j], order[k] = order[k], order[j]
             out[order[j]] = min(int(out[order[j]]), (j << 32) | (draw & 0xFFFFFFFF))
@@ -104,7 +104,10 @@ def test_band_plan_misses_little():
         assert bands * rows <= minhash.PLACES and (1 - (percent / 100) ** rows) ** bands < 1e-5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [250_000, 10])
+def test_components(spark, monkeypatch, per_task):
+    import metrolens.llm.components as module
+    monkeypatch.setattr(module, "LINKS_PER_TASK", per_task)
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7), (100, 200)]
     links += [(1000, x) for x in range(1001, 1100)] + [(-5, 2000)]
