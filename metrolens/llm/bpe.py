@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -32,6 +33,10 @@ from pyspark.sql import functions as F
 
 from metrolens.llm.common import map_arrow
 
+# White space, letters (in lower and upper case) and numbers up to U+024F.
+_SPACES = " \\t\\n\\x0b\\x0c\\r\\x85\\xa0"
+_LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+_NUMBERS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 CACHE_WORDS = 300_000     # distinct pre-tokens remembered per task; older ones are encoded again
 
 
@@ -78,6 +83,10 @@ class Codec:
         vocab = model["vocab"]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
+        # Up to U+024F the classes are few ranges, which the plain engine matches much faster.
+        self.latin = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACES}{_LETTERS}{_NUMBERS}]")
+                                .replace(r"[\p{L}]", f"[{_LETTERS}]").replace(r"[\p{N}]", f"[{_NUMBERS}]"))
+        self.beyond_latin = re.compile("[^\x00-\u024f]")
         odd = f"[{spec['unassigned']}]" if spec["unassigned"] else r"[^\s\S]"
         self.odd = regex.compile(odd)
         strict = (pattern.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||{odd}]")
@@ -166,9 +175,12 @@ class Codec:
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
         if text.isascii():
-            return self.pattern.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()   # lower case is per character
-        return (self.strict if self.odd.search(text) else self.pattern).findall(text)
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()   # lower case is per character
+            if self.beyond_latin.search(text):
+                return (self.strict if self.odd.search(text) else self.pattern).findall(text)
+        return self.latin.findall(text)
 
     def parts(self, text: str) -> list[str]:
         """The text cut at special strings; these stand at odd places."""
