@@ -193,7 +193,7 @@ def test_parameter_tables_round_trip(spark, tmp_path):
     np.save(tmp_path / "P.npy", p)
     basis = models.basis_from_npy(spark, str(tmp_path / "P.npy"), "station_in", ["S2", "S0", "S1"])
     got = {(r["entity"], r["factor"]): r["weight"] for r in basis.collect()}
-    assert got == {("S0", 0): 1.0, ("S1", 0): 0.5, ("S1", 1): 2.0, ("S2", 1): 3.0}   # zeros dropped
+    assert got == {("S0", 0): 1.0, ("S0", 1): 0.0, ("S1", 0): 0.5, ("S1", 1): 2.0, ("S2", 0): 0.0, ("S2", 1): 3.0}   # zeros kept
     models.write_params(basis, str(tmp_path / "basis"))
     assert sorted(models.read_basis(spark, str(tmp_path / "basis")).collect()) == sorted(basis.collect())
     train = spark.createDataFrame([(float(x), 2.0 * x + 1.0) for x in range(10)], "x double, label double")
