@@ -8,11 +8,14 @@ diagonal bands wider than k, every two neighbouring bands taken together, and
 only regions that reach the bound are verified by banded alignment, many
 regions at a time.
 
-Texts are compared in lower case with punctuation and white space as blanks,
-byte by byte, so that spans are byte offsets into the original UTF-8 text.
+Texts are compared in lower case with each run of punctuation and white space
+as one blank, so that line breaks, indents and doubled blanks cost no edits;
+the place of every byte kept is remembered, and spans are byte offsets into
+the original UTF-8 text.
 The edit budget is a tenth of the piece, a little less for short pieces, so
 that the bound is never below ``LEAST_SHARED`` q-grams. Items of fewer than
-``SHORTEST`` bytes are too short to prove anything and are not searched.
+``SHORTEST`` bytes as they are written, or too few for that bound once their
+blanks are single, are too short to prove anything and are not searched.
 
 The benchmark is searched in blocks of at most about ``BLOCK`` pieces: each
 block is broadcast, and all texts are read against it.
@@ -24,6 +27,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +39,16 @@ from metrolens.llm.common import map_arrow
 Q = 8
 PIECE, STRIDE, SHORTEST = 80, 40, 40
 LEAST_SHARED = 8
+LEAST_PIECE = Q + LEAST_SHARED - 1
 BAND = 16              # diagonals; more than any edit budget
 BLOCK = 20_000
 _GAP = PIECE + 4 * BAND
 _TABLE_BITS = 22
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+# Characters whose lower case has another number of bytes; they stay.
+_UNEVEN = re.compile("[" + "".join(c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x1F000)))
+                                   if len(c.lower().encode()) != len(c.encode())) + "]")
 
 
 def budget(n: int) -> int:
@@ -51,15 +60,27 @@ def shared_bound(n: int) -> int:
     return n + 1 - Q - budget(n) * Q
 
 
+def _plain(text: bytes) -> bytes:
+    """Lower case with blanks, byte for byte."""
+    if not text.isascii():
+        t = text.decode("utf-8", "surrogateescape")
+        t = "".join(c if _UNEVEN.match(c) else c.lower() for c in t) if _UNEVEN.search(t) else t.lower()
+        text = t.encode("utf-8", "surrogateescape")
+    return text.translate(_PLAIN)
+
+
 def pieces(items: DataFrame) -> DataFrame:
     """(item_id, piece, bytes): the overlapping pieces of the items."""
 
     def run(part):
         take, number, out = [], [], []
         for i, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
-            plain = (text or b"").translate(_PLAIN).strip()
+            plain = _plain(text or b"").strip()
             if len(plain) < SHORTEST:
                 continue
+            plain = b" ".join(plain.split())
+            if len(plain) < LEAST_PIECE:
+                continue
             starts = list(range(0, max(len(plain) - PIECE, 0) + 1, STRIDE))
             if starts[-1] + PIECE < len(plain):
                 starts.append(len(plain) - PIECE)
@@ -152,17 +173,23 @@ class Index:
         return edits, end
 
 
-def _plain_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, starts): plain texts, kept apart by gaps of zero bytes."""
+def _plain_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, origin, starts): plain texts, kept apart by gaps of zero bytes;
+    each byte's place before runs of blanks became one, and the texts' starts
+    among these places."""
     texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
     gap = bytes(_GAP)
     starts = np.concatenate([[0], np.cumsum([len(t) + _GAP for t in texts])])[:-1] + _GAP
-    return np.frombuffer(gap + gap.join(t.translate(_PLAIN) for t in texts) + gap, np.uint8), starts
+    raw = np.frombuffer(gap + gap.join(map(_plain, texts)) + gap, np.uint8)
+    blank = raw == 32
+    blank[1:] &= blank[:-1].copy()
+    origin = np.flatnonzero(~blank)
+    return raw[origin], origin, starts
 
 
 def search(index: Index, column: pa.Array) -> dict[str, np.ndarray]:
     """Verified occurrences in a batch: row, piece, start, end, edits."""
-    buf, starts = _plain_buffer(column)
+    buf, origin, starts = _plain_buffer(column)
     piece, band = index.regions(buf)
     found = {k: [] for k in ("row", "piece", "start", "end", "edits")}
     for i in range(0, len(piece), 2000):
@@ -170,11 +197,13 @@ def search(index: Index, column: pa.Array) -> dict[str, np.ndarray]:
         edits, end = index.align(buf, p, b)
         good = edits <= index.budget[p]
         p, end, edits = p[good], end[good], edits[good]
-        row = np.searchsorted(starts, end - 1, "right") - 1
+        first = origin[np.maximum(end - index.length[p], 0)]
+        stop = origin[end - 1] + 1
+        row = np.searchsorted(starts, stop - 1, "right") - 1
         found["row"].append(row)
         found["piece"].append(p)
-        found["start"].append(np.maximum(end - index.length[p] - starts[row], 0))
-        found["end"].append(end - starts[row])
+        found["start"].append(np.maximum(first - starts[row], 0))
+        found["end"].append(stop - starts[row])
         found["edits"].append(edits)
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in found.items()}
 

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +109,38 @@ def test_periodic_texts():
     hit = decontam.search(decontam.Index([("ab " * 20).strip().encode(), b"x" * 60]), pa.array([text, "x" * 500, "y" * 500]))
     assert set(zip(hit["row"].tolist(), hit["piece"].tolist())) == {(0, 0), (1, 1)} and (hit["edits"] == 0).any()
     assert np.all(hit["end"] > hit["start"])
+
+
+def test_layout_costs_no_edits(spark):
+    rng = random.Random(3)
+    items = [(i, ". ".join(prose(rng, 9) for _ in range(n))) for i, n in enumerate((1, 2, 4, 8))]
+    layouts = [lambda t: t, str.upper, lambda t: t.replace(" ", "  "), lambda t: t.replace(" ", "\r\n"),
+               lambda t: "\r\n        ".join(textwrap.wrap(t, 60)), lambda t: t.replace(" ", " \t-- ")]
+    rows, want = [], {}
+    for i, text in items:
+        for layout in layouts:
+            shown, before = layout(text), prose(rng, 30) + " é,\n\n "
+            at = len(before.encode())
+            want[len(rows)] = (i, at, at + len(shown.encode()))
+            rows.append((len(rows), before + shown + "\n\n " + prose(rng, 30)))
+    got = decontam.contaminated(spark, docs_df(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["item_id"], r["start"], r["end"]) for r in got} == want
+    assert {r["edits"] for r in got} == {0}
+
+
+def test_layout_of_an_item(spark):
+    rng = random.Random(4)
+    text = prose(rng, 30)
+    items = [(1, "\r\n    ".join(text.split())), (2, "a; b; c" + " " * 60), (3, "2 + 2 = 4, 3 * 5 = 15, 60 / 4 = 15; 9 - 7 = 2")]
+    rows = [(1, text), (2, "a b c"), (3, "so 2 + 2 = 4, 3 * 5 = 15, 60 / 4 = 15; 9 - 7 = 2 it is"), (4, prose(rng, 30))]
+    got = decontam.contaminated(spark, docs_df(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 3)}
+
+
+def test_upper_case_beyond_ascii():
+    text = "Ğüzel ağaçların gölgesinde çocuklar öğleden sonra şarkı söylüyordu, İstanbul \u212a " + "où l'été était déjà passé " * 2
+    hit = decontam.search(decontam.Index([decontam._plain(text.encode())[:decontam.PIECE]]), pa.array(["x " + text.upper().replace("I", "ı")]))
+    assert set(hit["row"]) == {0}
+    for t in (text, text.upper(), "ΟΔΟΣ ΣΑΣ", "\u1e9e Ⱥ Å"):
+        assert len(decontam._plain(t.encode())) == len(t.encode())
+    assert decontam._plain(b"\xff A\xc3\x89") == b"\xff a\xc3\xa9"
