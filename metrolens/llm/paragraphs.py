@@ -213,13 +213,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     chained = pairs.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(line))
     chains = chained.groupBy("doc_id", "keep_doc_id", "shift", "chain").agg(
         F.min("at").alias("at"), (F.max("at") + RUN).alias("stop"), F.min_by("key", "at").alias("key"))
-    chains = stored(spark, chains.withColumn("id", F.xxhash64("doc_id", "keep_doc_id", "shift", "at")), "chains")
-
-    # Both documents of a chain show the words next to it.
-    sides = chains.select("doc_id", "id", "key", "at", "stop", F.lit(True).alias("own")).union(chains.select(
-        F.col("keep_doc_id").alias("doc_id"), "id", "key", F.col("at") - F.col("shift"), F.col("stop") - F.col("shift"),
-        F.lit(False)))
-    places = sides.groupBy("doc_id").agg(F.collect_list(F.struct("id", "key", "at", "stop", "own")).alias("places"))
+    chains = stored(spark, chains, "chains")
+
+    # Every chain shows the words next to it. The document that keeps the passage shows each place where
+    # chains start (kind 1) or stop (kind 2) once, however many documents share it.
+    kept_ends = chains.select(F.col("keep_doc_id").alias("doc_id"), "key", (F.col("at") - F.col("shift")).alias("at"),
+                              (F.col("stop") - F.col("shift")).alias("stop"))
+    fixed = (F.col("doc_id").alias("keep_doc_id"), F.lit(0).alias("shift"))
+    starts = kept_ends.select("doc_id", F.lit(1).alias("kind"), "key", "at", (F.col("at") + RUN).alias("stop"), *fixed)
+    stops = kept_ends.select("doc_id", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"),
+                             (F.col("stop") - RUN).alias("at"), "stop", *fixed)
+    kept_places = stored(spark, starts.distinct().union(stops.distinct()), "kept-places")
+    sides = chains.select("doc_id", F.lit(0).alias("kind"), "key", "at", "stop", "keep_doc_id", "shift").union(kept_places)
+    places = sides.groupBy("doc_id").agg(
+        F.collect_list(F.struct("kind", "key", "at", "stop", "keep_doc_id", "shift")).alias("places"))
 
     def show(part):
         w = Words(part.column("text"), lower=True)
@@ -228,21 +235,30 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
         p = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(places.type.value_type, places.flatten().flatten())}
         fits = p["stop"] <= w.counts[text]
         a = w.first[text] + p["at"]
-        fits[fits] = _rolled(w.hashes, a[fits], RUN).view(np.int64) == p["key"][fits]     # else another text of the doc_id
+        keyed = fits & (p["kind"] != 2)
+        fits[keyed] = _rolled(w.hashes, a[keyed], RUN).view(np.int64) == p["key"][keyed]  # else another text of the doc_id
         text, a = text[fits], a[fits]
         p = {k: v[fits] for k, v in p.items()}
         made = _beside(w, a, a + p["stop"] - p["at"], text)
         wide = {k: binary_column(made.pop(k)) for k in ("before", "after", "starts", "ends")}
-        return wide | made | {"take": text, "id": p["id"], "own": p["own"], "length": p["stop"] - p["at"]}
+        return wide | made | {"take": text, "kind": p["kind"], "keep_doc_id": p["keep_doc_id"], "key": p["key"],
+                              "at": p["at"] - p["shift"], "stop": p["stop"] - p["shift"], "length": p["stop"] - p["at"]}
 
     holders = narrowed(docs, sides.select("doc_id"), "doc_id")
     shown = map_arrow(_named(holders).join(places, "doc_id"), show,
-                      "id long, own boolean, length int, before binary, after binary, n_before int, n_after int, "
-                      "starts binary, ends binary", keep=("doc_id", "version"))
+                      f"kind int, keep_doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, at int, stop int, "
+                      "length int, before binary, after binary, n_before int, n_after int, starts binary, ends binary",
+                      keep=("doc_id", "version"))
     shown = stored(spark, shown, "chain-sides")
-    own = shown.where("own").drop("own")
-    other = shown.where("NOT own").select("id", F.col("doc_id").alias("keep_doc_id"), *[
-        F.col(c).alias(f"kept_{c}") for c in ("before", "after", "n_before", "n_after")])
+    own = shown.where("kind = 0").drop("kind")
+
+    def kept_side(kind: int, place: list[str], side: str) -> DataFrame:
+        at = ["keep_doc_id", "kept_version", *place]
+        return shown.where(F.col("kind") == kind).withColumnRenamed("version", "kept_version").select(
+            *at, F.col(side).alias(f"kept_{side}"), F.col(f"n_{side}").alias(f"kept_n_{side}")).dropDuplicates(at)
+
+    both = (own.join(kept_side(1, ["key", "at"], "before"), ["keep_doc_id", "key", "at"])
+            .join(kept_side(2, ["stop"], "after"), ["keep_doc_id", "kept_version", "stop"]))
 
     def extend(part):
         ints = lambda name, kind: binary_rows(part.column(name), 4).copy().view(kind)
@@ -253,7 +269,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
         return {"start": ints("starts", "<i4")[row, grown[0]], "end": ints("ends", "<i4")[row, grown[1]],
                 "n_words": number("length") + grown[0] + grown[1]}
 
-    spans = map_arrow(own.join(other, "id"), extend, "start int, end int, n_words int",
+    spans = map_arrow(both, extend, "start int, end int, n_words int",
                       keep=("doc_id", "version", "keep_doc_id"), sliced_by="starts")
     return spans.where(F.col("n_words") >= min_words).select(
         "doc_id", "version", "start", "end", "n_words", "keep_doc_id", F.lit("passage").alias("kind"))

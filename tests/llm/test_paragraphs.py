@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from metrolens.llm import paragraphs
 from metrolens.llm.text import Words
@@ -98,6 +99,27 @@ def test_versions_of_a_doc_id(spark):
     assert out == sorted([(1, f"{p} a"), (5, f"{x}  c"), (5, f"{x}  c"), (5, f"{q} x"), (7, f"z é  ü {y}")])
 
 
+def test_shared_place_is_shown_once(spark, monkeypatch):
+    rng = random.Random(6)
+    passage, longer = prose(rng, 70), prose(rng, 30)
+    rows = [(1, f"é {passage} {longer} a"), (1, f"é {passage} {longer} a"), (1, "x")]
+    rows += [(i, f"{prose(rng, i % 7)} {passage} {longer if i % 2 else prose(rng, 5)}") for i in range(2, 60)]
+    sizes, run = [], paragraphs.map_arrow
+
+    def watch(df, *args, **kwargs):
+        if "places" in df.columns:
+            sizes.extend(r[0] for r in df.select(F.size("places")).collect())
+        return run(df, *args, **kwargs)
+    monkeypatch.setattr(paragraphs, "map_arrow", watch)
+    spans = paragraphs.repeated_passages(spark, docs_df(spark, rows)).distinct().collect()
+    assert sizes and max(sizes) <= 12                                 # 58 documents share the passage
+    assert {(r["doc_id"], r["keep_doc_id"]) for r in spans} == {(i, 1) for i in range(2, 60)}
+    texts = dict(rows[2:]) | {1: rows[0][1]}
+    for r in spans:
+        want = f"{passage} {longer}" if r["doc_id"] % 2 else passage
+        assert texts[r["doc_id"]].encode()[r["start"]:r["end"]].decode() == want and r["n_words"] == len(want.split())
+
+
 def test_empty_and_limits(spark):
     assert cleaned(spark, [(1, "a")]).limit(0).count() == 0
     assert paragraphs.repeated_paragraphs(spark, docs_df(spark, [(1, "a")]).limit(0)).count() == 0
