@@ -5,8 +5,8 @@ punctuation and white space to single spaces, equivalent spellings unified -
 and the digest of the whole form is looked up by a hash join in the table of
 known licence texts. The same lookup over single lines finds short licence
 notices, each line being an entire text of its own. Everything is built-in
-functions; both tables of known digests are small constants of this module,
-so their broadcast is bounded.
+functions; both tables of known digests are made from constants (the longer
+texts in ``license_texts``), so their broadcast is bounded.
 
 Null and empty texts match nothing. Repeated rows give repeated results, rows
 without doc_id are looked up as well; an empty table gives an empty result;
@@ -15,6 +15,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +93,15 @@ LICENSE_TEXTS = (
      "marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed "
      "or altered from any source distribution."),
 )
-TITLES = (("MIT", "MIT License"), ("ISC", "ISC License"), ("Zlib", "zlib License"),
-          ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"))
+TITLES = (("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "MIT License (MIT)"), ("MIT", "The MIT License (MIT)"),
+          ("ISC", "ISC License"), ("ISC", "The ISC License"), ("ISC", "ISC License (ISC)"), ("Zlib", "zlib License"),
+          ("Zlib", "The zlib License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "The BSD 2-Clause License"),
+          ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "The BSD 3-Clause License"))
+# Signs before the clauses of a text: as they stand, bullets, letters, Roman numbers.
+CLAUSES = ("123", "***", "abc", ("i", "ii", "iii"))
+# Long texts, one file each; the part that follows these words is often left out.
+LONG_TEXTS = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+LAST_WORDS = "END OF TERMS AND CONDITIONS"
 
 # Licence names as they stand in notices.
 NAMES = (
@@ -106,14 +116,42 @@ NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under {}.",
            "This work is licensed under {}.", "This work is licensed under the {}.", "License: {}")
 
 
+# Identifiers of tag lines; those of the GNU licences also end in -only or -or-later.
+TAGS = ("0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0",
+        "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0",
+        "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib")
+MARK = "licen[cs]e|released"
+
+
+def _clause_forms(body: str) -> list[str]:
+    forms = [re.sub(r" ([1-3])\. ", lambda m, signs=signs: f" {signs[int(m[1]) - 1]} ", body) for signs in CLAUSES]
+    return list(dict.fromkeys(forms))
+
+
+def long_texts() -> list[tuple[str, str]]:
+    out = []
+    for name in LONG_TEXTS:
+        text = pkgutil.get_data("metrolens.llm", f"license_texts/{name}.txt").decode()
+        head, words, rest = text.partition(LAST_WORDS)
+        out += [(name, text)] + ([(name, head + words)] if rest.strip() else [])
+    return out
+
+
 def known_texts() -> list[tuple[str, str]]:
-    titles = dict(TITLES)
-    return [(name, text) for name, body in LICENSE_TEXTS
-            for text in [body] + ([f"{titles[name]}\n\n{body}"] if name in titles else [])]
+    return [(name, text) for name, body in LICENSE_TEXTS for form in _clause_forms(body)
+            for text in [form] + [f"{title}\n\n{form}" for i, title in TITLES if i == name]] + long_texts()
 
 
 def known_notices() -> list[tuple[str, str]]:
-    return [(spdx, form.format(name)) for spdx, name in NAMES for form in NOTICES]
+    tags = [(tag, tag + end) for tag in TAGS for end in (("", "-only", "-or-later") if "GPL" in tag else ("",))]
+    return ([(spdx, form.format(name)) for spdx, name in NAMES for form in NOTICES]
+            + [(spdx, f"SPDX-License-Identifier: {tag}") for spdx, tag in tags])
+
+
+def all_marked(notices: list[tuple[str, str]]) -> bool:
+    """Whether the canonical form of every notice holds ``MARK``, so that lines without it are no notices."""
+    plain = (re.sub(COPYRIGHT_LINE, "\n", text.translate(str.maketrans(UPPER, LOWER))) for _, text in notices)
+    return all(re.search(MARK, text) for text in plain)
 
 
 def canonical(text: Column) -> Column:
@@ -139,15 +177,16 @@ def license_scan(spark: SparkSession, docs: DataFrame, texts: list | None = None
     """doc_id, text_digest, license_id (whole text), notice_ids (sorted, comma
     separated; empty if none) and n_notices (lines) of every row."""
     whole = F.broadcast(digests(spark, texts or known_texts(), "license_id"))
-    short = F.broadcast(digests(spark, notices or known_notices(), "notice_id"))
+    notices = notices or known_notices()
+    short = F.broadcast(digests(spark, notices, "notice_id"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("row_digest", F.md5(F.col("text").cast("binary")))
     base = rows.select("doc_id", "row_digest", digest(F.col("text")).alias("text_digest"))
     base = base.join(whole, F.col("text_digest") == F.col("known_digest"), "left").drop("known_digest")
-    # Every known notice holds one of the two spellings; lines without are no notices.
-    lines = (rows.where(F.lower("text").rlike("licen[cs]e|released"))
+    marked = (lambda c: F.lower(c).rlike(MARK)) if all_marked(notices) else (lambda c: F.lit(True))
+    lines = (rows.where(marked("text"))
              .select("doc_id", "row_digest", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-             .where(F.lower("line").rlike("licen[cs]e|released")))
+             .where(marked("line")))
     found = (lines.join(short, digest(F.col("line")) == F.col("known_digest"))
              .groupBy(F.col("doc_id").alias("d"), F.col("row_digest").alias("r"))
              .agg(F.array_join(F.array_sort(F.collect_set("notice_id")), ",").alias("notice_ids"),

@@ -33,6 +33,26 @@ def test_notices(spark):
                    (5, "", 0, None), (6, "", 0, None), (None, "", 0, "MIT"), (1, "", 0, None)}
 
 
+def test_usual_forms(spark):
+    texts = dict(licenses.LICENSE_TEXTS)
+    bullets, letters = texts["BSD-3-Clause"], texts["BSD-2-Clause"]
+    for n, letter in ((1, "(a)"), (2, "(b)"), (3, "(c)")):
+        bullets, letters = bullets.replace(f" {n}. ", "\n * "), letters.replace(f" {n}. ", f"\n {letter} ")
+    forms = [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n{MIT}"), ("BSD-3-Clause", bullets), ("BSD-2-Clause", letters)]
+    forms += [(name, "    " + text.replace("\n", "\n    ").upper()) for name, text in licenses.long_texts()]
+    forms += [(name, text.replace("\n", "\r\n")) for name, text in licenses.long_texts()]
+    got = scan(spark, [(i, text) for i, (_, text) in enumerate(forms)] + [(900, licenses.long_texts()[0][1] + "more")])
+    assert {i: got[i]["license_id"] for i in got} == {i: name for i, (name, _) in enumerate(forms)} | {900: None}
+
+
+def test_tags_and_own_notices(spark):
+    rows = [(1, "# SPDX-License-Identifier: GPL-2.0-or-later\nimport x"), (2, "/* SPDX-License-Identifier: MIT */"),
+            (3, "a\nAll of this is in the public domain.\nb")]
+    assert {i: r["notice_ids"] for i, r in scan(spark, rows).items()} == {1: "GPL-2.0", 2: "MIT", 3: ""}
+    own = licenses.license_scan(spark, docs_df(spark, rows), notices=[("PD", "all of this is in the public domain")])
+    assert {r["doc_id"]: r["notice_ids"] for r in own.collect()} == {1: "", 2: "", 3: "PD"}
+
+
 def test_known_digests_are_distinct(spark):
     table = licenses.digests(spark, licenses.known_texts(), "license_id")
     assert table.count() == len(licenses.known_texts())
