@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolens.llm import bpe, decontam, langid, licenses, minhash, paragraphs, quality, rules, token_counts, warc
+from metrolens.llm import bpe, chat, decontam, langid, licenses, minhash, paragraphs, quality, rules, token_counts, warc
 from metrolens.llm.common import id_bucket, table
 
 
@@ -60,6 +60,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(spark, given.union(extra))
+    return chat.read_back(formatted, in_order=True).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -72,4 +82,5 @@ def queries() -> dict:
         "op8_paragraph_dedup": op8_paragraph_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
+        "op11_chat_trees": op11_chat_trees,
     }

@@ -105,7 +105,24 @@ def warc_transactions() -> str:
            CASE WHEN n > 1 THEN first_page END AS refers_to FROM r"""
 
 
+def chat_trees() -> str:
+    said = "\\### Assistant: </turn> ok"
+    escaped = r"replace(replace(replace({}, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')"
+    label = (r"CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE "
+             r"CASE WHEN role IN ('System', 'User', 'Assistant') THEN '\' ELSE '' END || replace("
+             + escaped.format("role") + r", ':', '\:') END")
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}')),
+    t AS (SELECT *, '### ' || {label} || ': ' || {escaped.format('text')} || '</turn>' || chr(10) AS piece FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length(piece))::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_license_scan": license_scan(), "op6_warc_transactions": warc_transactions(),
-            "op2_superminhash_dedup": near_duplicates(),
+            "op2_superminhash_dedup": near_duplicates(), "op11_chat_trees": chat_trees(),
             "op10_quality_rules": quality_rules()}
