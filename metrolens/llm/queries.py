@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrolens.llm import bpe, chat, decontam, langid, licenses, minhash, paragraphs, quality, rules, token_counts, warc
+from metrolens.llm import (bpe, chat, codes, decontam, langid, licenses, minhash, paragraphs, quality, rules, token_counts,
+                           warc, whitening)
 from metrolens.llm.common import id_bucket, table
 
 
@@ -70,6 +71,20 @@ def op11_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened, fit = whitening.whitening(spark, table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(float(x)) for x in fit["explained"]]).cast("array<double>")
+    return whitened.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fit["n"]).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"), "whitened", F.get(explained, "at").alias("explained"),
+        F.lit(fit["identity_error"]).alias("identity_error"))
+
+
+def op13_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.vector_codes(spark, table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -83,4 +98,6 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
         "op11_chat_trees": op11_chat_trees,
+        "op12_qdwh_whitening": op12_qdwh_whitening,
+        "op13_dictionary_codes": op13_dictionary_codes,
     }

@@ -122,7 +122,37 @@ def chat_trees() -> str:
     FROM t GROUP BY conv_id"""
 
 
+def dictionary_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+    d{i} AS (SELECT p.rid, p.part, any_value(p.x) AS x,
+                    min(list_sum(list_transform(range(1, w + 1), lambda j: (p.x[j] - c.c[j]) * (p.x[j] - c.c[j])))::BIGINT * {entries}
+                        + c.entry) AS best
+             FROM p JOIN c{i} c USING (part) CROSS JOIN width GROUP BY p.rid, p.part),
+    a{i} AS (SELECT rid, part, x, best % {entries} AS entry, best // {entries} AS error FROM d{i})""")
+        if i < rounds:
+            steps.append(f"""
+    m{i} AS (SELECT part, entry, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{i}, width, unnest(range(1, w + 1)) r(j) GROUP BY ALL),
+    f{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM m{i} GROUP BY ALL),
+    c{i + 1} AS (SELECT part, entry, coalesce(f.c, c{i}.c) AS c FROM c{i} LEFT JOIN f{i} f USING (part, entry))""")
+    return f"""WITH e AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding,
+           list_transform(embedding, lambda x: floor(256.0 * x)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    width AS (SELECT max(len(v)) // {parts} AS w FROM e),
+    p AS (SELECT rid, part, v[part * w + 1:(part + 1) * w] AS x FROM e, width, unnest(range({parts})) r(part)),
+    s AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS entry FROM e),
+    c0 AS (SELECT p.part, s.entry, p.x AS c FROM p JOIN s USING (rid) WHERE s.entry < {entries}),
+    {','.join(steps)},
+    k AS (SELECT rid, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(error)::BIGINT AS error
+          FROM a{rounds} GROUP BY rid),
+    b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM k JOIN e USING (rid) CROSS JOIN b"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_license_scan": license_scan(), "op6_warc_transactions": warc_transactions(),
             "op2_superminhash_dedup": near_duplicates(), "op11_chat_trees": chat_trees(),
+            "op13_dictionary_codes": dictionary_codes(),
             "op10_quality_rules": quality_rules()}
