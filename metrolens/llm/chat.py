@@ -222,7 +222,8 @@ def format_conversations(spark: SparkSession, messages: DataFrame, keep: int | N
     rows = _keyed(messages, replies, scored)
     nodes = numbered_messages(spark, rows, replies, scored)
     paths = reply_paths(spark, nodes, keep)
-    placed = paths.join(nodes.select("node", F.struct("conv_id", "key").alias("key")), "node")
+    # written, so that its size is known before the texts are joined to it
+    placed = stored(spark, paths.join(nodes.select("node", F.struct("conv_id", "key").alias("key")), "node").drop("node"), "turns")
     texts = rows.select(F.struct("conv_id", "key").alias("key"), "text")
     turns = placed.join(texts, "key").select(F.col("key.conv_id").alias("conv_id"), "path", "branch", "pos",
                                              F.col("key.key.role").alias("role"), "text")
