@@ -248,6 +248,25 @@ def rollup_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_rollup(spark, path).drop("month").withColumn("day", date_str("day"))
 
 
+def _refresh_withdrawn(spark: SparkSession, trips: DataFrame, day: str, grain: str) -> DataFrame:
+    """A rollup of all trips, refreshed after every trip touching ``day`` was
+    withdrawn: the day is empty, days these trips also touched lose theirs."""
+    gone = (F.to_date("time_in") == F.lit(D.as_date(day))) | (F.to_date("time_out") == F.lit(D.as_date(day)))
+    path = scratch_path(spark, "rollup-withdrawn")
+    R.write_rollup(R.trip_rollup(trips), path, grain)
+    R.refresh_rollup(trips.where(~gone), path, R.event_days(trips.where(gone)))
+    return R.read_rollup(spark, path).drop("month").withColumn("day", date_str("day"))
+
+
+def rollup_refresh_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refresh_withdrawn(spark, ev_inputs(spark, sf_dir).trips, O.WITHDRAWN_DAY, "day")
+
+
+def rollup_refresh_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on the order history, in a table partitioned by month."""
+    return _refresh_withdrawn(spark, od_inputs(spark, sf_dir).trips, O.OD_WITHDRAWN_DAY, "month")
+
+
 def stations_flow_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = _rollup(spark, sf_dir)
     return R.stations_flow_from_rollup(rollup, O.EV_START, O.EV_END)
@@ -370,17 +389,39 @@ def section_flow_od(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.section_flow(inp, O.OD_LINE, O.OD_START, O.OD_END)
 
 
-def _trips_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event trips written under other column names, partitioned by entry
-    day, and read back with the reader's rename map (A1)."""
-    path = scratch_path(spark, "trips-by-day")
-    trips = ev_inputs(spark, sf_dir).trips.select(*TRIP_COLUMNS)
-    tables.write_trips(trips.withColumnsRenamed({"station_in": "from_station", "line_in": "from_line"}), path)
-    return tables.read_trips(spark, path, {"station_in": "from_station", "line_in": "from_line"}, by_day=True)
+_BY_DAY: dict[tuple, str] = {}
+
+
+def by_day_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Event inputs whose trips were written partitioned by entry day with a span table of exit days, once per session (A1)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _BY_DAY:
+        path = scratch_path(spark, "trips-by-day")
+        trips = ev_inputs(spark, sf_dir).trips.select(*TRIP_COLUMNS)
+        tables.write_trips(trips, path)
+        _BY_DAY[key] = path
+    return ev_inputs(spark, sf_dir).with_(trips=tables.read_trips(spark, _BY_DAY[key], by_day=True),
+                                          trip_spans=tables.read_trip_spans(spark, _BY_DAY[key]))
 
 
 def month_flow_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.single_month_flow(Inputs(_trips_by_day(spark, sf_dir)), O.EV_MONTH)
+    """Q1 on trips stored under other column names."""
+    path, names = scratch_path(spark, "trips-renamed"), {"station_in": "from_station", "line_in": "from_line"}
+    by_day_inputs(spark, sf_dir).trips.drop("entry_day").withColumnsRenamed(names) \
+        .withColumn("entry_day", F.to_date("time_in")).write.partitionBy("entry_day").parquet(path)
+    return Q.single_month_flow(Inputs(tables.read_trips(spark, path, names, by_day=True)), O.EV_MONTH)
+
+
+def forecast_stations_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = by_day_inputs(spark, sf_dir)
+    basis, coef = _station_params(spark, inp, FC.STATION_SERIES)
+    return FC.predict_stations_flow(inp, O.EV_FORECAST_START, basis, coef)
+
+
+def forecast_peak_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = by_day_inputs(spark, sf_dir)
+    basis, coef = _station_params(spark, inp, FC.PEAK_SERIES)
+    return FC.predict_peak_flow(inp, O.EV_FORECAST_START, basis, coef)
 
 
 def dimensions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,6 +517,11 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "section_flow_from_rollup": section_flow_from_rollup,
         "line_flow_from_rollup": line_flow_from_rollup,
         "month_flow_by_day": month_flow_by_day,
+        "stations_flow_by_day": lambda s, p: Q.all_stations_flow(by_day_inputs(s, p), O.EV_START, O.EV_END),
+        "peak_flow_by_day": lambda s, p: Q.peak_flow(by_day_inputs(s, p), O.EV_START, O.EV_END),
+        "station_flow_by_day": lambda s, p: Q.single_station_flow(by_day_inputs(s, p), O.EV_STATION, O.EV_START, O.EV_END),
+        "forecast_stations_by_day": forecast_stations_by_day,
+        "forecast_peak_by_day": forecast_peak_by_day,
         "dimensions_round_trip": dimensions_round_trip,
         "peak_records": peak_records,
         "basis_from_numpy": basis_from_numpy,
@@ -488,6 +534,8 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_stations_from_rollup": forecast_stations_from_rollup,
         "forecast_peak_from_rollup": forecast_peak_from_rollup,
         "rollup_refresh": rollup_refresh,
+        "rollup_refresh_withdrawn": rollup_refresh_withdrawn,
+        "rollup_refresh_month": rollup_refresh_month,
         "stream_rollup": stream_rollup,
     }
 

@@ -38,6 +38,27 @@ def in_days(ts_col: str | Column, lo, hi) -> Column:
     return F.to_date(ts_col).between(F.lit(as_date(lo)), F.lit(as_date(hi)))
 
 
+def day_runs(days) -> list[tuple[dt.date, dt.date]]:
+    """Days as the fewest (first, last) ranges."""
+    runs: list[tuple[dt.date, dt.date]] = []
+    for day in sorted({as_date(d) for d in days}):
+        if runs and day - runs[-1][1] == dt.timedelta(days=1):
+            runs[-1] = (runs[-1][0], day)
+        else:
+            runs.append((day, day))
+    return runs
+
+
+def on_days(column: Column, days) -> Column:
+    """Whether a date expression is one of ``days``, as an OR of ranges, which
+    (unlike a list of several dates) reaches the scan also for ``to_date(ts)``."""
+    cond = F.lit(False)
+    for i, (lo, hi) in enumerate(day_runs(days)):
+        run = column.between(F.lit(lo), F.lit(hi))
+        cond = cond | run if i else run
+    return cond
+
+
 def entered(trips, lo, hi) -> Column:
     """Entry-day range over a trip table (B1). A table partitioned by
     ``entry_day`` is also filtered on that column, so only its partitions of

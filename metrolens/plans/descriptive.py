@@ -57,7 +57,7 @@ def single_station_flow(inp: Inputs, station: str, start, end) -> DataFrame:
     c_out = (F.col("station_out") == station) & in_days("time_out", start, end)
     tags = F.array(F.when(c_in, F.struct(F.lit("in").alias("direction"), F.to_date("time_in").alias("time"))),
                    F.when(c_out, F.struct(F.lit("out").alias("direction"), F.to_date("time_out").alias("time"))))
-    stacked = (inp.trips.where(c_in | c_out)
+    stacked = (inp.trips_touching(start, end).where(c_in | c_out)
                .select(F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("t")).select("t.*"))
     return (stacked.groupBy("direction", "time").agg(F.count(F.lit(1)).alias("flow"))
             .select(F.lit(station).alias("station"), "direction", date_str("time").alias("time"), "flow")
@@ -88,7 +88,7 @@ def peak_flow(inp: Inputs, start, end, fill: int | None = 0) -> DataFrame:
     """Q5: entries and exits per station in the morning and evening peaks
     -> (period, station, flow_in, flow_out); a missing exit count is ``fill``.
     Row order is unspecified, as in the reference."""
-    return counts.station_in_out(inp.trips, start, end, bands=PEAK_BANDS, fill=fill)
+    return counts.station_in_out(inp.trips_touching(start, end), start, end, bands=PEAK_BANDS, fill=fill)
 
 
 def all_stations_flow(inp: Inputs, start, end, fill: int | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def all_stations_flow(inp: Inputs, start, end, fill: int | None = None) -> DataF
     null unless ``fill`` is given. Row order is unspecified, as in the
     reference.
     """
-    return counts.station_in_out(inp.trips, start, end, fill=fill).drop("period")
+    return counts.station_in_out(inp.trips_touching(start, end), start, end, fill=fill).drop("period")
 
 
 def line_to_line_flow(inp: Inputs, start, end) -> DataFrame:

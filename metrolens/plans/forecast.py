@@ -34,7 +34,7 @@ def station_panel(inp: Inputs, start, series_spec: Mapping = STATION_SERIES,
                   window: int = lowrank.WINDOW_DAYS) -> DataFrame:
     """(model, entity, day, flow) station counts in ``[start - window, start - 1]``, sparse."""
     lo, hi = trailing_window(start, window)
-    return (counts.station_day_counts(inp.trips, lo, hi, dict(series_spec))
+    return (counts.station_day_counts(inp.trips_touching(lo, hi), lo, hi, dict(series_spec))
             .select("model", "entity", "day", F.col("flow").cast("double").alias("flow")))
 
 

@@ -74,6 +74,19 @@ AR_COEF = T.StructType([
     T.StructField("weight", T.DoubleType()),
 ])
 
+# Hourly counts of one side ('in': entries, 'out': exits), see streaming/rollup.py.
+ROLLUP = T.StructType([
+    T.StructField("side", T.StringType()),
+    T.StructField("day", T.DateType()),
+    T.StructField("hour", T.IntegerType()),
+    T.StructField("station", T.StringType()),
+    T.StructField("line", T.StringType()),
+    T.StructField("peer_station", T.StringType()),
+    T.StructField("peer_line", T.StringType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("month", T.DateType()),
+])
+
 # Coefficients of the one-step total-flow regression, on raw features.
 TOTAL_COEF = T.StructType([
     T.StructField("feature", T.StringType()),

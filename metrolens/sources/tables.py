@@ -27,18 +27,37 @@ def read_trips(spark: SparkSession, path: str, rename: dict[str, str] | None = N
                by_day: bool = False) -> DataFrame:
     """Trip fact table (A1): one row per journey. ``by_day``: the table was
     written by :func:`write_trips`; queries by entry day then read only the
-    partitions of their range."""
+    partitions of their range, and queries by exit day too when ``Inputs`` is
+    given the span table (:func:`read_trip_spans`)."""
     schema = T.StructType([*schemas.TRIPS.fields, ENTRY_DAY]) if by_day else schemas.TRIPS
     if rename:
         return _conform(spark.read.parquet(path), schema, rename)
     return spark.read.schema(schema).parquet(path)
 
 
-def write_trips(trips: DataFrame, path: str) -> None:
-    """Trips partitioned by entry day. Rows are rebalanced by day, so a large
-    day is split over several tasks and files, small days share a task."""
-    (trips.withColumn("entry_day", F.to_date("time_in")).hint("rebalance", "entry_day")
-     .write.partitionBy("entry_day").parquet(path))
+def write_trips(trips: DataFrame, path: str, append: bool = False) -> None:
+    """Trips partitioned by entry day, and beside them the span table: per
+    entry day the first and last exit day of its trips. Rows are rebalanced by
+    day, so a large day is split over several tasks and files, small days
+    share a task. ``append`` adds trips to the table."""
+    spark, mode = trips.sparkSession, "append" if append else "errorifexists"
+    days = trips.withColumn("entry_day", F.to_date("time_in"))
+    spans = days.groupBy("entry_day").agg(F.min(F.to_date("time_out")).alias("first_exit"), F.max(F.to_date("time_out")).alias("last_exit"))
+    days.hint("rebalance", "entry_day").write.mode(mode).partitionBy("entry_day").parquet(path)
+    spans.select(*SPANS.names).coalesce(1).write.mode(mode).parquet(_spans_path(path))
+
+
+SPANS = T.StructType([ENTRY_DAY, T.StructField("first_exit", T.DateType()), T.StructField("last_exit", T.DateType())])
+
+
+def _spans_path(path: str) -> str:
+    return path.rstrip("/") + "-spans"
+
+
+def read_trip_spans(spark: SparkSession, path: str) -> DataFrame:
+    """(entry_day, first_exit, last_exit) of a table written by :func:`write_trips`."""
+    return spark.read.schema(SPANS).parquet(_spans_path(path)).groupBy("entry_day") \
+        .agg(F.min("first_exit").alias("first_exit"), F.max("last_exit").alias("last_exit"))
 
 
 def read_users(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:

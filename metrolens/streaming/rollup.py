@@ -6,9 +6,9 @@ state is an aggregate every descriptive query can be answered from: one
 row per (side, day, hour, station, line, peer station, peer line) with the
 trip count, where side 'in' is keyed by the entry time and side 'out' by
 the exit time. It is written partitioned by ``day`` (or ``month`` for long
-histories), so a date-range query reads only its partitions (partition
-pruning) and a refresh rewrites only the days it names (dynamic partition
-overwrite). The stream appends partial counts per arriving file, which the
+histories), so a date-range query reads only its partitions. The table is
+versioned (``sources.versions``): a refresh writes the days it names beside the
+old ones and one manifest file switches readers over. The stream appends partial counts per arriving file, which the
 reader sums: nothing waits for a watermark, so nothing is late.
 """
 
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from metrolens import schemas
-from metrolens.functions.dates import PEAK_BANDS, as_date, date_str
+from metrolens.functions.dates import PEAK_BANDS, as_date, date_str, on_days
 from metrolens.plans.descriptive import day_type_means
+from metrolens.sources import versions
 
 ROLLUP_KEYS = ["side", "day", "hour", "station", "line", "peer_station", "peer_line"]
 
@@ -48,31 +49,39 @@ def trip_rollup(trips: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def write_rollup(rollup: DataFrame, path: str, grain: str = "day") -> None:
-    """Write a whole rollup partitioned by ``grain`` ("day", or "month" for
-    long histories of small days). Partitions that ``rollup`` does not hold
-    stay as they are; to renew some days use :func:`refresh_rollup`. Rows
-    are rebalanced by partition value, so a large day is split over tasks."""
+def write_rollup(rollup: DataFrame, path: str, grain: str = "day") -> int:
+    """Write a rollup partitioned by ``grain`` ("day", or "month" for long
+    histories of small days) as the next version of the table; its number.
+    Partitions that ``rollup`` does not hold stay as they are; to renew days
+    whatever they hold, use :func:`refresh_rollup`."""
     if grain not in ("day", "month"):
         raise ValueError("grain must be 'day' or 'month'")
-    out = rollup.withColumn("month", F.trunc("day", "month"))
-    (out.hint("rebalance", grain).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(grain).parquet(path))
+    return versions.write(rollup.withColumn("month", F.trunc("day", "month")).select(*schemas.ROLLUP.names), path, grain)
 
 
 def refresh_rollup(trips: DataFrame, path: str, days: Sequence) -> None:
-    """Renew the given event days of a day-partitioned rollup from ``trips``.
+    """Renew the given event days of a rollup from ``trips``.
 
     A trip counts on its entry day and on its exit day, so a day's rollup
     needs every trip that enters *or* leaves on it: ``trips`` must hold all
-    of these, and only the named days are written. Other days, also those
-    that the same trips touch, keep their counts.
+    of these. Exactly the named days change, as one new version: a day that no
+    trip touches any more becomes empty, other days keep their counts (in a
+    table by month, the other days of the months concerned are taken over).
     """
     days = sorted({as_date(d) for d in days})
     if not days:
         return
-    touched = F.to_date("time_in").isin(days) | F.to_date("time_out").isin(days)
-    write_rollup(trip_rollup(trips.where(touched)).where(F.col("day").isin(days)), path)
+    spark = trips.sparkSession
+    touched = on_days(F.to_date("time_in"), days) | on_days(F.to_date("time_out"), days)
+    fresh = trip_rollup(trips.where(touched)).where(on_days(F.col("day"), days)).withColumn("month", F.trunc("day", "month"))
+    grain = versions.grain_of(spark, path) or "day"
+    parts = [d.isoformat() for d in days]
+    if grain == "month":
+        parts = sorted({d.replace(day=1).isoformat() for d in days})
+        held = versions.read(spark, path, schemas.ROLLUP, lo=parts[0], hi=parts[-1])
+        in_parts = on_days(F.col("month"), parts)
+        fresh = fresh.unionByName(held.where(in_parts & ~on_days(F.col("day"), days)))
+    versions.write(fresh.select(*schemas.ROLLUP.names), path, grain, versions.REPLACE, parts)
 
 
 def event_days(trips: DataFrame) -> list[dt.date]:
@@ -80,8 +89,10 @@ def event_days(trips: DataFrame) -> list[dt.date]:
     return sorted(r["day"] for r in _sides(trips).select(F.to_date("ts").alias("day")).distinct().collect())
 
 
-def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_rollup(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rollup as of ``version`` (default: the last one). The DataFrame stays
+    on the version it was made with, whatever is written later."""
+    return versions.read(spark, path, schemas.ROLLUP, version)
 
 
 def _days(lo, hi) -> Column:

@@ -22,6 +22,7 @@ EV_FORECAST_START = "2024-01-31"                   # day after the history
 OD_START, OD_END = "1900-01-01", "2099-12-31"      # any date: the whole order history
 OD_TRAIN_END = "2001-08-01"                        # last order date
 OD_RANK = 4                                        # columns of the fitted basis
+WITHDRAWN_DAY, OD_WITHDRAWN_DAY = "2024-01-10", "1997-03-12"
 FORECAST_STEPS = 7
 WINDOW = 28
 
@@ -566,6 +567,22 @@ from sides
 group by side, cast(ts as date), hour(ts), station, line, peer_station, peer_line"""
 
 
+def rollup_refresh_withdrawn() -> str:
+    """No trip that enters or leaves on the withdrawn day is left."""
+    left = f"""
+left_ev as (select * from trips_ev where cast(time_in as date) <> {d(WITHDRAWN_DAY)}
+            and cast(time_out as date) <> {d(WITHDRAWN_DAY)})"""
+    return daily_rollup().replace(SIDES_EV.strip(), left.strip() + "," + SIDES_EV.replace("trips_ev", "left_ev"))
+
+
+def rollup_refresh_month() -> str:
+    sides = SIDES_EV.replace("trips_ev", "left_od")
+    left = f"""
+left_od as (select * from trips_od where cast(time_in as date) <> {d(OD_WITHDRAWN_DAY)}
+            and cast(time_out as date) <> {d(OD_WITHDRAWN_DAY)})"""
+    return daily_rollup().replace(TRIPS_EV.strip(), TRIPS_OD.strip()).replace(SIDES_EV.strip(), left.strip() + "," + sides)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "stations_flow": stations_flow("trips_ev", EV_START, EV_END),
@@ -615,5 +632,12 @@ def oracle_sql() -> dict[str, str]:
         "forecast_stations_from_rollup": forecast_stations(),
         "forecast_peak_from_rollup": forecast_peak(),
         "rollup_refresh": daily_rollup(),
+        "rollup_refresh_withdrawn": rollup_refresh_withdrawn(),
+        "rollup_refresh_month": rollup_refresh_month(),
+        "stations_flow_by_day": stations_flow("trips_ev", EV_START, EV_END),
+        "peak_flow_by_day": peak_flow(),
+        "station_flow_by_day": station_flow(),
+        "forecast_stations_by_day": forecast_stations(),
+        "forecast_peak_by_day": forecast_peak(),
         "stream_rollup": daily_rollup(),
     }
