@@ -64,7 +64,7 @@ def od_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
 def _round(df: DataFrame, places: int = 6) -> DataFrame:
     """Round double columns so engines agree on the last bits of means."""
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c)
+    return df.select(*[(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c)
                        for c, t in df.dtypes])
 
 
@@ -168,8 +168,11 @@ def bridge_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
 
 def forecast_sections_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q12 with sections from the bridge, one of them without basis row."""
     inp = bridge_inputs(spark, sf_dir)
-    basis, coef = _section_params(spark, inp)
+    secs = FC.section_list(inp).where(F.col("entity") != O.BARE_SECTION)
+    basis = TD.fixture_basis(FC.model_entities(secs, "entity", FC.SECTION_MODELS))
+    coef = TD.fixture_ar_coef(spark, list(FC.SECTION_MODELS))
     return FC.predict_section_flow(inp, O.EV_LINE, O.EV_FORECAST_START, basis, coef)
 
 
@@ -182,7 +185,7 @@ def forecast_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFRESH_DAY = "2024-01-10"
 STREAM_FILES = 4                          # micro-batches of the streaming check
 TRIP_COLUMNS = ["time_in", "time_out", "station_in", "station_out", "line_in", "line_out"]
-OD_FORECAST_START = "2001-08-02"          # day after the last order date
+OD_FORECAST_START = O.OD_FORECAST_START
 
 
 def _od_panel(inp: Inputs) -> DataFrame:
@@ -312,7 +315,16 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_total_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaler + regression on the whole order history; returns the raw weights."""
     model = FIT.fit_total_model(od_inputs(spark, sf_dir), O.OD_START, O.OD_TRAIN_END)
-    return FIT.coefficient_table(spark, FIT.total_coefficients(model))
+    return _round(FIT.coefficient_table(spark, FIT.total_coefficients(model)))
+
+
+def fit_total_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pipeline saved, loaded again (A7), and its weights written and
+    read as a parameter table."""
+    path, weights = scratch_path(spark, "model"), scratch_path(spark, "weights")
+    models.save_model(FIT.fit_total_model(od_inputs(spark, sf_dir), O.OD_START, O.OD_TRAIN_END), path)
+    models.write_params(FIT.coefficient_table(spark, FIT.total_coefficients(models.load_model(path))), weights)
+    return _round(FIT.coefficient_table(spark, models.read_total_coef(spark, weights)))
 
 
 def forecast_total_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +335,23 @@ def forecast_total_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FC.predict_total_flow(inp, OD_FORECAST_START, O.FORECAST_STEPS, coef)
 
 
+def fit_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One regression over every station's entries of the order history (M2)."""
+    coef = FIT.fit_pooled_model(od_inputs(spark, sf_dir), O.OD_START, O.OD_TRAIN_END)
+    return _round(FIT.coefficient_table(spark, coef))
+
+
+def forecast_panel_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled model folded 7 days ahead for every station."""
+    inp = od_inputs(spark, sf_dir)
+    coef = FIT.fit_pooled_model(inp, O.OD_START, O.OD_TRAIN_END)
+    daily = counts.station_day_counts(inp.trips, *trailing_window(OD_FORECAST_START, series.TREND_LAG), {"station_in": ("in", None)}) \
+        .select(F.col("entity").alias("station"), "day", "flow")
+    fc = series.recursive_forecast(daily, inp.workdays, ["station"], coef, OD_FORECAST_START, O.FORECAST_STEPS,
+                                   entities=inp.stations.select(F.col("station_name").alias("station")))
+    return fc.select("station", date_str("day").alias("time"), "is_workday", "flow")
+
+
 def forecast_total_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted one-step model fitted on the order history, then a
     7-day recursive forecast from the day after it."""
@@ -340,7 +369,7 @@ def fit_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_factor_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = od_inputs(spark, sf_dir)
     ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
-    return FIT.fit_factor_ar(_od_panel(inp), TD.fixture_basis(ents))
+    return _round(FIT.fit_factor_ar(_od_panel(inp), TD.fixture_basis(ents)))
 
 
 def fit_ar_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,6 +379,19 @@ def fit_ar_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(FIT.fit_factor_ar(_od_panel(inp), TD.fixture_basis(ents), window=1))
 
 
+def fit_ar_two_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = od_inputs(spark, sf_dir)
+    ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
+    return _round(FIT.fit_factor_ar(_od_panel(inp), TD.fixture_basis(ents), window=2))
+
+
+def fit_cross_one_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each factor on yesterday's values of all factors."""
+    inp = od_inputs(spark, sf_dir)
+    ents = FC.model_entities(inp.stations, "station_name", FC.STATION_SERIES)
+    return _round(FIT.fit_cross_factor_ar(_od_panel(inp), TD.fixture_basis(ents), window=1, reg_param=0.0))
+
+
 def fit_basis_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of the fitted basis columns: the identity."""
     basis = fit_basis(spark, sf_dir)
@@ -507,6 +549,11 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fit_basis": fit_basis,
         "fit_factor_ar": fit_factor_ar,
         "fit_ar_one_lag": fit_ar_one_lag,
+        "fit_ar_two_lags": fit_ar_two_lags,
+        "fit_cross_one_lag": fit_cross_one_lag,
+        "fit_total_saved": fit_total_saved,
+        "fit_pooled": fit_pooled,
+        "forecast_panel_fitted": forecast_panel_fitted,
         "fit_basis_products": fit_basis_products,
         "forecast_stations_fitted": forecast_stations_fitted,
         "daily_rollup": daily_rollup,

@@ -148,14 +148,16 @@ def predict_single_station_flow(inp: Inputs, station: str, start, basis: DataFra
 
 def predict_section_flow(inp: Inputs, line: str, start, basis: DataFrame, coef: DataFrame) -> DataFrame:
     """Q12: next-day up and down flow of every section of ``line``
-    -> (direction, section_id, source, target, flow)."""
+    -> (direction, section_id, source, target, flow); a section without basis
+    row gets 0, as a station does."""
     panel = section_panel(inp, start)
     b = basis.where(F.col("model").isin(*SECTION_MODELS))
     fc = lowrank.low_rank_forecast(panel, b, coef, start, 1)
-    secs = section_list(inp).where(F.col("line") == line)
-    return (secs.join(fc, "entity")
+    secs = section_list(inp).where(F.col("line") == line) \
+        .withColumn("model", F.explode(F.array(*[F.lit(m) for m in SECTION_MODELS])))
+    return (secs.join(fc, ["model", "entity"], "left")
             .select(F.regexp_replace("model", "^section_", "").alias("direction"),
-                    "section_id", "source", "target", "flow")
+                    "section_id", "source", "target", F.coalesce("flow", F.lit(0)).cast("long").alias("flow"))
             .orderBy("direction", "section_id"))
 
 

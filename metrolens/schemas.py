@@ -74,6 +74,15 @@ AR_COEF = T.StructType([
     T.StructField("weight", T.DoubleType()),
 ])
 
+# The same across factors: the weight of factor ``source`` ``lag`` days before.
+CROSS_AR_COEF = T.StructType([
+    T.StructField("model", T.StringType()),
+    T.StructField("factor", T.IntegerType()),
+    T.StructField("lag", T.IntegerType()),
+    T.StructField("source", T.IntegerType()),
+    T.StructField("weight", T.DoubleType()),
+])
+
 # Hourly counts of one side ('in': entries, 'out': exits), see streaming/rollup.py.
 ROLLUP = T.StructType([
     T.StructField("side", T.StringType()),

@@ -17,10 +17,12 @@ EV_START, EV_END = "2024-01-01", "2024-01-30"      # whole event history
 EV_MONTH = "2024-01"
 EV_STATION = "S42"
 EV_LINE = "L3"
+BARE_SECTION = "L3/1"                              # has related pairs and flow, but no basis row
 OD_LINE = "ASIA"
 EV_FORECAST_START = "2024-01-31"                   # day after the history
 OD_START, OD_END = "1900-01-01", "2099-12-31"      # any date: the whole order history
 OD_TRAIN_END = "2001-08-01"                        # last order date
+OD_FORECAST_START = "2001-08-02"                   # day after it
 OD_RANK = 4                                        # columns of the fitted basis
 WITHDRAWN_DAY, OD_WITHDRAWN_DAY = "2024-01-10", "1997-03-12"
 FORECAST_STEPS = 7
@@ -244,7 +246,7 @@ def section_flow_bridge_daily() -> str:
 
 
 def forecast_sections_bridge() -> str:
-    return forecast_sections(_bridge_json())
+    return forecast_sections(_bridge_json(), BARE_SECTION)
 
 
 def stations_csv() -> str:
@@ -470,6 +472,119 @@ select model, factor, cast(1 as integer) as lag, round(sum(x * y) / sum(x * x),
 from lagged where x is not null group by model, factor"""
 
 
+def _solved(name: str, source: str, n: int) -> list[str]:
+    """Gauss-Jordan elimination: ``source(key, i, j, a)`` holds per key the n
+    equations i with the coefficients j = 1..n and the right side j = n + 1;
+    ``name(key, i, x)`` is the solution."""
+    return [f"""
+{name}_r as (select key, i, list(a order by j) as r from {source} group by key, i)""", f"""
+{name}_m as (select key, list(r order by i) as m from {name}_r group by key)""", f"""
+{name}_g(key, k, m) as (
+  select key, 0, m from {name}_m
+  union all
+  select key, k + 1, list_transform(m, lambda r, i: case when i = k + 1
+      then list_transform(r, lambda x: x / m[k + 1][k + 1])
+      else list_transform(r, lambda x, j: x - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end)
+  from {name}_g where k < {n})""", f"""
+{name} as (select key, i, m[i][{n + 1}] as x from {name}_g, range(1, {n + 1}) t(i) where k = {n})"""]
+
+
+_FEATURES = ("is_workday", "lag_1", "lag_4", "lag_7", "lag_14", "lag_21", "lag_28", "trend")
+WORKDAYS_OD = WORKDAYS_V.replace("from events", "from orders").replace("cast(ts as date)", "cast(o_orderdate as date)") \
+    .replace("workdays_v", "workdays_od")
+
+
+def _regression_ctes(keyed: bool) -> list[str]:
+    """Normal equations of label ~ 1 + features over the order history, of the
+    total series or of all stations pooled; ``sol(key, i, x)``: intercept, then
+    the features in order."""
+    key = "station_in" if keyed else "'total'"
+    lags = ", ".join(f"lag(flow, {n}) over w as lag_{n}" for n in (1, 4, 7, 14, 21, 28))
+    return [f"""
+cnt as (select {key} as series, cast(time_in as date) as day, count(*) as flow from trips_od
+        where {in_range('time_in', OD_START, OD_TRAIN_END)} {'and station_in is not null' if keyed else ''} group by 1, 2)""", """
+span as (select series, min(day) as lo, max(day) as hi from cnt group by 1)""", """
+grid as (select series, cast(g.d as date) as day
+         from span, unnest(generate_series(cast(lo as timestamp), cast(hi as timestamp), interval 1 day)) as g(d))""", """
+dense as (select grid.series, grid.day, cast(coalesce(cnt.flow, 0) as double) as flow
+          from grid left join cnt on grid.series = cnt.series and grid.day = cnt.day)""", f"""
+feat as (select series, day, flow, {lags}, lag(flow, 1) over w - lag(flow, 29) over w as trend
+         from dense window w as (partition by series order by day))""", f"""
+xs as (select list_concat([1.0, cast(coalesce(w.wd, 0) as double)], [{', '.join(_FEATURES[1:])}, flow]) as x
+       from feat left join (select time, max(cast(workday = 1 as integer)) as wd from workdays_od group by time) w on w.time = feat.day
+       where trend is not null)""", """
+eq as (select 'all' as key, i, j, sum(x[i] * x[j]) as a from xs, range(1, 10) t(i), range(1, 11) u(j) group by i, j)""",
+            *_solved("sol", "eq", 9)]
+
+
+def fit_regression(keyed: bool) -> str:
+    names = "['intercept', " + ", ".join(f"'{f}'" for f in _FEATURES) + "]"
+    return with_recursive(TRIPS_OD, WORKDAYS_OD, *_regression_ctes(keyed)) + f"""
+select {names}[i] as feature, round(x, 6) + 0.0 as weight from sol"""
+
+
+def forecast_regression(keyed: bool) -> str:
+    """The fitted weights folded over the days after the order history."""
+    start, n = OD_FORECAST_START, FORECAST_STEPS
+    step = "c[1] + c[2] * fl[i + 1] + " + " + ".join(f"c[{k + 3}] * h[-{m}]" for k, m in enumerate((1, 4, 7, 14, 21, 28))) \
+        + " + c[9] * (h[-1] - h[-29])"
+    return with_recursive(
+        TRIPS_OD, STATIONS_OD, WORKDAYS_OD, *_regression_ctes(keyed),
+        days_cte("hd", days_before(start, 29), days_before(start, 1)), days_cte("fd", start, plus_days(start, n - 1)), """
+flags as (select fd.day, coalesce(w.wd, 0.0) as wd from fd left join
+          (select time, max(cast(workday = 1 as double)) as wd from workdays_od group by time) w on w.time = fd.day)""", f"""
+init as (select s.series, list(cast(coalesce(cnt.flow, 0) as double) order by hd.day) as h,
+                (select list(wd order by day) from flags) as fl, (select list(x order by i) from sol) as c
+         from (select {"station_name as series from stations_od" if keyed else "'total' as series"}) s cross join hd
+         left join cnt on cnt.series = s.series and cnt.day = hd.day group by s.series)""", f"""
+steps(series, i, h, fl, c) as (
+  select series, 0, h, fl, c from init
+  union all
+  select series, i + 1, list_append(h, round_even({step}, 0)), fl, c from steps where i < {n})""") + f"""
+select {'series as station, ' if keyed else ''}strftime({d(start)} + cast(j - 1 as integer), '%Y-%m-%d') as time,
+       cast(fl[j] as integer) as is_workday, cast(h[29 + j] as bigint) as flow
+from steps, range(1, {n + 1}) t(j) where i = {n}"""
+
+
+def _factor_series_od() -> list[str]:
+    """dense(model, factor, day, y): the fixture basis' factor series over the order history."""
+    series = {"station_in": ("in", None), "station_out": ("out", None)}
+    lowrank = _lowrank_ctes("ents", 0)
+    h0 = lowrank[-1].replace(f"where cnt.day between {d(days_before(EV_FORECAST_START, WINDOW))} "
+                             f"and {d(days_before(EV_FORECAST_START, 1))}", "")
+    return [TRIPS_OD, STATIONS_OD, station_counts_cte(OD_START, OD_TRAIN_END, series, "trips_od"),
+            _station_ents(series, "stations_od"), *lowrank[:-1], h0, """
+span as (select model, min(day) as lo, max(day) as hi from h0 group by 1)""", """
+days as (select model, cast(g.d as date) as day from span,
+         unnest(generate_series(cast(lo as timestamp), cast(hi as timestamp), interval 1 day)) as g(d))""", """
+dense as (select days.model, f.factor, days.day, coalesce(h0.q, 0.0) as y
+          from days join (select distinct model, factor from b) f on f.model = days.model
+          left join h0 on h0.model = days.model and h0.factor = f.factor and h0.day = days.day)"""]
+
+
+def fit_factor_ar(lags: int) -> str:
+    """Normal equations per (model, factor): own values 1..lags days before."""
+    return with_recursive(*_factor_series_od(), f"""
+lagged as (select model, factor, list(y) over (partition by model, factor order by day rows between {lags} preceding and current row) as x
+           from dense)""", f"""
+eq as (select (model, factor) as key, i, j, sum(x[{lags + 1} - i] * case when j > {lags} then x[{lags + 1}] else x[{lags + 1} - j] end) as a
+       from lagged, range(1, {lags + 1}) t(i), range(1, {lags + 2}) u(j) where len(x) = {lags + 1} group by all)""",
+                          *_solved("sol", "eq", lags)) + """
+select key[1] as model, cast(key[2] as integer) as factor, cast(i as integer) as lag, round(x, 6) + 0.0 as weight from sol"""
+
+
+def fit_cross_one_lag() -> str:
+    """One lag across the fixture basis' two factors: two equations for each target."""
+    return with_recursive(*_factor_series_od(), """
+wide as (select model, day, list(y order by factor) as y from dense group by model, day)""", """
+pairs as (select model, y, lag(y) over (partition by model order by day) as x from wide)""", """
+eq as (select (model, f) as key, i, j, sum(x[i] * case when j = 3 then y[f + 1] else x[j] end) as a
+       from pairs, range(2) t(f), range(1, 3) u(i), range(1, 4) v(j) where x is not null group by all)""",
+                          *_solved("sol", "eq", 2)) + """
+select key[1] as model, cast(key[2] as integer) as factor, cast(1 as integer) as lag, cast(i - 1 as integer) as source,
+       round(x, 6) + 0.0 as weight from sol"""
+
+
 def fit_basis_products() -> str:
     return f"""
 select m.model, cast(i.f as integer) as f1, cast(j.f as integer) as f2, cast(i.f = j.f as double) as dot
@@ -528,7 +643,8 @@ select split_part(model, '_', 2) as period, entity as station,
 from a0 group by 1, 2"""
 
 
-def forecast_sections(bridge: str = BRIDGE_EV) -> str:
+def forecast_sections(bridge: str = BRIDGE_EV, without: str = "") -> str:
+    """``without``: a section that the basis has no rows for; it is answered with 0."""
     lo, hi = days_before(EV_FORECAST_START, WINDOW), days_before(EV_FORECAST_START, 1)
     od = f"""
 od as (select station_in, station_out, cast(time_in as date) as day, count(*) as flow from trips_ev
@@ -543,11 +659,12 @@ from bridge br join od on od.station_in = br.{o} and od.station_out = br.{t} gro
     ents = """
 secs as (select distinct line, section_id, source, target, line || '/' || cast(section_id as varchar) as entity
          from sec),
-ents as (select m.model, s.entity from secs s, (values ('section_up'), ('section_down')) m(model))"""
+asked as (select m.model, s.* from secs s, (values ('section_up'), ('section_down')) m(model)),
+ents as (select model, entity from asked where entity <> '""" + without + """')"""
     return with_(TRIPS_EV, STATIONS_EV, bridge, od, cnt, ents, *_lowrank_ctes("ents", 1)) + f"""
-select replace(a0.model, 'section_', '') as direction, secs.section_id, secs.source, secs.target,
-       cast(a0.flow as bigint) as flow
-from a0 join secs on secs.entity = a0.entity where secs.line = '{EV_LINE}'"""
+select replace(asked.model, 'section_', '') as direction, section_id, source, target,
+       cast(coalesce(a0.flow, 0) as bigint) as flow
+from asked left join a0 on asked.entity = a0.entity and asked.model = a0.model where line = '{EV_LINE}'"""
 
 
 SIDES_EV = """
@@ -619,6 +736,14 @@ def oracle_sql() -> dict[str, str]:
         "line_flow_from_rollup": line_flow(),
         "fit_ar_one_lag": fit_ar_one_lag(),
         "fit_basis_products": fit_basis_products(),
+        "fit_total_forecast": fit_regression(keyed=False),
+        "fit_total_saved": fit_regression(keyed=False),
+        "fit_pooled": fit_regression(keyed=True),
+        "forecast_total_fitted": forecast_regression(keyed=False),
+        "forecast_panel_fitted": forecast_regression(keyed=True),
+        "fit_factor_ar": fit_factor_ar(WINDOW),
+        "fit_ar_two_lags": fit_factor_ar(2),
+        "fit_cross_one_lag": fit_cross_one_lag(),
         "month_flow_by_day": month_flow(),
         "dimensions_round_trip": dimensions_round_trip(),
         "peak_records": peak_flow(),
