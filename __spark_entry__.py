@@ -312,6 +312,18 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_stream_rollup(spark, sink).drop("month").withColumn("day", date_str("day"))
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time hours over trip files in the order of a hash: what was closed
+    by the watermark and what came late add up to the rollup of all trips."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("windows-src", "windows-sink", "windows-ckpt"))
+    trips = ev_inputs(spark, sf_dir).trips.select(*TRIP_COLUMNS)
+    trips.repartition(STREAM_FILES, F.xxhash64(*TRIP_COLUMNS)).write.parquet(src)
+    R.stream_windows(spark, src, sink, ckpt, delay_hours=240, max_files_per_trigger=1).awaitTermination()
+    R.close_windows(spark, sink)
+    rows = R.read_windows(spark, sink, (R.CLOSED, R.LATE))
+    return rows.groupBy(*R.ROLLUP_KEYS).agg(F.sum("n").alias("n")).withColumn("day", date_str("day"))
+
+
 def fit_total_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaler + regression on the whole order history; returns the raw weights."""
     model = FIT.fit_total_model(od_inputs(spark, sf_dir), O.OD_START, O.OD_TRAIN_END)
@@ -354,10 +366,17 @@ def forecast_panel_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_total_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted one-step model fitted on the order history, then a
-    7-day recursive forecast from the day after it."""
+    7-day recursive forecast from the day after it, the trees inside the fold."""
     inp = od_inputs(spark, sf_dir)
     model = FIT.fit_total_model(inp, O.OD_START, O.OD_TRAIN_END, regressor="gbt")
-    return FC.predict_total_flow_model(inp, OD_FORECAST_START, O.FORECAST_STEPS, model)
+    return FC.predict_total_flow_trees(inp, OD_FORECAST_START, O.FORECAST_STEPS, models.trees_of(model))
+
+
+def forecast_panel_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees over all stations pooled, then every station 7 days ahead."""
+    inp = od_inputs(spark, sf_dir)
+    trees = models.trees_of(FIT.fit_panel_trees(inp, O.OD_START, O.OD_TRAIN_END))
+    return FC.predict_panel_flow_trees(inp, OD_FORECAST_START, O.FORECAST_STEPS, trees)
 
 
 def fit_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,6 +565,7 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fit_total_forecast": fit_total_forecast,
         "forecast_total_fitted": forecast_total_fitted,
         "forecast_total_gbt": forecast_total_gbt,
+        "forecast_panel_gbt": forecast_panel_gbt,
         "fit_basis": fit_basis,
         "fit_factor_ar": fit_factor_ar,
         "fit_ar_one_lag": fit_ar_one_lag,
@@ -584,6 +604,7 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_refresh_withdrawn": rollup_refresh_withdrawn,
         "rollup_refresh_month": rollup_refresh_month,
         "stream_rollup": stream_rollup,
+        "stream_windows": stream_windows,
     }
 
 

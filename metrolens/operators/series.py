@@ -9,7 +9,8 @@ is bounded by the history length, never by trip volume.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,13 +77,78 @@ def recursive_forecast(series: DataFrame, calendar: DataFrame | None, keys: Sequ
                        coef: Mapping[str, float], start, n: int, entities: DataFrame | None = None) -> DataFrame:
     """n-step recursive forecast of a linear one-step model.
 
+    ``coef`` maps FEATURES and "intercept" to weights on the raw features; for
+    the rest see :func:`recursive_fold`.
+    """
+    w = {k: float(coef.get(k, 0.0)) for k in (*FEATURES, "intercept")}
+
+    def predict(x: Mapping[str, Column]) -> Column:
+        y = F.lit(w["intercept"])
+        for f in FEATURES:
+            y = y + F.lit(w[f]) * x[f]
+        return y
+    return recursive_fold(series, calendar, keys, predict, start, n, entities)
+
+
+def recursive_forecast_trees(series: DataFrame, calendar: DataFrame | None, keys: Sequence[str],
+                             trees: "Trees", start, n: int, entities: DataFrame | None = None) -> DataFrame:
+    """The same with a fitted tree ensemble (M3): the trees are array literals
+    walked inside the fold, so every series is forecast in one pass, without a
+    model call or a checkpoint per step."""
+    return recursive_fold(series, calendar, keys, lambda x: trees.predict([x[f] for f in FEATURES]), start, n, entities)
+
+
+@dataclass(frozen=True)
+class Trees:
+    """A sum of regression trees over FEATURES as flat arrays, one entry per
+    node, all trees in one: ``feature`` (-1 at a leaf), ``threshold`` (left if
+    the feature is at most that), ``left``, ``right``, ``value``; ``roots`` and
+    ``weights`` per tree, ``depth`` of the deepest, and ``scale``, which every
+    feature is multiplied with first."""
+
+    feature: list[int]
+    threshold: list[float]
+    left: list[int]
+    right: list[int]
+    value: list[float]
+    roots: list[int]
+    weights: list[float]
+    depth: int
+    scale: list[float]
+
+    def predict(self, features: Sequence[Column]) -> Column:
+        def ints(values) -> Column:
+            return F.lit([int(v) for v in values]).cast("array<int>")
+
+        def doubles(values) -> Column:
+            return F.lit([float(v) for v in values]).cast("array<double>")
+        feature, left, right = ints(self.feature), ints(self.left), ints(self.right)
+        threshold, value, weights = doubles(self.threshold), doubles(self.value), doubles(self.weights)
+        scaled = F.array(*[f * F.lit(float(s)) for f, s in zip(features, self.scale)])
+
+        def down(x: Column, node: Column) -> Column:
+            f = F.get(feature, node)
+            return F.when(f < 0, node).when(F.get(x, f) <= F.get(threshold, node), F.get(left, node)).otherwise(F.get(right, node))
+
+        def score(x: Column) -> Column:
+            leaves = F.transform(ints(self.roots), lambda root: F.aggregate(
+                F.sequence(F.lit(1), F.lit(max(1, self.depth))), root, lambda node, _: down(x, node)))
+            return F.aggregate(F.zip_with(leaves, weights, lambda leaf, w: F.get(value, leaf) * w), F.lit(0.0), lambda s, v: s + v)
+        # one element: the scaled features are computed once and bound to x
+        return F.get(F.transform(F.array(scaled), score), 0)
+
+
+def recursive_fold(series: DataFrame, calendar: DataFrame | None, keys: Sequence[str],
+                   predict: Callable[[Mapping[str, Column]], Column], start, n: int,
+                   entities: DataFrame | None = None) -> DataFrame:
+    """n-step recursive forecast with ``predict``, an expression over FEATURES.
+
     Every row of ``entities`` (keys) gets a forecast, also a series without
     any flow; without ``entities`` the series of ``series`` do.
 
     ``series`` has (keys, day, flow) with flows for the 29 days before
     ``start`` (missing days count 0); ``calendar`` has (time, workday).
-    ``coef`` maps FEATURES and "intercept" to weights on the raw features.
-    Each step predicts ``round_half_even(model(features))`` and appends it
+    Each step predicts ``round_half_even(predict(features))`` and appends it
     to the history, so later steps see earlier predictions; the fold runs
     inside one row per series with Spark's ``aggregate`` - no Python, no
     driver loop. Returns (keys, day, is_workday, flow).
@@ -107,18 +173,14 @@ def recursive_forecast(series: DataFrame, calendar: DataFrame | None, keys: Sequ
         F.struct("day", F.col("flow").cast("double").alias("flow"),
                  F.col("is_workday").cast("double").alias("wd")))).alias("r"))
 
-    w = {k: float(coef.get(k, 0.0)) for k in (*FEATURES, "intercept")}
     hist0 = F.transform(F.slice("r", 1, TREND_LAG), lambda x: F.coalesce(x["flow"], F.lit(0.0)))
     wd = F.transform(F.slice("r", TREND_LAG + 1, n), lambda x: F.coalesce(x["wd"], F.lit(0.0)))
 
     def step(acc: Column, i: Column) -> Column:
         def lag(m: int) -> Column:
             return F.element_at(acc, -m)
-        y = F.lit(w["intercept"]) + F.lit(w["is_workday"]) * F.element_at(wd, i + 1)
-        for m in LAGS:
-            y = y + F.lit(w[f"lag_{m}"]) * lag(m)
-        y = y + F.lit(w["trend"]) * (lag(1) - lag(TREND_LAG))
-        return F.concat(acc, F.array(F.bround(y, 0)))
+        x = {"is_workday": F.element_at(wd, i + 1), "trend": lag(1) - lag(TREND_LAG)} | {f"lag_{m}": lag(m) for m in LAGS}
+        return F.concat(acc, F.array(F.bround(predict(x), 0)))
 
     folded = packed.select(*keys, wd.alias("wd"),
                            F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), hist0, step).alias("h"))

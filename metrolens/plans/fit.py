@@ -65,8 +65,8 @@ def fit_total_model(inp: Inputs, start, end, regressor: str = "linear", reg_para
     """M1 + M2: scaler and a regressor on the reference's feature order.
 
     ``regressor``: "linear" (weights usable by the recursive fold, see
-    ``total_coefficients``) or "gbt" (gradient-boosted trees, scored step by
-    step with ``series.recursive_forecast_model``).
+    ``total_coefficients``) or "gbt" (gradient-boosted trees, folded with
+    ``series.recursive_forecast_trees``).
     """
     rows = total_training_rows(inp, start, end)
     if regressor == "linear":
@@ -75,18 +75,7 @@ def fit_total_model(inp: Inputs, start, end, regressor: str = "linear", reg_para
         reg = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=4, maxIter=40, seed=seed)
     else:
         raise ValueError(f"unknown regressor {regressor!r}")
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(series.FEATURES), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True),
-        reg,
-    ])
-    # The fit passes over the rows several times (scaler statistics, solver
-    # or boosting rounds): keep them instead of re-deriving them per pass.
-    rows = rows.persist()
-    try:
-        return pipe.fit(rows)
-    finally:
-        rows.unpersist()
+    return _pipeline(reg, rows)
 
 
 def panel_training_rows(inp: Inputs, start, end, series_spec: dict | None = None) -> DataFrame:
@@ -132,6 +121,27 @@ def fit_pooled_model(inp: Inputs, start, end) -> dict[str, float]:
     return pooled_regression(panel_training_rows(inp, start, end))
 
 
+def fit_panel_trees(inp: Inputs, start, end, seed: int = 42) -> PipelineModel:
+    """Scaler + gradient-boosted trees over every station's series at once (M2)."""
+    return _pipeline(GBTRegressor(featuresCol="features", labelCol="label", maxDepth=4, maxIter=20, seed=seed),
+                     panel_training_rows(inp, start, end))
+
+
+def _pipeline(reg, rows: DataFrame) -> PipelineModel:
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=list(series.FEATURES), outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True),
+        reg,
+    ])
+    # The fit passes over the rows several times (scaler statistics, solver
+    # or boosting rounds): keep them instead of re-deriving them per pass.
+    rows = rows.persist()
+    try:
+        return pipe.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def total_coefficients(model: PipelineModel) -> dict[str, float]:
     """Raw-feature weights of a fitted scaler + regression (x / std, no centring)."""
     scaler, lr = model.stages[1], model.stages[2]

@@ -96,6 +96,24 @@ def predict_total_flow_model(inp: Inputs, start, n: int, model) -> DataFrame:
     return fc.select(date_str("day").alias("time"), "is_workday", "flow").orderBy("time")
 
 
+def predict_total_flow_trees(inp: Inputs, start, n: int, trees: series.Trees) -> DataFrame:
+    """Q9 with a fitted tree ensemble walked inside the fold -> (time, is_workday, flow)."""
+    total, one = _total_daily(inp, start, None)
+    fc = series.recursive_forecast_trees(total, inp.workdays, ["series"], trees, start, n, entities=one)
+    return fc.select(date_str("day").alias("time"), "is_workday", "flow").orderBy("time")
+
+
+def predict_panel_flow_trees(inp: Inputs, start, n: int, trees: series.Trees) -> DataFrame:
+    """The same for the entries of every station -> (station, time, is_workday, flow)."""
+    inp.require("stations")
+    lo, hi = trailing_window(start, series.TREND_LAG)
+    daily = counts.station_day_counts(inp.trips_touching(lo, hi), lo, hi, {"station_in": ("in", None)})
+    names = inp.stations.select(F.col("station_name").alias("station")).where("station IS NOT NULL")
+    fc = series.recursive_forecast_trees(daily.select(F.col("entity").alias("station"), "day", "flow"), inp.workdays, ["station"],
+                                         trees, start, n, entities=names)
+    return fc.select("station", date_str("day").alias("time"), "is_workday", "flow")
+
+
 def _complete(inp: Inputs, fc: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """``fc`` (station, ..., flows) with a row for every station of the
     dimension; a station without basis row gets 0. ``keys`` adds further key

@@ -18,16 +18,16 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MANIFEST = "version long, action string, grain string, part string, commit string, n long"
+MANIFEST = "version long, action string, grain string, part string, commit string, n long, note string"
 ADD, REPLACE, RESET = "add", "replace", "reset"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(version, action, grain, part, commit, n): every change ever made."""
+    """(version, action, grain, part, commit, n, note): every change ever made."""
     try:
         return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     except AnalysisException as e:
@@ -61,20 +61,28 @@ def live_parts(entries: DataFrame, version: int | None = None) -> DataFrame:
             .select("part", "commit", "n"))
 
 
-def write(df: DataFrame, path: str, grain: str, action: str = REPLACE, parts: Sequence[str] | None = None) -> int:
+def last_note(spark: SparkSession, path: str) -> str | None:
+    """What the last write that left a note said."""
+    return manifest(spark, path).where("note IS NOT NULL").agg(F.max_by("note", "version").alias("note")).collect()[0]["note"]
+
+
+def write(df: DataFrame, path: str, grain: str, action: str | Column = REPLACE, parts: Sequence[str] | None = None,
+          note: str | None = None) -> int:
     """Write ``df`` as the next version; the number of that version.
 
     ``action``: "replace" the partitions that ``df`` holds and those named in
     ``parts`` (named ones without rows become empty), "add" rows to partitions,
-    or "reset" the whole table to ``df``. Rows are rebalanced by partition, so a
-    large partition is split over tasks and small ones share one.
+    or "reset" the whole table to ``df``; or an expression over ``part`` that says
+    "replace" or "add" for each partition. Rows are rebalanced by partition, so a
+    large partition is split over tasks and small ones share one. ``note`` is
+    kept with the version.
     """
     spark = df.sparkSession
     entries = manifest(spark, path)
     version, had = _head(entries)
     if had is not None and had != grain:
         raise ValueError(f"the table at {path} is partitioned by {had}, not by {grain}")
-    if action not in (ADD, REPLACE, RESET):
+    if isinstance(action, str) and action not in (ADD, REPLACE, RESET):
         raise ValueError(f"unknown action {action!r}")
     commit = uuid.uuid4().hex[:16]
     folder = f"{path}/data/commit={commit}"
@@ -85,16 +93,16 @@ def write(df: DataFrame, path: str, grain: str, action: str = REPLACE, parts: Se
     if written.where("part IS NULL").limit(1).count():
         raise ValueError(f"rows without {grain} have no partition")
     rows = written.select("part", F.lit(commit).alias("commit"), "n")
-    named = [(p, None, 0) for p in (parts or [])] if action == REPLACE else []
-    if named:
-        empty = spark.createDataFrame(named, "part string, commit string, n long")
-        rows = rows.unionByName(empty.join(rows.select("part"), "part", "left_anti"))
-    rows = rows.withColumn("action", F.lit(REPLACE if action == RESET else action))
-    if action == RESET:
+    change = action if isinstance(action, Column) else F.lit(REPLACE if action == RESET else action)
+    rows = rows.withColumn("action", change)
+    if parts:
+        empty = spark.createDataFrame([(p, None, 0, REPLACE) for p in parts], "part string, commit string, n long, action string")
+        rows = rows.unionByName(empty.join(rows.select("part"), "part", "left_anti").select(*rows.columns))
+    if isinstance(action, str) and action == RESET:
         rows = rows.unionByName(spark.createDataFrame([(None, None, 0, RESET)], "part string, commit string, n long, action string"))
     # one file: the write becomes visible as a whole
-    rows.select(F.lit(version).cast("long").alias("version"), "action", F.lit(grain).alias("grain"), "part", "commit", "n") \
-        .coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    rows.select(F.lit(version).cast("long").alias("version"), "action", F.lit(grain).alias("grain"), "part", "commit", "n",
+                F.lit(note).cast("string").alias("note")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return version
 
 
@@ -137,7 +145,7 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, most: int = 1,
     if parts:
         rows = read(spark, path, schema, lo=parts[0], hi=parts[-1])
         own = F.col(grain).cast("string").isin(parts)
-        write(merge(rows.where(own)).select(*schema.names), path, grain, REPLACE, parts)
+        write(merge(rows.where(own)).select(*schema.names), path, grain, REPLACE, parts, last_note(spark, path))
     return parts
 
 

@@ -8,8 +8,9 @@ trip count, where side 'in' is keyed by the entry time and side 'out' by
 the exit time. It is written partitioned by ``day`` (or ``month`` for long
 histories), so a date-range query reads only its partitions. The table is
 versioned (``sources.versions``): a refresh writes the days it names beside the
-old ones and one manifest file switches readers over. The stream appends partial counts per arriving file, which the
-reader sums: nothing waits for a watermark, so nothing is late.
+old ones and one manifest file switches readers over. One stream adds partial
+counts that the reader sums, so nothing is late; another keeps hours open until
+a watermark closes them and sets late counts aside.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from metrolens import schemas
@@ -189,63 +191,128 @@ def station_days_from_rollup(rollup: DataFrame, lo, hi, series: dict) -> DataFra
 
 # --- streaming refresh
 
-STREAM_SCHEMA = ("side string, hour int, station string, line string, peer_station string, peer_line string, "
-                 "n long, day date")
-_FLUSH_GROUPS = 200_000
+MOST_FOLDERS = 8          # writes that a day may consist of before it is compacted
 
 
-def _partial_counts(batches):
-    """mapInArrow step: count equal rows of a task, without a shuffle."""
-    import pyarrow as pa
+def _trigger(writer, available_now: bool) -> StreamingQuery:
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
-    schema, parts, rows = None, [], 0
 
-    def summed():
-        keys = [n for n in schema.names if n != "n"]
-        table = pa.Table.from_batches(parts).group_by(keys).aggregate([("n", "sum")])
-        return table.rename_columns([*keys, "n"]).select(schema.names).cast(schema).combine_chunks().to_batches()
+def _source(spark: SparkSession, source_path: str, max_files_per_trigger: int | None) -> DataFrame:
+    src = spark.readStream.schema(schemas.TRIPS)
+    if max_files_per_trigger:
+        src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return src.parquet(source_path)
 
-    for batch in batches:
-        schema = batch.schema
-        parts.append(batch)
-        rows += batch.num_rows
-        if rows > _FLUSH_GROUPS:
-            parts = summed()
-            rows = sum(p.num_rows for p in parts)
-            if rows > _FLUSH_GROUPS // 2:            # mostly different rows: pass them on
-                yield from parts
-                parts, rows = [], 0
-    if parts:
-        yield from summed()
+
+def _summed(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy(*ROLLUP_KEYS, "month", *more).agg(F.sum("n").cast("long").alias("n"))
 
 
 def stream_rollup(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str,
-                  max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, available_now: bool = True,
+                  most_folders: int = MOST_FOLDERS) -> StreamingQuery:
     """Maintain the rollup from trip files as they arrive.
 
-    Trip files (TRIPS schema) under ``source_path`` are read as a stream;
-    every trip is split into its entry and exit events, each task counts
-    what it has read and appends these partial counts to a parquet sink
-    partitioned by day. The file sink commits each batch exactly once and
-    the checkpoint (in the shared checkpoint folder) makes the query restart
-    where it stopped. There is no state and no watermark: events may arrive
-    in any order and any number of days late, and the current hour is
-    visible at once. ``read_stream_rollup`` sums the partial counts.
+    Trip files (TRIPS schema) under ``source_path`` are read as a stream. Each
+    micro-batch is counted and added to a versioned table, partitioned by day;
+    the manifest notes the batch, so a batch that is run again after a failure
+    is not counted twice. A day that consists of more than ``most_folders``
+    writes is compacted. There is no state and no watermark: events may arrive
+    in any order and any number of days late, and the current hour is visible
+    at once. ``read_stream_rollup`` sums the partial counts.
     """
-    src = spark.readStream.schema(schemas.TRIPS)
-    if max_files_per_trigger:
-        src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    events = _sides(src.parquet(source_path)).select(
-        "side", F.hour("ts").alias("hour"), "station", "line", "peer_station", "peer_line",
-        F.lit(1).cast("long").alias("n"), F.to_date("ts").alias("day"))
-    writer = (events.mapInArrow(_partial_counts, STREAM_SCHEMA).writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint_path).partitionBy("day"))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(sink_path)
+    def batch(trips: DataFrame, number: int) -> None:
+        own = trips.sparkSession
+        note = f"{checkpoint_path}#{number}"
+        if not versions.manifest(own, sink_path).where(F.col("note") == note).isEmpty():
+            return
+        counted = trip_rollup(trips).withColumn("month", F.trunc("day", "month"))
+        versions.write(counted.select(*schemas.ROLLUP.names), sink_path, "day", versions.ADD, note=note)
+        versions.compact(own, sink_path, schemas.ROLLUP, most_folders, _summed)
+
+    return _trigger(_source(spark, source_path, max_files_per_trigger).writeStream.foreachBatch(batch)
+                    .option("checkpointLocation", checkpoint_path), available_now)
 
 
 def read_stream_rollup(spark: SparkSession, sink_path: str) -> DataFrame:
-    """The rollup as of the last committed batch; a filter on ``day`` prunes
-    partitions. ``write_rollup`` of it compacts a long-running sink."""
-    parts = spark.read.schema(STREAM_SCHEMA).parquet(sink_path)
-    return parts.groupBy(*ROLLUP_KEYS).agg(F.sum("n").alias("n")).withColumn("month", F.trunc("day", "month"))
+    """The rollup as of the last committed batch; a filter on ``day`` prunes partitions."""
+    return _summed(versions.read(spark, sink_path, schemas.ROLLUP)).select(*schemas.ROLLUP.names)
+
+
+# --- event-time windows with a late side
+
+_SLOTS = T.StructType([*schemas.ROLLUP.fields, T.StructField("slot", T.StringType())])
+OPEN, CLOSED, LATE = "open", "closed", "late"
+
+
+def _slot(kind: Column) -> Column:
+    return F.concat(kind, F.lit("-"), F.col("day").cast("string"))
+
+
+def stream_windows(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str, delay_hours: int = 24,
+                   max_files_per_trigger: int | None = None, available_now: bool = True,
+                   most_folders: int = MOST_FOLDERS) -> StreamingQuery:
+    """Hourly counts that are final once their hour is closed, and a side output
+    of what came too late.
+
+    The watermark is the latest event time seen less ``delay_hours``. Counts of
+    hours that end after it are kept open and added up batch by batch; an hour
+    is closed, and from then on never changes, as soon as the watermark reaches
+    its end; counts of hours that were closed before the batch go to the late
+    side. (Spark's own watermark would drop these rows.) A batch changes all
+    three in one manifest entry, which also holds the watermark, so a batch that
+    fails leaves nothing behind, and one that is run again changes nothing. Open
+    hours, the only state, are rewritten with every batch; a day of closed or
+    late counts that consists of more than ``most_folders`` writes is compacted.
+    """
+    def batch(trips: DataFrame, number: int) -> None:
+        own = trips.sparkSession
+        note = f"{checkpoint_path}#{number}"
+        if not versions.manifest(own, sink_path).where(F.col("note").startswith(note + "@")).isEmpty():
+            return
+        before = _watermark(own, sink_path)
+        events = _sides(trips)
+        latest = events.agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("t")).collect()[0]["t"]   # one value
+        now = before if latest is None else max(before, latest - delay_hours * 3600)
+        counted = trip_rollup(trips).withColumn("month", F.trunc("day", "month"))
+        _advance(own, sink_path, counted, before, now, f"{note}@{now}", most_folders)
+
+    return _trigger(_source(spark, source_path, max_files_per_trigger).writeStream.foreachBatch(batch)
+                    .option("checkpointLocation", checkpoint_path), available_now)
+
+
+def _watermark(spark: SparkSession, sink_path: str) -> int:
+    note = versions.last_note(spark, sink_path)
+    return int(note.rsplit("@", 1)[1]) if note else -2**62
+
+
+def _advance(spark: SparkSession, sink_path: str, counted: DataFrame, before: int, now: int, note: str, most_folders: int) -> None:
+    ends = F.unix_timestamp(F.col("day").cast("timestamp")) + (F.col("hour") + 1) * 3600
+    held = versions.read(spark, sink_path, _SLOTS, lo=f"{OPEN}-", hi=f"{OPEN}-~")
+    kept = held.withColumn("kind", F.lit(OPEN)).drop("slot").unionByName(
+        counted.withColumn("kind", F.when(ends <= before, LATE).otherwise(OPEN)))
+    rows = _summed(kept, "kind")
+    kind = F.when(F.col("kind") == LATE, LATE).when(ends <= now, CLOSED).otherwise(OPEN)
+    was_open = versions.live_parts(versions.manifest(spark, sink_path)).where(F.col("part").startswith(f"{OPEN}-")).select("part").distinct()
+    action = F.when(F.col("part").startswith(f"{OPEN}-"), versions.REPLACE).otherwise(versions.ADD)
+    versions.write(rows.withColumn("slot", _slot(kind)).select(*_SLOTS.names), sink_path, "slot", action,
+                   [r["part"] for r in was_open.collect()], note)                           # the open days
+    versions.compact(spark, sink_path, _SLOTS, most_folders, lambda df: _summed(df, "slot"))
+
+
+def close_windows(spark: SparkSession, sink_path: str) -> None:
+    """End of the stream: close the hours that are still open."""
+    empty = spark.createDataFrame([], schemas.ROLLUP)
+    _advance(spark, sink_path, empty, _watermark(spark, sink_path), 2**61, f"closed@{2**61}", MOST_FOLDERS)
+
+
+def read_windows(spark: SparkSession, sink_path: str, kinds: Sequence[str] = (CLOSED,)) -> DataFrame:
+    """(kind, rollup columns) of the sink: closed hours, and if asked for the
+    late counts of closed hours and the open hours so far."""
+    parts = [versions.read(spark, sink_path, _SLOTS, lo=f"{k}-", hi=f"{k}-~") for k in kinds]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    kind = F.split_part("slot", F.lit("-"), F.lit(1)).alias("kind")
+    return _summed(rows.select(*schemas.ROLLUP.names, kind), "kind").select("kind", *schemas.ROLLUP.names)

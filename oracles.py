@@ -765,4 +765,5 @@ def oracle_sql() -> dict[str, str]:
         "forecast_stations_by_day": forecast_stations(),
         "forecast_peak_by_day": forecast_peak(),
         "stream_rollup": daily_rollup(),
+        "stream_windows": daily_rollup(),
     }
