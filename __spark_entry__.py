@@ -440,6 +440,11 @@ def _stations_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_stations(spark, path)
 
 
+def section_flow_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8 with journeys that change lines, over the station graph."""
+    return Q.section_flow_network(ev_inputs(spark, sf_dir), O.EV_LINE, O.EV_START, O.EV_END, TD.transfers_ev(spark, sf_dir))
+
+
 def stations_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stations_from_csv(spark, sf_dir)
 
@@ -549,6 +554,7 @@ def transit_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "section_flow": lambda s, p: Q.section_flow(ev_inputs(s, p), O.EV_LINE, O.EV_START, O.EV_END),
         "stations_csv": stations_csv,
         "section_flow_od": section_flow_od,
+        "section_flow_network": section_flow_network,
         "section_flow_daily": lambda s, p: Q.section_flow_daily(ev_inputs(s, p), O.EV_START, O.EV_END),
         "station_day_matrix": station_day_matrix,
         "station_day_pivot": station_day_pivot,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from metrolens.functions.dates import PEAK_BANDS, as_date, date_str, entered, in_days, month_bounds
 from metrolens.functions.numeric import AGE_BIN_COUNT, age, age_bin
-from metrolens.operators import counts, sections
+from metrolens.operators import counts, network, sections
 from metrolens.plans.inputs import Inputs
 
 # Fixed value: the reference computes ages against this year.
@@ -136,6 +136,19 @@ def section_flow(inp: Inputs, line: str, start, end, od: DataFrame | None = None
             .orderBy("direction", "section_id"))
 
 
+def section_flow_network(inp: Inputs, line: str, start, end, transfers: DataFrame | None = None,
+                         od: DataFrame | None = None) -> DataFrame:
+    """Q8 with journeys across lines, each along the shortest path of the station
+    graph, without a bridge file -> (direction, section_id, source, target, flow).
+    ``transfers`` (a, b): stations between which passengers change; by default
+    those of different lines that share an id."""
+    inp.require("stations")
+    if od is None:
+        od = counts.od_counts(inp.trips, start, end)
+    return (network.network_flows(od, inp.stations, transfers).where(F.col("line") == line)
+            .select("direction", "section_id", "source", "target", "flow").orderBy("direction", "section_id"))
+
+
 def section_flow_daily(inp: Inputs, start, end) -> DataFrame:
     """Section x day flows of every line (C4/D14), zero-filled over ``[start, end]``
     -> (line, section_id, source, target, direction, day, flow)."""

@@ -30,6 +30,7 @@ CALENDAR_GAPS = [dt.date(2024, 1, 15)]        # left out of the calendar
 CALENDAR_HORIZON_DAYS = 31                    # calendar runs past the last trip day
 USER_SEX_MOD = 2                              # sex = c_custkey % 2
 USER_BIRTH_BASE, USER_BIRTH_MOD = 1915, 110   # birth_year = 1915 + c_custkey % 110
+TRANSFER_POS = 5                              # where the lines of stations_ev meet
 FIXTURE_MOD = 3                               # basis of entity i: weights 1 and i % 3 on factors 0 and 1
 FIXTURE_RANK = 2
 QUIET_STATION = (1000, "S_new", "L0", 100)    # a station of stations_ev without any trip: id, name, line, sequence
@@ -252,6 +253,14 @@ def _calendar(rows: DataFrame, ts: str) -> DataFrame:
             .select("time", F.when(holiday | weekend, 0).otherwise(1).cast("int").alias("workday")))
 
 
+def transfers_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers of ``stations_ev``: the station at ``TRANSFER_POS`` of line L0
+    is linked with the one at the same place of every other line."""
+    at = stored_view(spark, sf_dir, "stations_ev").where(F.col("sequence") == TRANSFER_POS)
+    hub = at.where("line_name = 'L0'").select(F.col("station_name").alias("a"), "sequence")
+    return hub.join(at.where("line_name <> 'L0'").select(F.col("station_name").alias("b"), "sequence"), "sequence").select("a", "b")
+
+
 def fixture_basis(entities: DataFrame) -> DataFrame:
     """Basis with two columns that are not orthogonal: entity i (by name
     within its model) has weight 1 on factor 0 and i % 3 on factor 1."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from metrolens.sources.testdata import FIXTURE_AR, FIXTURE_BRIDGE, FIXTURE_MOD, FIXTURE_TOTAL, QUIET_STATION
+from metrolens.sources.testdata import FIXTURE_AR, FIXTURE_BRIDGE, FIXTURE_MOD, FIXTURE_TOTAL, QUIET_STATION, TRANSFER_POS
 
 # Query parameters shared with __spark_entry__ (fixed values of the checks).
 EV_START, EV_END = "2024-01-01", "2024-01-30"      # whole event history
@@ -209,6 +209,34 @@ where bridge.line = '{EV_LINE}' group by section_id, source, target""")
     return with_(TRIPS_EV, STATIONS_EV, bridge, od) + "\nunion all\n".join(sel)
 
 
+def section_flow_network() -> str:
+    """Every pair's shortest path walked link by link from its end."""
+    return with_recursive(TRIPS_EV, STATIONS_EV, BRIDGE_EV, f"""
+one_way as (select source as a, target as b from sec
+            union select h.station_name, s.station_name from stations_ev h join stations_ev s on s.sequence = h.sequence
+            where h.line_name = 'L0' and h.sequence = {TRANSFER_POS} and s.line_name <> 'L0')""", """
+links as (select a, b from one_way union select b, a from one_way)""", """
+reach(o, v, dist) as (
+  select station_name, station_name, 0 from stations_ev
+  union
+  select r.o, l.b, r.dist + 1 from reach r join links l on l.a = r.v where r.dist < 30)""", """
+near as (select o, v, min(dist) as dist from reach group by o, v)""", """
+tree as (select n.o, n.v, min(l.a) as parent from near n join links l on l.b = n.v
+         join near p on p.o = n.o and p.v = l.a and p.dist + 1 = n.dist group by n.o, n.v)""", f"""
+od as (select station_in as o, station_out as d, count(*) as flow from trips_ev
+       where {in_range('time_in', EV_START, EV_END)} group by 1, 2)""", """
+walk(o, d, v, flow) as (
+  select o, d, d, flow from od
+  union all
+  select w.o, w.d, t.parent, w.flow from walk w join tree t on t.o = w.o and t.v = w.v)""", """
+loads as (select t.parent as a, t.v as b, sum(w.flow) as flow from walk w join tree t on t.o = w.o and t.v = w.v group by 1, 2)""") + f"""
+select x.direction, s.section_id, s.source, s.target, cast(coalesce(loads.flow, 0) as bigint) as flow
+from sec s cross join (values ('up'), ('down')) x(direction)
+left join loads on loads.a = case when x.direction = 'up' then s.source else s.target end
+               and loads.b = case when x.direction = 'up' then s.target else s.source end
+where s.line = '{EV_LINE}'"""
+
+
 def dimensions_round_trip() -> str:
     return f"""
 select sex, bin, cast(n as double) as value from ({age_structure()})
@@ -714,6 +742,7 @@ def oracle_sql() -> dict[str, str]:
         "section_flow": section_flow(),
         "stations_csv": stations_csv(),
         "section_flow_od": section_flow_od(),
+        "section_flow_network": section_flow_network(),
         "section_flow_daily": section_flow_daily(),
         "station_day_matrix": station_day_matrix(),
         "station_day_pivot": station_day_pivot(),
