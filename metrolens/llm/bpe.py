@@ -25,6 +25,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -37,6 +38,7 @@ from metrolens.llm.common import map_arrow
 _SPACES = " \\t\\n\\x0b\\x0c\\r\\x85\\xa0"
 _LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 _NUMBERS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+LONG = 100                # symbols of a fragment from which merging uses a heap
 CACHE_WORDS = 300_000     # distinct pre-tokens remembered per task; older ones are encoded again
 
 
@@ -124,6 +126,8 @@ class Codec:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Byte pair merging of one fragment: lowest rank first, from the left."""
+        if len(ids) > LONG:
+            return self.merge_long(ids)
         rank, none = self.rank.get, self.none
         ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
         while ranks:
@@ -139,6 +143,27 @@ class Codec:
                 ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
         return ids
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same for a fragment of any length in n log n steps: a linked list
+        of symbols and a heap of the pairs by rank, then by place."""
+        rank, none, n = self.rank.get, self.none, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r * n + i for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank(pair, none)) != none]
+        heapify(heap)
+        while heap:
+            r, i = divmod(heappop(heap), n)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank((ids[i], ids[j]), none) != r:
+                continue                                # the pair has changed since
+            ids[i], ids[j], after[i] = self.merged[r], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (new := rank((ids[i], ids[after[i]]), none)) != none:
+                    heappush(heap, new * n + i)
+            if before[i] >= 0 and (new := rank((ids[before[i]], ids[i]), none)) != none:
+                heappush(heap, new * n + before[i])
+        return [x for x in ids if x >= 0]
+
     def encode_word(self, word: str) -> bytes:
         """Ids (little-endian unsigned 32-bit) of one pre-token: cut at forced
         boundaries, encode the fragments, concatenate."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metrolens.llm import (bpe, chat, codes, decontam, langid, licenses, minhash, paragraphs, quality, rules, token_counts,
                            warc, whitening)
-from metrolens.llm.common import id_bucket, table
+from metrolens.llm.common import id_bucket, stored, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.round_trip(spark, table(spark, sf_dir, "pages"), payload=False)
     number = lambda name: F.col("metadata.fields")[name].cast("long")
-    return captures.select(
+    captures = stored(spark, warc.round_trip(spark, table(spark, sf_dir, "pages"), payload=False), "captures")
+    return warc.with_origins(captures, number("page-id")).select(
         number("page-id").alias("page_id"),
         F.coalesce("response.payload_length", number("payload-length")).alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"),
-        number("refers-to-page").alias("refers_to"))
+        F.col("origin").alias("refers_to"))
 
 
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

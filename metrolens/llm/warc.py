@@ -4,7 +4,8 @@ Writing: each page is one capture of three records - request, response (or
 revisit) and metadata - where request and metadata name the response by
 WARC-Concurrent-To. Of captures with equal payloads of at least ``least``
 bytes, the one with the smallest page_id (then url) is the response, the
-others are revisits that refer to it. Spark's text writer puts the records
+others are revisits that refer to it. Equal rows are captures of their own,
+told apart by a copy number in their record ids. Spark's text writer puts the records
 into gzip files; the blank lines that end a record are its line separator.
 
 Reading: a streaming parser walks the lines of each file and takes as many
@@ -15,9 +16,8 @@ Assembly: responses are joined with their request and metadata records by
 the concurrent-to identifiers; one nested row per capture comes out.
 
 Null html is an empty payload; a null url leaves the target out; a null
-page_id sorts last. Record ids follow from (page_id, url, payload digest), so
-rows equal in all three are one capture and give one row. An empty table gives
-no captures. A record whose length and separator disagree is an error.
+page_id sorts last. Record ids follow from (page_id, url, payload digest, copy),
+so every row gives one row back. An empty table gives no captures. A record whose length and separator disagree is an error.
 """
 
 from __future__ import annotations
@@ -45,9 +45,9 @@ def base32_of_hex(hexed: str) -> Column:
     return F.expr("concat(" + ", ".join(digits) + ")")
 
 
-def record_id(kind: str, page_id: str, url: str, digest: str) -> Column:
-    key = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col(page_id).cast("string"), F.lit("-")),
-                            F.col(digest), F.coalesce(F.col(url), F.lit("-"))).cast("binary"))
+def record_id(kind: str, page_id: str, url: str, digest: str, copy: Column) -> Column:
+    key = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col(page_id).cast("string"), F.lit("-")), F.col(digest),
+                            copy.cast("string"), F.coalesce(F.col(url), F.lit("-"))).cast("binary"))
     parts = [F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -74,38 +74,43 @@ def captures(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame
     payload which very many pages share are split among tasks."""
     p = pages.select("page_id", F.regexp_replace("url", "[\\r\\n]", "").alias("url"),
                      F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    order = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "url")
-    firsts = stored(spark, p.groupBy("sha").agg(F.min(order).alias("f")).select(
+    p = p.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("key", F.struct("sha", "page_id", "url"))
+    counted = p.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    order = F.struct(F.col("key.page_id").isNull().alias("unnamed"), F.col("key.page_id").alias("page_id"), F.col("key.url").alias("url"))
+    firsts = stored(spark, counted.groupBy("key.sha").agg(F.min(order).alias("f")).select(
         F.col("sha").alias("first_sha"), F.col("f.page_id").alias("first_page"), F.col("f.url").alias("first_url")),
         "first-pages")
-    own = F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url"))
-    return (p.join(firsts, F.col("sha") == F.col("first_sha"))
+    # equal rows are brought together by partial sums and numbered; all others pass by
+    repeats = stored(spark, counted.where("copies > 1"), "repeated-pages")
+    equal = p.join(repeats, "key").groupBy("key").agg(F.first("html").alias("html"), F.max("copies").alias("copies"))
+    copies = equal.select("key.page_id", "key.url", "html", "key.sha", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    rows = p.join(repeats, "key", "left_anti").select("page_id", "url", "html", "sha", F.lit(1).cast("long").alias("copy")).unionByName(copies)
+    own = F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url")) & (F.col("copy") == 1)
+    return (rows.join(firsts, F.col("sha") == F.col("first_sha"))
             .withColumn("revisit", (F.octet_length("html") >= least) & ~own))
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int = 0,
                    date: str = "2024-01-01T00:00:00Z") -> None:
     c = captures(spark, pages, least)
-    main = record_id("response", "page_id", "url", "sha")
+    main = record_id("response", "page_id", "url", "sha", F.col("copy"))
     target = _field("WARC-Target-URI", F.col("url"))
     concurrent = _field("WARC-Concurrent-To", main)
     length = F.octet_length("html")
     http = _lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", _field("Content-Length", length))
     asked = _lines(F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1")), "Accept: text/html")
-    about = _lines(_field("page-id", F.col("page_id")), _field("payload-length", length),
-                   F.when(F.col("revisit"), _field("refers-to-page", F.col("first_page"))))
+    about = _lines(_field("page-id", F.col("page_id")), _field("payload-length", length))
     revisit = lambda name, value: F.when(F.col("revisit"), _field(name, value))
     records = [
-        _record(F.lit("request"), record_id("request", "page_id", "url", "sha"),
+        _record(F.lit("request"), record_id("request", "page_id", "url", "sha", F.col("copy")),
                 "application/http; msgtype=request", asked, date, target, concurrent),
         _record(F.when(F.col("revisit"), "revisit").otherwise("response"), main,
                 "application/http; msgtype=response",
                 F.concat(http, F.when(F.col("revisit"), "").otherwise(F.col("html"))), date, target,
                 F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex("sha")),
                 revisit("WARC-Profile", F.lit(PROFILE)),
-                revisit("WARC-Refers-To", record_id("response", "first_page", "first_url", "sha"))),
-        _record(F.lit("metadata"), record_id("metadata", "page_id", "url", "sha"),
+                revisit("WARC-Refers-To", record_id("response", "first_page", "first_url", "sha", F.lit(1)))),
+        _record(F.lit("metadata"), record_id("metadata", "page_id", "url", "sha", F.col("copy")),
                 "application/warc-fields", about, date, target, concurrent),
     ]
     end = CRLF + CRLF
@@ -208,6 +213,16 @@ def transactions(records: DataFrame) -> DataFrame:
             .join(nested(meta, "metadata", ["record_id", "fields"]), "capture", "left"))
 
 
+def with_origins(captures: DataFrame, column: Column) -> DataFrame:
+    """Captures with ``origin``: ``column`` of the response that a revisit's
+    WARC-Refers-To names, null for others and where that response is missing."""
+    rows = captures.withColumn("_refers", F.col("response.refers_to"))
+    named = captures.where("response.kind = 'response'").select(F.col("response.record_id").alias("_refers"), column.alias("origin"))
+    revisits = rows.where("_refers IS NOT NULL").join(named, "_refers", "left")
+    others = rows.where("_refers IS NULL").withColumn("origin", F.lit(None).cast(named.schema["origin"].dataType))
+    return revisits.select(*others.columns).unionByName(others).drop("_refers")
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, payload: bool = True) -> DataFrame:
     """Write the archives below the shared checkpoint folder, read them back."""
     path = scratch_path(spark, "warc")

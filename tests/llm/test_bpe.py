@@ -49,6 +49,23 @@ def test_forced_boundaries_exist_and_are_certain(codec):
         assert 3 in ends
 
 
+def test_long_fragments_equal_library_in_seconds(library, codec, monkeypatch):
+    import time
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(letters, k=n)) for letters in ("a", "ab", "acgt", "theradinosy", "-", "=-#") for n in (99, 101, 5000)]
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == ids
+        monkeypatch.setattr(bpe, "LONG", 1)                      # the heap on short fragments too
+        assert np.frombuffer(codec.encode_word(text), "<u4").tolist() == ids if text.isalpha() else True
+        monkeypatch.undo()
+    start = time.time()
+    million = "a" * 1_000_000
+    packed = codec.encode(million)
+    assert time.time() - start < 60
+    assert np.frombuffer(packed, "<u4").tolist() == library.encode(million, add_special_tokens=False).ids
+
+
 def test_small_cache_gives_the_same_ids(codec, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 4)
     small = bpe.Codec(bpe.read_tokenizer(bpe.default_tokenizer()))

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from metrolens.llm import warc
 from metrolens.session import scratch_path
@@ -25,30 +26,49 @@ def digest(html):
 
 
 def test_round_trip(spark):
-    rows = warc.round_trip(spark, pages_df(spark)).collect()
-    distinct = list(dict.fromkeys(PAGES))
-    assert len(rows) == len(distinct)
+    rows = warc.with_origins(warc.round_trip(spark, pages_df(spark)), F.col("metadata.fields")["page-id"]).collect()
+    assert len(rows) == len(PAGES)                               # a row per page, also for equal ones
     got = {}
     for r in rows:
         page = r["metadata"]["fields"].get("page-id")
-        got[None if page is None else int(page)] = r
+        got.setdefault(None if page is None else int(page), []).append(r)
         assert r["request"]["record_id"] != r["response"]["record_id"]
+    assert len({r["response"]["record_id"] for r in rows}) == len(rows)
     first = {}
-    for page, _, html in sorted(distinct, key=lambda p: (p[0] is None, p[0] or 0)):
+    for page, _, html in sorted(PAGES, key=lambda p: (p[0] is None, p[0] or 0)):
         first.setdefault(html or "", page)
-    ids = {p: got[p]["response"]["record_id"] for p in got}
-    for page, url, html in distinct:
-        r, source = got[page], first[html or ""]
-        assert r["response"]["payload_digest"] == digest(html)
-        assert int(r["metadata"]["fields"]["payload-length"]) == len((html or "").encode())
-        if source == page:
-            assert r["response"]["kind"] == "response" and r["response"]["payload"] == (html or "").encode()
-            assert "refers-to-page" not in r["metadata"]["fields"]
-        else:
-            assert r["response"]["kind"] == "revisit" and r["response"]["payload"] is None
-            assert r["response"]["refers_to"] == ids[source] and int(r["metadata"]["fields"]["refers-to-page"]) == source
-        if url and "\r" not in url:
-            assert r["request"]["target_uri"] == r["response"]["target_uri"] == url
+    for page, url, html in PAGES:
+        source = first[html or ""]
+        assert len(got[page]) == sum(p[0] == page for p in PAGES)
+        main = [r["response"] for r in got[page] if r["response"]["kind"] == "response"]
+        assert len(main) == (source == page)
+        for r in got[page]:
+            assert r["response"]["payload_digest"] == digest(html)
+            assert int(r["metadata"]["fields"]["payload-length"]) == len((html or "").encode())
+            if r["response"]["kind"] == "response":
+                assert r["response"]["payload"] == (html or "").encode() and r["origin"] is None
+            else:
+                assert r["response"]["payload"] is None and r["origin"] == str(source)
+                assert r["response"]["refers_to"] in {x["response"]["record_id"] for x in got[source] if x["response"]["kind"] == "response"}
+            if url and "\r" not in url:
+                assert r["request"]["target_uri"] == r["response"]["target_uri"] == url
+
+
+def test_query_gives_every_equal_row_back(spark):
+    """2 rows and 3 equal ones, as the SQL counts them; many copies of one row."""
+    import uuid
+
+    from metrolens.llm import queries
+    from metrolens.session import checkpoint_dir
+    folder = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    rows = [(1, "u", "same")] * 3 + [(2, "u", "same"), (3, "v", "other")] + [(9, "w", "many")] * 500 + [(None, None, None)] * 2
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(f"{folder}/pages.parquet")
+    got = sorted(queries.op6_warc_transactions(spark, folder).collect(), key=str)
+    assert len(got) == len(rows)
+    kinds = lambda page: sorted((r["record_type"], r["refers_to"]) for r in got if r["page_id"] == page)
+    assert kinds(1) == [("response", None)] + [("revisit", 1)] * 2 and kinds(2) == [("revisit", 1)] and kinds(3) == [("response", None)]
+    assert kinds(9) == [("response", None)] + [("revisit", 9)] * 499
+    assert [r for r, _ in kinds(None)] == ["response", "revisit"]
 
 
 def test_least_payload(spark):
