@@ -27,8 +27,7 @@ def con():
 
 def test_every_query_has_an_oracle_or_is_a_fit():
     no_oracle = set(QUERIES) - set(ORACLES)
-    assert no_oracle <= {"fit_total_forecast", "fit_basis", "fit_factor_ar", "forecast_stations_fitted",
-                         "forecast_total_gbt", "forecast_total_fitted"}
+    assert no_oracle <= {"fit_basis", "forecast_stations_fitted", "forecast_total_gbt", "forecast_panel_gbt"}
     assert set(ORACLES) <= set(QUERIES)
 
 
