@@ -116,7 +116,7 @@ def _list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
                                     type=pa.list_(pa.field("element", pa.int64())))
 
 
-def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, n: int, bands: int, rows: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: set size, digest of the set, folded signature and band keys."""
 
     def run(part):
@@ -128,19 +128,18 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 "signature": [f.tobytes() for f in folded],
                 "bands": _list_array(keys.reshape(-1), np.arange(len(keys) + 1) * bands)}
 
-    return map_arrow(docs.select("doc_id", "text"), run,
-                     "n_shingles long, digest binary, signature binary, bands array<long>", keep=("doc_id",))
+    return map_arrow(docs.select(*keep, "text"), run,
+                     "n_shingles long, digest binary, signature binary, bands array<long>", keep=keep)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of each row, node being its doc_id."""
+    """(node, shingles) of each row of ``docs`` (node, text)."""
 
     def run(part):
         h, offsets = shingles(Words(part.column("text"), lower=True), n)
         return {"shingles": _list_array(h, offsets)}
 
-    named = docs.select(F.col("doc_id").alias("node"), "text")
-    return map_arrow(named, run, "shingles array<long>", keep=("node",))
+    return map_arrow(docs, run, "shingles array<long>", keep=("node",))
 
 
 def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,7 +290,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
 
     def fetch(wanted):
         ids = stored(spark, wanted.withColumnRenamed("node", "doc_id"), "wanted-ids")
-        return shingle_sets(narrowed(docs.select("doc_id", "text"), ids, "doc_id").join(ids, "doc_id", "left_semi"), n)
+        few = narrowed(docs.select("doc_id", "text"), ids, "doc_id").join(ids, "doc_id", "left_semi")
+        return shingle_sets(few.withColumnRenamed("doc_id", "node"), n)
 
     groups = near_groups(spark, classes.select("node", "signature", "bands"), fetch, percent)
     member = rows_.drop("signature", "bands").join(classes.select("digest", "node"), "digest", "left")
@@ -309,9 +309,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all
-    its columns; of rows that share this doc_id one stays. Rows without doc_id
-    stay."""
-    kept = near_duplicates(spark, docs, n, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.where("doc_id IS NULL").unionByName(named.select(*docs.columns))
+    """One document of each group with all its columns, the one with the
+    smallest doc_id. Documents are told apart by doc_id and text, so texts that
+    share a doc_id are grouped each on its own and may both stay. Of rows equal
+    in doc_id and text the one with the least hash of its columns stays. Rows
+    without doc_id stay."""
+    key = ["doc_id", "_version", "_row"]
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]    # maps have no hash
+    named = docs.where("doc_id IS NOT NULL").select(
+        "doc_id", "text", F.xxhash64("text").alias("_version"), F.xxhash64(*hashed).alias("_row"), F.struct(*docs.columns).alias("_whole"))
+    bands, rows = band_plan(percent)
+    rows_ = stored(spark, sketches(named, n, bands, rows, keep=tuple(key)), "sketches")
+    alone = rows_.where("digest IS NULL").groupBy("doc_id", "_version").agg(F.min("_row").alias("_row"))
+    # One class per shingle set; its number is fixed once it is written.
+    classes = rows_.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(*key, "signature", "bands")).alias("c"))
+    classes = stored(spark, classes.select(F.monotonically_increasing_id().alias("node"), "c.*"), "classes")
+
+    def fetch(wanted):
+        places = stored(spark, classes.select(*key, "node").join(wanted, "node"), "wanted-documents")
+        few = narrowed(named.select(*key, "text"), places.select("doc_id"), "doc_id")
+        return shingle_sets(few.join(places, key).dropDuplicates(["node"]).select("node", "text"), n)
+
+    groups = near_groups(spark, classes.select("node", "signature", "bands"), fetch, percent)
+    first = classes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")) \
+        .agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    kept = stored(spark, first.union(alone.select(*key)), "kept-documents")
+    if not rows_.groupBy(*key).count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(key)          # equal rows meet before whole texts are shuffled
+    return docs.where("doc_id IS NULL").unionByName(named.join(kept, key, "left_semi").select("_whole.*"))

@@ -103,3 +103,18 @@ def test_empty_tables(spark, corpus):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_texts_that_share_an_id_do_not_join_groups(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near = a.replace(a.split()[40], "changed", 1)
+    rows = [(1, a), (2, b), (5, near), (5, b + " end"), (6, c), (6, c), (6, c.upper()), (6, ""), (6, None), (None, a), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s" if k % 2 else None, None) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("_version", F.lit("clash")).withColumn("tags", F.create_map(F.lit("k"), "lang"))
+    from metrolens.llm import minhash
+    got = minhash.distinct_documents(spark, docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), str(r["text"]).lower()) for r in got.collect())
+    assert kept == sorted([("1", a), ("2", b), ("6", c), ("6", ""), ("6", "none"), ("None", a), ("7", "")])
