@@ -21,8 +21,10 @@ The benchmark is searched in blocks of at most about ``BLOCK`` pieces: each
 block is broadcast, and all texts are read against it.
 
 Null and empty texts and items match nothing; rows without item_id still
-count. Repeated rows give repeated results, an empty table an empty result;
-other columns are ignored.
+count. Documents are told apart by doc_id and text (``version``, a hash of the
+text), so rows that share a doc_id, or have none, are reported each with its own
+spans; rows equal in both are one document. An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ BAND = 16              # diagonals; more than any edit budget
 BLOCK = 20_000
 _GAP = PIECE + 4 * BAND
 _TABLE_BITS = 22
+_POSTINGS = 1 << 20    # shared q-grams listed at once
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 # Characters whose lower case has another number of bytes; they stay.
@@ -139,11 +142,24 @@ class Index:
         keep = np.cumsum(mark)[:-1] > 0
         near, at = near[keep], at[keep]
         many = self.first[at + 1] - self.first[at]
-        posting = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        piece = self.owner[posting]
-        band = (np.repeat(near, many) - self.place[posting] + PIECE) // BAND
+        upto = np.cumsum(many)
         span = len(buf) // BAND + 4 * PIECE
-        key, n = np.unique(piece * span + band, return_counts=True)
+        keys, counts, held, start = [], [], 0, 0
+        while start < len(near):         # periodic texts share many q-grams at every place: count them part by part
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _POSTINGS, "right")))
+            m, a = many[start:stop], at[start:stop]
+            posting = np.repeat(self.first[a] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            band = (np.repeat(near[start:stop], m) - self.place[posting] + PIECE) // BAND
+            key, n = np.unique(self.owner[posting] * span + band, return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            held, start = held + len(key), stop
+            if held > _POSTINGS or start == len(near):
+                key, which = np.unique(np.concatenate(keys), return_inverse=True)
+                n = np.bincount(which, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+                keys, counts, held = [key], [n], 0
+        if not keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         nxt = np.searchsorted(key, key + 1)
         both = n + np.where((nxt < len(key)) & (key[np.minimum(nxt, len(key) - 1)] == key + 1),
                             n[np.minimum(nxt, len(n) - 1)], 0)
@@ -209,7 +225,7 @@ def search(index: Index, column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def blocks(spark: SparkSession, items: DataFrame, block: int = BLOCK):
-    """Broadcast (ids, pieces) blocks of bounded size, one after another."""
+    """Broadcast (ids, pieces, piece numbers) blocks of bounded size, one after another."""
     cut = pieces(items).cache()
     try:
         count = -(-cut.count() // block)
@@ -217,7 +233,8 @@ def blocks(spark: SparkSession, items: DataFrame, block: int = BLOCK):
         for i in range(count):
             rows = cut.where(part == i).select("item_id", "piece", "bytes").collect()
             if rows:
-                yield spark.sparkContext.broadcast(([r["item_id"] for r in rows], [bytes(r["bytes"]) for r in rows]))
+                yield spark.sparkContext.broadcast(([r["item_id"] for r in rows], [bytes(r["bytes"]) for r in rows],
+                                                    [r["piece"] for r in rows]))
     finally:
         cut.unpersist()
 
@@ -234,31 +251,32 @@ def _indexed(shared):
 
 
 def occurrences(spark: SparkSession, docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, start, end, edits of every piece found (a span as wide
-    as the piece, up to the verified end)."""
+    """doc_id, version, item_id, piece, start, end, edits of every piece found
+    (a span as wide as the piece, up to the verified end)."""
+    named = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     out = None
     for shared in blocks(spark, items, block):
         index = _indexed(shared)
 
         def run(part, shared=shared, index=index):
             hit = search(index(), part.column("text"))
-            ids = shared.value[0]
+            ids, number = shared.value[0], shared.value[2]
             return {"take": hit["row"], "item_id": [ids[p] for p in hit["piece"].tolist()],
-                    "start": hit["start"], "end": hit["end"], "edits": hit["edits"]}
+                    "piece": [number[p] for p in hit["piece"].tolist()], "start": hit["start"], "end": hit["end"], "edits": hit["edits"]}
 
-        found = map_arrow(docs.select("doc_id", "text"), run, "item_id long, start int, end int, edits int", keep=("doc_id",))
+        found = map_arrow(named, run, "item_id long, piece int, start int, end int, edits int", keep=("doc_id", "version"))
         out = found if out is None else out.union(found)
     if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long, start int, end int, edits int")
+        out = spark.createDataFrame([], "doc_id long, version long, item_id long, piece int, start int, end int, edits int")
     return out
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document and item found in it: span of the occurrence and the edits
-    of its best piece."""
-    return occurrences(spark, docs, items).groupBy("doc_id", "item_id").agg(
+    """Per document and item found in it: span of the occurrence, the edits of
+    its best piece and the number of its pieces found."""
+    return occurrences(spark, docs, items).groupBy("doc_id", "version", "item_id").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("edits").alias("edits"),
-        F.count(F.lit(1)).alias("n_pieces"))
+        F.size(F.collect_set("piece")).cast("long").alias("n_pieces"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -144,3 +144,28 @@ def test_upper_case_beyond_ascii():
     for t in (text, text.upper(), "ΟΔΟΣ ΣΑΣ", "\u1e9e Ⱥ Å"):
         assert len(decontam._plain(t.encode())) == len(t.encode())
     assert decontam._plain(b"\xff A\xc3\x89") == b"\xff a\xc3\xa9"
+
+
+def test_documents_that_share_an_id(spark):
+    rng = random.Random(5)
+    item = prose(rng, 30)
+    before = ["", "one two three ", "é " * 9]
+    rows = [(8, before[0] + item), (8, before[1] + item), (8, before[1] + item), (None, before[2] + item), (None, before[0] + item)]
+    got = decontam.contaminated(spark, docs_df(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    n = len(item.encode())
+    places = {len(b.encode()) for b in before}
+    assert len(got) == 4 and {(r["doc_id"], r["start"]) for r in got} == {(8, 0), (8, len(before[1])), (None, len(before[2].encode())), (None, 0)}
+    assert all(r["end"] - r["start"] == n and r["start"] in places for r in got)
+    assert {r["n_pieces"] for r in got} == {decontam.pieces(spark.createDataFrame([(1, item)], "item_id long, text string")).count()}
+
+
+def test_counting_part_by_part_changes_nothing(monkeypatch):
+    rng = random.Random(6)
+    index = decontam.Index([b"a" * 80, b"ab " * 20, prose(rng, 14).encode()[:80]])
+    text = "a" * 3000 + " ab" * 900 + prose(rng, 50)
+    buf = np.frombuffer(decontam._plain(text.encode()), np.uint8)
+    whole = index.regions(buf)
+    for size in (1, 100, 5000):
+        monkeypatch.setattr(decontam, "_POSTINGS", size)
+        assert all((x == y).all() for x, y in zip(whole, index.regions(buf)))
+    assert len(whole[0])
