@@ -31,6 +31,7 @@ from metrolens.llm.text import buffer_of
 BUCKETS = 4096
 CENTROIDS = 4
 PER_LANGUAGE, SAMPLE_ROWS = 500, 20_000
+LEAST_SHARE = 0.05     # of a language's rows in each of its clusters
 REJECT = 0.5           # of the least cosine of a centroid's training texts
 UNKNOWN = "und"
 _ROWS = 256            # texts whose dense vectors are held at once
@@ -89,21 +90,34 @@ def document_frequencies(train: DataFrame) -> np.ndarray:
     return out
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """Unit centroids; the start is farthest-first from the mean, so the result
-    depends on the rows alone."""
-    first = int(np.argmax(x @ x.mean(axis=0)))
-    centres = [x[first]]
-    while len(centres) < min(k, len(x)):
-        centres.append(x[int(np.argmin(np.max(x @ np.array(centres).T, axis=1)))])
-    c = np.array(centres)
-    for _ in range(rounds):
-        label = np.argmax(x @ c.T, axis=1)
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, share: float = LEAST_SHARE) -> np.ndarray:
+    """Unit centroids of clusters that hold ``share`` of the rows or more. The
+    start is drawn from the rows, likelier where they are far from the centres
+    drawn so far, with a fixed seed: the result depends on the rows alone. A
+    cluster that gets too small starts anew from a typical row of the largest
+    one; what is too small in the end is left out and its rows fall to others."""
+    k = min(k, len(x))
+    draw = np.random.default_rng(len(x))
+    c = x[[int(np.argmax(x @ x.mean(axis=0)))]]
+    while len(c) < k:
+        far = np.maximum(1 - (x @ c.T).max(axis=1), 0).astype(np.float64)
+        if far.sum() <= 1e-6 * len(x):               # all rows are alike
+            break
+        c = np.vstack([c, x[draw.choice(len(x), p=far / far.sum())]])
+    for turn in range(rounds):
+        cosine = x @ c.T
+        label = np.argmax(cosine, axis=1)
+        size = np.bincount(label, minlength=len(c))
+        largest = int(size.argmax())
         for i in range(len(c)):
-            if (label == i).any():
+            if size[i] < share * len(x) and turn < rounds // 2:
+                mine = np.flatnonzero(label == largest)
+                c[i] = x[mine[np.argsort(cosine[mine, largest], kind="stable")[len(mine) * (i + 1) // (len(c) + 1)]]]
+            elif size[i]:
                 mean = x[label == i].mean(axis=0)
                 c[i] = mean / max(np.linalg.norm(mean), 1e-12)
-    return c
+    size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    return c[size >= min(share * len(x), size.max())]
 
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> dict:

@@ -65,3 +65,24 @@ def test_blocks_do_not_change_counts(monkeypatch):
     texts = [r[1] for r in corpus(20)] + [None, "x" * 50_000]
     whole = langid.gram_counts(texts)
     assert (np.vstack([langid.gram_counts([t]) for t in texts]) == whole).all()
+
+
+def test_centroids_share_the_rows_among_them():
+    rng = np.random.default_rng(1)
+    topics = rng.random((3, 300))                                        # three kinds of text and a few odd ones
+    x = np.zeros((300, langid.BUCKETS), np.float32)
+    for i in range(300):
+        x[i, (i % 3) * 300:(i % 3) * 300 + 300] = topics[i % 3] + 0.3 * rng.random(300)
+    for i in (5, 90):
+        x[i] = 0
+        x[i, 2000 + i] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = langid.spherical_kmeans(x, 4)
+    label = np.argmax(x @ c.T, axis=1)
+    size = np.bincount(label, minlength=len(c))
+    assert len(c) >= 3 and size.min() >= langid.LEAST_SHARE * len(x)
+    typical = [i for i in range(300) if i not in (5, 90)]
+    assert all(len({i % 3 for i in typical if label[i] == k}) == 1 for k in range(len(c)))
+    assert np.array_equal(c, langid.spherical_kmeans(x, 4))
+    same = np.repeat(x[:1], 30, axis=0)
+    assert len(langid.spherical_kmeans(same, 4)) == 1 and len(langid.spherical_kmeans(x[:1], 4)) == 1
