@@ -4,7 +4,8 @@ Every text gets integer base statistics. Instead of fixed cutoffs, each
 statistic is held against a fence that its own (lang, source) group sets: the
 group's values go into a mergeable quantile sketch - counts of integers in
 buckets of at most 1/64 relative width - and the fence lies a few spreads
-beyond the median. A sketch is a plain table (group, metric, bucket, n), so
+beyond the median, the upper one bounded by the group's lower spread or its
+language's, so that much junk does not excuse itself. A sketch is a plain table (group, metric, bucket, n), so
 merging is a sum: partial sums are made before the shuffle, a hot group sends
 one row per bucket and task, and a language's sketch is the sum of its
 sources' sketches. Groups of fewer than ``min_rows`` rows use the sketch of
@@ -28,13 +29,14 @@ from metrolens.llm.text import Words, mix64, span_hashes
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
-# (name, numerator, denominator, slack): statistics in thousandths; ``slack``
-# is added to the fence so that groups without any spread keep ordinary texts.
+# (name, numerator, denominator, noise, least): statistics in thousandths. A text of n words
+# (lines) may lie noise / sqrt(n) beyond the fence, ``least`` at any length: one symbol or one
+# repeated line weighs much in a short text and says little about it.
 METRICS = (
-    ("symbol", "n_symbols", "n_words", 100),
-    ("dup_line", "n_dup_lines", "n_lines", 500),
-    ("repeat", "n_repeat_words", "n_words", 450),
-    ("word_len", "word_chars", "n_words", 2000),
+    ("symbol", "n_symbols", "n_words", 700, 5),
+    ("dup_line", "n_dup_lines", "n_lines", 1000, 100),
+    ("repeat", "n_repeat_words", "n_words", 4000, 150),
+    ("word_len", "word_chars", "n_words", 14000, 300),
 )
 SPREADS = 4
 MIN_ROWS = 50
@@ -107,7 +109,7 @@ def bucket(value: Column) -> Column:
 def sketch(stats: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) over texts that have words."""
     values = F.array(*[F.struct(F.lit(name).alias("metric"), bucket(metric(a, b)).alias("bucket"))
-                       for name, a, b, _ in METRICS])
+                       for name, a, b, *_ in METRICS])
     return (stats.where("n_words > 0").select("lang", "source", F.explode(values).alias("v"))
             .groupBy("lang", "source", "v.metric", "v.bucket").agg(F.count(F.lit(1)).alias("n")))
 
@@ -135,12 +137,14 @@ def thresholds(sketched: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
               .join(q3, F.col("s.metric") == F.col("a.metric")))
     level = lambda c: (F.when(F.col("s.rows") >= min_rows, F.col(f"s.{c}"))
                        .when(F.col("l.rows") >= min_rows, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}")))
-    slack = F.create_map(*[F.lit(x) for name, _, _, s in METRICS for x in (name, s)])[F.col("s.metric")]
-    mid = level("q50")
+    up = lambda t: F.col(f"{t}.q75") - F.col(f"{t}.q50")
+    mid, low = level("q50"), level("q50") - level("q25")
+    # Junk lies on the upper side: above the median a group spreads no further than below it, or than its language does.
+    wider = F.when(F.col("l.rows") >= min_rows, up("l")).otherwise(up("a"))
+    high = F.least(level("q75") - mid, F.greatest(low, wider))
     fences = joined.select(
         F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), F.col("s.metric").alias("metric"),
-        (mid - SPREADS * (mid - level("q25")) - slack).alias("lo"),
-        (mid + SPREADS * (level("q75") - mid) + slack).alias("hi"))
+        (mid - SPREADS * low).alias("lo"), (mid + SPREADS * high).alias("hi"))
     pick = lambda c, name: F.max(F.when(F.col("metric") == name, F.col(c))).alias(f"{name}_{c}")
     return fences.groupBy("lang", "source").agg(*[pick(c, name) for name, *_ in METRICS for c in ("lo", "hi")])
 
@@ -150,9 +154,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, min_rows: int = MIN_ROWS
     stats = stored(spark, base_statistics(docs), "rules-stats")
     fences = thresholds(sketch(stats), min_rows)
     inside = F.lit(True)
-    for name, a, b, _ in METRICS:
+    for name, a, b, noise, least in METRICS:
         value = metric(a, b)
-        inside = inside & (value <= F.col(f"{name}_hi")) & (value >= F.col(f"{name}_lo"))
+        beyond = F.greatest(value - F.col(f"{name}_hi"), F.col(f"{name}_lo") - value, F.lit(0)).cast("double")
+        inside = inside & ((beyond <= least) | (beyond * beyond * F.col(b) <= noise * noise))
     s, t = stats.alias("s"), fences.alias("t")
     joined = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang"))
                     & F.col("s.source").eqNullSafe(F.col("t.source")), "left")

@@ -24,7 +24,7 @@ def quality_rules() -> str:
           FROM l LEFT JOIN c USING (rid))"""
     values = " UNION ALL ".join(
         f"SELECT rid, lang, source, '{name}' AS metric, CASE WHEN {b} > 0 THEN 1000 * {a} // {b} ELSE 0 END AS v, "
-        f"{slack} AS slack FROM s WHERE n_words > 0" for name, a, b, slack in rules.METRICS)
+        f"{b} AS units, {noise} AS noise, {least} AS least FROM s WHERE n_words > 0" for name, a, b, noise, least in rules.METRICS)
     bits = f"greatest(length(bin(v)) - {rules._BITS}, 0)"
     point = lambda q: f"min(CASE WHEN upto * 100 >= rows_ * {q} THEN bucket END)"
 
@@ -42,13 +42,16 @@ def quality_rules() -> str:
     v AS ({values}),
     b AS (SELECT *, (v >> {bits}) << {bits} AS bucket FROM v),
     {level('q1', 'lang, source')}, {level('q2', 'lang')}, {level('q3', '')},
-    f AS (SELECT q1.lang, q1.source, q1.metric, {pick('q25')}, {pick('q50')}, {pick('q75')}
+    f AS (SELECT q1.lang, q1.source, q1.metric, {pick('q25')}, {pick('q50')}, {pick('q75')},
+                 CASE WHEN q2.rows_ >= {rules.MIN_ROWS} THEN q2.q75 - q2.q50 ELSE q3.q75 - q3.q50 END AS wider
           FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.metric = q2.metric
                   JOIN q3 ON q1.metric = q3.metric),
-    k AS (SELECT rid, bool_and(v <= q50 + {rules.SPREADS} * (q75 - q50) + slack
-                               AND v >= q50 - {rules.SPREADS} * (q50 - q25) - slack) AS inside
+    e AS (SELECT rid, units, noise, least,
+                 greatest(v - (q50 + {rules.SPREADS} * least(q75 - q50, greatest(q50 - q25, wider))),
+                          q50 - {rules.SPREADS} * (q50 - q25) - v, 0)::DOUBLE AS beyond
           FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source
-                        AND v.metric = f.metric GROUP BY rid),
+                        AND v.metric = f.metric),
+    k AS (SELECT rid, bool_and(beyond <= least OR beyond * beyond * units <= noise * noise) AS inside FROM e GROUP BY rid),
     o AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s LEFT JOIN k USING (rid))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND coalesce(inside, false) AS kept FROM o"""

@@ -54,3 +54,17 @@ def test_sketches_merge(spark):
 
 def test_empty(spark):
     assert rules.quality_rules(spark, docs_df(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_junk_does_not_excuse_itself(spark):
+    clean = lambda i, n=60: " ".join(f"ordinary{(i * 7 + j) % 997} words{(i + j * j) % 883}" for j in range(n // 2))
+    rows = [(i, clean(i), "en", "web") for i in range(300)]
+    rows += [(1000 + i, clean(i), "en", "forum") for i in range(70)]
+    rows += [(2000 + i, clean(i) + " ##" * (8 + i % 9), "en", "forum") for i in range(30)]          # 30 % of a source
+    rows += [(3000 + i, clean(i) + " <>" * (10 + i % 9), "en", "code") for i in range(80)]          # usual in this source
+    rows += [(4000, clean(3, 600) + "\nthe same footer line\nthe same footer line", "en", "web"),
+             (4001, clean(4, 60) + " $5 & more", "en", "web"), (4002, "\n".join([clean(5, 30), clean(6, 30)] * 2), "en", "web"),
+             (4003, "\n".join(f"{clean(i, 20)}" for i in [*range(60), *range(30)]), "en", "web")]
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(spark, docs_df(spark, rows)).collect()}
+    assert all(got[i] for i in (*range(300), *range(1000, 1070), *range(3000, 3080), 4000, 4001))
+    assert not any(got[i] for i in range(2000, 2030)) and not got[4003]
