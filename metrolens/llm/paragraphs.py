@@ -1,13 +1,15 @@
 """Substring dedup by paragraphs (operator 8).
 
-Two kinds of paragraphs of at least ``MIN_WORDS`` words are looked for:
+Two kinds of repeats of at least ``MIN_WORDS`` words are looked for:
 
-* Lines. Each distinct line gets a MinHash signature over its word shingles;
+* Paragraphs: single long lines, and blocks of shorter lines that follow each
+  other without a blank or a long line between them, as a wrapped paragraph
+  does. Each distinct one gets a MinHash signature over its word shingles;
   bands tuned for high recall (``BANDS`` of ``ROWS``: a pair at similarity 0.8
-  is missed with a probability of 0.13 %) make colliding lines meet, the exact
+  is missed with a probability of 0.13 %) make colliding ones meet, the exact
   Jaccard similarity verifies them, and components of verified links are the
-  groups. Every line of a group but the first is removed.
-* Passages inside longer lines, equal word by word. Anchors are chosen by
+  groups. Every paragraph of a group but the first is removed.
+* Passages inside them, equal word by word. Anchors are chosen by
   content (the least shingle hash of every ``WINDOW`` consecutive places), so
   any two equal runs of ``MIN_WORDS`` words share an anchor; the ``RUN`` words
   from it on are the key that collides. Colliding runs are chained, compared
@@ -46,13 +48,23 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _line_words(part: pa.RecordBatch, min_words: int):
-    """(words of the batch, line starts, ends, word counts) of long lines."""
+    """(words of the batch, starts, ends, word counts, line counts) of its
+    paragraphs: long lines, and blocks of shorter ones."""
     w = Words(part.column("text"), lower=True)
     ends = np.flatnonzero(w.buf == 10)
+    if not len(ends):
+        return w, ends, ends, ends, ends
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = np.searchsorted(w.starts, ends) - np.searchsorted(w.starts, starts)
-    long = n >= min_words
-    return w, starts[long], ends[long], n[long]
+    text = np.searchsorted(w.offsets, starts, "right") - 1
+    apart = (n == 0) | (n >= min_words)               # blank and long lines stand alone
+    new = np.concatenate([[True], apart[1:] | apart[:-1] | (text[1:] != text[:-1])])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(n)]]) - 1
+    total = np.add.reduceat(n, first)
+    long = total >= min_words
+    first, last = first[long], last[long]
+    return w, starts[first], ends[last], total[long], last - first + 1
 
 
 def _lines_as_texts(w: Words, starts, ends) -> Words:
@@ -60,35 +72,34 @@ def _lines_as_texts(w: Words, starts, ends) -> Words:
 
 
 def long_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per long line: place, digest of its shingle set, signature."""
+    """One row per paragraph: place, digest of its shingle set, signature."""
 
     def run(part):
-        w, starts, ends, n = _line_words(part, min_words)
+        w, starts, ends, n, lines = _line_words(part, min_words)
         h, offsets = shingles(_lines_as_texts(w, starts, ends), SHINGLE)
         signature = (mix64(superminhash(h, offsets, BANDS * ROWS)) & np.uint64(0xFFFF)).astype("<u2")
         text = np.searchsorted(w.offsets, starts, "right") - 1
-        return {"take": text, "start": starts - w.offsets[text], "end": ends - w.offsets[text], "n_words": n,
+        return {"take": text, "start": starts - w.offsets[text], "end": ends - w.offsets[text], "n_words": n, "n_lines": lines,
                 "digest": set_digest(h, offsets), "signature": [s.tobytes() for s in signature]}
 
-    return map_arrow(_named(docs), run, "start int, end int, n_words int, digest binary, signature binary",
+    return map_arrow(_named(docs), run, "start int, end int, n_words int, n_lines int, digest binary, signature binary",
                      keep=("doc_id", "version"))
 
 
 def line_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the lines at (doc_id, version, start) of ``wanted``."""
+    """(node, shingles) of the paragraphs at (doc_id, version, start, end) of ``wanted``."""
     wanted = stored(spark, wanted, "wanted-lines")
-    places = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "node")).alias("places"))
+    places = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end", "node")).alias("places"))
 
     def run(part):
         w = Words(part.column("text"), lower=True)
-        take, starts, nodes = [], [], []
+        take, starts, ends, nodes = [], [], [], []
         for i, places in enumerate(part.column("places").to_pylist()):
             for place in places:
                 take.append(i)
                 starts.append(w.offsets[i] + place["start"])
+                ends.append(w.offsets[i] + place["end"])
                 nodes.append(place["node"])
-        breaks = np.flatnonzero(w.buf == 10)
-        ends = breaks[np.searchsorted(breaks, starts)]
         h, offsets = shingles(_lines_as_texts(w, starts, ends), SHINGLE)
         return {"take": take, "node": nodes, "shingles": _list_array(h, offsets)}
 
@@ -97,26 +108,27 @@ def line_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Long lines that repeat a line of an earlier document."""
+    """Paragraphs that repeat one of an earlier document."""
     lines = stored(spark, long_lines(docs, min_words), "lines")
     # One class per shingle set; its 64-bit name is that of one set only.
     named = lines.withColumn("node", F.xxhash64("digest"))
-    classes = named.groupBy("node").agg(F.min(F.struct("digest", "doc_id", "version", "start", "signature")).alias("c"))
+    classes = named.groupBy("node").agg(F.min(F.struct("digest", "doc_id", "version", "start", "end", "signature")).alias("c"))
     classes = stored(spark, classes.select("node", "c.*"), "line-classes")
     width = ROWS * _FOLD
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)])
-    place = classes.select("node", "doc_id", "version", "start")
+    place = classes.select("node", "doc_id", "version", "start", "end")
     groups = near_groups(spark, classes.select("node", "signature", bands.alias("bands")),
                          lambda wanted: line_sets(spark, docs, place.join(wanted, "node")), PERCENT, slack=0.4)
     known = classes.select(F.col("node").alias("own"), F.col("digest").alias("own_digest"))
     grouped = (named.drop("signature").join(groups, "node", "left")
                .join(known, (F.col("node") == F.col("own")) & (F.col("digest") == F.col("own_digest")), "left")
                .withColumn("component", F.coalesce("component", "own")).where("component IS NOT NULL"))
-    grouped = stored(spark, grouped.select("component", "doc_id", "version", "start", "end", "n_words"), "line-groups")
+    grouped = stored(spark, grouped.select("component", "doc_id", "version", "start", "end", "n_words", "n_lines"), "line-groups")
     first = stored(spark, grouped.groupBy("component").agg(
         F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("last")).where("last <> keep_doc_id"), "first-lines")
     return (grouped.join(first, "component").where("doc_id <> keep_doc_id")
-            .select("doc_id", "version", "start", "end", "n_words", "keep_doc_id", F.lit("line").alias("kind")))
+            .select("doc_id", "version", "start", "end", "n_words", "keep_doc_id",
+                    F.when(F.col("n_lines") > 1, "block").otherwise("line").alias("kind")))
 
 
 def _rolled(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -253,9 +265,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     own = shown.where("kind = 0").drop("kind")
 
     def kept_side(kind: int, place: list[str], side: str) -> DataFrame:
+        """Written, so that the joins read plain tables and a place that many documents share is split."""
         at = ["keep_doc_id", "kept_version", *place]
-        return shown.where(F.col("kind") == kind).withColumnRenamed("version", "kept_version").select(
-            *at, F.col(side).alias(f"kept_{side}"), F.col(f"n_{side}").alias(f"kept_n_{side}")).dropDuplicates(at)
+        return stored(spark, shown.where(F.col("kind") == kind).withColumnRenamed("version", "kept_version").select(
+            *at, F.col(side).alias(f"kept_{side}"), F.col(f"n_{side}").alias(f"kept_n_{side}")).dropDuplicates(at), f"kept-{side}")
 
     both = (own.join(kept_side(1, ["key", "at"], "before"), ["keep_doc_id", "key", "at"])
             .join(kept_side(2, ["stop"], "after"), ["keep_doc_id", "kept_version", "stop"]))

@@ -126,3 +126,55 @@ def test_empty_and_limits(spark):
     with pytest.raises(ValueError):
         paragraphs.repeated_paragraphs(spark, docs_df(spark, [(1, "a")]), min_words=20)
     assert np.array_equal(paragraphs._slide(np.array([3, 1, 2, 5]), 3, np.minimum), [1, 1])
+
+
+def own_paragraphs(text):
+    """Long lines, and blocks of shorter lines between blank or long ones, by hand."""
+    out, block = [], []
+    for line in [*(text or "").split("\n"), ""]:
+        n = len(words(line))
+        if n and n < paragraphs.MIN_WORDS:
+            block.append(line)
+            continue
+        out.append("\n".join(block))
+        block = []
+        out.append(line)
+    return [p for p in out if len(words(p)) >= paragraphs.MIN_WORDS]
+
+
+def wrapped(text, n):
+    w = text.split()
+    return "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+
+
+def test_wrapped_near_copies_equal_brute_force(spark):
+    rng = random.Random(7)
+    base = [prose(rng, n) for n in (55, 100, 100, 240)]
+
+    def variant(text, edits):
+        w = text.split()
+        for _ in range(edits):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        return " ".join(w)
+    rows = []
+    for i in range(40):
+        text = variant(base[i % 4], rng.choice((0, 1, 2, 4)))
+        shown = text if i % 5 == 0 else wrapped(text, rng.randint(5, 20))
+        rows.append((i, f"{prose(rng, 60)}\n{prose(rng, 9)}\n\n{shown}\n \n{wrapped(prose(rng, 70), 12)}"))
+    rows += [(50, None), (51, ""), (52, "\n\n"), (None, rows[1][1])]
+    held = [(i, p, set(zip(*[words(lower(p))[k:] for k in range(5)]))) for i, t in rows if i is not None for p in own_paragraphs(t)]
+    label = list(range(len(held)))
+    for a in range(len(held)):
+        for b in range(a):
+            x, y = held[a][2], held[b][2]
+            if 100 * len(x & y) >= 80 * len(x | y):
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if v == hi else v for v in label]
+    first = {}
+    for (i, _, _), v in zip(held, label):
+        first[v] = min(first.get(v, i), i)
+    want = sorted((i, p, first[v]) for (i, p, _), v in zip(held, label) if first[v] != i)
+    raw = {i: (t or "").encode() for i, t in rows}
+    spans = paragraphs.repeated_lines(spark, docs_df(spark, rows)).collect()
+    assert sorted((r["doc_id"], raw[r["doc_id"]][r["start"]:r["end"]].decode(), r["keep_doc_id"]) for r in spans) == want
+    assert {r["kind"] for r in spans} == {"line", "block"} and any("edit" in p for _, p, _ in want)
