@@ -91,7 +91,8 @@ def test_rows_that_share_a_doc_id(spark):
     assert {r["component_id"] for r in got if r["doc_id"] is not None} == {3}
     assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
     kept = minhash.distinct_documents(spark, docs_df(spark, rows)).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "None", "None"]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted(
+        [("3", b), ("5", a), ("None", a), ("None", "None")])        # the text a is not lost by the id it shares with b
 
 
 def test_empty(spark):
