@@ -41,7 +41,8 @@ from metrolens.llm.text import Words, mix64, shingles
 PLACES = 100           # signature length
 ESTIMATE_SLACK = 0.2   # over 5 standard deviations of an estimate from 100 places
 BLOCK = 1000           # signatures of one side of a block comparison
-SET_BLOCK = 256        # sets of one side of an exact block comparison
+SET_BLOCK = 256        # sets of one side of an exact block comparison,
+SET_SHINGLES = 1 << 20  # and about the shingles they hold together
 _CHUNK = 200_000       # shingles whose permutations are held at once
 _UNSET = np.uint64(2**64 - 1)
 
@@ -228,9 +229,11 @@ def exact_links(close: DataFrame, groups: DataFrame, nodes: DataFrame, sets: Dat
     """Links (a, b) that connect what the threshold connects among the members
     of each neighbourhood ``close`` (node, component): pairs of different
     groups whose signatures allow it are verified on their full sets. Large
-    neighbourhoods are cut in blocks; a task holds two blocks and gives a
-    spanning forest."""
-    size = close.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).cast("int").alias("blocks"))
+    neighbourhoods are cut in blocks, by the number of sets and by their
+    shingles, so that very long texts make more and smaller blocks; a task
+    holds two blocks and gives a spanning forest."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / SET_BLOCK, F.sum(F.size("shingles")) / SET_SHINGLES))
+    size = close.join(sets, "node").groupBy("component").agg(blocks.cast("int").alias("blocks"))
     rows = (close.join(size, "component").join(groups.withColumnRenamed("component", "g"), "node", "left")
             .join(nodes.select("node", "signature"), "node").join(sets, "node")
             .select("component", "node", F.coalesce("g", "node").alias("g"), "signature", "shingles",

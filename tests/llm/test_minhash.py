@@ -73,8 +73,11 @@ def test_groups_equal_brute_force(spark, n, percent):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_buckets_with_several_groups_are_completed(spark, monkeypatch):
-    """Wide buckets (one row per band) whose head is similar to few members."""
+@pytest.mark.parametrize("shingles", [minhash.SET_SHINGLES, 200])
+def test_buckets_with_several_groups_are_completed(spark, monkeypatch, shingles):
+    """Wide buckets (one row per band) whose head is similar to few members,
+    compared in one block of sets or in many."""
+    monkeypatch.setattr(minhash, "SET_SHINGLES", shingles)
     monkeypatch.setattr(minhash, "band_plan", lambda percent: (100, 1))
     monkeypatch.setattr(minhash, "BLOCK", 3)
     rows = fixture()
