@@ -127,13 +127,16 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     """Train on labels (doc_id, quality); at most about ``rows`` of them, so the
-    broadcast of the chosen labels is bounded."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
+    broadcast of the chosen labels is bounded. Repeated rows of either table
+    count once, and of texts that share a doc_id one is taken (the one with the
+    least statistics), so that a repeated document does not swell the sample."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").distinct()
     share = min(1_000_000, int(1_000_000 * rows / max(known.count(), 1)) + 1)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     rows_ = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     described = map_arrow(rows_, lambda part: {"x": list(statistics(part.column("text")))},
-                          "x array<float>", keep=("quality",)).toPandas()
+                          "x array<float>", keep=("doc_id", "quality")) \
+        .groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
     if not len(described):
         return fit_trees(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(described["x"].to_numpy()), (described["quality"].to_numpy() > 0).astype(float)

@@ -66,3 +66,14 @@ def test_scores_do_not_see_other_columns(spark):
     a = quality.score(spark, docs_df(spark, [(1, "some text", "en", "a")]), model, ("doc_id",)).first()["score"]
     b = quality.score(spark, docs_df(spark, [(2, "some text", None, "b")]), model, ("doc_id",)).first()["score"]
     assert a == b
+
+
+def test_repeated_rows_do_not_swell_the_fit(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 20 + i)) for i in range(60)]
+    docs = docs_df(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = quality.fit(spark, docs, labels)
+    again = quality.fit(spark, docs.union(docs).union(docs), labels.union(labels))
+    assert once["base"] == again["base"]
+    assert all(np.array_equal(once[k], again[k]) for k in ("feature", "value", "leaf"))
