@@ -120,24 +120,32 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, share: float = LEA
     return c[size >= min(share * len(x), size.max())]
 
 
+def drawn(train: DataFrame, sizes: dict[str, int], quota: int) -> DataFrame:
+    """About ``quota`` distinct rows of each language, chosen by a hash; ``sizes``
+    are the languages' numbers of distinct rows."""
+    million = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000))
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(1_000_000 * quota / max(n, 1)) + 1)])
+    return train.where(million < share[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"])
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Model from ``train`` (doc_id, text, lang), rows with text and lang only."""
     train = train.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}     # one row per language
+    distinct = F.approx_count_distinct(F.xxhash64("text", "doc_id"), 0.02)
+    counted = train.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), distinct.alias("distinct")).collect()  # one row per language
+    sizes = {r["lang"]: r["distinct"] for r in counted}
     if not sizes:
         return {"langs": [], "centroids": np.zeros((0, BUCKETS), np.float32), "least": np.zeros(0), "idf": np.ones(BUCKETS)}
     frequency = document_frequencies(train)
-    idf = (np.log((1 + sum(sizes.values())) / (1 + frequency)) + 1).astype(np.float32)
+    idf = (np.log((1 + sum(r["rows"] for r in counted)) / (1 + frequency)) + 1).astype(np.float32)
     quota = min(per_language, max(1, sample_rows // len(sizes)))
-    million = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(1_000_000 * quota / n) + 1)])
 
     def run(part):
         rows = [v for texts in blocks(part.column("text").to_pylist())
                 for v in vectors(gram_counts(texts), idf).astype(np.float16)]
         return {"vector": [r.tobytes() for r in rows]}
 
-    sample = map_arrow(train.where(million < share[F.col("lang")]), run, "vector binary", keep=("lang",)).collect()
+    sample = map_arrow(drawn(train, sizes, quota), run, "vector binary", keep=("lang",)).collect()
     langs, centres, least = [], [], []
     for lang in sorted(sizes):
         packed = sorted(r["vector"] for r in sample if r["lang"] == lang)

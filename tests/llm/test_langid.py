@@ -86,3 +86,11 @@ def test_centroids_share_the_rows_among_them():
     assert np.array_equal(c, langid.spherical_kmeans(x, 4))
     same = np.repeat(x[:1], 30, axis=0)
     assert len(langid.spherical_kmeans(same, 4)) == 1 and len(langid.spherical_kmeans(x[:1], 4)) == 1
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark):
+    rows = [(i, f"text {i}", "en", "s") for i in range(400)] + [(9, "the same", "en", "s")] * 3000
+    train = docs_df(spark, rows).select("doc_id", "text", "lang")
+    got = [tuple(r) for r in langid.drawn(train, {"en": 401}, 100).collect()]
+    assert len(got) == len(set(got)) and 50 < len(got) < 200
+    assert len(set(langid.fit(train, per_language=100)["langs"])) == 1
