@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # The reference's peak bands, inclusive on the hour
 # (morning 07:00:00-08:59:59, evening 16:00:00-18:59:59).
 PEAK_BANDS = {"morning": (7, 8), "evening": (16, 18)}
+MOST_RUNS = 8             # ranges that a set of days is written as: more make slow code
 
 
 def as_date(value) -> dt.date:
@@ -49,14 +50,27 @@ def day_runs(days) -> list[tuple[dt.date, dt.date]]:
     return runs
 
 
+def _covering(runs: list[tuple[dt.date, dt.date]], most: int) -> list[tuple[dt.date, dt.date]]:
+    """At most ``most`` ranges over all of ``runs``, joined where the gaps are smallest."""
+    if len(runs) <= most:
+        return runs
+    widest = sorted(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1])[len(runs) - most:]
+    cuts = [0, *sorted(widest), len(runs)]
+    return [(runs[a][0], runs[b - 1][1]) for a, b in zip(cuts, cuts[1:])]
+
+
 def on_days(column: Column, days) -> Column:
     """Whether a date expression is one of ``days``, as an OR of ranges, which
-    (unlike a list of several dates) reaches the scan also for ``to_date(ts)``."""
+    (unlike a list of several dates) reaches the scan also for ``to_date(ts)``.
+    Days in more than ``MOST_RUNS`` ranges are covered by that many, so that the
+    expression does not grow deeper with them, and a list tells them apart."""
+    runs = day_runs(days)
+    cover = _covering(runs, MOST_RUNS)
     cond = F.lit(False)
-    for i, (lo, hi) in enumerate(day_runs(days)):
+    for i, (lo, hi) in enumerate(cover):
         run = column.between(F.lit(lo), F.lit(hi))
         cond = cond | run if i else run
-    return cond
+    return cond if len(cover) == len(runs) else cond & column.isin(sorted({as_date(d) for d in days}))
 
 
 def entered(trips, lo, hi) -> Column:

@@ -127,3 +127,32 @@ def test_days_as_ranges_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "time_in" in plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
     assert df.count() == 4 and df.where(D.on_days(F.to_date("time_in"), [])).count() == 0
+
+
+def test_many_scattered_days_are_one_flat_condition(spark):
+    first = dt.date(1990, 1, 1)
+    days = [first + dt.timedelta(days=i) for i in range(0, 4000, 2)] + [dt.date(2024, 2, 1)]
+    runs = D._covering(D.day_runs(days), 3)
+    assert len(runs) == 3 and runs[0][0] == first and runs[-1] == (dt.date(2024, 2, 1), dt.date(2024, 2, 1))
+    all_days = spark.range(13_000).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
+    assert sorted(r["day"] for r in all_days.where(D.on_days(F.col("day"), days)).collect()) == days
+    assert all_days.where(~D.on_days(F.col("day"), days)).count() == 13_000 - len(days)
+    assert all_days.where(D.on_days(F.lit(None).cast("date"), days)).count() == 0
+    path = scratch_path(spark, "v-many-days")
+    trips(spark).write.parquet(path)
+    df = spark.read.schema(schemas.TRIPS).parquet(path).where(D.on_days(F.to_date("time_in"), days))
+    assert df.count() == trips(spark).where(F.to_date("time_in") == F.lit(dt.date(2024, 2, 1))).count() > 0
+    assert "time_in" in df._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_refresh_of_many_scattered_days(spark):
+    """A withdrawn day whose trips leave on thousands of days."""
+    start = dt.datetime(2000, 1, 1, 8)
+    out = [(start, start + dt.timedelta(days=i), "A", "B", "1", "1") for i in range(0, 4000, 2)]
+    kept = [(start + dt.timedelta(days=1), start + dt.timedelta(days=2), "A", "C", "1", "1")]
+    rows_all, rows_left = (spark.createDataFrame(r, schemas.TRIPS) for r in (out + kept, kept))
+    path = scratch_path(spark, "v-scattered")
+    R.write_rollup(R.trip_rollup(rows_all), path, "month")
+    R.refresh_rollup(rows_left, path, R.event_days(spark.createDataFrame(out, schemas.TRIPS)))
+    got = sorted((r["side"], r["day"], r["n"]) for r in R.read_rollup(spark, path).collect())
+    assert got == [("in", dt.date(2000, 1, 2), 1), ("out", dt.date(2000, 1, 3), 1)]
