@@ -60,6 +60,50 @@ def _check_hot_key(spark):
     assert spread >= 6                       # the hot user is cut across ranges
 
 
+def _order_tables(spark, folder, lines):
+    first = F.lit(dt.date(2000, 1, 1))
+
+    def put(name, df):
+        df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    put("region", spark.createDataFrame([(0, "R0"), (1, "R1")], "r_regionkey int, r_name string"))
+    put("nation", spark.createDataFrame([(0, "N0", 0), (1, "N1", 1), (1, "N1b", 0), (2, "N2", None)], "n_nationkey int, n_name string, n_regionkey int"))
+    put("customer", spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, None), (4, 2)], "c_custkey long, c_nationkey int"))
+    put("supplier", spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 7)], "s_suppkey long, s_nationkey int"))
+    put("orders", spark.range(lines // 4).select(F.col("id").alias("o_orderkey"), (F.col("id") % 6).alias("o_custkey"),
+                                                 F.date_add(first, (F.col("id") % 900).cast("int")).cast("timestamp").alias("o_orderdate")))
+    put("lineitem", spark.range(lines).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 5).alias("l_suppkey"),
+                                              F.date_add(first, (F.col("id") % 977).cast("int")).cast("timestamp").alias("l_shipdate")))
+
+
+def test_trips_od_rows_and_partitions_bounded_by_size(spark, tmp_path):
+    """Keys that repeat or lead nowhere count as in plain joins; rows are dealt
+    anew before they are sorted, so a task does not hold what one task joined."""
+    _order_tables(spark, str(tmp_path), 40_000)
+    t = {n: spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
+    nr = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    place = lambda s: nr.select(F.col("n_nationkey").alias(f"{s}_nationkey"), F.col("n_name").alias(f"station_{s}"), F.col("r_name").alias(f"line_{s}"))
+    plain = (t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(place("c"), "c_nationkey")
+             .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(place("s"), "s_nationkey")
+             .select("o_custkey", "o_orderdate", "l_shipdate", "station_c", "line_c", "station_s", "line_s"))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = testdata.trips_od(spark, str(tmp_path))
+        assert got.columns == ["user_id", "time_in", "time_out", "station_in", "line_in", "station_out", "line_out"]
+        got.write.parquet(f"{tmp_path}/got")                # a file per task
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = spark.read.parquet(f"{tmp_path}/got")
+    sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+    assert got.count() == plain.count() == sum(sizes) > 0
+    assert got.exceptAll(plain).count() == 0
+    assert len(sizes) > 8 and max(sizes) < sum(sizes) / 8
+
+
 def test_calendar_view(spark):
     cal = {r["time"]: r["workday"] for r in testdata.workdays_v(spark, SF).collect()}
     assert dt.date(2024, 1, 15) not in cal
