@@ -88,49 +88,51 @@ def next_event_ranged(ev: DataFrame, key: str, ts: str, tie: str, payload: list[
 
     spark = ev.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cur = F.struct(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(tie).alias("tie"),
-                   *[F.col(c).alias(c) for c in payload])
+    fields = {"key": key, "ts": ts, "tie": tie} | {c: c for c in payload}
+    cur = F.struct(*[F.col(c).alias(f) for f, c in fields.items()])
     ranged = (ev.repartitionByRange(n, key, ts, tie).sortWithinPartitions(key, ts, tie)
-              .withColumn("_range", F.spark_partition_id()).withColumn("_cur", cur))
-    paired = ranged.withColumn("_nxt", F.col("_cur")).withColumn("_first", F.lit(False))
+              .withColumn("_range", F.spark_partition_id()))
     path = scratch_path(spark, "next-event")
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in paired.schema])      # the last row has no next
-    paired.mapInArrow(_attach_next, schema).write.parquet(path)
+    out = ranged.withColumn("_nxt", cur).withColumn("_first", F.lit(False)).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out])                # the last row has no next
+    ranged.mapInArrow(_attach_next(fields), schema).write.parquet(path)
     legs = spark.read.schema(schema).parquet(path)
-    heads = (legs.where("_first").select("_range", F.col("_cur").alias("_head"))
+    heads = (legs.where("_first").select("_range", cur.alias("_head"))
              .withColumn("_next_head", F.lead("_head").over(Window.orderBy("_range")))
              .select("_range", "_next_head"))
     cand = F.coalesce("_nxt", "_next_head")
     return (legs.join(F.broadcast(heads), "_range", "left")
             .withColumn("_nxt", F.when(cand["key"] == F.col(key), cand))
-            .drop("_next_head", "_range", "_cur", "_first"))
+            .drop("_next_head", "_range", "_first"))
 
 
-def _attach_next(batches):
-    """mapInArrow step over a sorted partition: ``_nxt`` becomes the next
-    row's ``_cur`` (null in the last row), ``_first`` marks the first row."""
+def _attach_next(fields: dict[str, str]):
+    """mapInArrow step over a sorted partition: ``_nxt`` becomes a struct of the
+    next row's columns, ``fields`` by name (null in the last row), ``_first``
+    marks the first row."""
     import pyarrow as pa
 
-    held, first = None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-        out, nxt = rows.slice(0, rows.num_rows - 1), rows.slice(1)
-        held = rows.slice(rows.num_rows - 1)
-        if out.num_rows:
-            yield _paired(out, nxt.column("_cur"), first)
-            first = False
-    if held is not None:
-        yield _paired(held, pa.nulls(1, held.schema.field("_cur").type), first)
-
-
-def _paired(rows, nxt, first: bool):
-    import pyarrow as pa
-
-    marks = pa.array([first] + [False] * (rows.num_rows - 1), pa.bool_())
-    return (rows.set_column(rows.schema.get_field_index("_nxt"), "_nxt", nxt)
-            .set_column(rows.schema.get_field_index("_first"), "_first", marks))
+    def struct(rows):
+        return pa.StructArray.from_arrays([rows.column(c) for c in fields.values()], names=list(fields))
+
+    def paired(rows, nxt, first: bool):
+        marks = pa.array([first] + [False] * (rows.num_rows - 1), pa.bool_())
+        return pa.RecordBatch.from_arrays([*rows.columns, nxt, marks], names=[*rows.schema.names, "_nxt", "_first"])
+
+    def run(batches):
+        held, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            out, nxt = rows.slice(0, rows.num_rows - 1), rows.slice(1)
+            held = rows.slice(rows.num_rows - 1)
+            if out.num_rows:
+                yield paired(out, struct(nxt), first)
+                first = False
+        if held is not None:
+            yield paired(held, pa.nulls(1, struct(held).type), first)
+    return run
 
 
 def trips_ev(spark: SparkSession, sf_dir: str) -> DataFrame:

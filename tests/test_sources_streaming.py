@@ -7,6 +7,7 @@ from conftest import trips_df
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from metrolens import schemas
 from metrolens.session import scratch_path
 from metrolens.sources import sinks, tables, testdata
 from metrolens.streaming import rollup as R
@@ -302,3 +303,29 @@ def test_parameter_tables_round_trip(spark, tmp_path):
     a = [r["prediction"] for r in model.transform(train).collect()]
     b = [r["prediction"] for r in again.transform(train).collect()]
     assert a == b
+
+
+def test_stream_files_need_only_the_trips_and_can_be_shared_by_tasks(spark, tmp_path, monkeypatch):
+    """No other view is derived for the streams; a file of a micro-batch has
+    several row groups, as one group is read by one task."""
+    import pathlib
+
+    import __spark_entry__ as E
+    import pyarrow.parquet as pq
+    at = F.timestamp_seconds(1_704_067_200 + F.col("id") * 37).cast(schemas.EVENTS["ts"].dataType)
+    spark.range(20_000).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("x").alias("event_type"),
+                               F.lit(1.0).alias("value"), F.format_string('{"k": %d}', F.col("id") * 31 % 97).alias("props")) \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    views = []
+    stored = testdata.stored_view
+    monkeypatch.setattr(testdata, "stored_view", lambda s, d, name: views.append(name) or stored(s, d, name))
+    monkeypatch.setattr(E, "STREAM_ROW_GROUP", 8192)
+    src = scratch_path(spark, "stream-files")
+    E._write_stream_files(spark, str(tmp_path), src)
+    files = [pq.ParquetFile(p) for p in pathlib.Path(src).glob("*.parquet")]
+    assert len(files) == E.STREAM_FILES and min(f.num_row_groups for f in files) > 1
+    assert sum(f.metadata.num_rows for f in files) == 20_000 - 50
+    windows = E.stream_windows(spark, str(tmp_path))
+    assert set(views) == {"trips_ev"}
+    assert windows.exceptAll(R.trip_rollup(stored(spark, str(tmp_path), "trips_ev")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+                             .select(*windows.columns)).count() == 0
