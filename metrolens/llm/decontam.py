@@ -47,6 +47,7 @@ BLOCK = 20_000
 _GAP = PIECE + 4 * BAND
 _TABLE_BITS = 22
 _POSTINGS = 1 << 20    # shared q-grams listed at once
+_PLACES = 1 << 18      # places of a text looked up at once
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 # Characters whose lower case has another number of bytes; they stay.
@@ -124,13 +125,23 @@ class Index:
     def cell(code: np.ndarray) -> np.ndarray:
         return (code * _SPREAD) >> np.uint64(64 - _TABLE_BITS)
 
+    def shared(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of the code) of the q-grams that some piece has too.
+        ``code`` overlaps itself: it is looked up part by part, so that its
+        copies of eight bytes a place stay small however long the texts are."""
+        places, numbers = [], []
+        for start in range(0, len(code), _PLACES):
+            part = code[start:start + _PLACES]
+            near = np.flatnonzero(self.table[self.cell(part)])
+            at = np.minimum(np.searchsorted(self.codes, part[near]), len(self.codes) - 1)
+            same = self.codes[at] == part[near]
+            places.append(near[same] + start)
+            numbers.append(at[same])
+        return np.concatenate(places), np.concatenate(numbers)
+
     def regions(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, band): pairs of neighbouring bands that reach the bound."""
-        code = np.ndarray((len(buf) - Q + 1,), "<u8", buf.data, strides=(1,))
-        near = np.flatnonzero(self.table[self.cell(code)])
-        at = np.minimum(np.searchsorted(self.codes, code[near]), len(self.codes) - 1)
-        same = self.codes[at] == code[near]
-        near, at = near[same], at[same]
+        near, at = self.shared(np.ndarray((len(buf) - Q + 1,), "<u8", buf.data, strides=(1,)))
         # a region needs that many hits of any kind within its length
         least, reach = int(self.bound.min()), int((self.length + 2 * self.budget).max()) + 2 * BAND
         if len(near) < least:
@@ -189,6 +200,16 @@ class Index:
         return edits, end
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Where ``mask`` holds, in four bytes a place if they do."""
+    out, at = np.empty(np.count_nonzero(mask), np.int32 if len(mask) < 2**31 else np.int64), 0
+    for start in range(0, len(mask), _PLACES):
+        found = np.flatnonzero(mask[start:start + _PLACES])
+        out[at:at + len(found)] = found + start
+        at += len(found)
+    return out
+
+
 def _plain_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, origin, starts): plain texts, kept apart by gaps of zero bytes;
     each byte's place before runs of blanks became one, and the texts' starts
@@ -197,10 +218,10 @@ def _plain_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     gap = bytes(_GAP)
     starts = np.concatenate([[0], np.cumsum([len(t) + _GAP for t in texts])])[:-1] + _GAP
     raw = np.frombuffer(gap + gap.join(map(_plain, texts)) + gap, np.uint8)
-    blank = raw == 32
-    blank[1:] &= blank[:-1].copy()
-    origin = np.flatnonzero(~blank)
-    return raw[origin], origin, starts
+    del texts
+    kept = raw != 32
+    kept[1:] |= raw[:-1] != 32
+    return raw[kept], _places(kept), starts
 
 
 def search(index: Index, column: pa.Array) -> dict[str, np.ndarray]:
@@ -213,8 +234,8 @@ def search(index: Index, column: pa.Array) -> dict[str, np.ndarray]:
         edits, end = index.align(buf, p, b)
         good = edits <= index.budget[p]
         p, end, edits = p[good], end[good], edits[good]
-        first = origin[np.maximum(end - index.length[p], 0)]
-        stop = origin[end - 1] + 1
+        first = origin[np.maximum(end - index.length[p], 0)].astype(np.int64)
+        stop = origin[end - 1].astype(np.int64) + 1
         row = np.searchsorted(starts, stop - 1, "right") - 1
         found["row"].append(row)
         found["piece"].append(p)

@@ -1,11 +1,13 @@
 import random
 import textwrap
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from metrolens.llm import decontam
+from metrolens.llm.common import slices
 from tests.llm.helpers import docs_df, prose
 
 
@@ -169,3 +171,24 @@ def test_counting_part_by_part_changes_nothing(monkeypatch):
         monkeypatch.setattr(decontam, "_POSTINGS", size)
         assert all((x == y).all() for x, y in zip(whole, index.regions(buf)))
     assert len(whole[0])
+
+
+@pytest.mark.parametrize("texts, times", [(1, 12), (1500, 8)])
+def test_memory_of_a_search_is_bounded(texts, times):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    item = some(30)[:decontam.PIECE - 1] + "x"
+    rows = [some(450_000 // texts) for _ in range(texts)]
+    before = rows[-1] + ",  \n"
+    rows[-1] = before + item + " " + some(10)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(rows)})
+    index, found, peak = decontam.Index([item.encode()]), [], 0
+    for part in slices([batch]):
+        tracemalloc.start()
+        hit = decontam.search(index, part.column("text"))
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found += [(part.column("text")[r].as_py() == rows[-1], s, e) for r, s, e in zip(hit["row"].tolist(), hit["start"].tolist(), hit["end"].tolist())]
+    assert set(found) == {(True, len(before), len(before) + len(item))}
+    assert peak < times * batch.column("text").nbytes
